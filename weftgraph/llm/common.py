@@ -92,6 +92,21 @@ class WordTable(dict):
             self.clear()
 
 
+_MADE: dict = {}
+
+
+def per_worker(key, make: Callable):
+    """What ``make`` gives, made once in this Python worker for ``key`` and kept for its later tasks.
+
+    Only the last few are kept, so a worker that serves many jobs doesn't grow.
+    """
+    if key not in _MADE:
+        while len(_MADE) >= 3:
+            _MADE.pop(next(iter(_MADE)))
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 class Memo(dict):
     """A dict that computes missing values by ``make`` and is emptied by ``trim`` beyond ``limit`` entries."""
 

@@ -13,6 +13,7 @@ language in alphabetical order. Repeated rows each get their own result; other c
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import WordTable, hash_share, small_batches
+from weftgraph.llm.common import WordTable, hash_share, per_worker, small_batches
 
 UNDETERMINED = "und"
 WORDS = re.compile(r"[^\W\d_]+")
@@ -106,11 +107,11 @@ def predictor(docs: DataFrame, model: LanguageModel):
     """A column function: text -> struct(lang_pred, score). ``docs`` only lends its session."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
 
     @F.pandas_udf(RESULT)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        table = WordTable(model.vector, max(1, len(model.langs)))
+        model, table = per_worker(name, lambda: (m := shared.value, WordTable(m.vector, max(1, len(m.langs)))))
         for texts in batches:
             names, scores = [], []
             for t in texts:

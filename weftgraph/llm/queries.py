@@ -10,11 +10,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.llm import chat_format as chat
 from weftgraph.llm import language_id as lid
+from weftgraph.llm import neighbours
+from weftgraph.llm import sentence_pieces as sp
+from weftgraph.llm import token_counts as tok
 from weftgraph.llm import toxicity as tox
 from weftgraph.llm.common import fold_of, table
 
 TOXIC_FROM = 0.3
+TOKEN_LIMIT = 512
+#: Folder of the public tokenizer files; None takes the installed package's.
+TOKENIZERS: str | None = None
+
+
+def tokenizer_file(name: str) -> str:
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +51,44 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tok.token_counts(docs, tokenizer_file("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def piece_digests(docs: DataFrame) -> DataFrame:
+    coded = sp.sentence_pieces(docs.select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        F.col("pieces.n_ids").alias("n_tokens"),
+        F.sha2(F.col("pieces.ids").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("pieces.decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_rows(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_toxicity": op3_toxicity,
+    "op4_neighbours": op4_neighbours,
+    "op5_token_counts": op5_token_counts,
+    "op6_sentence_pieces": op6_sentence_pieces,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {}

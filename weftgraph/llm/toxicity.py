@@ -14,6 +14,7 @@ labels every score is 0. Repeated rows each get their own score; other columns a
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import WordTable, hash_share, small_batches
+from weftgraph.llm.common import WordTable, hash_share, per_worker, small_batches
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words of a segment, half of which overlap with the next.
@@ -180,11 +181,11 @@ def scorer(docs: DataFrame, model: ToxicityModel):
     """A column function: text -> probability of label 1. ``docs`` only lends its session."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = shared.value
-        table = WordTable(model.word, 1)
+        model, table = per_worker(name, lambda: (m := shared.value, WordTable(m.word, 1)))
         for texts in batches:
             out = []
             for t in texts:
