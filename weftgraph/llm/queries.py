@@ -14,6 +14,7 @@ from weftgraph.llm import chat_format as chat
 from weftgraph.llm import language_id as lid
 from weftgraph.llm import neighbours
 from weftgraph.llm import sentence_pieces as sp
+from weftgraph.llm import substring_dedup, suffix_dedup
 from weftgraph.llm import token_counts as tok
 from weftgraph.llm import toxicity as tox
 from weftgraph.llm.common import fold_of, table
@@ -39,6 +40,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (fold_of("doc_id") == 2).alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = tox.fit(docs, table(spark, sf_dir, "labels").where(fold_of("doc_id") != 2))
@@ -85,10 +94,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_neighbours": op4_neighbours,
     "op5_token_counts": op5_token_counts,
     "op6_sentence_pieces": op6_sentence_pieces,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {}
