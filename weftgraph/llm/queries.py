@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import chat_format as chat
 from weftgraph.llm import language_id as lid
-from weftgraph.llm import neighbours
+from weftgraph.llm import near_dedup, neighbours
 from weftgraph.llm import sentence_pieces as sp
 from weftgraph.llm import substring_dedup, suffix_dedup
 from weftgraph.llm import token_counts as tok
@@ -44,6 +44,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_neighbours": op4_neighbours,
     "op5_token_counts": op5_token_counts,
     "op6_sentence_pieces": op6_sentence_pieces,
+    "op7_near_dedup": op7_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,
 }
