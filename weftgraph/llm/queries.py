@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import chat_format as chat
+from weftgraph.llm import decontamination
 from weftgraph.llm import language_id as lid
 from weftgraph.llm import near_dedup, neighbours
 from weftgraph.llm import sentence_pieces as sp
@@ -41,15 +42,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_text", "rest")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_text", "rest")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_sentence_pieces": op6_sentence_pieces,
     "op7_near_dedup": op7_near_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,
 }

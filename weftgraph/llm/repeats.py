@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import small_batches, stored
@@ -337,27 +337,34 @@ def _resolve(w: Windows, resolver: Callable, batches: Iterator[pa.RecordBatch])
 
 
 def covered(docs: DataFrame, w: Windows, resolver: Callable[[list[np.ndarray], np.ndarray], list[np.ndarray]]) -> DataFrame:
-    """(key, text, stretches) for each row of ``docs`` (doc_id, text); key is the id, NO_ID for null.
+    """(key, text, rest, stretches) for each row of ``docs``; key is its doc_id, NO_ID for null, and rest its other columns.
 
     stretches: array of a * 2^32 + e for each covered stretch [a, e) of symbols, or null.
     resolver: (symbols of each segment, their documents; in order of document and place) -> for each
     segment the numbers of its windows that start earlier.
     """
     small_batches(docs.sparkSession)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), "text")
+    rest = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    # both joins with the documents take the same columns, so that one shuffle of the texts serves both
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), "text", (F.struct(*rest) if rest else F.lit(0)).alias("rest"))
     order = ("anchor", "content", "doc", "a")
 
     def deal(rows: DataFrame) -> DataFrame:
         return rows.repartition("anchor").sortWithinPartitions(*order)
 
-    segments = keyed.mapInArrow(lambda b: _anchors(w, b), _ROW)
+    segments = keyed.select("key", "text").mapInArrow(lambda b: _anchors(w, b), _ROW)
     met = stored(deal(segments).mapInArrow(lambda b: _meet(w, b), _ROW).drop("symbols", "content"))
     asked = met.where(F.col("kind").isin(ASK, HOT_ASK)).groupBy("doc").agg(F.collect_list(F.struct("kind", "anchor", "a", "e")).alias("asked"))
-    fetched = keyed.join(asked, keyed["key"] == asked["doc"]).select("key", "text", "asked").mapInArrow(lambda b: _fetch(w, b), _ROW)
+    fetched = keyed.join(asked, keyed["key"] == asked["doc"]).select("key", "text", "asked", "rest").mapInArrow(lambda b: _fetch(w, b), _ROW)
     resolved = deal(fetched).mapInArrow(lambda b: _resolve(w, resolver, b), _ROW)
     found = met.select("kind", "doc", "a", "e").unionByName(resolved.select("kind", "doc", "a", "e")).where(F.col("kind") == COVERED)
     stretches = found.groupBy("doc").agg(F.collect_list(F.shiftleft(F.col("a"), 32) + F.col("e")).alias("stretches"))
-    return keyed.join(stretches, keyed["key"] == stretches["doc"], "left").select("key", "text", "stretches")
+    return keyed.join(stretches, keyed["key"] == stretches["doc"], "left").select("key", "text", "rest", "stretches")
+
+
+def doc_id() -> Column:
+    """The id of a row that ``covered`` gives."""
+    return F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id")
 
 
 def _several(anchor: np.ndarray, content: np.ndarray) -> np.ndarray:

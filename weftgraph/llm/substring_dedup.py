@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from weftgraph.llm.repeats import NO_ID, Windows, covered, spans
+from weftgraph.llm.repeats import Windows, covered, doc_id, spans
 
 WINDOW = 50
 
@@ -141,23 +141,21 @@ def earlier_windows(segments: list[np.ndarray], doc: np.ndarray) -> list[np.ndar
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_text (words joined by a space) and kept_sha256."""
+    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_text (words joined by a space), kept_sha256 and the struct ``rest``."""
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    @F.pandas_udf("n_words long, n_removed long, kept_text string, kept_sha256 string")
+    def keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, stretches in batches:
             out = []
-            for key, text, stretches in zip(b["key"], b["text"], b["stretches"], strict=True):
+            for text, x in zip(texts, stretches, strict=True):
                 found = words(text or "")
-                a, e = spans(stretches)
                 kept, at = [], 0
-                for x, y in zip(a.tolist(), e.tolist(), strict=True):
-                    kept += found[at:x]
-                    at = y
-                kept += found[at:]
-                joined = b" ".join(kept)
-                out.append((None if key == NO_ID else key, len(found), len(found) - len(kept), joined.decode(), hashlib.sha256(joined).hexdigest()))
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
-
-    names = ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"]
-    found = covered(docs.select("doc_id", "text"), Windows(WINDOW, 10, _hashes, False), earlier_windows)
-    return found.mapInPandas(apply, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+                for a, e in zip(*(y.tolist() for y in spans(x)), strict=True):
+                    kept += found[at:a]
+                    at = e
+                joined = b" ".join(kept + found[at:])
+                out.append((len(found), len(found) - len(kept) - len(found[at:]), joined.decode(), hashlib.sha256(joined).hexdigest()))
+            yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept_text", "kept_sha256"])
+
+    found = covered(docs, Windows(WINDOW, 10, _hashes, False), earlier_windows)
+    return found.select(doc_id(), "rest", keep("text", "stretches").alias("x")).select("doc_id", "x.*", "rest")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.repeats import NO_ID, Windows, covered, spans
+from weftgraph.llm.repeats import Windows, covered, doc_id, spans
 
 WINDOW = 100
 
@@ -122,25 +122,22 @@ def kept_bytes(text: str | None, stretches) -> tuple[bytes, int]:
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_text and kept_sha256.
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_text, kept_sha256 and the struct ``rest`` of its other columns.
 
-    Cuts go through the bytes of characters; kept_text drops bytes that are no longer part of one.
+    Cuts go through the bytes of characters; kept_text drops bytes that are no longer part of one, and is
+    the text itself, null included, where nothing was removed.
     """
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            kept = [kept_bytes(t, x) for t, x in zip(b["text"], b["stretches"], strict=True)]
-            size = [len((t or "").encode()) for t in b["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": b["key"].astype("Int64").mask(b["key"] == NO_ID),
-                    "n_bytes": size,
-                    "n_removed": [n - len(k) for n, (k, _) in zip(size, kept, strict=True)],
-                    "n_spans": [n for _, n in kept],
-                    "kept_text": [k.decode(errors="ignore") for k, _ in kept],
-                    "kept_sha256": [hashlib.sha256(k).hexdigest() for k, _ in kept],
-                }
-            )
-
-    found = covered(docs.select("doc_id", "text"), Windows(WINDOW, 32, _bytes, True), earlier_windows)
-    return found.mapInPandas(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_text string, kept_sha256 string")
+    @F.pandas_udf("n_removed long, n_spans long, kept_text string, kept_sha256 string")
+    def keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, stretches in batches:
+            out = []
+            for text, x in zip(texts, stretches, strict=True):
+                kept, n = kept_bytes(text, x)
+                removed = len((text or "").encode()) - len(kept)
+                out.append((removed, n, kept.decode(errors="ignore") if removed else text, hashlib.sha256(kept).hexdigest()))
+            yield pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_text", "kept_sha256"])
+
+    found = covered(docs, Windows(WINDOW, 32, _bytes, True), earlier_windows)
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    return found.select(doc_id(), size, "rest", keep("text", "stretches").alias("x")).select("doc_id", "n_bytes", "x.*", "rest")
