@@ -171,8 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = [-(-per_label * (1 << 20) // max(1, sizes.get(y, 0))) for y in (0, 1)]
-    chosen = known.where(hash_share(F.col("k"), F.when(F.col("y") == 1, share[1]).otherwise(share[0])))
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, "k").orderBy(F.xxhash64("k"), "t").limit(4 * per_label).collect()
+    chosen = known.where(hash_share(F.col("k"), F.when(F.col("y") == 1, share[1]).otherwise(share[0]))).orderBy(F.xxhash64("k"), "k").limit(4 * per_label)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").orderBy(F.xxhash64("k"), "t").limit(4 * per_label).collect()
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     return train([r["t"] for r in rows], [r["y"] for r in rows], share=share, **params)
 
