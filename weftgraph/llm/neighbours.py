@@ -169,14 +169,16 @@ def nearest(
                 found = shared.value.visits(np.asarray(v, float), share)
                 yield pd.DataFrame({"tree": [t for t, _ in found], "leaf": [n for _, n in found], "query": True, "id": i, "v": [v] * len(found)})
 
-    schema = "tree int, leaf long, query boolean, id long, v array<float>"
+    # single precision goes through the shuffle as such; any other type as double
+    kind = "float" if rows.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    schema = f"tree int, leaf long, query boolean, id long, v array<{kind}>"
     asked = picked.where("is_query").select("id", "v").dropDuplicates(["id", "v"])
     met = index.select("rep", "v").mapInPandas(route, schema).unionByName(asked.mapInPandas(walk, schema))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Leaves come one after another, each with its rows first; keeps the best k + 1 of each query."""
         slots: dict[int, int] = {}
-        floor = np.full(1024, -np.inf)
+        floor = np.full(1024, -1e300)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         n_held, now = 0, None
         rows_of: list[pd.DataFrame] = []
@@ -186,7 +188,7 @@ def nearest(
             q, ids, s = _best(*(np.concatenate(x) for x in zip(*held, strict=True)), k + 1)
             last = np.flatnonzero(np.append(q[1:] != q[:-1], True))
             full = np.bincount(q, minlength=len(floor)) > k
-            floor[q[last]] = np.where(full[q[last]], s[last], -np.inf)
+            floor[q[last]] = np.where(full[q[last]], s[last], -1e300)
             held, n_held = [(q, ids, s)], 0
 
         def leaf(parts: list[pd.DataFrame]) -> None:
@@ -199,9 +201,9 @@ def nearest(
             ids, asks = b["id"].to_numpy(), b["id"].to_numpy()[is_query]
             q = np.array([slots.setdefault(i, len(slots)) for i in asks.tolist()])
             while len(slots) > len(floor):
-                floor = np.concatenate([floor, np.full(len(floor), -np.inf)])
+                floor = np.concatenate([floor, np.full(len(floor), -1e300)])
             scores = x[is_query] @ x[~is_query].T
-            a, c = np.nonzero(scores >= floor[q][:, None] - 1e-5)  # single precision here; exact later
+            a, c = np.nonzero(scores >= (floor[q] - 1e-9 * (1 + np.abs(floor[q])))[:, None])  # the last bits may differ from the exact score
             held.append((q[a], ids[~is_query][c], scores[a, c]))
             n_held += len(a)
             if n_held > 400_000:
@@ -225,12 +227,15 @@ def nearest(
         if held:
             tidy()
             names = np.array(list(slots))
-            q, ids, _ = held[0]
-            yield pd.DataFrame({"query_id": names[q], "rep": ids})
+            q, ids, s = held[0]
+            yield pd.DataFrame({"query_id": names[q], "rep": ids, "near": s})
 
-    found = met.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "query").mapInPandas(scan, "query_id long, rep long").distinct()
+    found = met.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "query").mapInPandas(scan, "query_id long, rep long, near double")
+    # each task gave its best; the best of all, with those that only rounding tells apart, are ranked exactly
+    nearest_first = Window.partitionBy("query_id").orderBy(F.desc(F.round("near", 12)))
+    distinct_found = found.groupBy("query_id", "rep").agg(F.max("near").alias("near")).withColumn("r", F.rank().over(nearest_first)).where(F.col("r") <= k + 1).select("query_id", "rep")
     scored = (
-        found.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        distinct_found.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
         .join(index, "rep")
         .withColumn("score", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
         .select("query_id", "score", F.explode("ids").alias("id"))
