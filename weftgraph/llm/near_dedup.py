@@ -12,8 +12,8 @@ components of all links.
 3. In each bucket, members are paired with the bucket's smallest member only. A pair whose joint likelihood
    estimate of the similarity is far below the threshold is dropped; the others are verified on full sets.
 4. Verified links give components. Buckets that then still hold several components are searched again:
-   every pair across components, other than of members of the largest, is estimated and verified. So no link between
-   components is lost, and pairs within a component, of which a group of copies has very many, are never made.
+   every pair across components is compared by the low bytes of its registers, and those that may be linked are estimated and
+   verified. So no link between components is lost, and pairs within one, of which a group of copies has very many, are never made.
 
 Texts that are null or hold no word have an empty set, linked with nothing; rows with a null id stay alone and
 have no component. Rows that repeat an id are taken for one document with the union of their links. Ties don't
@@ -155,22 +155,60 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (int(band[-1]), int(first[-1]), bool(sent[-1]))
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches with the low byte of each register, which tells whether two registers are equal but for one in 256."""
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("signature", pa.binary())])
+    for batch in batches:
+        if batch.num_rows:
+            low = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS).astype(np.uint8)
+            yield _batch(schema, batch.column(0).to_numpy(), batch.column(1).to_numpy(), [x.tobytes() for x in low])
+
+
+def _pairs_across(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of x and y, (component, doc, n, signatures) each, that may be linked across components; same: y is x."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    step = max(1, (1 << 22) // (REGISTERS * max(1, len(y[0]))))
+    for lo in range(0, len(x[0]), step):
+        c, d, n, g = (v[lo : lo + step] for v in x)
+        apart = (c[:, None] != y[0][None]) & (100 * np.minimum(n[:, None], y[2][None]) >= THRESHOLD * np.maximum(n[:, None], y[2][None]))
+        if same:
+            apart &= d[:, None] < y[1][None]
+        i, j = np.nonzero(apart)
+        for k in range(0, len(i), 1 << 15):
+            a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+            near = (g[a] == y[3][b]).sum(axis=1) >= (LEAST_ESTIMATE - 0.02) * REGISTERS
+            found.append((d[a[near]], y[1][b[near]]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (np.concatenate(v) for v in zip(*found, strict=True))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, component, doc, largest) in order -> pairs across components, one side outside the largest component.
+    """Rows (band, component, doc, large, n, signature) in order -> pairs across components that may be linked, one side outside the largest component.
 
-    One band's members outside its largest component are held; the others stream past them.
+    One band's members outside its largest component are held; the others stream past them. Pairs are compared here, by
+    their signatures, so those that merely share a band are never rows.
     """
-    outside: list[tuple[int, int]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     now = None
     for batch in batches:
-        for band, component, doc, large in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if band != now:
-                now, outside = band, []
-            pairs = [(min(doc, d), max(doc, d)) for c, d in outside if c != component]
-            if not large:
-                outside.append((component, doc))
-            if pairs:
-                yield _batch(_PAIR, *zip(*pairs, strict=True))
+        band, component, doc, n = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
+        large = np.array(batch.column(3).to_pylist(), bool)
+        signature = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        edges = np.append(np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (large[1:] != large[:-1]))), len(band)) if len(band) else np.zeros(1, int)
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if band[lo] != now:
+                now, held = band[lo], []
+            part = (component[lo:hi], doc[lo:hi], n[lo:hi], signature[lo:hi])
+            out += [_pairs_across(h, part, False) for h in held]
+            if not large[lo]:
+                if hi - lo > 1:
+                    out.append(_pairs_across(part, part, True))
+                held.append(part)
+        if out:
+            yield _batch(_PAIR, *(np.concatenate(v) for v in zip(*out, strict=True)))
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +314,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     marked = crowded.select("band", "doc").join(components, "doc", "left").select("band", "doc", F.coalesce("component", "doc").alias("component"))
     sizes = marked.groupBy("band", "component").agg(F.count("*").alias("size"))
     split = sizes.groupBy("band").agg(F.count("*").alias("n"), F.max(F.struct("size", "component")).alias("top")).where("n > 1").select("band", F.col("top.component").alias("largest"))
-    rest = marked.join(split, "band").select("band", "component", "doc", (F.col("component") == F.col("largest")).alias("large"))
+    signatures = classes.select("doc", "n", "regs").mapInArrow(_signatures, "doc long, n long, signature binary")
+    rest = marked.join(split, "band").join(signatures, "doc").select("band", "component", "doc", (F.col("component") == F.col("largest")).alias("large"), "n", "signature")
     across = rest.repartition("band").sortWithinPartitions("band", "large", "component", "doc").mapInArrow(_across, "a long, b long").distinct()
     more = stored(likely(across.join(starred, ["a", "b"], "left_anti")))
     if not more.isEmpty():
