@@ -155,8 +155,10 @@ def protocol_event_path(g: Graph) -> DataFrame:
 
 
 def path_graph(walks: DataFrame, g: Graph) -> tuple[DataFrame, DataFrame]:
-    """Node set and edge set of walks (graph, start_id, end_id, edge_ids)."""
-    ids = walks.select("graph", F.explode("edge_ids").alias("id")).distinct()
-    edges = g.edges.join(ids, ["graph", "id"], "left_semi")
-    ends = edges.select("graph", F.col("src").alias("id")).unionByName(edges.select("graph", F.col("dst").alias("id"))).unionByName(walks.select("graph", F.col("start_id").alias("id"))).distinct()
+    """Node set and edge set of walks (graph, start_id, end_id, edge_ids). The walks are computed once, as ids."""
+    part = lambda kind, id_: F.struct(F.lit(kind).alias("kind"), id_.alias("id"))
+    parts = F.array_append(F.transform("edge_ids", lambda e: part("edge", e)), part("node", F.col("start_id")))
+    ids = _checkpoint(walks.select("graph", F.explode(parts).alias("p")).select("graph", "p.kind", "p.id").distinct())
+    edges = g.edges.join(ids.where("kind = 'edge'").select("graph", "id"), ["graph", "id"], "left_semi")
+    ends = edges.select("graph", F.explode(F.array("src", "dst")).alias("id")).unionByName(ids.where("kind = 'node'").select("graph", "id")).distinct()
     return g.nodes.join(ends, ["graph", "id"], "left_semi"), edges
