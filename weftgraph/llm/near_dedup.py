@@ -12,7 +12,7 @@ components of all links.
 3. In each bucket, members are paired with the bucket's smallest member only. A pair whose joint likelihood
    estimate of the similarity is far below the threshold is dropped; the others are verified on full sets.
 4. Verified links give components. Buckets that then still hold several components are searched again:
-   every pair across components is compared by the low bytes of its registers, and those that may be linked are estimated and
+   every pair across components is compared by the low bits of 1,024 registers, and those that may be linked are estimated and
    verified. So no link between components is lost, and pairs within one, of which a group of copies has very many, are never made.
 
 Texts that are null or hold no word have an empty set, linked with nothing; rows with a null id stay alone and
@@ -37,10 +37,14 @@ SHINGLE = 5
 #: Similarity, in percent.
 THRESHOLD = 75
 BANDS, ROWS = 40, 4
-REGISTERS = BANDS * ROWS
+BANDED = BANDS * ROWS
+#: All registers; those that aren't banded only sharpen estimates.
+REGISTERS = 1024
 BASE, RATE = 1.001, 20.0
-#: Estimates below this are more than four standard deviations under the threshold.
+#: Estimates from the banded registers below this are more than four standard deviations under the threshold.
 LEAST_ESTIMATE = 0.60
+#: The same for estimates from the low four bits of all registers.
+LEAST_SHARP = 0.685
 #: Members that one copy of a pair's first set is compared with.
 CHUNK = 256
 
@@ -102,7 +106,7 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-_SKETCH = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("regs", pa.binary())])
+_SKETCH = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("regs", pa.binary()), ("signature", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _BAND = pa.schema([("band", pa.int64()), ("doc", pa.int64())])
 
@@ -115,11 +119,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = [(int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))) for s in sets]
             # of equal sets in a batch, one is sketched
             place = {k: i for i, k in reversed(list(enumerate(keys))) if len(sets[i])}
-            regs: dict[tuple[int, int], bytes] = {}
+            made: dict[tuple[int, int], tuple[bytes, bytes]] = {}
             if place:
                 for k, r in zip(place, registers([sets[i] for i in place.values()]), strict=True):
-                    regs[k] = r.tobytes()
-            yield _batch(_SKETCH, docs[lo : lo + 250], [len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], [regs.get(k) if len(s) else None for k, s in zip(keys, sets, strict=True)])
+                    low = (r & 15).astype(np.uint8)
+                    made[k] = r[:BANDED].tobytes(), (low[::2] << 4 | low[1::2]).tobytes()
+            found = [made.get(k, (None, None)) if len(s) else (None, None) for k, s in zip(keys, sets, strict=True)]
+            yield _batch(_SKETCH, docs[lo : lo + 250], [len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], [r for r, _ in found], [g for _, g in found])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,28 +161,21 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (int(band[-1]), int(first[-1]), bool(sent[-1]))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sketches with the low byte of each register, which tells whether two registers are equal but for one in 256."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("signature", pa.binary())])
-    for batch in batches:
-        if batch.num_rows:
-            low = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS).astype(np.uint8)
-            yield _batch(schema, batch.column(0).to_numpy(), batch.column(1).to_numpy(), [x.tobytes() for x in low])
-
-
 def _pairs_across(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of x and y, (component, doc, n, signatures) each, that may be linked across components; same: y is x."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    step = max(1, (1 << 22) // (REGISTERS * max(1, len(y[0]))))
+    step = max(1, (1 << 20) // max(1, len(y[0])))
     for lo in range(0, len(x[0]), step):
         c, d, n, g = (v[lo : lo + step] for v in x)
         apart = (c[:, None] != y[0][None]) & (100 * np.minimum(n[:, None], y[2][None]) >= THRESHOLD * np.maximum(n[:, None], y[2][None]))
         if same:
             apart &= d[:, None] < y[1][None]
         i, j = np.nonzero(apart)
-        for k in range(0, len(i), 1 << 15):
-            a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-            near = (g[a] == y[3][b]).sum(axis=1) >= (LEAST_ESTIMATE - 0.02) * REGISTERS
+        for k in range(0, len(i), 1 << 14):
+            a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+            differ = g[a] ^ y[3][b]
+            equal = (differ < 16).sum(axis=1) + ((differ & 15) == 0).sum(axis=1)  # unequal registers agree in one of 16 cases
+            near = equal >= (LEAST_SHARP + (1 - LEAST_SHARP) / 16) * REGISTERS
             found.append((d[a[near]], y[1][b[near]]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -195,7 +194,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         band, component, doc, n = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
         large = np.array(batch.column(3).to_pylist(), bool)
-        signature = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        signature = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, REGISTERS // 2)
         out: list[tuple[np.ndarray, np.ndarray]] = []
         edges = np.append(np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (large[1:] != large[:-1]))), len(band)) if len(band) else np.zeros(1, int)
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -215,7 +214,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BANDED) for i in (2, 3))
         keep = np.zeros(len(a), bool)
         n_a, n_b = batch.column(4).to_numpy(), batch.column(5).to_numpy()
         for lo in range(0, len(a), 2_000):
@@ -286,9 +285,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    sketches = stored(texts.mapInArrow(_sketch, "doc long, n long, k1 long, k2 long, regs binary"))
+    sketches = stored(texts.mapInArrow(_sketch, "doc long, n long, k1 long, k2 long, regs binary, signature binary"))
     full = sketches.where("doc is not null and n > 0")
-    classes = stored(full.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc", "regs")).alias("x")).select("x.doc", "x.regs", "n", "k1", "k2"))
+    classes = stored(full.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc", "regs", "signature")).alias("x")).select("x.*", "n", "k1", "k2"))
     bands = classes.select("doc", "regs").mapInArrow(_bands, "band long, doc long")
     crowded = stored(bands.repartition("band").sortWithinPartitions("band", "doc").mapInArrow(_crowded, "band long, doc long, first long"))
 
@@ -314,8 +313,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     marked = crowded.select("band", "doc").join(components, "doc", "left").select("band", "doc", F.coalesce("component", "doc").alias("component"))
     sizes = marked.groupBy("band", "component").agg(F.count("*").alias("size"))
     split = sizes.groupBy("band").agg(F.count("*").alias("n"), F.max(F.struct("size", "component")).alias("top")).where("n > 1").select("band", F.col("top.component").alias("largest"))
-    signatures = classes.select("doc", "n", "regs").mapInArrow(_signatures, "doc long, n long, signature binary")
-    rest = marked.join(split, "band").join(signatures, "doc").select("band", "component", "doc", (F.col("component") == F.col("largest")).alias("large"), "n", "signature")
+    rest = marked.join(split, "band").join(classes.select("doc", "n", "signature"), "doc").select("band", "component", "doc", (F.col("component") == F.col("largest")).alias("large"), "n", "signature")
     across = rest.repartition("band").sortWithinPartitions("band", "large", "component", "doc").mapInArrow(_across, "a long, b long").distinct()
     more = stored(likely(across.join(starred, ["a", "b"], "left_anti")))
     if not more.isEmpty():
