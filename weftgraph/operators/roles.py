@@ -34,7 +34,7 @@ def resolve_roles(events: DataFrame, fillers: DataFrame, role_defs: DataFrame, a
     """
     n = fillers.groupBy("graph", "event_id", "direction", "role").agg(F.count("*").alias("n"))
     defs = role_defs.select(F.col("event_category_id").alias("category_id"), "direction", "role", "optional", "variable_amount", "default_use_active", "default_use_new")
-    wanted = events.select("graph", "event_id", "category_id").join(F.broadcast(defs.limit(100_000)), "category_id")
+    wanted = events.select("graph", "event_id", "category_id").join(defs, "category_id")
     met = wanted.join(n, ["graph", "event_id", "direction", "role"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     met = met.join(active.select(F.col("category_id").alias("default_use_active"), F.col("reagent_id").alias("default_reagent")), "default_use_active", "left")
     outcome = (
