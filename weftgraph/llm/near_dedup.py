@@ -12,7 +12,7 @@ components of all links.
 3. In each bucket, members are paired with the bucket's smallest member only. A pair whose joint likelihood
    estimate of the similarity is far below the threshold is dropped; the others are verified on full sets.
 4. Verified links give components. Buckets that then still hold several components are searched again:
-   every pair across components is compared by the low bits of 1,024 registers, and those that may be linked are estimated and
+   every pair across components is compared by the low bits of 512 registers, and those that may be linked are estimated and
    verified. So links between components are sought everywhere, and pairs within one, of which a group of copies has very many,
    are never made. Of links right at the threshold, the three sketch tests together miss about one in 100,000.
 
@@ -40,12 +40,12 @@ THRESHOLD = 75
 BANDS, ROWS = 40, 4
 BANDED = BANDS * ROWS
 #: All registers; those that aren't banded only sharpen estimates.
-REGISTERS = 1024
+REGISTERS = 512
 BASE, RATE = 1.001, 20.0
 #: Estimates from the banded registers below this are more than four standard deviations under the threshold.
 LEAST_ESTIMATE = 0.60
 #: The same for estimates from the low four bits of all registers.
-LEAST_SHARP = 0.685
+LEAST_SHARP = 0.66
 #: Members that one copy of a pair's first set is compared with.
 CHUNK = 256
 
@@ -64,28 +64,49 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def registers(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
-    """[set, register] of uint16; sets must not be empty."""
+    """[set, register] of uint16; sets must not be empty.
+
+    An element's points are sums of exponential steps that a counter seeds, so they don't depend on how many are made at once.
+    """
     out = np.full((len(sets), m), np.inf)
+    flat = out.ravel()
     todo, room = np.arange(len(sets)), 4.0
     while len(todo):
         sizes = np.array([len(sets[i]) for i in todo])
-        limit = np.repeat((np.log(m) + room) / sizes, sizes)
-        element = np.concatenate([sets[i] for i in todo])
-        row = np.repeat(todo * m, sizes)
-        x = np.zeros(len(element))
-        flat = out.ravel()
-        while len(element):
-            element = mix(element + np.uint64(0x9E3779B97F4A7C15))
-            x = x - np.log(((element >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / m
-            live = x < limit
-            element, x, limit, row = element[live], x[live], limit[live], row[live]
-            register = (mix(element ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(m)).astype(np.int64)
-            np.minimum.at(flat, row + register, x)
+        # points at once: about what an element of a set of this size needs, as a power of two
+        block = np.clip(2 ** np.ceil(np.log2(m * (np.log(m) + room) / sizes)), 8, 2048).astype(np.int64)
+        for size in np.unique(block).tolist():
+            mine, n, held = [], 0, todo[block == size].tolist()
+            for k, i in enumerate(held):
+                mine.append(i)
+                n += len(sets[i])
+                if n * size > 1 << 19 or k == len(held) - 1:
+                    _points(flat, [sets[x] for x in mine], np.array(mine), m, room, size)
+                    mine, n = [], 0
         todo = todo[np.isinf(out[todo]).any(axis=1)]
         room *= 3
     return np.clip(np.floor(1 - np.log(out / RATE) / np.log(BASE)), 0, 65535).astype(np.uint16)
 
 
+def _points(flat: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, m: int, room: float, block: int) -> None:
+    """Lowers the registers of sets to their elements' points below the sets' limits."""
+    sizes = np.array([len(s) for s in sets])
+    limit = np.repeat((np.log(m) + room) / sizes, sizes)
+    element, row, x = np.concatenate(sets), np.repeat(rows * m, sizes), np.zeros(sizes.sum())
+    counter = np.arange(1, block + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    while len(element):
+        h = mix(mix(element[:, None] + counter[None]))
+        steps = np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / -m
+        steps[:, 0] += x
+        points = np.cumsum(steps, axis=1)
+        e, j = np.nonzero(points < limit[:, None])
+        register = (mix(h[e, j] ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(m)).astype(np.int64)
+        np.minimum.at(flat, row[e] + register, points[e, j])
+        live = points[:, -1] < limit
+        element, row, x, limit = element[live], row[live], points[live, -1], limit[live]
+        counter = counter + np.uint64(block * 0x9E3779B97F4A7C15 % (1 << 64))
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Joint maximum-likelihood estimates of the similarity of pairs of sets, from registers and sizes."""
     u = (n_a / (n_a + n_b))[:, None]
