@@ -46,6 +46,8 @@ BASE, RATE = 1.001, 20.0
 LEAST_ESTIMATE = 0.60
 #: The same for estimates from the low four bits of all registers.
 LEAST_SHARP = 0.66
+#: Bits, as a power of two, of the bitmap of documents whose sets are wanted: 8 MB, whatever their number.
+BITS = 26
 #: Members that one copy of a pair's first set is compared with.
 CHUNK = 256
 
@@ -245,6 +247,21 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
+def _among(bits: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose document has its bit set: all that are wanted, and by chance a few others, which the join drops."""
+    for batch in batches:
+        h = mix(batch.column(0).fill_null(0).to_numpy().view(np.uint64)) & np.uint64((1 << BITS) - 1)
+        yield batch.filter(pa.array((bits[h >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)))
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents -> words of the bitmap with their bits."""
+    schema = pa.schema([("line", pa.int64()), ("bit", pa.int64())])
+    for batch in batches:
+        h = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64((1 << BITS) - 1)
+        yield _batch(schema, (h >> np.uint64(6)).astype(np.int64), (np.uint64(1) << (h & np.uint64(63))).view(np.int64))
+
+
 def _send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with the chunks that want their set -> one row per chunk."""
     schema = pa.schema([("a", pa.int64()), ("chunk", pa.int64()), ("member", pa.int64()), ("shingles", pa.binary())])
@@ -324,7 +341,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), F.col("b").alias("doc"), F.lit(True).alias("member"))
         firsts = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("doc"), F.lit(False).alias("member"))
         wanted = members.unionByName(firsts).groupBy("doc").agg(F.collect_list(F.struct("a", "chunk", "member")).alias("wanted"))
-        sets = texts.join(wanted, "doc").mapInArrow(_send_sets, "a long, chunk long, member long, shingles binary")
+        wanted = stored(wanted)
+        bits = np.zeros(1 << (BITS - 6), np.uint64)  # at most as many rows come to the driver
+        for r in wanted.select("doc").mapInArrow(_bits, "line long, bit long").groupBy("line").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+            bits[r["line"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+        shared = docs.sparkSession.sparkContext.broadcast(bits)
+        near = texts.mapInArrow(lambda b: _among(shared.value, b), "doc long, text string")
+        sets = near.join(wanted, "doc").mapInArrow(_send_sets, "a long, chunk long, member long, shingles binary")
         dealt = sets.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("member").asc_nulls_first())
         return dealt.mapInArrow(_verify, "a long, b long")
 
