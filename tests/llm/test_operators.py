@@ -347,6 +347,16 @@ def test_decontamination(spark):
     assert decontamination.contaminated(odd(spark).limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_an_item_that_many_documents_share_in_part(spark):
+    rng = random.Random(17)
+    long, short = words_of(rng, 40, 3000).split(), words_of(rng, 15, 3000).split()
+    edit = lambda i: " ".join("changed" if k in (i % 5, 14 - i % 3) else x for k, x in enumerate(short))
+    texts = [(i, " ".join(long)) for i in range(3)] + [(i, " ".join(long[:21])) for i in range(100, 500)] + [(i, edit(i)) for i in range(1000, 1400)]
+    items = spark.createDataFrame([(0, " ".join(long)), (1, " ".join(short))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs_of(spark, texts), items).collect()}
+    assert got == {(i, int(i >= 1000)) for i, _ in texts}
+
+
 def test_alignment():
     item, passage = np.arange(10, 20, dtype=np.uint64) * 4, np.arange(0, 40, dtype=np.uint64) * 4
     gapped = np.delete(passage, 15)

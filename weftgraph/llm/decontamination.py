@@ -1,11 +1,10 @@
-"""Operator 8, benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Operator 8, benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. The hashes of all benchmark n-grams set bits in a bitmap of fixed size, which is broadcast; documents are
    read once, and stretches of text around n-grams that hit the bitmap become passages.
-2. Hits join the benchmark's n-grams by hash, in a join that may shuffle. Each n-gram's document frequency is
-   counted over the whole corpus; an item is sought by its rare n-grams: those in at most ``rare`` documents,
-   and in any case the rarer half of its own, so an item that leaked a thousandfold is still found.
-3. Passages that share a rare n-gram with an item are aligned with it, word by word. The best local score,
+2. Hits join the benchmark's n-grams by hash, in a join that may shuffle. Each n-gram of an item seeks it, however
+   many documents hold it, so a document's verdict doesn't depend on what others hold.
+3. Passages that share an n-gram with an item are aligned with it, word by word. The best local score,
    as a share of the item's own, is its coverage: copies have 1, edited and paraphrased ones less.
 
 Null ids and null or empty texts on either side take no part, as do items of fewer than ``n`` words. Of
@@ -139,7 +138,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64()), pa.array(score), pa.array(coverage)], schema=schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, rare: int = 10, least_coverage: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least_coverage: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, coverage) of all documents that hold an item, or an edited copy of one."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -157,11 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, rare: int =
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
     passages = stored(texts.mapInArrow(lambda b: _passages(shared.value, n, reach, b), "doc long, start long, passage string, grams array<long>"))
     hits = passages.select("doc", "start", F.explode("grams").alias("gram"))
-    frequency = hits.select("gram", "doc").distinct().groupBy("gram").agg(F.count("*").alias("docs"))
-    counted = seeds.join(frequency, "gram")
-    halves = counted.groupBy("item").agg(F.percentile("docs", F.lit(0.5)).alias("half"))
-    rarest = counted.join(halves, "item").where((F.col("docs") <= rare) | (F.col("docs") <= F.col("half"))).select("gram", "item")
-    pairs = hits.join(rarest, "gram").select("doc", "start", "item").distinct()
+    pairs = hits.join(seeds, "gram").select("doc", "start", "item").distinct()
     ready = pairs.join(passages.select("doc", "start", "passage"), ["doc", "start"]).join(items, "item").select("doc", "item", "passage", "item_text")
     scored = ready.mapInArrow(_aligned, "doc long, item long, score long, coverage double")
     best = scored.groupBy("doc", "item").agg(F.max("score").alias("score"), F.max("coverage").alias("coverage"))
