@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,6 +358,40 @@ def test_decontamination_of_an_item_that_many_documents_share_in_part(spark):
     assert got == {(i, int(i >= 1000)) for i, _ in texts}
 
 
+def test_decontamination_finds_whatever_alignment_covers(spark, monkeypatch):
+    rng = random.Random(18)
+    monkeypatch.setattr(decontamination, "BLOCK", 500)
+    monkeypatch.setattr(decontamination, "PIECE", 50)
+    items = [(i, words_of(rng, n, 60)) for i, n in enumerate([1, 2, 3, 4, 5, 9, 14, 20, 37, 60])]
+    spaced = items[8][1].split()
+    texts = [(0, " ".join(x if k % 4 else "changed" for k, x in enumerate(spaced))), (1, " and ".join(spaced)), (2, words_of(rng, 900, 60))]
+    for i in range(10, 60):
+        copy = [x for x in rng.choice(items)[1].split() if rng.random() < 0.9]
+        copy = [y for x in copy for y in rng.choice([[x], [x], [x], [f"w{rng.randrange(60)}"], [x, "more"]])]
+        texts.append((i, words_of(rng, rng.randrange(150), 60) + " " + " ".join(copy) + " " + words_of(rng, rng.randrange(150), 60)))
+    expected = {}
+    for i, t in texts:
+        for j, x in items:
+            h, g = (decontamination.hashes(decontamination.words(y)) for y in (x, t))
+            score = int(decontamination.align([h], [g])[0])
+            if score >= len(h):
+                expected[i, j] = score
+    assert (0, 8) in expected and (1, 8) in expected
+    rows = decontamination.contaminated(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in rows} == expected
+
+
+def test_decontamination_searches_long_documents_in_pieces(monkeypatch):
+    rng = random.Random(20)
+    monkeypatch.setattr(decontamination, "PIECE", 50)
+    monkeypatch.setattr(decontamination, "CELLS", 100)
+    items = [(i, words_of(rng, 20, 3000)) for i in range(9)]
+    texts = [" ".join(words_of(rng, rng.randrange(60), 3000) + " " + rng.choice(items)[1] for _ in range(20)) for _ in range(5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(texts)], names=["doc", "text"])
+    rows = [r for b in decontamination._found(decontamination.Index(items, 0.5), iter([batch])) for r in b.to_pylist()]
+    assert {(r["doc"], r["item"]) for r in rows if r["coverage"] == 1} == {(i, j) for i, t in enumerate(texts) for j, x in items if x in t}
+
+
 def test_alignment():
     item, passage = np.arange(10, 20, dtype=np.uint64) * 4, np.arange(0, 40, dtype=np.uint64) * 4
     gapped = np.delete(passage, 15)

@@ -1,13 +1,15 @@
-"""Operator 8, benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-1. The hashes of all benchmark n-grams set bits in a bitmap of fixed size, which is broadcast; documents are
-   read once, and stretches of text around n-grams that hit the bitmap become passages.
-2. Hits join the benchmark's n-grams by hash, in a join that may shuffle. Each n-gram of an item seeks it, however
-   many documents hold it, so a document's verdict doesn't depend on what others hold.
-3. Passages that share an n-gram with an item are aligned with it, word by word. The best local score,
-   as a share of the item's own, is its coverage: copies have 1, edited and paraphrased ones less.
-
-Null ids and null or empty texts on either side take no part, as do items of fewer than ``n`` words. Of
+"""Operator 8, benchmark decontamination: seeds of two nearby words, then Smith-Waterman alignment.
+
+1. An item's seeds are its pairs of words that are adjacent or one apart. Hashes of all seeds, and the items' words, are
+   broadcast; a benchmark of over ``BLOCK`` characters goes in several blocks, and documents are read once for each.
+2. An alignment with score S of an item of L words has at least S / 2 - 1 steps from a matched word to the next that
+   skip at most one word on either side: of M matches, S = 2 M - skipped, and any other step skips two or more.
+   So a document that reaches the least coverage c holds c L - 1 or more seeds, within 3 L - 2 c L words. Stretches
+   that do become passages; nothing else can reach c. Items with c L <= 1 have single words as seeds.
+3. Passages are aligned with the item, word by word. The best local score, as a share of the item's own, is its
+   coverage: copies have 1, edited and paraphrased ones less.
+
+All pairs of coverage c or more are found. Null ids, null texts and texts without words take no part on either side. Of
 several passages the best counts, so a repeated document or item id has one row per pair. Other columns are ignored.
 """
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from weftgraph.llm.common import small_batches, stored
+from weftgraph.llm.common import small_batches
 from weftgraph.llm.repeats import join
 
 #: Words: runs of letters and digits, lower-cased; bytes from 0x80 on belong to letters.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Bits of the bitmap, as a power of two: 8 MB.
-BITS = 26
-#: Most words of an item's length that a passage reaches to either side.
-REACH = 600
-#: Pairs aligned at once.
-PAIRS = 64
+#: Characters of the items that are broadcast at once, with a hash and an item number for each seed; one longer item is a block too.
+BLOCK = 1 << 21
+#: Places of the bitmap of a block's seeds, as a power of two; a byte each, 8 MB.
+BITS = 23
+#: Pairs aligned at once, and words of their padded passages.
+PAIRS, CELLS = 64, 200_000
 #: Characters of the texts that are hashed at once.
 TEXTS = 600_000
+#: Words of a long document that are searched at once; the next ones overlap by an alignment's length.
+PIECE = 100_000
 
 
 def words(text: str) -> list[bytes]:
@@ -46,14 +51,9 @@ def hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found))
 
 
-def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n-grams of a sequence of word hashes."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64)
-    out = h[: len(h) - n + 1]
-    for i in range(1, n):
-        out = join(out, h[i : len(h) - n + 1 + i])
-    return out
+def pairs(h: np.ndarray, skip: int) -> np.ndarray:
+    """Hashes of the pairs of words with ``skip`` words between them."""
+    return join(h[: max(0, len(h) - skip - 1)], h[skip + 1 :])
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
@@ -75,89 +75,107 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _seeds(n: int):
-    schema = pa.schema([("gram", pa.int64()), ("item", pa.int64())])
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                g = np.unique(grams(hashes(words(text)), n)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), item))], schema=schema)
-
-    return apply
-
-
-def _passages(bitmap: np.ndarray, n: int, reach: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("passage", pa.string()), ("grams", pa.list_(pa.int64()))])
-    mask = np.uint64((1 << BITS) - 1)
+class Index:
+    """The items of a block: their words, seeds, and what a document must hold of them to reach the least coverage."""
+
+    def __init__(self, items: list[tuple[int, str]], least_coverage: float):
+        found = [(i, hashes(words(t))) for i, t in items]
+        self.ids = np.array([i for i, h in found if len(h)], np.int64)
+        self.words = [h for _, h in found if len(h)]
+        lengths = np.array([len(h) for h in self.words], np.int64)
+        need = np.ceil(least_coverage * lengths - 1 - 1e-9).astype(np.int64)
+        self.need = np.maximum(need, 1)
+        self.span = np.floor((3 - 2 * min(least_coverage, 1)) * lengths + 1e-9).astype(np.int64)
+        self.singles = bool((need < 1).any())
+        seeds = [np.unique(h if n < 1 else np.concatenate([pairs(h, 0), pairs(h, 1)])) for h, n in zip(self.words, need, strict=True)]
+        seed = np.concatenate([np.zeros(0, np.uint64), *seeds])
+        item = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
+        order = np.argsort(seed, kind="stable")
+        self.item = item[order]
+        self.seed, self.first, self.count = np.unique(seed[order], return_index=True, return_counts=True)
+        self.bitmap = np.zeros(1 << BITS, bool)
+        self.bitmap[self.seed & np.uint64((1 << BITS) - 1)] = True
+
+    def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place) for each place of ``g`` that is a seed of the item."""
+        at = np.flatnonzero(self.bitmap[g & np.uint64((1 << BITS) - 1)])
+        k = np.minimum(np.searchsorted(self.seed, g[at]), len(self.seed) - 1)
+        same = self.seed[k] == g[at]
+        at, k = at[same], k[same]
+        n = self.count[k]
+        move = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return self.item[np.repeat(self.first[k], n) + move], np.repeat(at, n)
+
+    def passages(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, begin, end) of all stretches of texts, given one after another, that hold enough seeds of an item."""
+        found = [self.hits(pairs(h, 0)), self.hits(pairs(h, 1))] + ([self.hits(h)] if self.singles else [])
+        key = np.unique(np.concatenate([(item << 40) | place for item, place in found]))
+        item, place = key >> 40, key & ((1 << 40) - 1)
+        other = np.arange(len(key)) + self.need[item] - 1
+        inside = other < len(key)
+        item, place, other = item[inside], place[inside], other[inside]
+        part = np.searchsorted(ends, place, side="right")
+        span = self.span[item]
+        enough = (key[other] - key[inside] < span) & (key[other] < (item << 40 | ends[part]))
+        item, place, part, span, other = (x[enough] for x in (item, place, part, span, other))
+        begin = np.maximum(place - span, np.append(0, ends)[part])
+        end = np.minimum((key[other] & ((1 << 40) - 1)) + span, ends[part])
+        if not len(item):
+            return item, begin, end
+        new = np.append(True, (np.diff(item) != 0) | (np.diff(part) != 0) | (begin[1:] > end[:-1]))
+        first = np.flatnonzero(new)
+        return item[first], begin[first], end[np.append(first[1:] - 1, len(item) - 1)]
+
+
+def _found(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents -> the best score of each with each item that it may hold."""
+    schema = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("score", pa.int64()), ("coverage", pa.float64())])
+    overlap = int(index.span.max(initial=0))
+    step = max(PIECE, overlap)
 
-    def handle(ids: list[int], found: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        flat = [w for f in found for w in f]
-        g = grams(hashes(flat), n)
-        low = g & mask
-        hit = np.flatnonzero(bitmap[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1))
-        ends = np.cumsum([len(f) for f in found])
-        part = np.searchsorted(ends, hit, side="right")
-        inside = hit + n <= ends[part] if len(hit) else np.zeros(0, bool)
-        hit, part = hit[inside], part[inside]
-        if not len(hit):
+    def handle(ids: list[int], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, ends = np.concatenate(found), np.cumsum([len(f) for f in found])
+        item, begin, end = index.passages(h, ends)
+        if not len(item):
             return
-        cut = np.flatnonzero((np.diff(hit) > reach) | (np.diff(part) != 0)) + 1
-        rows = []
-        for h in np.split(hit, cut):
-            i = int(np.searchsorted(ends, h[0], side="right"))
-            begin = int(ends[i]) - len(found[i])
-            a, e = max(begin, int(h[0]) - reach), min(int(ends[i]), int(h[-1]) + n + reach)
-            rows.append((ids[i], a - begin, b" ".join(flat[a:e]).decode(errors="replace"), np.unique(g[h]).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        score = np.zeros(len(item), np.int64)
+        order = np.argsort(end - begin, kind="stable")
+        while len(order):
+            n = int(np.count_nonzero((end - begin)[order[:PAIRS]] * np.arange(1, len(order[:PAIRS]) + 1) <= CELLS))
+            part, order = order[: max(n, 1)], order[max(n, 1) :]
+            score[part] = align([index.words[item[i]] for i in part], [h[begin[i] : end[i]] for i in part])
+        doc = np.array(ids, np.int64)[np.searchsorted(ends, begin, side="right")]
+        coverage = score / (MATCH * np.array([len(index.words[i]) for i in item]))
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((doc, index.ids[item], score, coverage), schema, strict=True)], schema=schema)
 
     ids, found, size = [], [], 0
     for batch in batches:
         for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids.append(doc)
-            found.append(words(text))
-            size += len(text)
-            if size > TEXTS:
-                yield from handle(ids, found)
-                ids, found, size = [], [], 0
+            h = hashes(words(text))
+            for a in range(0, max(1, len(h) - overlap), step):
+                ids.append(doc)
+                found.append(h[a : a + step + overlap])
+                size += 6 * len(found[-1])
+                if size > TEXTS:
+                    yield from handle(ids, found)
+                    ids, found, size = [], [], 0
     if ids:
         yield from handle(ids, found)
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("score", pa.int64()), ("coverage", pa.float64())])
-    for batch in batches:
-        docs, items, passages, texts = (c.to_pylist() for c in batch.columns)
-        a, b = [hashes(words(t)) for t in texts], [hashes(words(p)) for p in passages]
-        order = sorted(range(len(docs)), key=lambda i: len(b[i]))
-        score = np.zeros(len(docs), np.int64)
-        for lo in range(0, len(order), PAIRS):
-            part = order[lo : lo + PAIRS]
-            score[part] = align([a[i] for i in part], [b[i] for i in part])
-        coverage = score / (MATCH * np.array([len(x) for x in a]))
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64()), pa.array(score), pa.array(coverage)], schema=schema)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least_coverage: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, coverage) of all documents that hold an item, or an edited copy of one."""
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item"), F.col("text").alias("item_text"))
-    seeds = stored(items.mapInArrow(_seeds(n), "gram long, item long").distinct())
-    # at most 2^(BITS - 6) rows, whatever the benchmark's size
-    low = F.col("gram").bitwiseAND((1 << BITS) - 1)
-    lines = seeds.select(F.shiftright(low, 6).alias("line"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("bit")).groupBy("line").agg(F.bit_or("bit").alias("bits")).collect()
-    bitmap = np.zeros(1 << (BITS - 6), np.uint64)
-    for r in lines:
-        bitmap[r["line"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
-    longest = items.agg(F.max(F.length("item_text") - F.length(F.regexp_replace("item_text", r"\s+", "")))).first()[0] or 0
-    reach = min(REACH, longest + 8)
-    shared = spark.sparkContext.broadcast(bitmap)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    passages = stored(texts.mapInArrow(lambda b: _passages(shared.value, n, reach, b), "doc long, start long, passage string, grams array<long>"))
-    hits = passages.select("doc", "start", F.explode("grams").alias("gram"))
-    pairs = hits.join(seeds, "gram").select("doc", "start", "item").distinct()
-    ready = pairs.join(passages.select("doc", "start", "passage"), ["doc", "start"]).join(items, "item").select("doc", "item", "passage", "item_text")
-    scored = ready.mapInArrow(_aligned, "doc long, item long, score long, coverage double")
+    blocks = -(-(items.agg(F.sum(F.length("item_text"))).first()[0] or 1) // BLOCK)
+
+    def found(block: int) -> DataFrame:
+        mine = items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == block).collect()
+        shared = spark.sparkContext.broadcast(Index([(r["item"], r["item_text"]) for r in mine], least_coverage))
+        return texts.mapInArrow(lambda b: _found(shared.value, b), "doc long, item long, score long, coverage double")
+
+    scored = reduce(DataFrame.unionAll, map(found, range(blocks)))
     best = scored.groupBy("doc", "item").agg(F.max("score").alias("score"), F.max("coverage").alias("coverage"))
     return best.where(F.col("coverage") >= least_coverage).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "score", "coverage")
