@@ -377,13 +377,16 @@ def _upserted(g: Graph, s: SparkSession, d: str) -> DataFrame:
     path = scratch(s)
     inputs = stream.read_events(s, d).select("user_id", F.col("event_type").alias("name"), F.struct("ts", "event_id").alias("at"))
     stream.stream_upsert_entities(inputs, stream.upsert_by_batch(path, ["user_id"], "at"), f"{path}-checkpoint").awaitTermination()
-    return s.read.parquet(f"{path}/version=0").select("user_id", "name")
+    return stream.newest_version(s, path, f"{path}-checkpoint").select("user_id", "name")
 
 
 def _deduped(g: Graph, s: SparkSession, d: str) -> DataFrame:
     path = scratch(s)
     repeated = stream.read_events(s, d).select("event_id", "user_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
-    stream.stream_dedupe(repeated).writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    # files come in any order of time, so a row is late by up to the whole span of the events
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    span = s.read.parquet(f"{d}/event*.parquet").agg(F.max(at) - F.min(at)).first()[0] or 0
+    stream.stream_dedupe(repeated, late=f"{span + 3600} seconds").writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(path).select("event_id", "user_id")
 
 

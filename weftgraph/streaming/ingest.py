@@ -45,19 +45,28 @@ def stream_upsert_entities(inputs: DataFrame, upsert: Callable[[DataFrame, int],
 
 
 def upsert_by_batch(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """An upsert into numbered versions under ``path``: version n + 1 is version n with batch n; a repeated batch rewrites the same version."""
+    """An upsert into numbered versions under ``path``: version n is version n - 1 with batch n; a repeated batch rewrites the same version.
+
+    Of a key's rows the one with the greatest ``order`` counts, in whichever batch it comes.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("x")).select(*keys, "x.*")
         if batch_id:
-            old = spark.read.parquet(f"{path}/version={batch_id - 1}")
-            last = old.join(last, keys, "left_anti").unionByName(last)
+            batch = spark.read.parquet(f"{path}/version={batch_id - 1}").unionByName(batch)
+        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("x")).select(*keys, "x.*")
         last.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return apply
 
 
+def newest_version(spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
+    """The version under ``path`` of the last batch that the stream with this checkpoint committed."""
+    batch = F.regexp_extract("_metadata.file_path", r"/(\d+)$", 1).cast("long")
+    last = spark.read.text(f"{checkpoint}/commits").agg(F.max(batch)).first()[0]
+    return spark.read.parquet(f"{path}/version={last}")
+
+
 def stream_history_events(events: DataFrame, user_id: int) -> DataFrame:
     """The changes that one user made, as a stream."""
     return events.where(F.col("user_id") == user_id).select(F.col("event_id"), "user_id", F.col("event_type").alias("change"), "ts")
