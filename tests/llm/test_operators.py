@@ -328,6 +328,23 @@ def test_components(spark):
     assert got == {i: 0 for i in range(31)} | {50: 50, 51: 50, 52: 50}
 
 
+def test_what_a_long_document_asks_for_is_sent_in_pieces(monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 2000)
+    monkeypatch.setattr(repeats, "PLACE_BITS", 11, raising=False)
+    sizes, segments = [], repeats.Windows.segments
+    monkeypatch.setattr(repeats.Windows, "segments", lambda self, s, ends: sizes.append(len(s)) or segments(self, s, ends))
+    rng = random.Random(21)
+    text = "".join(rng.choices("abcdefgh", k=30_000))
+    w = repeats.Windows(50, 16, lambda t: np.frombuffer(t.encode(), np.uint8), True)
+    asked = [{"kind": repeats.HOT_ASK, "anchor": 1, "a": a, "e": a + 25} for a in range(0, 29_900, 100)]
+    batch = pa.RecordBatch.from_pylist([{"key": 3, "text": text, "asked": asked}])
+    got = [(r["a"], r["anchor"]) for b in repeats._fetch(w, iter([batch])) for r in b.to_pylist() if r["kind"] == repeats.SEGMENT]
+    one = repeats.Windows(50, 50, w.symbols, True)
+    places = [p for x in asked for p in range(x["a"], x["e"] + 1)]
+    expected = [(p, int(segments(one, w.symbols(text[p : p + 50]), np.array([50]))["anchor"][0])) for p in places]
+    assert sorted(got) == sorted(expected) and max(sizes) <= 2000
+
+
 # 8
 
 

@@ -37,8 +37,8 @@ from weftgraph.llm.common import small_batches, stored
 HOT = 4_000
 #: Symbols of a block.
 BLOCK = 600_000
-#: Symbols that the anchor search handles at once; places are packed into 24 bits.
-PIECE = 1_000_000
+#: Symbols that the anchor search handles at once; places are packed into so many bits.
+PIECE, PLACE_BITS = 1_000_000, 24
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -72,6 +72,8 @@ class Windows:
         s: symbols, at most PIECE; ends: where each text ends. Windows don't cross ends.
         """
         n = len(s)
+        assert n <= 1 << PLACE_BITS, "more symbols than places"
+        bits = np.uint64(PLACE_BITS)
         powers = {1: mix(s.astype(np.uint64))}
         size = 1
         while 2 * size <= 2 * self.window - self.seed:
@@ -91,13 +93,13 @@ class Windows:
         if not inside.any():
             return {k: np.zeros(0, np.int64) for k in ("first", "last", "anchor", "content")}
         places = np.arange(len(seeds), dtype=np.uint64)
-        low = (seeds >> np.uint64(24) << np.uint64(24)) | places
+        low = (seeds >> bits << bits) | places
         width, size = self.window - self.seed + 1, 1
         while 2 * size <= width:
             low = np.minimum(low[:-size], low[size:])
             size *= 2
         low = np.minimum(low[:m], low[width - size : width - size + m])
-        at = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
+        at = (low & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
         windows = np.flatnonzero(inside)
         at = at[windows]
         cut = np.flatnonzero((np.diff(at) != 0) | (np.diff(windows) != 1) | (text_end[windows[1:]] != text_end[windows[:-1]])) + 1
@@ -281,16 +283,19 @@ def _fetch(w: Windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield from _local(w, SEGMENT, found["anchor"], found["content"], doc[part], place, place)
 
     rows: list[tuple] = []
+    size = 0
     for batch in batches:
         for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if text is None:
                 continue
             s = w.symbols(text)
             for x in asked:
-                rows.append((x["kind"], x["anchor"], doc, x["a"], x["e"], s[x["a"] : x["e"] + w.window]))
-            if len(rows) > 4_000:
-                yield from send(rows)
-                rows = []
+                part = s[x["a"] : x["e"] + w.window]
+                if rows and (size + len(part) > PIECE or len(rows) > 4_000):
+                    yield from send(rows)
+                    rows, size = [], 0
+                rows.append((x["kind"], x["anchor"], doc, x["a"], x["e"], part))
+                size += len(part)
     yield from send(rows)
 
 
