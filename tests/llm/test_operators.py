@@ -305,6 +305,24 @@ def test_near_dedup_by_brute_force(spark):
     assert got == brute_components(texts)
 
 
+@pytest.mark.parametrize("held,streamed", [(4096, 16384), (7, 5)])
+def test_near_dedup_tells_a_family_apart(spark, monkeypatch, held, streamed):
+    """Texts that are all near each other, many by less than the threshold: whole buckets are compared, in cells of any size."""
+    monkeypatch.setattr(near_dedup, "HELD", held)
+    monkeypatch.setattr(near_dedup, "STREAMED", streamed)
+    rng = random.Random(22)
+    base = words_of(rng, 100, 5000).split()
+    texts = []
+    for i in range(150):
+        x = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6])):
+            x[rng.randrange(len(x))] = f"edit{rng.randrange(10**6)}"
+        texts.append((i, " ".join(x)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_dedup(docs_of(spark, texts)).collect()}
+    expected = brute_components(texts)
+    assert got == expected and 10 < len({c for _, c in expected.values()}) < 140
+
+
 def test_near_dedup_of_odd_rows(spark):
     rows = near_dedup.near_dedup(odd(spark)).collect()
     got = {(r.doc_id, r.component_id, r.kept) for r in rows}

@@ -11,10 +11,13 @@ components of all links.
    registers a pair of similarity 0.75 is missed with a probability below 3e-7.
 3. In each bucket, members are paired with the bucket's smallest member only. A pair whose joint likelihood
    estimate of the similarity is far below the threshold is dropped; the others are verified on full sets.
-4. Verified links give components. Buckets that then still hold several components are searched again:
-   every pair across components is compared by the low bits of 512 registers, and those that may be linked are estimated and
-   verified. So links between components are sought everywhere, and pairs within one, of which a group of copies has very many,
-   are never made. Of links right at the threshold, the three sketch tests together miss about one in 100,000.
+4. Verified links give components. Buckets that then still hold several components are searched again: members
+   that lie in different components are compared by the low bits of 512 registers, at once verified on their full sets, and
+   joined by a union-find, so that a bucket gives fewer links than it has members and no pair is ever a row. A large
+   bucket is dealt out in cells, each of which holds a bounded block of members against another one.
+
+What may be lost: a link of similarity 0.75 exactly meets in no band with a probability of 3e-7, and fails the test on 512
+registers, which lies more than seven standard deviations lower, with one of about 1e-13; both fall fast with the similarity.
 
 Texts that are null or hold no word have an empty set, linked with nothing; rows with a null id stay alone and
 have no component. Rows that repeat an id are taken for one document with the union of their links. Ties don't
@@ -44,12 +47,16 @@ REGISTERS = 512
 BASE, RATE = 1.001, 20.0
 #: Estimates from the banded registers below this are more than four standard deviations under the threshold.
 LEAST_ESTIMATE = 0.60
-#: The same for estimates from the low four bits of all registers.
-LEAST_SHARP = 0.66
+#: The same, by more than seven, for the share of 512 registers that agree.
+LEAST_SHARP = 0.60
 #: Bits, as a power of two, of the bitmap of documents whose sets are wanted: 8 MB, whatever their number.
 BITS = 26
-#: Members that one copy of a pair's first set is compared with.
-CHUNK = 256
+#: Members that one copy of a pair's first set is compared with, and chunks that go as one row.
+CHUNK, CHUNKS = 256, 4096
+#: Members that a cell holds, bytes of their sets, and members that stream past them.
+HELD, HELD_BYTES, STREAMED = 4096, 16 << 20, 16_384
+#: Candidates verified at once; the first that are linked spare the others of their component.
+TRIED = 32
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -133,6 +140,7 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 _SKETCH = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("regs", pa.binary()), ("signature", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _BAND = pa.schema([("band", pa.int64()), ("doc", pa.int64())])
+_MEMBER = pa.schema([("band", pa.int64()), ("i", pa.int32()), ("k", pa.int32()), ("within", pa.bool_()), ("streams", pa.bool_()), ("component", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,76 +170,100 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(_BAND, band.ravel().view(np.int64), np.repeat(batch.column(0).to_numpy(), BANDS))
 
 
-def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, doc) in order -> (band, doc, first) of bands with several members."""
-    schema = pa.schema([*_BAND, ("first", pa.int64())])
-    held: tuple[int, int, bool] | None = None  # the last band, its first member, whether that one was sent
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        band, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.append(True, band[1:] != band[:-1])
-        goes_on = held is not None and band[0] == held[0]
-        at = np.flatnonzero(new)
-        size = np.diff(np.append(at, len(band)))
-        first = np.repeat(doc[at], size)
-        sent = np.repeat(size > 1, size)
-        if goes_on:
-            first[: size[0]], sent[: size[0]] = held[1], True
-            if not held[2]:
-                yield _batch(schema, [held[0]], [held[1]], [held[1]])
-        # a lone last member may get company in the next batch: it is held back
-        yield _batch(schema, band[sent], doc[sent], first[sent])
-        held = (int(band[-1]), int(first[-1]), bool(sent[-1]))
-
-
-def _pairs_across(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of x and y, (component, doc, n, signatures) each, that may be linked across components; same: y is x."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    step = max(1, (1 << 20) // max(1, len(y[0])))
-    for lo in range(0, len(x[0]), step):
-        c, d, n, g = (v[lo : lo + step] for v in x)
-        apart = (c[:, None] != y[0][None]) & (100 * np.minimum(n[:, None], y[2][None]) >= THRESHOLD * np.maximum(n[:, None], y[2][None]))
-        if same:
-            apart &= d[:, None] < y[1][None]
-        i, j = np.nonzero(apart)
-        for k in range(0, len(i), 1 << 14):
-            a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-            differ = g[a] ^ y[3][b]
-            equal = (differ < 16).sum(axis=1) + ((differ & 15) == 0).sum(axis=1)  # unequal registers agree in one of 16 cases
-            near = equal >= (LEAST_SHARP + (1 - LEAST_SHARP) / 16) * REGISTERS
-            found.append((d[a[near]], y[1][b[near]]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = (np.concatenate(v) for v in zip(*found, strict=True))
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, component, doc, large, n, signature) in order -> pairs across components that may be linked, one side outside the largest component.
-
-    One band's members outside its largest component are held; the others stream past them. Pairs are compared here, by
-    their signatures, so those that merely share a band are never rows.
+class _Cell:
+    """Members of a bucket, in blocks: those held, and a union-find over their components and those that stream past."""
+
+    def __init__(self):
+        self.rows: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # component, n, signature, set
+        self.parent: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def top(self, component: int) -> int:
+        while (up := self.parent.get(component, component)) != component:
+            component = up
+        return component
+
+    def freeze(self, within: bool) -> None:
+        """No more members are held; those that are, are compared with each other."""
+        self.n = np.array([r[1] for r in self.rows], np.int64)
+        self.signature = np.stack([r[2] for r in self.rows]) if self.rows else np.zeros((0, REGISTERS // 16), np.uint64)
+        self.tops = np.array([r[0] for r in self.rows], np.int64)
+        if within:
+            for i, r in enumerate(self.rows):
+                self.meet(r, i)
+
+    def meet(self, row: tuple[int, int, np.ndarray, np.ndarray], upto: int) -> None:
+        """Compares a member with the first ``upto`` held ones of other components, and joins its component with those that are near."""
+        component, n, signature, shingles_ = row
+        mine = self.top(component)
+        m = self.n[:upto]
+        j = np.flatnonzero((self.tops[:upto] != mine) & (100 * np.minimum(m, n) >= THRESHOLD * np.maximum(m, n)))
+        if not len(j):
+            return
+        x = self.signature[j] ^ signature
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        equal = REGISTERS - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+        near = equal >= (LEAST_SHARP + (1 - LEAST_SHARP) / 16) * REGISTERS  # unequal registers agree in one of 16 cases
+        j = j[near][np.argsort(-equal[near], kind="stable")]
+        while len(j):
+            some, j = j[:TRIED], j[TRIED:]
+            sets = [self.rows[k][3] for k in some.tolist()]
+            whole = np.concatenate(sets)
+            at = np.minimum(np.searchsorted(shingles_, whole), len(shingles_) - 1)
+            both = np.add.reduceat(shingles_[at] == whole, np.append(0, np.cumsum([len(s) for s in sets])[:-1]), dtype=np.int64)
+            for k in some[100 * both >= THRESHOLD * (n + self.n[some] - both)].tolist():
+                other = int(self.tops[k])
+                if other != mine:
+                    self.links.append((component, self.rows[k][0]))
+                    self.parent[other] = mine
+                    self.tops[self.tops == other] = mine
+            j = j[self.tops[j] != mine]
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, i, k, within, streams, component, signature, shingles), in order -> pairs of components that a link joins.
+
+    A cell's held members come before those that stream past them.
     """
-    held: list[tuple[np.ndarray, ...]] = []
-    now = None
+    cell, now, frozen, within = _Cell(), None, False, False
+    for batch in batches:
+        for band, i, k, inside, streams, component, signature, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (band, i, k) != now:
+                if not frozen:
+                    cell.freeze(within)
+                if cell.links:
+                    yield _batch(_PAIR, *zip(*cell.links, strict=True))
+                cell, now, frozen, within = _Cell(), (band, i, k), False, inside
+            row = (component, len(data) // 8, np.frombuffer(signature, np.uint64), np.frombuffer(data, np.uint64))
+            if not streams:
+                cell.rows.append(row)
+                continue
+            if not frozen:
+                cell.freeze(within)
+                frozen = True
+            cell.meet(row, len(cell.rows))
+    if not frozen:
+        cell.freeze(within)
+    if cell.links:
+        yield _batch(_PAIR, *zip(*cell.links, strict=True))
+
+
+def _send_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with the cells that they are in -> one row per cell."""
     for batch in batches:
-        band, component, doc, n = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
-        large = np.array(batch.column(3).to_pylist(), bool)
-        signature = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, REGISTERS // 2)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        edges = np.append(np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (large[1:] != large[:-1]))), len(band)) if len(band) else np.zeros(1, int)
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if band[lo] != now:
-                now, held = band[lo], []
-            part = (component[lo:hi], doc[lo:hi], n[lo:hi], signature[lo:hi])
-            out += [_pairs_across(h, part, False) for h in held]
-            if not large[lo]:
-                if hi - lo > 1:
-                    out.append(_pairs_across(part, part, True))
-                held.append(part)
+        out: list[tuple] = []
+        size = 0
+        for text, component, signature, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            s = shingles(text).tobytes()
+            for x in cells:
+                out.append((x["band"], x["i"], x["k"], x["within"], x["streams"], component, signature, s))
+                size += len(s) + len(signature)
+                if size > 4 << 20:
+                    yield _batch(_MEMBER, *zip(*out, strict=True))
+                    out, size = [], 0
         if out:
-            yield _batch(_PAIR, *(np.concatenate(v) for v in zip(*out, strict=True)))
+            yield _batch(_MEMBER, *zip(*out, strict=True))
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,15 +352,43 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("doc"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("doc"), F.col("v").alias("component"))).distinct()
 
 
+def _cells(marked: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc, cells) of all members of buckets with several components.
+
+    Members outside a bucket's largest component are held, in A blocks; those of the largest stream, in S slices. Cell (i, k) with
+    k < A compares block i with block k, cell (i, A + s) compares block i with slice s; with one block, its members meet there too.
+    """
+    parts = marked.join(sizes, "doc").groupBy("band", "component").agg(F.count("*").alias("size"), F.sum("n").alias("elements"))
+    of_band = parts.groupBy("band").agg(F.count("*").alias("c"), F.sum("size").alias("size"), F.sum("elements").alias("elements"), F.max(F.struct("size", "component", "elements")).alias("top")).where("c > 1")
+    blocks = F.greatest(F.ceil((F.col("size") - F.col("top.size")) / HELD), F.ceil((F.col("elements") - F.col("top.elements")) * 8 / HELD_BYTES)).cast("int")
+    plan = of_band.select("band", F.col("top.component").alias("largest"), blocks.alias("A"), F.ceil(F.col("top.size") / STREAMED).cast("int").alias("S"))
+    member = marked.join(plan, "band").withColumn("streams", F.col("component") == F.col("largest"))
+    mine = F.pmod(F.xxhash64("doc", "band"), F.when(F.col("streams"), F.col("S")).otherwise(F.col("A"))).cast("int")
+
+    def cell(i, k, within):
+        return F.struct(F.col("band"), i.cast("int").alias("i"), k.cast("int").alias("k"), within.alias("within"), F.col("streams"))
+
+    counted = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    slices = F.transform(counted("S"), lambda s: cell(F.col("mine"), F.col("A") + s, (F.col("A") == 1) & (s == 0)))
+    # a member meets the other blocks' members in the cell of the two blocks, in which one of them streams
+    others = F.transform(counted("A"), lambda b: F.struct(F.col("band"), F.least("mine", b).alias("i"), F.greatest("mine", b).alias("k"), (F.col("mine") == b).alias("within"), (b < F.col("mine")).alias("streams")))
+    held = F.when(F.col("A") == 1, slices).otherwise(F.concat(slices, others))
+    streamed = F.transform(counted("A"), lambda b: cell(b, F.col("A") + F.col("mine"), (F.col("A") == 1) & (F.col("mine") == 0)))
+    listed = member.withColumn("mine", mine).select("doc", F.explode(F.when(F.col("streams"), streamed).otherwise(held)).alias("cell"))
+    return listed.groupBy("doc").agg(F.collect_list("cell").alias("cells"))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     sketches = stored(texts.mapInArrow(_sketch, "doc long, n long, k1 long, k2 long, regs binary, signature binary"))
     full = sketches.where("doc is not null and n > 0")
     classes = stored(full.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc", "regs", "signature")).alias("x")).select("x.*", "n", "k1", "k2"))
     bands = classes.select("doc", "regs").mapInArrow(_bands, "band long, doc long")
-    crowded = stored(bands.repartition("band").sortWithinPartitions("band", "doc").mapInArrow(_crowded, "band long, doc long, first long"))
+    firsts = bands.groupBy("band").agg(F.min("doc").alias("first"), F.count("*").alias("size")).where("size > 1").select("band", "first")
+    crowded = stored(bands.join(firsts, "band").select("band", "doc", "first"))
 
     def likely(pairs: DataFrame) -> DataFrame:
         a = classes.select(F.col("doc").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
@@ -336,34 +396,37 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
         return sized.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_likely, "a long, b long")
 
+    def among(wanted: DataFrame) -> DataFrame:
+        """The documents whose texts are wanted, and by chance a few others."""
+        bits = np.zeros(1 << (BITS - 6), np.uint64)  # at most as many rows come to the driver
+        for r in wanted.select("doc").mapInArrow(_bits, "line long, bit long").groupBy("line").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+            bits[r["line"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+        shared = spark.sparkContext.broadcast(bits)
+        return texts.mapInArrow(lambda b: _among(shared.value, b), "doc long, text string")
+
     def verified(pairs: DataFrame) -> DataFrame:
         sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
         members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), F.col("b").alias("doc"), F.lit(True).alias("member"))
         firsts = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("doc"), F.lit(False).alias("member"))
-        wanted = members.unionByName(firsts).groupBy("doc").agg(F.collect_list(F.struct("a", "chunk", "member")).alias("wanted"))
-        wanted = stored(wanted)
-        bits = np.zeros(1 << (BITS - 6), np.uint64)  # at most as many rows come to the driver
-        for r in wanted.select("doc").mapInArrow(_bits, "line long, bit long").groupBy("line").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-            bits[r["line"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
-        shared = docs.sparkSession.sparkContext.broadcast(bits)
-        near = texts.mapInArrow(lambda b: _among(shared.value, b), "doc long, text string")
-        sets = near.join(wanted, "doc").mapInArrow(_send_sets, "a long, chunk long, member long, shingles binary")
+        wanted = stored(members.unionByName(firsts).groupBy("doc", F.floor(F.col("chunk") / CHUNKS).alias("part")).agg(F.collect_list(F.struct("a", "chunk", "member")).alias("wanted")))
+        sets = among(wanted).join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_send_sets, "a long, chunk long, member long, shingles binary")
         dealt = sets.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("member").asc_nulls_first())
         return dealt.mapInArrow(_verify, "a long, b long")
 
-    starred = stored(likely(crowded.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()))
-    links = stored(verified(starred))
-    components = cut(connected_components(links))
+    starred = likely(crowded.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct())
+    components = cut(connected_components(stored(verified(stored(starred)))))
     # buckets that still hold several components
     marked = crowded.select("band", "doc").join(components, "doc", "left").select("band", "doc", F.coalesce("component", "doc").alias("component"))
-    sizes = marked.groupBy("band", "component").agg(F.count("*").alias("size"))
-    split = sizes.groupBy("band").agg(F.count("*").alias("n"), F.max(F.struct("size", "component")).alias("top")).where("n > 1").select("band", F.col("top.component").alias("largest"))
-    rest = marked.join(split, "band").join(classes.select("doc", "n", "signature"), "doc").select("band", "component", "doc", (F.col("component") == F.col("largest")).alias("large"), "n", "signature")
-    across = rest.repartition("band").sortWithinPartitions("band", "large", "component", "doc").mapInArrow(_across, "a long, b long").distinct()
-    more = stored(likely(across.join(starred, ["a", "b"], "left_anti")))
+    cells = stored(_cells(marked, classes.select("doc", "n")))
+    joined = cells.join(classes.select("doc", "signature"), "doc").join(components, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    members = among(cells).join(joined, "doc").select("text", "component", "signature", "cells")
+    sent = members.mapInArrow(_send_members, "band long, i int, k int, within boolean, streams boolean, component long, signature binary, shingles binary")
+    dealt = sent.repartition("band", "i", "k").sortWithinPartitions("band", "i", "k", "streams")
+    more = stored(dealt.mapInArrow(_settle, "a long, b long").distinct())
     if not more.isEmpty():
-        links = links.unionByName(stored(verified(more)))
-        components = cut(connected_components(links))
+        above = connected_components(more).select(F.col("doc").alias("component"), F.col("component").alias("above"))
+        components = cut(components.unionByName(more.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(components, "doc", "left_anti").select("doc", F.col("doc").alias("component"))))
+        components = cut(components.join(above, "component", "left").select("doc", F.coalesce("above", "component").alias("component")))
     of_class = classes.join(components, "doc", "left").select("k1", "k2", "n", F.coalesce("component", "doc").alias("c"))
     joined = sketches.select("doc", "n", "k1", "k2").join(of_class, ["k1", "k2", "n"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("c", "doc")).otherwise(F.col("doc"))
