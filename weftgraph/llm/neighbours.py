@@ -1,41 +1,51 @@
 """Operator 4, approximate nearest neighbours by a forest of random-projection trees.
 
-The trees are fitted on the driver, on a bounded sample; every row is then routed to one leaf of each
-tree. A query walks all trees through one shared priority queue, nearest cell first, until the leaves
-it has taken hold ``share`` of the rows. Rows and query visits meet by leaf in one shuffle; a task keeps
-each query's best candidates while it streams through its leaves, so only those are shuffled again, and
-are then ranked by exact inner products in double precision. For inner products, the trees see vectors
-with one more component that gives them all the same norm.
-
-Vectors that are null, empty, zero, hold null or non-finite components, or have another length than the
-longest in the sample take no part. Rows that repeat an id and its vector count once. Of equal vectors, the index
-holds one with the k + 1 smallest ids, which is all that a result can show, so a vector that fills the
-table doesn't fill a leaf. Ties go to the smaller id. Fewer candidates than k give as many rows.
+1. The trees are fitted on the driver, on a bounded sample of the vectors. For inner products, they see vectors with
+   one more component that gives them all the same norm. On the sample, by brute force, it is measured how many leaves a
+   query must visit for the wanted recall: few for clustered vectors, most for those without any structure.
+2. A query walks all trees through one shared priority queue, nearest cell first, until it has visited that many leaves.
+   Queries that fall into neighbouring leaves of the first tree are put together in blocks of bounded size.
+3. Every row is routed to its leaf of each tree, and goes once to each block that visits one of them. A block with
+   many rows is dealt out in slices of them; a cell, one slice of one block, streams its rows past the block's queries
+   and gives k + 1 rows a query, exactly scored. So what is shuffled depends on what is visited, not on the tasks.
+4. The best of a query's slices are its neighbours. All candidates of a block are ranked for each of its queries.
+
+Vectors that are null, empty, zero, or hold null or non-finite components take no part; nor do those of another length than
+most have (of lengths that are as frequent, the largest), since no inner product with them is defined. Rows that repeat an id
+and its vector count once; of several vectors of one id, the smallest is the query, and the best counts as a candidate. Of
+equal vectors, the index holds one with the k + 1 smallest ids, which is all that a result can show, so a vector that fills the
+table doesn't fill a leaf. Ties go to the smaller id. Fewer candidates than k give as many rows; empty tables, or
+ones without usable vectors, give none. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import hash_share, small_batches
+from weftgraph.llm.common import hash_share, small_batches, stored
+from weftgraph.llm.repeats import mix
+
+#: Rows that are scored, or routed, at once.
+ROWS = 2_048
 
 
 class Forest:
-    """Trees as arrays: node n has children 2n and 2n + 1; leaves are the nodes of the last level."""
+    """Trees as arrays: node n has children 2n and 2n + 1; leaves are the nodes of the last level, numbered from 0."""
 
     def __init__(self, sample: np.ndarray, n_rows: int, trees: int, leaf_rows: int, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.top = float(np.square(sample).sum(axis=1).max(initial=0))
+        self.top = float(np.square(sample, dtype=float).sum(axis=1).max(initial=0))
         points = self.lift(sample)
         most = max(0, int(np.log2(max(1, len(sample) / 4))))
         self.depth = min(most, max(0, round(np.log2(max(1, n_rows / leaf_rows)))))
-        self.trees, self.leaf_share = trees, 0.5**self.depth
+        self.trees, self.leaves_a_tree = trees, 1 << self.depth
         width = points.shape[1] if len(points) else 1
         self.normals = np.zeros((trees, 1 << self.depth, width), np.float32)
         self.offsets = np.zeros((trees, 1 << self.depth), np.float32)
@@ -50,8 +60,8 @@ class Forest:
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         """Adds the component that gives rows the norm of the longest; rows longer than that get 0."""
-        rest = np.sqrt(np.maximum(0, self.top - np.square(x).sum(axis=1)))
-        return np.concatenate([x, rest[:, None]], axis=1)
+        rest = np.sqrt(np.maximum(0, self.top - np.square(x, dtype=float).sum(axis=1)))
+        return np.concatenate([x, rest[:, None]], axis=1).astype(np.float32)
 
     @staticmethod
     def _split(points: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
@@ -71,34 +81,61 @@ class Forest:
         return normal, float(np.median(points @ normal))
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
-        """[row, tree]: the leaf of each row in each tree."""
-        points = self.lift(x).astype(np.float32)
+        """[row, tree]: the leaf of each row in each tree; trees are numbered through."""
+        points = self.lift(x)
         at = np.ones((len(x), self.trees), np.int64)
         for t in range(self.trees):
             for _ in range(self.depth):
                 n = at[:, t]
-                at[:, t] = 2 * n + ((points * self.normals[t, n]).sum(axis=1) > self.offsets[t, n])
-        return at
+                at[:, t] = 2 * n + (np.einsum("ij,ij->i", points, self.normals[t, n]) > self.offsets[t, n])
+        return at - self.leaves_a_tree + np.arange(self.trees) * self.leaves_a_tree
 
-    def visits(self, q: np.ndarray, share: float) -> list[tuple[int, int]]:
-        """(tree, leaf) pairs of one query, by the shared queue, nearest first."""
+    def margins(self, q: np.ndarray) -> np.ndarray:
+        """[tree, node]: how far a query lies beyond each cut."""
         # among points of equal norm, the nearest to a query is the nearest to it at that norm
         norm = np.linalg.norm(q)
         point = np.append(q * (np.sqrt(self.top) / norm if norm > 0 else 0), 0).astype(np.float32)
-        margins = (self.normals @ point - self.offsets).tolist()
+        return self.normals @ point - self.offsets
+
+    def visits(self, q: np.ndarray, wanted: int) -> list[int]:
+        """The first ``wanted`` leaves of a query by the shared queue, nearest first."""
+        margins = self.margins(q).tolist()
         queue = [(0.0, t, 1) for t in range(self.trees)]
-        out: list[tuple[int, int]] = []
-        last = 1 << self.depth
-        wanted = max(self.trees, int(np.ceil(share / self.leaf_share)))
+        out: list[int] = []
+        last = self.leaves_a_tree
         while queue and len(out) < wanted:
             far, t, n = heapq.heappop(queue)
             while n < last:
                 m = margins[t][n]
                 heapq.heappush(queue, (max(far, m), t, 2 * n) if m > 0 else (max(far, -m), t, 2 * n + 1))
                 n = 2 * n + (m > 0)
-            out.append((t, n))
+            out.append(n - last + t * last)
         return out
 
+    def turns(self, q: np.ndarray) -> np.ndarray:
+        """The turn at which each leaf comes up in the queue, for all leaves at once: by the widest margin on its way."""
+        margins, far = self.margins(q), np.zeros((self.trees, 1), np.float32)
+        for level in range(self.depth):
+            m = margins[:, 1 << level : 2 << level]
+            far = np.stack([np.maximum(far, m), np.maximum(far, -m)], axis=2).reshape(self.trees, -1)
+        out = np.empty(far.size, np.int64)
+        out[np.argsort(far.ravel(), kind="stable")] = np.arange(far.size)
+        return out
+
+    def needed(self, sample: np.ndarray, k: int, recall: float, tried: int = 100) -> int:
+        """Leaves that a query must visit to find the share ``recall`` of its k nearest, by brute force on the sample."""
+        asked = sample[:: max(1, len(sample) // tried)][:tried]
+        if len(sample) < 2:
+            return self.trees
+        at, found = self.leaves(sample), []
+        for i, q in enumerate(asked):
+            s = sample.astype(float) @ q.astype(float)
+            s[i * max(1, len(sample) // tried)] = -np.inf
+            best = np.argpartition(-s, min(k, len(s) - 1) - 1)[: min(k, len(s) - 1)]
+            found.append(self.turns(q)[at[best]].min(axis=1))
+        turns = np.sort(np.concatenate(found))
+        return max(self.trees, int(turns[min(len(turns) - 1, int(np.ceil(recall * len(turns))))]) + 1)
+
 
 def usable(vector: str) -> Column:
     v = F.col(vector)
@@ -106,22 +143,81 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & fine & F.exists(v, lambda x: x != 0)
 
 
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    return np.stack([np.asarray(x, float) for x in column]) if len(column) else np.zeros((0, width))
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+class _Cell:
+    """The queries of one block, and the best k + 1 of the rows that have streamed past them."""
+
+    def __init__(self, k: int):
+        self.k, self.ids, self.vectors, self.q = k, [], [], None
+        self.best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Rows -> their exact scores with the queries that they may be near."""
+        if self.q is None:
+            self.q = np.concatenate(self.vectors).astype(float) if self.vectors else np.zeros((0, x.shape[1]))
+            self.ids = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int64)
+            self.floor = np.full(len(self.q), -np.inf)
+        x = x.astype(float)
+        scores = self.q @ x.T
+        low = self.floor
+        if len(x) > self.k + 1:
+            low = np.maximum(low, np.partition(scores, -self.k - 1, axis=1)[:, -self.k - 1])
+        finite = np.isfinite(low)
+        low = np.where(finite, low - 1e-9 * (1 + np.abs(np.where(finite, low, 0))), -np.inf)  # the last bits may differ from the exact score
+        a, c = np.nonzero(scores >= low[:, None])
+        exact = np.concatenate([np.zeros(0), *(np.cumsum(self.q[a[i : i + 50_000]] * x[c[i : i + 50_000]], axis=1)[:, -1] for i in range(0, len(a), 50_000))])
+        self.best.append((a, ids[c], exact))
+        self.n += len(a)
+        if self.n > 40 * (self.k + 1) * max(1, len(self.q)):
+            self.tidy()
+
+    def tidy(self) -> None:
+        a, ids, s = (np.concatenate(x) for x in zip(*self.best, strict=True))
+        order = np.lexsort((ids, -s, a))
+        a, ids, s = a[order], ids[order], s[order]
+        first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
+        rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+        self.floor[a[rank == self.k]] = s[rank == self.k]
+        keep = rank <= self.k
+        self.best, self.n = [(a[keep], ids[keep], s[keep])], 0
 
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        if not self.best:
+            return None
+        self.tidy()
+        a, ids, s = self.best[0]
+        return self.ids[a], ids, s
 
-def _best(q: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best distinct ids of each query."""
-    order = np.lexsort((ids, q))
-    q, ids, s = q[order], ids[order], s[order]
-    keep = np.ones(len(q), bool)
-    keep[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
-    q, ids, s = q[keep], ids[keep], s[keep]
-    order = np.lexsort((ids, -s, q))
-    q, ids, s = q[order], ids[order], s[order]
-    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, int)
-    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-    return q[rank < k], ids[rank < k], s[rank < k]
+
+def _scan(k: int, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, slice, query, id, v) in order, a cell's queries first -> (query_id, rep, score)."""
+    names = ["query_id", "rep", "score"]
+    cell, now = _Cell(k), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block, part = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+        query = batch.column(2).to_numpy(zero_copy_only=False)
+        ids, x = batch.column(3).to_numpy(), _matrix(batch.column(4), width)
+        where = block << 32 | part
+        edges = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (query[1:] != query[:-1])))
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(where)], strict=True):
+            if where[lo] != now:
+                if (made := cell.result()) is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(y) for y in made], names)
+                cell, now = _Cell(k), where[lo]
+            if query[lo]:
+                cell.ids.append(ids[lo:hi])
+                cell.vectors.append(x[lo:hi])
+            else:
+                for i in range(lo, hi, ROWS):
+                    cell.add(ids[i : min(hi, i + ROWS)], x[i : min(hi, i + ROWS)])
+    if (made := cell.result()) is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(y) for y in made], names)
 
 
 def nearest(
@@ -132,114 +228,114 @@ def nearest(
     k: int = 20,
     trees: int = 16,
     leaf_rows: int = 80,
-    share: float = 0.55,
+    recall: float = 0.95,
     sample_rows: int = 50_000,
+    sample_values: int = 1 << 22,
+    block: int = 512,
+    slice_rows: int = 32_768,
+    wave: int = 1_024,
 ) -> DataFrame:
     """query_id, rank, ``vec_id`` and score of each query's k nearest rows by inner product.
 
-    queries: a condition that says which rows are queries. The forest is fitted on about ``sample_rows``
-    rows, taken by a hash of the vector; it has at most sample_rows / 4 leaves a tree, which bounds
-    what is broadcast. share: of the rows, repeats over trees included, that a query's leaves hold.
+    queries: a condition that says which rows are queries. The forest is fitted on about ``sample_rows`` rows, taken by a
+    hash of the vector, or fewer of wide vectors, so that they have ``sample_values`` components; it has at most a fourth as
+    many leaves a tree, which bounds what is broadcast. recall: what a query's own leaves must hold of its nearest
+    rows, on the sample; their share of all leaves is kept for the whole table. block: queries of a block. slice_rows: rows
+    of a cell. wave: blocks that rows are routed to at once; their visited leaves are broadcast as bits.
     """
     spark = rows.sparkSession
     small_batches(spark)
-    picked = rows.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("is_query"))
+    # single precision goes through the shuffle as such; any other type as double
+    kind = "float" if rows.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    picked = rows.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"), queries.alias("is_query"))
+    common = picked.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
+    if common is None:
+        return spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
+    width, n_rows = common["width"], common["count"]
+    picked = picked.where(F.size("v") == width)
     of_vector = Window.partitionBy("v")
     distinct = picked.select("id", "v").distinct().withColumn("n", F.row_number().over(of_vector.orderBy("id"))).where(F.col("n") <= k + 1)
-    index = distinct.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0])
-    n_rows = picked.count()
-    chosen = picked.where(hash_share(F.col("v"), F.lit(-(-sample_rows * (1 << 20) // max(1, n_rows))))).select("v").limit(2 * sample_rows).toPandas()["v"]
-    width = max((len(v) for v in chosen), default=0)
-    sample = np.unique(_matrix(pd.Series([v for v in chosen if len(v) == width], dtype=object), width), axis=0)
+    index = stored(distinct.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "v", "ids"))
+
+    most = max(2, min(sample_rows, sample_values // width))
+    chosen = picked.where(hash_share(F.col("v"), F.lit(-(-most * (1 << 20) // n_rows)))).select("v").limit(2 * most).toArrow()["v"].combine_chunks()
+    sample = np.unique(_matrix(chosen, width).astype(np.float32), axis=0)
+    np.random.default_rng(3).shuffle(sample)
     forest = Forest(sample, n_rows, trees, leaf_rows)
+    needed = forest.needed(sample, k, recall)
     shared = spark.sparkContext.broadcast(forest)
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b[b["v"].map(len) == width]
-            at = shared.value.leaves(_matrix(b["v"], width)) if len(b) else np.zeros((0, trees), int)
-            n = len(b)
-            yield pd.DataFrame({"tree": np.tile(np.arange(trees), n), "leaf": at.ravel(), "query": np.zeros(n * trees, bool), "id": np.repeat(b["rep"].to_numpy(), trees), "v": b["v"].repeat(trees).to_numpy()})
+            if b.num_rows:
+                yield b.append_column("leaf", pa.array(shared.value.leaves(_matrix(b.column(1), width))[:, 0].astype(np.int32)))
+
+    one = picked.where("is_query").groupBy("id").agg(F.min("v").alias("v"))
+    asked = stored(one.mapInArrow(first_leaf, f"id long, v array<{kind}>, leaf int"))
+    # leaves in order are put together to blocks; a leaf with more queries than a block is split. At most as many rows as leaves.
+    plan, blocks, filled = [], 0, 0
+    for r in asked.groupBy("leaf").count().orderBy("leaf").collect():
+        if r["count"] > block or filled + r["count"] > block:
+            blocks, filled = blocks + (filled > 0), 0
+        parts = -(-r["count"] // block)
+        plan.append((r["leaf"], blocks, parts))
+        blocks, filled = (blocks + parts, 0) if parts > 1 else (blocks, filled + r["count"])
+    blocks += filled > 0
+    if not plan:
+        return spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
+    of_leaf = F.broadcast(spark.createDataFrame(plan, "leaf int, base int, parts int"))
+    blocked = asked.join(of_leaf, "leaf").select((F.col("base") + F.pmod(F.xxhash64("id"), "parts")).cast("int").alias("block"), "id", "v")
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries in order of their block -> the leaves that the block visits, as bits."""
+        seen, now = np.zeros(trees * shared.value.leaves_a_tree, bool), None
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(seen).tobytes()])], ["block", "leaves"])
         for b in batches:
-            for i, v in zip(b["id"], b["v"], strict=True):
-                if len(v) != width:
-                    continue
-                found = shared.value.visits(np.asarray(v, float), share)
-                yield pd.DataFrame({"tree": [t for t, _ in found], "leaf": [n for _, n in found], "query": True, "id": i, "v": [v] * len(found)})
+            for at, q in zip(b.column(0).to_pylist(), _matrix(b.column(2), width).astype(float), strict=True):
+                if at != now:
+                    if now is not None:
+                        yield made()
+                    now, seen = at, np.zeros_like(seen)
+                seen[shared.value.visits(q, needed)] = True
+        if now is not None:
+            yield made()
 
-    # single precision goes through the shuffle as such; any other type as double
-    kind = "float" if rows.schema[vector].dataType.simpleString() == "array<float>" else "double"
-    schema = f"tree int, leaf long, query boolean, id long, v array<{kind}>"
-    asked = picked.where("is_query").select("id", "v").dropDuplicates(["id", "v"])
-    met = index.select("rep", "v").mapInPandas(route, schema).unionByName(asked.mapInPandas(walk, schema))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Leaves come one after another, each with its rows first; keeps the best k + 1 of each query."""
-        slots: dict[int, int] = {}
-        floor = np.full(1024, -1e300)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        n_held, now = 0, None
-        rows_of: list[pd.DataFrame] = []
-
-        def tidy() -> None:
-            nonlocal held, n_held
-            q, ids, s = _best(*(np.concatenate(x) for x in zip(*held, strict=True)), k + 1)
-            last = np.flatnonzero(np.append(q[1:] != q[:-1], True))
-            full = np.bincount(q, minlength=len(floor)) > k
-            floor[q[last]] = np.where(full[q[last]], s[last], -1e300)
-            held, n_held = [(q, ids, s)], 0
-
-        def leaf(parts: list[pd.DataFrame]) -> None:
-            nonlocal floor, n_held
-            b = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-            is_query = b["query"].to_numpy(bool)
-            if is_query.all() or not is_query.any():
-                return
-            x = _matrix(b["v"], width)
-            ids, asks = b["id"].to_numpy(), b["id"].to_numpy()[is_query]
-            q = np.array([slots.setdefault(i, len(slots)) for i in asks.tolist()])
-            while len(slots) > len(floor):
-                floor = np.concatenate([floor, np.full(len(floor), -1e300)])
-            scores = x[is_query] @ x[~is_query].T
-            a, c = np.nonzero(scores >= (floor[q] - 1e-9 * (1 + np.abs(floor[q])))[:, None])  # the last bits may differ from the exact score
-            held.append((q[a], ids[~is_query][c], scores[a, c]))
-            n_held += len(a)
-            if n_held > 400_000:
-                tidy()
+    visited = stored(blocked.repartition("block").sortWithinPartitions("block").mapInArrow(walk, "block int, leaves binary"))
+    tried = forest.leaves(sample[:5_000])
 
-        for b in batches:
-            where = b["tree"].to_numpy(np.int64) << 40 | b["leaf"].to_numpy()
-            ends = np.append(np.flatnonzero(where[1:] != where[:-1]) + 1, len(where))
-            start = 0
-            for e in ends.tolist():
-                if e == start:
-                    continue
-                if where[start] != now and rows_of:
-                    leaf(rows_of)
-                    rows_of = []
-                now = where[start]
-                rows_of.append(b.iloc[start:e])
-                start = e
-        if rows_of:
-            leaf(rows_of)
-        if held:
-            tidy()
-            names = np.array(list(slots))
-            q, ids, s = held[0]
-            yield pd.DataFrame({"query_id": names[q], "rep": ids, "near": s})
-
-    found = met.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "query").mapInPandas(scan, "query_id long, rep long, near double")
-    # each task gave its best; the best of all, with those that only rounding tells apart, are ranked exactly
-    nearest_first = Window.partitionBy("query_id").orderBy(F.desc(F.round("near", 12)))
-    distinct_found = found.groupBy("query_id", "rep").agg(F.max("near").alias("near")).withColumn("r", F.rank().over(nearest_first)).where(F.col("r") <= k + 1).select("query_id", "rep")
-    scored = (
-        distinct_found.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
-        .join(index, "rep")
-        .withColumn("score", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
-        .select("query_id", "score", F.explode("ids").alias("id"))
-        .where("id <> query_id")
-    )
+    def cells(low: int) -> DataFrame:
+        """Rows and queries of the cells of the blocks low, low + 1, ..."""
+        high = min(blocks, low + wave)
+        bits = np.zeros((trees * forest.leaves_a_tree, -(-(high - low) // 8)), np.uint8)  # of each leaf, the blocks that visit it
+        for r in visited.where(F.col("block").between(low, high - 1)).toLocalIterator():
+            at = r["block"] - low
+            bits[np.unpackbits(np.frombuffer(r["leaves"], np.uint8), count=len(bits)).astype(bool), at >> 3] |= 128 >> (at & 7)
+        share = np.mean([np.unpackbits(np.bitwise_or.reduce(bits[a], axis=0), count=high - low) for a in tried], axis=0)
+        slices = np.maximum(1, np.ceil(share * n_rows / slice_rows)).astype(np.int64)
+        held = spark.sparkContext.broadcast((bits, slices))
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits, slices = held.value
+            for whole in batches:
+                for i in range(0, whole.num_rows, ROWS):
+                    b = whole.slice(i, ROWS)
+                    goes = np.bitwise_or.reduce(bits[shared.value.leaves(_matrix(b.column(1), width))], axis=1)
+                    row, at = np.nonzero(np.unpackbits(goes, axis=1, count=high - low))
+                    part = mix(b.column(0).to_numpy().view(np.uint64))[row] % slices[at].astype(np.uint64)
+                    for lo in range(0, len(row), ROWS):
+                        some = slice(lo, lo + ROWS)
+                        taken = b.take(pa.array(row[some]))
+                        first = [pa.array((at[some] + low).astype(np.int32)), pa.array(part[some].astype(np.int32)), pa.array(np.zeros(taken.num_rows, bool))]
+                        yield pa.RecordBatch.from_arrays([*first, *taken.columns], ["block", "slice", "query", "id", "v"])
+
+        schema = f"block int, slice int, query boolean, id long, v array<{kind}>"
+        of_block = F.broadcast(spark.createDataFrame([(low + i, n) for i, n in enumerate(slices.tolist())], "block int, slices int"))
+        there = blocked.join(of_block, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("query"), "id", "v")
+        return index.select(F.col("rep").alias("id"), "v").mapInArrow(route, schema).unionByName(there)
+
+    met = reduce(DataFrame.unionByName, map(cells, range(0, blocks, wave)))
+    dealt = met.repartition("block", "slice").sortWithinPartitions("block", "slice", F.desc("query"))
+    found = dealt.mapInArrow(lambda b: _scan(k, width, b), "query_id long, rep long, score double")
+    scored = found.join(index.select("rep", "ids"), "rep").select("query_id", "score", F.explode("ids").alias("id")).where("id <> query_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+    return scored.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
