@@ -9,7 +9,8 @@ reversibly, and gives the spans of the loss mask: the texts of the assistant.
 Conversations are streamed turn by turn in sorted partitions, so a conversation of any length needs
 the memory of one turn. Turns are ordered by turn (null first), then role and text. A null text or
 role counts as empty; a null conversation id is a conversation of its own. A layout without a mapping
-gives no turns and is reported as such. Repeated rows are turns of their own; other columns are ignored.
+gives no turns and is reported as such. Roles of message rows stay as they are. Repeated rows are turns of their own; ties in
+turn go by role and text; empty tables give no rows; other columns are ignored. A text of any length is one turn, held whole.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,13 +35,13 @@ CONTROL = (OPEN, BODY, CLOSE, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<<
 _CONTROL = re.compile("|".join(map(re.escape, (ESCAPE, *CONTROL))))
 _ESCAPED = re.compile(re.escape(ESCAPE) + f"({re.escape(ESCAPE)}|" + "|".join(re.escape(c[0] + ESCAPE + c[1:]) for c in CONTROL) + ")")
 
-#: Mappings by layout: for each kind of record its field paths and its rules. A rule takes the role from a
-#: constant or a path, and joins the texts at its paths; paths through lists ([]) give a turn for each item.
+#: Mappings by layout: for each kind of record its field paths and its rules. A rule takes the role from a constant, from a
+#: path (@) or, by its name in ROLES, from a path (~), and joins the texts at its paths; paths through lists ([]) give a turn for each item.
 LAYOUTS: dict[tuple[str, ...], list[tuple[str, tuple[str, ...]]]] = {
     ("role", "text"): [("@role", ("text",))],
     ("role", "content"): [("@role", ("content",))],
     ("messages[].content", "messages[].role"): [("@messages[].role", ("messages[].content",))],
-    ("conversations[].from", "conversations[].value"): [("@conversations[].from", ("conversations[].value",))],
+    ("conversations[].from", "conversations[].value"): [("~conversations[].from", ("conversations[].value",))],
     ("prompt", "response"): [("user", ("prompt",)), ("assistant", ("response",))],
     ("completion", "prompt"): [("user", ("prompt",)), ("assistant", ("completion",))],
     ("answer", "question"): [("user", ("question",)), ("assistant", ("answer",))],
@@ -47,7 +49,7 @@ LAYOUTS: dict[tuple[str, ...], list[tuple[str, tuple[str, ...]]]] = {
     ("input", "instruction", "output"): [("user", ("instruction", "input")), ("assistant", ("output",))],
     ("prompt", "response", "system"): [("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))],
 }
-#: Other names of roles.
+#: Other names of roles, in layouts that use them.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -65,6 +67,13 @@ def fingerprint(field_paths) -> str:
 
 
 MAPPINGS = {fingerprint(layout): rules for layout, rules in LAYOUTS.items()}
+NAMED = frozenset(p for layout in LAYOUTS for p in layout)
+
+
+@lru_cache(4096)
+def mapping(field_paths: frozenset[str]) -> list[tuple[str, tuple[str, ...]]] | None:
+    """The rules that the fingerprint of these paths selects. Fields that no layout names (ids, dates) don't count."""
+    return MAPPINGS.get(fingerprint(field_paths & NAMED))
 
 
 def _values(record, path: str) -> list:
@@ -76,20 +85,16 @@ def _values(record, path: str) -> list:
 
 
 def turns(record: dict) -> list[tuple[str, str]] | None:
-    """Canonical (role, text) turns of a record, or None if no mapping has its fingerprint.
-
-    Fields that no layout names (ids, dates) don't count, so a record may carry more fields.
-    """
-    named = {p for layout in LAYOUTS for p in layout}
-    rules = MAPPINGS.get(fingerprint(paths(record) & named))
+    """Canonical (role, text) turns of a record, or None if no mapping has its fingerprint."""
+    rules = mapping(frozenset(paths(record)))
     if rules is None:
         return None
     out = []
     for role, places in rules:
         columns = [_values(record, p) for p in places]
-        roles = _values(record, role[1:]) if role.startswith("@") else [role] * len(columns[0])
+        roles = _values(record, role[1:]) if role[0] in "@~" else [role] * len(columns[0])
         for r, *texts in zip(roles, *columns, strict=False):
-            out.append((ROLES.get(r, r or ""), "\n".join(str(t) for t in texts if t not in (None, ""))))
+            out.append((ROLES.get(r, r or "") if role[0] == "~" else r or "", "\n".join(str(t) for t in texts if t not in (None, ""))))
     return out
 
 
