@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,10 +26,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a temporary one."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode, and an error otherwise."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftgraph-"))
     return context.getCheckpointDir()
 
 
@@ -72,33 +76,58 @@ def slices(lengths: list[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int,
         yield start, len(lengths)
 
 
-class WordTable(dict):
-    """word -> row of a growing float matrix; a missing word is computed once by ``vector``.
+class Memo(dict):
+    """A dict that computes missing values by ``make``, and is emptied when what it holds exceeds ``limit`` bytes.
 
-    ``trim`` empties it when it holds more than ``limit`` words, so a worker's memory is bounded
-    whatever the vocabulary; the results don't depend on it.
+    It may be emptied at any lookup, so a worker's memory is bounded within one long text too; results don't depend on it.
+    Sizes are those of keys and values themselves, with 120 bytes for an entry of the table.
     """
 
-    def __init__(self, vector: Callable[[str], tuple[float, ...]], width: int, limit: int = 400_000):
+    def __init__(self, make: Callable, limit: int = 32 << 20):
         super().__init__()
+        self.make, self.limit, self.used = make, limit, 0
+
+    def __missing__(self, key):
+        value = self.make(key)
+        self.used += 120 + getsizeof(key) + getsizeof(value)
+        if self.used > self.limit:
+            self.clear()
+            self.used = 0
+        self[key] = value
+        return value
+
+
+class WordTable:
+    """Rows of floats for words, each computed once by ``vector``; emptied between parts of a text beyond ``limit`` bytes."""
+
+    #: Words that are looked up at once.
+    PART = 50_000
+
+    def __init__(self, vector: Callable[[str], tuple[float, ...]], width: int, limit: int = 48 << 20):
         self.vector, self.width, self.limit = vector, width, limit
-        self.rows = np.zeros((1024, width))
+        self.clear()
 
-    def __missing__(self, word: str) -> int:
-        n = len(self)
+    def clear(self) -> None:
+        self.row, self.rows, self.used = Memo(self._new, 1 << 62), np.zeros((1024, self.width)), 0
+
+    def _new(self, word: str) -> int:
+        n = len(self.row)
         if n == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[n] = self.vector(word)
-        self[word] = n
+        self.used += 8 * self.width
         return n
 
-    def of(self, words: list[str]) -> np.ndarray:
-        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.rows[rows]
+    def parts(self, words: list[str]) -> Iterator[np.ndarray]:
+        """The rows of the words, part by part."""
+        for a in range(0, len(words), self.PART):
+            if self.row.used + self.used > self.limit:
+                self.clear()
+            some = words[a : a + self.PART]
+            yield self.rows[np.fromiter(map(self.row.__getitem__, some), np.int64, len(some))]
 
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            self.clear()
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.concatenate([np.zeros((0, self.width)), *self.parts(words)])
 
 
 _MADE: dict = {}
@@ -107,26 +136,9 @@ _MADE: dict = {}
 def per_worker(key, make: Callable):
     """What ``make`` gives, made once in this Python worker for ``key`` and kept for its later tasks.
 
-    Only the last few are kept, so a worker that serves many jobs doesn't grow.
+    Only the last one is kept, so a worker that serves many jobs doesn't grow.
     """
     if key not in _MADE:
-        while len(_MADE) >= 3:
-            _MADE.pop(next(iter(_MADE)))
+        _MADE.clear()
         _MADE[key] = make()
     return _MADE[key]
-
-
-class Memo(dict):
-    """A dict that computes missing values by ``make`` and is emptied by ``trim`` beyond ``limit`` entries."""
-
-    def __init__(self, make: Callable, limit: int = 400_000):
-        super().__init__()
-        self.make, self.limit = make, limit
-
-    def __missing__(self, key):
-        value = self[key] = self.make(key)
-        return value
-
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            self.clear()

@@ -7,35 +7,52 @@ one. A text's scores are summed over all of its words and turned into probabilit
 
 Texts that are null or hold no letter are ``und`` with score 0. Empty tables give empty results, a
 model fitted on no labelled row calls every text ``und``; ties between languages go to the first
-language in alphabetical order. Repeated rows each get their own result; other columns are left alone.
+language in alphabetical order. A text of any length is scored whole, in parts of bounded memory. Repeated rows each
+get their own result; other columns are left alone.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import WordTable, hash_share, per_worker, small_batches
+from weftgraph.llm.common import WordTable, hash_share, per_worker, small_batches, stored
 
 UNDETERMINED = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
+class Logs:
+    """key -> row of one matrix: as a dict of arrays, but in a tenth of the memory."""
+
+    def __init__(self, keys: list[str], rows: np.ndarray):
+        self.place, self.rows = dict(zip(keys, range(len(keys)), strict=True)), rows
+
+    def __contains__(self, key: str) -> bool:
+        return key in self.place
+
+    def __getitem__(self, key: str) -> np.ndarray:
+        return self.rows[self.place[key]]
+
+    def get(self, key: str) -> np.ndarray | None:
+        at = self.place.get(key)
+        return None if at is None else self.rows[at]
+
+
 @dataclass
 class LanguageModel:
     langs: list[str] = field(default_factory=list)
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: list[dict[str, np.ndarray]] = field(default_factory=list)
+    words: Logs | dict[str, np.ndarray] = field(default_factory=dict)
+    grams: list[Logs | dict[str, np.ndarray]] = field(default_factory=list)
 
     def vector(self, word: str) -> np.ndarray:
         """Centred log frequencies of one word: by the word, else by its longest known n-grams, else zeros."""
@@ -53,12 +70,20 @@ class LanguageModel:
         return np.zeros(len(self.langs))
 
 
-def _log_frequencies(counts: dict[str, np.ndarray], totals: np.ndarray, smooth: float = 0.5) -> dict[str, np.ndarray]:
-    keys = list(counts)
-    c = np.array([counts[k] for k in keys])
-    logs = np.log(c + smooth) - np.log(totals + smooth * max(1, len(keys)))
+def _log_frequencies(keys: list[str], counts: np.ndarray, totals: np.ndarray, kept: np.ndarray, smooth: float = 0.5) -> Logs:
+    logs = np.log(counts + smooth) - np.log(totals + smooth * max(1, len(keys)))
     logs -= logs.mean(axis=1, keepdims=True)
-    return dict(zip(keys, logs, strict=True))
+    return Logs([k for k, good in zip(keys, kept.tolist(), strict=True) if good], logs[kept].astype(np.float32))
+
+
+def units(words: DataFrame, order: int) -> DataFrame:
+    """Words (l, w, n) -> (size, unit, l, n): the words themselves, as size 0, and their character n-grams of 1 to ``order``."""
+    padded = F.concat(F.lit("<"), F.col("w"), F.lit(">"))
+    grams = [F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i, n=n: F.struct(F.lit(n).alias("size"), F.substr(padded, i, F.lit(n)).alias("unit"))) for n in range(1, order + 1)]
+    # a sequence would run down if a word were shorter than the n-gram
+    grams = [F.when(F.length(padded) >= n, g).otherwise(F.array().cast("array<struct<size:int,unit:string>>")) for n, g in enumerate(grams, 1)]
+    whole = F.array(F.struct(F.lit(0).alias("size"), F.col("w").alias("unit")))
+    return words.select("l", "n", F.inline(F.concat(whole, *grams))).groupBy("size", "unit", "l").agg(F.sum("n").alias("n"))
 
 
 def fit(
@@ -67,40 +92,48 @@ def fit(
     lang: str = "lang",
     key: str = "doc_id",
     docs_per_lang: int = 1000,
-    max_langs: int = 500,
+    max_langs: int = 200,
     max_words: int = 60_000,
     max_grams: int = 40_000,
     order: int = 5,
 ) -> LanguageModel:
-    """Learn from about ``docs_per_lang`` labelled rows of each language, taken by a hash of ``key``.
+    """Learn from about ``docs_per_lang`` labelled rows of each language, taken by a hash of ``key``; Spark counts their words and n-grams.
 
-    All bounds are parameters: the driver gets at most ``max_langs`` counts and ``max_words`` words,
-    each order keeps its ``max_grams`` most frequent n-grams. Rows with a null text or lang are left out.
+    Each language has an equal share of the model's ``max_words`` words and, of each order, ``max_grams`` n-grams, its most
+    frequent ones, which is also what the driver gets. Every language of the labels is learned; more than ``max_langs`` are an
+    error, since the model has a column for each. Rows with a null text or lang are left out.
     """
     labelled = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).where("l is not null")
-    sizes = labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()
+    sizes = labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs + 1).collect()
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than max_langs = {max_langs} languages")
     if not sizes:
         return LanguageModel()
     langs = sorted(r["l"] for r in sizes)
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["l"]), F.lit(min(1 << 20, -(-docs_per_lang * (1 << 20) // r["count"]))))])
     sample = labelled.where(hash_share(F.col("k"), F.coalesce(share[F.col("l")], F.lit(0)))).where("t is not null")
-    words = sample.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"([\p{L}]+)"))).alias("w"))
-    per_lang = [F.sum((F.col("l") == x).cast("int")).alias(f"n{i}") for i, x in enumerate(langs)]
-    top = words.groupBy("w").agg(*per_lang, F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(max_words).collect()
-    if not top:
+    words = sample.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"([\p{L}]+)"))).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n"))
+    counted = stored(units(words, order))
+    totals = {r["size"]: np.array([r[f"n{i}"] for i in range(len(langs))], float) for r in _by_lang(counted.groupBy("size"), langs).collect()}
+    if not totals:
         return LanguageModel(langs)
-    counts = {r["w"]: np.array([r[f"n{i}"] for i in range(len(langs))], float) for r in top}
-    totals = sum(counts.values())
-    grams = []
-    for n in range(1, order + 1):
-        seen: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
-        for w, c in counts.items():
-            padded = f"<{w}>"
-            for i in range(len(padded) - n + 1):
-                seen[padded[i : i + n]] += c
-        kept = dict(sorted(seen.items(), key=lambda x: (-x[1].sum(), x[0]))[:max_grams])
-        grams.append(_log_frequencies(kept, sum(seen.values())))
-    return LanguageModel(langs, _log_frequencies({w: c for w, c in counts.items() if c.sum() > 1}, totals), grams)
+    quota = F.when(F.col("size") == 0, -(-max_words // len(langs))).otherwise(-(-max_grams // len(langs)))
+    frequent = Window.partitionBy("size", "l").orderBy(F.desc("n"), "unit")
+    chosen = counted.withColumn("r", F.row_number().over(frequent)).where(F.col("r") <= quota).select("size", "unit").distinct()
+    found = _by_lang(counted.join(chosen, ["size", "unit"]).groupBy("size", "unit"), langs).toArrow().sort_by([("size", "ascending"), ("unit", "ascending")])
+    size, counts = found["size"].to_numpy(), np.stack([found[f"n{i}"].to_numpy() for i in range(len(langs))], axis=1).astype(float)
+    tables = []
+    for n in range(order + 1):
+        mine = np.flatnonzero(size == n)
+        c = counts[mine]
+        kept = c.sum(axis=1) > (1 if n == 0 else 0)  # a word that was met once goes by its n-grams
+        tables.append(_log_frequencies(found["unit"].take(mine).to_pylist(), c, totals.get(n, np.zeros(len(langs))), kept))
+    return LanguageModel(langs, tables[0], tables[1:])
+
+
+def _by_lang(grouped, langs: list[str]) -> DataFrame:
+    """Counts n0, n1, ... of each language."""
+    return grouped.agg(*[F.sum(F.when(F.col("l") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)])
 
 
 def predictor(docs: DataFrame, model: LanguageModel):
@@ -120,11 +153,10 @@ def predictor(docs: DataFrame, model: LanguageModel):
                     names.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                z = table.of(words).sum(axis=0)
+                z = sum(x.sum(axis=0) for x in table.parts(words))
                 best = int(z.argmax())
                 names.append(model.langs[best])
                 scores.append(float(1 / np.exp(z - z[best]).sum()))
-                table.trim()
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     return predict

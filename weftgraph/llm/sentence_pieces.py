@@ -104,9 +104,9 @@ class Encoder:
             self.automaton.add_word(t, t)
         self.automaton.make_automaton()
         self.prefixes = Memo(self._prefixes)
-        self.fits = Memo(self._fits, 1_000_000)
-        self.words = Memo(self._word, 250_000)
-        self.parts = Memo(self._part, 600_000)
+        self.fits = Memo(self._fits)
+        self.words = Memo(self._word)
+        self.parts = Memo(self._part)
         table = {str(i): t.replace(SPACE, " ") if k == NORMAL else "" for i, (t, _, k) in enumerate(self.pieces)}
         table |= {str(i): chr(b) if b < 0x80 else chr(0xDC00 + b) for b, i in self.bytes.items()}
         table |= {str(i): " ⁇ " for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN}
@@ -155,7 +155,7 @@ class Encoder:
             start = stop - len(piece) + 1
             if len(piece) > len(longest[start]):
                 longest[start] = piece
-        failed = 0  # bit i: no way leads on from place i
+        failed = bytearray(len(text) + 8 >> 3)  # bit i: no way leads on from place i
         path: list[tuple[int, int]] = []  # place, and number of the choice among the prefixes of the longest match
         at, choice = 0, 0
         while at < len(text):
@@ -163,11 +163,12 @@ class Encoder:
             options = self.prefixes[longest[at]]
             while choice < len(options):
                 piece = options[choice]
-                if not failed >> (at + len(piece)) & 1 and self.fits[last, piece]:
+                to = at + len(piece)
+                if not failed[to >> 3] >> (to & 7) & 1 and self.fits[last, piece]:
                     break
                 choice += 1
             else:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 if not path:
                     raise ValueError("the model's merges don't reach all of its pieces")
                 at, choice = path.pop()
@@ -200,13 +201,7 @@ class Encoder:
         """Ids of a text and the end id, as text with one space between."""
         if not text:
             return str(self.end)
-        words = self.words
-        found = list(map(words.__getitem__, self.split(text)))
-        for memo in (words, self.parts):
-            memo.trim()
-        self.fits.trim()
-        self.prefixes.trim()
-        return " ".join(found) + f" {self.end}"
+        return " ".join(map(self.words.__getitem__, self.split(text))) + f" {self.end}"
 
     def split(self, text: str) -> list[str]:
         """Words of a text, each with the spaces before it: no piece holds a space after another character."""

@@ -148,8 +148,8 @@ class MergeTransducer:
     the only one whose neighbouring tokens are compatible, that is: merging the two anew gives them back.
     """
 
-    def __init__(self, tokens: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]]):
-        self.tokens, self.merges = tokens, merges
+    def __init__(self, tokens: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]], most: int = 200_000):
+        self.tokens, self.merges, self.most = tokens, merges, most  # most: transitions kept
         self.text = {i: t for t, i in tokens.items()}
         self.children: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
@@ -162,7 +162,7 @@ class MergeTransducer:
                     self.ends.append(-1)
                 node = self.children[node][b]
             self.ends[node] = i
-        self.compatible = Memo(self._compatible, 1_000_000)
+        self.compatible = Memo(self._compatible)
         self.clear()
 
     def clear(self) -> None:
@@ -197,19 +197,28 @@ class MergeTransducer:
                 ending = (self.ends[to], offset + 1)
         token, change = ending
         after = tuple(sorted((n, t, o - change) for n, t, o in moved) + [(0, token, 0)])
-        if after not in self.states:
-            self.states[after] = len(self.items)
-            self.items.append(after)
-        self.table[state << 8 | byte] = out = (self.states[after], change)
+        self.table[state << 8 | byte] = out = (self.number(after), change)
         return out
 
+    def number(self, items: tuple) -> int:
+        """The state with these items."""
+        if items not in self.states:
+            self.states[items] = len(self.items)
+            self.items.append(items)
+        return self.states[items]
+
     def count(self, word: bytes) -> int:
-        if len(self.table) > 1_000_000:
-            self.clear()
         state = total = 0
         get = self.table.get
         for b in word:
-            state, change = get(state << 8 | b) or self.compile(state, b)
+            step = get(state << 8 | b)
+            if step is None:
+                if len(self.table) >= self.most:  # forgets all but the present state
+                    items = self.items[state]
+                    self.clear()
+                    get, state = self.table.get, self.number(items)
+                step = self.compile(state, b)
+            state, change = step
             total += change
         return total
 
@@ -246,7 +255,6 @@ class TokenCounter:
         lengths = [len(p) for p in parts]
         for a, b in slices(lengths):
             np.add.at(out, np.array(owner[a:b]), self._count(parts[a:b], lengths[a:b]))
-            self.words.trim()
         return out
 
     def _count(self, texts: list[str], lengths: list[int]) -> np.ndarray:
@@ -264,7 +272,6 @@ class TokenCounter:
             text = np.searchsorted(begin, at, side="right") - 1
             counts[at == begin[text]] = 0  # what stands for the begin
             totals += np.bincount(text, counts, len(texts)).astype(np.int64)
-            words.trim()
         return totals
 
 

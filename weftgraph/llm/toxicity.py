@@ -195,7 +195,6 @@ def scorer(docs: DataFrame, model: ToxicityModel):
                     continue
                 z = model.slope * best_logit(table.of(words)[:, 0], model.bias) + model.offset
                 out.append(float(1 / (1 + np.exp(-np.clip(z, -50, 50)))))
-                table.trim()
             yield pd.Series(out, dtype=float)
 
     return score
