@@ -124,7 +124,8 @@ class WordTable:
             if self.row.used + self.used > self.limit:
                 self.clear()
             some = words[a : a + self.PART]
-            yield self.rows[np.fromiter(map(self.row.__getitem__, some), np.int64, len(some))]
+            at = np.fromiter(map(self.row.__getitem__, some), np.int64, len(some))  # before the rows are read: they may move
+            yield self.rows[at]
 
     def of(self, words: list[str]) -> np.ndarray:
         return np.concatenate([np.zeros((0, self.width)), *self.parts(words)])
