@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import WordTable, hash_share, per_worker, small_batches, stored
+from weftgraph.llm.common import WordTable, hash_share, per_worker, small_batches, stored, trimmed
 
 UNDETERMINED = "und"
 WORDS = re.compile(r"[^\W\d_]+")
@@ -79,7 +79,11 @@ def _log_frequencies(keys: list[str], counts: np.ndarray, totals: np.ndarray, ke
 def units(words: DataFrame, order: int) -> DataFrame:
     """Words (l, w, n) -> (size, unit, l, n): the words themselves, as size 0, and their character n-grams of 1 to ``order``."""
     padded = F.concat(F.lit("<"), F.col("w"), F.lit(">"))
-    grams = [F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i, n=n: F.struct(F.lit(n).alias("size"), F.substr(padded, i, F.lit(n)).alias("unit"))) for n in range(1, order + 1)]
+
+    def of_size(n: int):
+        return lambda i: F.struct(F.lit(n).alias("size"), F.substr(padded, i, F.lit(n)).alias("unit"))
+
+    grams = [F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), of_size(n)) for n in range(1, order + 1)]
     # a sequence would run down if a word were shorter than the n-gram
     grams = [F.when(F.length(padded) >= n, g).otherwise(F.array().cast("array<struct<size:int,unit:string>>")) for n, g in enumerate(grams, 1)]
     whole = F.array(F.struct(F.lit(0).alias("size"), F.col("w").alias("unit")))
@@ -143,6 +147,7 @@ def predictor(docs: DataFrame, model: LanguageModel):
     name = uuid.uuid4().hex
 
     @F.pandas_udf(RESULT)
+    @trimmed
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model, table = per_worker(name, lambda: (m := shared.value, WordTable(m.vector, max(1, len(m.langs)))))
         for texts in batches:
