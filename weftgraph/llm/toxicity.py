@@ -1,14 +1,13 @@
 """Operator 3, toxicity: bags of subword embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the mean of the embeddings of its character n-grams (hashed into buckets) and of itself; a
-segment of consecutive words is the mean of its words; a softmax layer gives its logit. Embeddings and
-softmax are trained together, by Adam, on a bounded sample of labelled texts. Since only few words of
-a toxic text may be toxic, a text is scored by its most toxic segment: training alternates between
-choosing that segment of each toxic text and fitting. A last logistic fit turns the best segment's
-logit into a probability.
-
-Null and empty texts and texts without letters get the model's prior. Without labelled rows of both
-labels every score is 0. Repeated rows each get their own score; other columns are left alone.
+A word is the mean of the embeddings of its character n-grams (hashed into buckets) and of itself, a text the mean of all
+of its words; a softmax layer gives its logit. Embeddings and softmax start at random and are trained together, by Adam
+with weight decay, on a bounded sample of labelled texts. A fifth of them is put aside first: on it the number of epochs is
+chosen, and the logistic curve that turns a logit into a probability is fitted; then all are trained on for as long.
+
+Null and empty texts and texts without letters get the share of label 1 among the labels. Without labelled rows of both
+labels every score is 0. A text of any length is scored whole, in parts of bounded memory. Equal texts have equal scores; repeated
+rows each get their own; empty tables give no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from zlib import crc32
 
 import numpy as np
@@ -25,18 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import WordTable, hash_share, per_worker, small_batches
+from weftgraph.llm.common import WordTable, hash_share, per_worker, small_batches, trimmed
 
 WORDS = re.compile(r"[^\W\d_]+")
-#: Words of a segment, half of which overlap with the next.
-SEGMENT = 24
 ORDERS = (3, 4, 5, 6)
+#: Of the averages, which are small: a few words of a text tell.
+SCALE = 50.0
 
 
 @dataclass
 class ToxicityModel:
     buckets: int = 1 << 20
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(1))  # of each bucket: embedding times softmax
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))  # of each bucket: embedding times softmax
     bias: float = 0.0
     slope: float = 1.0
     offset: float = 0.0
@@ -55,115 +54,140 @@ def subwords(word: str, buckets: int) -> list[int]:
     return out
 
 
-def segments(n: int) -> list[tuple[int, int]]:
-    """Word ranges of the overlapping segments of a text with n words."""
-    step = SEGMENT // 2
-    return [(i, min(n, i + SEGMENT)) for i in range(0, max(1, n - step), step)] if n else []
-
-
-def best_logit(values: np.ndarray, bias: float) -> float:
-    """The largest segment mean, given each word's value."""
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    bounds = np.array(segments(len(values)))
-    return float(((total[bounds[:, 1]] - total[bounds[:, 0]]) / (bounds[:, 1] - bounds[:, 0])).max() + bias)
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 class _Trainer:
-    """Full-batch training over segments given as ranges into one long list of word numbers."""
+    """Full-batch training over bags of words: each text a list of word numbers with their shares."""
 
-    def __init__(self, texts: list[list[str]], y: np.ndarray, buckets: int, dim: int, min_texts: int, decay: float, seed: int):
-        self.decay = decay
-        self.rng = np.random.default_rng(seed)
+    def __init__(self, texts: list[list[str]], y: np.ndarray, parts_of: dict[str, np.ndarray], buckets: int, dim: int, min_texts: int, decay: float, rate: float, seed: int):
+        self.y, self.decay, self.rate = y, decay, rate
         vocabulary: dict[str, int] = {}
-        self.texts = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], np.int64) for t in texts]
-        parts = [np.array(subwords(w, buckets)) for w in vocabulary]
-        by_label = np.zeros((2, buckets), np.int32)
-        for t, label in zip(self.texts, y, strict=True):
-            by_label[label, np.unique(np.concatenate([parts[w] for w in np.unique(t)]))] += 1
-        self.flat = np.flatnonzero(by_label.sum(axis=0) >= min_texts)  # rarer ones would only be learned by heart
-        place = np.full(buckets, len(self.flat))  # the last row stays zero: unknown
-        place[self.flat] = np.arange(len(self.flat))
+        text, word, share = [], [], []
+        for i, t in enumerate(texts):
+            ids, n = np.unique([vocabulary.setdefault(w, len(vocabulary)) for w in t], return_counts=True)
+            text.append(np.full(len(ids), i))
+            word.append(ids)
+            share.append(n / len(t))
+        self.text, self.word, self.share = (np.concatenate(x) for x in (text, word, share))
+        parts = [parts_of[w] for w in vocabulary]
         self.n_parts = np.array([len(p) for p in parts])
-        self.local = place[np.concatenate(parts)]
-        self.starts = np.concatenate([[0], np.cumsum(self.n_parts)[:-1]])
-        self.owner = np.repeat(np.arange(len(parts)), self.n_parts)
-        self.E = self.rng.normal(0, 0.01, (len(self.flat) + 1, dim))
-        self.W, self.b = self.rng.normal(0, 0.3, (dim, 2)), np.zeros(2)
-        odds = [np.log(seen[self.flat] + 1.0) - np.log((y == k).sum() + 2.0) for k, seen in enumerate(by_label)]
-        self.E[:-1, 0] = odds[1] - odds[0]  # start: how much oftener toxic texts hold a subword
-        self.W[0] = (-0.5, 0.5)
-        self.E[-1] = 0
+        seen = np.zeros(buckets, np.int32)
+        for ids in word:
+            seen[np.unique(np.concatenate([parts[w] for w in ids]))] += 1
+        self.flat = np.flatnonzero(seen >= min_texts)  # rarer ones would only be learned by heart
+        place = np.full(buckets, -1)
+        place[self.flat] = np.arange(len(self.flat))
+        local, owner = place[np.concatenate(parts)], np.repeat(np.arange(len(parts)), self.n_parts)
+        self.local, self.owner = local[local >= 0].astype(np.int32), owner[local >= 0].astype(np.int32)
+        rng = np.random.default_rng(seed)
+        self.E, self.W, self.b = rng.normal(0, 0.01, (dim, len(self.flat))), rng.normal(0, 1, (dim, 2)), np.zeros(2)
         self.moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (self.E, self.W, self.b)]
         self.steps = 0
 
-    def words(self) -> np.ndarray:
-        return np.add.reduceat(self.E[self.local], self.starts) / self.n_parts[:, None]
-
-    def epochs(self, chosen: list[tuple[int, int, int]], y: np.ndarray, weight: np.ndarray, n: int, rate: float) -> None:
-        """Fit on the segments ``chosen`` (text, first word, end) with labels y."""
-        ids = np.concatenate([self.texts[t][a:e] for t, a, e in chosen])
-        size = np.array([e - a for _, a, e in chosen])
-        first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        seg = np.repeat(np.arange(len(chosen)), size)
+    def epochs(self, n: int) -> None:
+        texts, words = len(self.y), len(self.n_parts)
         for _ in range(n):
-            v = self.words()
-            x = np.add.reduceat(v[ids], first) / size[:, None]
+            v = [np.bincount(self.owner, e.take(self.local), words) / self.n_parts for e in self.E]
+            x = SCALE * np.stack([np.bincount(self.text, self.share * d.take(self.word), texts) for d in v], axis=1)
             z = x @ self.W + self.b
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            g = p * (weight / weight.sum())[:, None]
-            gx = (g @ self.W.T) / size[:, None]
-            gv = np.stack([np.bincount(ids, gx[seg, d], len(v)) for d in range(gx.shape[1])], axis=1) / self.n_parts[:, None]
-            ge = np.stack([np.bincount(self.local, gv[self.owner, d], len(self.E)) for d in range(gv.shape[1])], axis=1)
-            ge[-1] = 0
-            ge += self.decay * self.E
+            p[np.arange(texts), self.y] -= 1
+            g = p / texts
+            gx = SCALE * g @ self.W.T
+            gv = [np.bincount(self.word, self.share * d.take(self.text), words) / self.n_parts for d in np.ascontiguousarray(gx.T)]
+            ge = np.stack([np.bincount(self.local, d.take(self.owner), self.E.shape[1]) for d in gv]) + self.decay * self.E
             self.steps += 1
             for x_, g_, m in zip((self.E, self.W, self.b), (ge, x.T @ g, g.sum(axis=0)), self.moments, strict=True):
                 m[0] += 0.1 * (g_ - m[0])
                 m[1] += 0.01 * (g_ * g_ - m[1])
-                x_ -= rate * (m[0] / (1 - 0.9**self.steps)) / (np.sqrt(m[1] / (1 - 0.99**self.steps)) + 1e-9)
+                x_ -= self.rate * (m[0] / (1 - 0.9**self.steps)) / (np.sqrt(m[1] / (1 - 0.99**self.steps)) + 1e-9)
 
-    def word_values(self) -> tuple[np.ndarray, float]:
-        d = self.W[:, 1] - self.W[:, 0]
-        return self.words() @ d, float(self.b[1] - self.b[0])
+    def model(self, buckets: int) -> ToxicityModel:
+        weight = np.zeros(buckets, np.float32)
+        weight[self.flat] = SCALE * ((self.W[:, 1] - self.W[:, 0]) @ self.E)
+        return ToxicityModel(buckets, weight, float(self.b[1] - self.b[0]))
 
 
-def train(texts: list[str], labels: list[int], buckets: int = 1 << 20, dim: int = 4, min_texts: int = 8, decay: float = 1e-6, rounds: int = 3, epochs: int = 8, seed: int = 11, share: float | None = None) -> ToxicityModel:
-    """Train on labelled texts in numpy; see the module text. share: of label 1 among all labelled rows, for the probabilities."""
-    rows = [(w, int(y)) for t, y in zip(texts, labels, strict=True) if (w := WORDS.findall((t or "").lower()))]
-    n_toxic = sum(y for _, y in rows)
-    if not n_toxic or n_toxic == len(rows):
-        return ToxicityModel(buckets, np.zeros(buckets))
-    y = np.array([y for _, y in rows])
-    trainer = _Trainer([w for w, _ in rows], y, buckets, dim, min_texts, decay, seed)
-    ranges = [segments(len(w)) for w, _ in rows]
-    value, bias = trainer.word_values()
-    for turn in range(rounds):
-        chosen, target = [], []
-        for t, label in enumerate(y):
-            total = np.concatenate([[0.0], np.cumsum(value[trainer.texts[t]])])
-            rank = np.argsort([-(total[e] - total[a]) / (e - a) for a, e in ranges[t]], kind="stable")
-            take = rank[:1] if label else np.unique(np.concatenate([rank[:2], trainer.rng.choice(rank, min(2, len(rank)), replace=False)]))
-            chosen += [(t, *ranges[t][i]) for i in take]
-            target += [label] * len(take)
-        trainer.epochs(chosen, np.array(target), np.ones(len(target)), epochs, 0.05 / (1 + turn))
-        value, bias = trainer.word_values()
-    weights = np.zeros(buckets)
-    weights[trainer.flat] = trainer.E[:-1] @ (trainer.W[:, 1] - trainer.W[:, 0])
-    z = np.array([best_logit(value[t], bias) for t in trainer.texts])
-    mean, spread = z.mean(), z.std() + 1e-9
-    share = y.mean() if share is None else share
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    u, a, b = (z - mean) / spread, 1.0, 0.0
+class _Bags:
+    """Texts as bags of words for scoring with several models."""
+
+    def __init__(self, texts: list[list[str]], parts_of: dict[str, np.ndarray]):
+        vocabulary: dict[str, int] = {}
+        self.word = np.array([vocabulary.setdefault(w, len(vocabulary)) for t in texts for w in t])
+        self.size = np.array([len(t) for t in texts])
+        parts = [parts_of[w] for w in vocabulary]
+        self.flat, self.n_parts = np.concatenate(parts), np.array([len(p) for p in parts])
+
+    def logits(self, model: ToxicityModel) -> np.ndarray:
+        first = lambda n: np.append(0, np.cumsum(n)[:-1])
+        value = np.add.reduceat(model.weight[self.flat].astype(float), first(self.n_parts)) / self.n_parts
+        return np.add.reduceat(value[self.word], first(self.size)) / self.size + model.bias
+
+
+def _curve(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """Slope and offset of a logistic curve through logits, and its loss."""
+    mean, spread, a, b = z.mean(), z.std() + 1e-9, 1.0, 0.0
+    u = (z - mean) / spread
     for _ in range(2000):
-        p = 1 / (1 + np.exp(-np.clip(a * u + b, -30, 30)))
+        p = sigmoid(a * u + b)
         a -= (weight * (p - y) * u).mean() + 1e-3 * a
         b -= (weight * (p - y)).mean()
-    return ToxicityModel(buckets, weights, bias, a / spread, b - a * mean / spread, float(share))
+    p = np.clip(sigmoid(a * u + b), 1e-9, 1 - 1e-9)
+    return a / spread, b - a * mean / spread, float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", per_label: int = 1200, **params) -> ToxicityModel:
+def train(
+    texts: list[str], labels: list[int], buckets: int = 1 << 20, dim: int = 2, min_texts: int = 8, decay: float = 1e-5, rate: float = 0.08, epochs: int = 75, step: int = 15, seed: int = 11, share: float | None = None
+) -> ToxicityModel:
+    """Train on labelled texts in numpy; see the module text. share: of label 1 among all labelled rows, for the probabilities."""
+    rows = [(w, int(y)) for t, y in zip(texts, labels, strict=True) if (w := WORDS.findall((t or "").lower()))]
+    y = np.array([y for _, y in rows])
+    if not len(y) or y.all() or not y.any():
+        return ToxicityModel(buckets, np.zeros(buckets, np.float32))
+    words = [w for w, _ in rows]
+    aside = np.zeros(len(y), bool)
+    for label in (0, 1):  # every fifth of each label
+        aside[np.flatnonzero(y == label)[4::5]] = True
+    share = float(y.mean() if share is None else share)
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    if not (y[aside] == 1).any():  # too few to put any aside
+        aside[:] = True
+    settings = ({w: np.array(subwords(w, buckets)) for w in set().union(*words)}, buckets, dim, min_texts, decay, rate, seed)
+    tried = words if aside.all() else [w for w, x in zip(words, aside, strict=True) if not x]
+    trainer = _Trainer(tried, y if aside.all() else y[~aside], *settings)
+    bags = _Bags([w for w, x in zip(words, aside, strict=True) if x], settings[0])
+    best = None
+    for n in range(step, epochs + 1, step):
+        trainer.epochs(step)
+        made = _curve(bags.logits(trainer.model(buckets)), y[aside], weight[aside])
+        if best is None or made[2] < best[0][2]:
+            best = made, n
+        elif n >= best[1] + 2 * step:
+            break
+    (slope, offset, _), n = best
+    if not aside.all() or trainer.steps > n:
+        trainer = _Trainer(words, y, *settings)
+        trainer.epochs(n)
+    return replace(trainer.model(buckets), slope=slope, offset=offset, prior=share)
+
+
+def logit(model: ToxicityModel, table: WordTable, words: list[str]) -> float:
+    """The mean value of a text's words, and the bias."""
+    return sum(float(x.sum()) for x in table.parts(words)) / len(words) + model.bias
+
+
+def score_of(model: ToxicityModel, text: str | None, table: WordTable | None = None) -> float:
+    """The probability of label 1 for one text."""
+    words = WORDS.findall(text.lower()) if text else []
+    if not words or model.prior == 0:
+        return model.prior
+    return float(sigmoid(model.slope * logit(model, table or WordTable(model.word, 1), words) + model.offset))
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", per_label: int = 2500, **params) -> ToxicityModel:
     """Train on about ``per_label`` labelled rows of each label, taken by a hash of ``key``: the bound of what the driver gets.
 
     Rows with a null key or label are left out; of several labels of one key the largest holds.
@@ -184,18 +208,11 @@ def scorer(docs: DataFrame, model: ToxicityModel):
     name = uuid.uuid4().hex
 
     @F.pandas_udf(T.DoubleType())
+    @trimmed
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model, table = per_worker(name, lambda: (m := shared.value, WordTable(m.word, 1)))
         for texts in batches:
-            out = []
-            for t in texts:
-                words = WORDS.findall(t.lower()) if t else []
-                if not words or model.prior == 0:
-                    out.append(model.prior)
-                    continue
-                z = model.slope * best_logit(table.of(words)[:, 0], model.bias) + model.offset
-                out.append(float(1 / (1 + np.exp(-np.clip(z, -50, 50)))))
-            yield pd.Series(out, dtype=float)
+            yield pd.Series([score_of(model, t, table) for t in texts], dtype=float)
 
     return score
 
