@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 from sys import getsizeof
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +80,24 @@ def slices(lengths: list[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int,
         yield start, len(lengths)
 
 
+def trimmed(batches_of: Callable) -> Callable:
+    """A generator function that, when it ends, gives the memory that its worker has freed back to the system.
+
+    Workers are used again by later stages; what the allocators keep would add up beside the executor's own memory.
+    """
+
+    @wraps(batches_of)
+    def run(*args, **named):
+        try:
+            yield from batches_of(*args, **named)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only the GNU C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 class Memo(dict):
     """A dict that computes missing values by ``make``, and is emptied when what it holds exceeds ``limit`` bytes.
 
@@ -83,7 +105,7 @@ class Memo(dict):
     Sizes are those of keys and values themselves, with 120 bytes for an entry of the table.
     """
 
-    def __init__(self, make: Callable, limit: int = 32 << 20):
+    def __init__(self, make: Callable, limit: int = 16 << 20):
         super().__init__()
         self.make, self.limit, self.used = make, limit, 0
 
@@ -103,7 +125,7 @@ class WordTable:
     #: Words that are looked up at once.
     PART = 50_000
 
-    def __init__(self, vector: Callable[[str], tuple[float, ...]], width: int, limit: int = 48 << 20):
+    def __init__(self, vector: Callable[[str], tuple[float, ...]], width: int, limit: int = 32 << 20):
         self.vector, self.width, self.limit = vector, width, limit
         self.clear()
 

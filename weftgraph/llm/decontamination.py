@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from weftgraph.llm.common import small_batches
+from weftgraph.llm.common import small_batches, trimmed
 from weftgraph.llm.repeats import join
 
 #: Words: runs of letters and digits, lower-cased; bytes from 0x80 on belong to letters.
@@ -127,6 +127,7 @@ class Index:
         return item[first], begin[first], end[np.append(first[1:] - 1, len(item) - 1)]
 
 
+@trimmed
 def _found(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents -> the best score of each with each item that it may hold."""
     schema = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("score", pa.int64()), ("coverage", pa.float64())])

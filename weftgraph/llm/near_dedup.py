@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from weftgraph.llm.common import cut, small_batches, stored
+from weftgraph.llm.common import cut, small_batches, stored, trimmed
 from weftgraph.llm.repeats import join, mix
 
 SHINGLE = 5
@@ -143,6 +143,7 @@ _BAND = pa.schema([("band", pa.int64()), ("doc", pa.int64())])
 _MEMBER = pa.schema([("band", pa.int64()), ("i", pa.int32()), ("k", pa.int32()), ("within", pa.bool_()), ("streams", pa.bool_()), ("component", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
 
 
+@trimmed
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -160,6 +161,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(_SKETCH, docs[lo : lo + 250], [len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], [r for r, _ in found], [g for _, g in found])
 
 
+@trimmed
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -221,6 +223,7 @@ class _Cell:
             j = j[self.tops[j] != mine]
 
 
+@trimmed
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (band, i, k, within, streams, component, signature, shingles), in order -> pairs of components that a link joins.
 
@@ -249,6 +252,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(_PAIR, *zip(*cell.links, strict=True))
 
 
+@trimmed
 def _send_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with the cells that they are in -> one row per cell."""
     for batch in batches:
@@ -266,6 +270,7 @@ def _send_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _batch(_MEMBER, *zip(*out, strict=True))
 
 
+@trimmed
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -279,6 +284,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
+@trimmed
 def _among(bits: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose document has its bit set: all that are wanted, and by chance a few others, which the join drops."""
     for batch in batches:
@@ -294,6 +300,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(schema, (h >> np.uint64(6)).astype(np.int64), (np.uint64(1) << (h & np.uint64(63))).view(np.int64))
 
 
+@trimmed
 def _send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with the chunks that want their set -> one row per chunk."""
     schema = pa.schema([("a", pa.int64()), ("chunk", pa.int64()), ("member", pa.int64()), ("shingles", pa.binary())])
@@ -312,6 +319,7 @@ def _send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(schema, *zip(*out, strict=True))
 
 
+@trimmed
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a chunk, the first set of the pairs before the members -> pairs that are linked."""
     now, first = None, np.zeros(0, np.uint64)

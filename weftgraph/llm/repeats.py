@@ -13,11 +13,11 @@ of which gathers a corpus in one place:
 3. Those segments fetch their symbols from their documents and meet again by anchor, in blocks of bounded
    size, where a ``resolver`` (a suffix array, an FM-index) finds the windows that start earlier.
 4. Anchors with more than ``HOT`` different segments would make blocks too large; their windows are
-   dealt out by their own hashes instead. That is exact too.
+   dealt out by two 64-bit hashes of their own instead.
 5. The covered stretches return to their documents.
 
 Order is by document id and place. Rows with a null id, and texts shorter than a window, take no part. Rows
-that repeat an id are taken for one document.
+that repeat an id are taken for one document. Long texts are handled in overlapping pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import small_batches, stored
+from weftgraph.llm.common import small_batches, stored, trimmed
 
 #: Different segments around one anchor that still make a block of their own.
 HOT = 4_000
@@ -66,6 +66,15 @@ class Windows:
     symbols: Callable[[str], np.ndarray]
     again: bool
 
+    def _powers(self, s: np.ndarray) -> dict[int, np.ndarray]:
+        """Hashes of all stretches of 1, 2, 4, ... symbols, up to the longest segment."""
+        powers, size = {1: mix(s)}, 1
+        while 2 * size <= 2 * self.window - self.seed:
+            h, m = powers[size], max(0, len(s) - 2 * size + 1)
+            powers[2 * size] = join(h[:m], h[size : size + m])
+            size *= 2
+        return powers
+
     def segments(self, s: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
         """Segments of texts given one after another: first and last window, anchor and content hash.
 
@@ -74,12 +83,7 @@ class Windows:
         n = len(s)
         assert n <= 1 << PLACE_BITS, "more symbols than places"
         bits = np.uint64(PLACE_BITS)
-        powers = {1: mix(s.astype(np.uint64))}
-        size = 1
-        while 2 * size <= 2 * self.window - self.seed:
-            h = powers[size]
-            powers[2 * size] = join(h[: max(0, n - 2 * size + 1)], h[size : size + max(0, n - 2 * size + 1)])
-            size *= 2
+        powers = self._powers(s.astype(np.uint64))
 
         def hashes(length: int) -> np.ndarray:
             p = 1 << (length.bit_length() - 1)
@@ -107,6 +111,8 @@ class Windows:
         last = windows[np.append(cut - 1, len(windows) - 1)]
         length = last - first + self.window
         content = np.zeros(len(first), np.uint64)
+        if self.window == self.seed:  # anchor and content are of the same symbols, so they must be two hashes: 128 bits tell windows apart
+            powers = self._powers(s.astype(np.uint64) ^ _ODD[2])
         big = 1 << ((2 * self.window - self.seed).bit_length() - 1)
         for p in (big, big // 2):
             pick = (length >= p) & ((p == big) | (length < big))
@@ -186,6 +192,7 @@ def _local(w: Windows, kind: int, anchor, content, doc, first, last) -> Iterator
     yield _rows(kind, doc[~later], first[~later], last[~later], anchor[~later], content[~later])
 
 
+@trimmed
 def _anchors(w: Windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts -> segments."""
 
@@ -214,6 +221,7 @@ def _anchors(w: Windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield from handle(ids, texts)
 
 
+@trimmed
 def _meet(w: Windows, batches: Iterator[pa.RecordBatch], ask: bool = True) -> Iterator[pa.RecordBatch]:
     """Segments, in order of anchor, content, document and place -> what is covered, and what must be asked.
 
@@ -261,6 +269,7 @@ def _asked(first: list[np.ndarray], hot: int | None) -> Iterator[pa.RecordBatch]
             yield _rows(kind, doc[pick], a[pick], e[pick], anchor[pick], content[pick])
 
 
+@trimmed
 def _fetch(w: Windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with what is asked of them -> segments with their symbols; of hot anchors, single windows."""
     one = Windows(w.window, w.window, w.symbols, w.again)
@@ -299,6 +308,7 @@ def _fetch(w: Windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     yield from send(rows)
 
 
+@trimmed
 def _resolve(w: Windows, resolver: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fetched segments come by anchor, whole anchors are gathered to blocks; single windows are compared by their hash."""
     kind = w.symbols("").dtype

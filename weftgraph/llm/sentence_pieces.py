@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import Memo, per_worker, small_batches
+from weftgraph.llm.common import Memo, per_worker, small_batches, trimmed
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -240,6 +240,7 @@ def coder(docs: DataFrame, path: str):
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     @F.pandas_udf(RESULT)
+    @trimmed
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = per_worker(("pieces", path), lambda: Encoder(shared.value))
         for texts in batches:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from weftgraph.llm.common import trimmed
 from weftgraph.llm.repeats import Windows, covered, doc_id, spans
 
 WINDOW = 50
@@ -144,6 +145,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_text (words joined by a space), kept_sha256 and the struct ``rest``."""
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string, kept_sha256 string")
+    @trimmed
     def keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, stretches in batches:
             out = []

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import trimmed
 from weftgraph.llm.repeats import Windows, covered, doc_id, spans
 
 WINDOW = 100
@@ -129,6 +130,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """
 
     @F.pandas_udf("n_removed long, n_spans long, kept_text string, kept_sha256 string")
+    @trimmed
     def keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, stretches in batches:
             out = []

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import Memo, per_worker, slices, small_batches
+from weftgraph.llm.common import Memo, per_worker, slices, small_batches, trimmed
 
 # Symbols that the splitter reads: a character's class, told apart by what follows it.
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACE_LAST, SPACE_MORE, WHITE_LAST, WHITE_MORE, BEGIN, NOTHING = range(11)
@@ -282,6 +282,7 @@ def counter(docs: DataFrame, path: str):
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     @F.pandas_udf(T.LongType())
+    @trimmed
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = per_worker(("tokens", path), lambda: TokenCounter(shared.value))
         for texts in batches:
