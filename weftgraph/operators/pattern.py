@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.schema import Graph
+from weftgraph.schema import Graph, shared_folder
 
 
 @dataclass(frozen=True)
@@ -89,17 +90,18 @@ def match_variable_length(g: Graph, anchors: DataFrame, low: int, high: int, lab
     return reduce(DataFrame.unionByName, found)
 
 
-def lineage(g: Graph, anchors: DataFrame, direction: str = ">", max_hops: int = 10, labels: list[str] | None = None) -> DataFrame:
+def lineage(g: Graph, anchors: DataFrame, direction: str = ">", max_hops: int | None = None, labels: list[str] | None = None) -> DataFrame:
     """(start_id, node_id, hops): all nodes reachable from the anchors, at their least distance, the anchors themselves left out.
 
-    A frontier per hop, less what was visited; it ends early when a frontier is empty. Lineage of the plan is cut
-    by checkpoints, which outlive lost executors.
+    A frontier per hop, less what was visited, until one is empty, or for ``max_hops`` hops. Lineage of the plan is cut
+    by checkpoints, which outlive lost executors; the hops are derived once.
     """
     edges = g.edges if labels is None else g.edges.where(F.col("label").isin(labels))
     hops = Edge("e", direction=direction).oriented(edges).select("graph", "from", "to").distinct()
+    hops = _checkpoint(hops)
     frontier = anchors.select("graph", F.col("id").alias("start_id"), F.col("id").alias("node_id"), F.lit(0).alias("hops")).distinct()
     visited = frontier
-    for n in range(1, max_hops + 1):
+    for n in count(1) if max_hops is None else range(1, max_hops + 1):
         reached = frontier.join(hops.withColumnRenamed("from", "node_id"), ["graph", "node_id"]).select("graph", "start_id", F.col("to").alias("node_id")).distinct()
         frontier = _checkpoint(reached.join(visited, ["graph", "start_id", "node_id"], "left_anti").withColumn("hops", F.lit(n)))
         if frontier.isEmpty():
@@ -109,11 +111,7 @@ def lineage(g: Graph, anchors: DataFrame, direction: str = ">", max_hops: int =
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

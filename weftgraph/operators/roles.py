@@ -6,7 +6,7 @@ variable_amount, needs_quantity, category_filter, tag_filter, default_use_active
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.schema import Graph
@@ -48,13 +48,31 @@ def resolve_roles(events: DataFrame, fillers: DataFrame, role_defs: DataFrame, a
     return met.withColumn("outcome", outcome)
 
 
-def resolved_edges(resolved: DataFrame, fillers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(participant rows, errors): only events without an error get rows."""
+def new_id() -> Column:
+    """An id for the reagent that fills a role with ``default_use_new``: a hash of event and role in the upper half of the positive numbers."""
+    return F.xxhash64("graph", "event_id", "direction", "role").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+
+
+def new_reagents(resolved: DataFrame, id_: Column | None = None) -> DataFrame:
+    """(graph, id, category_id, event_id, direction, role): the reagents that roles with ``default_use_new`` call for, of events without an error.
+
+    id_: their ids, from the columns graph, event_id, direction and role; unlike for each row.
+    """
+    wanted = resolved.where("outcome = 'default_new'").join(_faulty(resolved), ["graph", "event_id"], "left_anti")
+    return wanted.select("graph", (new_id() if id_ is None else id_).cast("bigint").alias("id"), F.col("default_use_new").cast("bigint").alias("category_id"), "event_id", "direction", "role")
+
+
+def _faulty(resolved: DataFrame) -> DataFrame:
+    return resolved.where(F.col("outcome").isin("missing", "too_many")).select("graph", "event_id").distinct()
+
+
+def resolved_edges(resolved: DataFrame, fillers: DataFrame, id_: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(participant rows, errors): only events without an error get rows. Roles that call for new reagents are filled by those of ``new_reagents``."""
     errors = resolved.where(F.col("outcome").isin("missing", "too_many")).select("graph", "event_id", "direction", "role", "n", "outcome")
-    bad = errors.select("graph", "event_id").distinct()
     given = fillers.join(resolved.where("outcome = 'filled'").select("graph", "event_id", "direction", "role"), ["graph", "event_id", "direction", "role"], "left_semi")
     added = resolved.where("outcome = 'default_active'").select("graph", "event_id", "direction", "role", F.col("default_reagent").alias("member_id"), F.lit(None).cast("double").alias("quantity"))
-    return given.unionByName(added).join(bad, ["graph", "event_id"], "left_anti"), errors
+    made = new_reagents(resolved, id_).select("graph", "event_id", "direction", "role", F.col("id").alias("member_id"), F.lit(None).cast("double").alias("quantity"))
+    return given.unionByName(added).join(_faulty(resolved), ["graph", "event_id"], "left_anti").unionByName(made), errors
 
 
 def active_reagent(g: Graph) -> DataFrame:

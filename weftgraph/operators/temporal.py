@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,16 +39,23 @@ def graph_as_of(g: Graph, t: datetime | str) -> Graph:
     return Graph(nodes, edges.select(*g.edges.columns), g.catalog)
 
 
-def measurement_at_event(g: Graph) -> DataFrame:
+def measurement_at_event(g: Graph, hours: int = 24, most: int = 64) -> DataFrame:
     """(event_id, entity_id, structure_id): the measurement of an entity whose window holds the time of an event it took part in.
 
-    The entity is the equality key of the join; a hot one is left to the skew join.
+    Windows are listed in the buckets of ``hours`` that they touch and meet events by entity and bucket, so a hot entity's events
+    aren't compared with all of its windows. Windows that are open or touch more than ``most`` buckets meet events by entity alone.
     """
+    bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (3600 * hours))
     events = g.nodes.where("node_type IN ('NATURAL_EVENT', 'PROTOCOL_EVENT')").select("graph", F.col("id").alias("event_id"), F.col("valid_from").alias("at"))
     part = g.edges.where("edge_type = 'PARTICIPANT'").select("graph", F.col("src").alias("entity_id"), F.col("dst").alias("event_id")).join(events, ["graph", "event_id"])
     windows = g.edges.where("edge_type = 'MEASUREMENT'").select("graph", F.col("dst").alias("entity_id"), F.col("src").alias("structure_id"), "valid_from", "valid_to")
     holds = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("at"))) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("at")))
-    return part.join(windows, ["graph", "entity_id"]).where(holds).select("graph", "event_id", "entity_id", "structure_id", "at")
+    span = bucket("valid_to") - bucket("valid_from")
+    short = F.coalesce((span >= 0) & (span < most), F.lit(False))
+    listed = windows.where(short).withColumn("bucket", F.explode(F.sequence(bucket("valid_from"), bucket("valid_to"))))
+    near = part.withColumn("bucket", bucket("at")).join(listed, ["graph", "entity_id", "bucket"])
+    far = part.join(windows.where(~short), ["graph", "entity_id"])
+    return reduce(DataFrame.unionByName, [d.where(holds).select("graph", "event_id", "entity_id", "structure_id", "at") for d in (near, far)])
 
 
 def entity_timeline(g: Graph) -> DataFrame:

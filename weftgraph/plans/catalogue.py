@@ -5,7 +5,6 @@ A query is a function (graph, session, folder of tables) -> DataFrame. Its SQL f
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,9 +14,9 @@ from pyspark.sql import functions as F
 from weftgraph.functions import names as fn
 from weftgraph.operators import aggregate as agg
 from weftgraph.operators import audit, expand, paging, pattern, roles, scan, temporal, views
-from weftgraph.schema import Graph
+from weftgraph.schema import VARIABLES, Graph, shared_folder
 from weftgraph.sources import codec, ingest
-from weftgraph.sources.fixture import WITH, build_graph
+from weftgraph.sources.fixture import ORACLE_WITH, build_graph
 from weftgraph.streaming import ingest as stream
 
 Query = Callable[[Graph, SparkSession, str], DataFrame]
@@ -40,10 +39,7 @@ def customers(g: Graph) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
-    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 # scans, filters, projections
@@ -88,8 +84,8 @@ query("split_node_subtypes", lambda g, s, d: scan.split_node_subtypes(g), "SELEC
 query("split_edge_subtypes", lambda g, s, d: scan.split_edge_subtypes(g)[0], "SELECT graph, edge_type AS subtype, count(*) AS n FROM edges GROUP BY ALL")
 query(
     "project_node_public",
-    lambda g, s, d: scan.project_node_public(g.nodes, True).drop("local_id"),
-    "SELECT concat(graph, ':', CAST(id AS VARCHAR)) AS gid, id, external_id, concat(category_type, ' ', coalesce(external_id, CAST(id AS VARCHAR))) AS display FROM nodes",
+    lambda g, s, d: scan.project_node_public(g.nodes, True),
+    "SELECT concat(graph, ':', CAST(id AS VARCHAR)) AS gid, id, external_id, local_seq AS local_id, concat(category_type, ' ', coalesce(external_id, CAST(local_seq AS VARCHAR), CAST(id AS VARCHAR))) AS display FROM nodes",
 )
 query("project_node_label", lambda g, s, d: scan.project_node_label(g.nodes), "SELECT graph, id, coalesce(name, concat(label, ' - ', CAST(id AS VARCHAR))) AS shown FROM nodes")
 query(
@@ -110,6 +106,11 @@ query(
 )
 query("filter_categories_pinned", lambda g, s, d: scan.of_categories(g.edges, scan.filter_categories(g, pinned_by=2)).select(E), f"SELECT {EDGE} FROM edges WHERE category_id IN (SELECT category_id FROM pins WHERE user_id = 2)")
 query("random_nodes", lambda g, s, d: scan.random_nodes(g, 5, seed=7).select(N), None)
+query(
+    "random_nodes_members",
+    lambda g, s, d: scan.random_nodes(g, 500).select("graph", "id").join(g.nodes.select("graph", "id", F.lit(1).alias("is_node")), ["graph", "id"], "left").agg(F.count("*").alias("n"), F.countDistinct("graph", "id").alias("different"), F.sum("is_node").alias("members")),
+    "SELECT least(count(*), 500) AS n, least(count(*), 500) AS different, CAST(least(count(*), 500) AS BIGINT) AS members FROM nodes",
+)
 query(
     "expand_edge_metrics",
     lambda g, s, d: scan.expand_edge_metrics(_bag(s).select(F.lit("trade").alias("graph"), F.col("event_id").alias("id"), "props")),
@@ -172,7 +173,7 @@ _vl = "WITH RECURSIVE w AS (SELECT id AS start_id, id AS end_id, 0 AS hops, '' A
 query("match_variable_length", lambda g, s, d: P.match_variable_length(Graph(g.nodes, g.edges.where("edge_type = 'RELATION'")), g.nodes.where("category_id IN (1, 2)").select("graph", "id"), 1, 2, direction="<").groupBy("start_id", "end_id", "hops").agg(F.count("*").alias("n")), f"SELECT start_id, end_id, hops, count(*) AS n FROM ({_vl} SELECT * FROM w) q WHERE hops >= 1 GROUP BY ALL")
 query(
     "lineage",
-    lambda g, s, d: P.lineage(g, g.nodes.where("category_id = 4").select("graph", "id"), direction="<", max_hops=2, labels=["shipped_by", "buyer"]).select("start_id", "node_id", "hops"),
+    lambda g, s, d: P.lineage(g, g.nodes.where("category_id = 4").select("graph", "id"), direction="<", labels=["shipped_by", "buyer"]).select("start_id", "node_id", "hops"),
     "SELECT start_id, node_id, min(hops) AS hops FROM (SELECT e.dst AS start_id, e.src AS node_id, 1 AS hops FROM edges e JOIN nodes n ON n.id = e.dst AND n.category_id = 4 WHERE e.label = 'shipped_by' UNION ALL SELECT e.dst, f.src, 2 FROM edges e JOIN nodes n ON n.id = e.dst AND n.category_id = 4 JOIN edges f ON f.dst = e.src AND f.label IN ('shipped_by', 'buyer') WHERE e.label = 'shipped_by') q GROUP BY start_id, node_id",
 )
 
@@ -189,10 +190,16 @@ _events = lambda g: g.nodes.where("node_type IN ('PROTOCOL_EVENT', 'NATURAL_EVEN
 _resolve = lambda g: roles.resolve_roles(_events(g), roles.participants(g), g.catalog["role_defs"], roles.active_reagent(g))
 query("resolve_roles", lambda g, s, d: _resolve(g).select("event_id", "direction", "role", "n", "outcome"), f", {_resolved} SELECT event_id, direction, role, n, outcome FROM res")
 query("resolve_roles_errors", lambda g, s, d: roles.resolved_edges(_resolve(g), roles.participants(g))[1].drop("graph"), f", {_resolved} SELECT event_id, direction, role, n, outcome FROM res WHERE outcome IN ('missing', 'too_many')")
+_fresh = lambda: F.lit(24 * BASE) + F.col("event_id") % BASE
+query(
+    "resolve_roles_default_new",
+    lambda g, s, d: roles.new_reagents(_resolve(g), _fresh()).drop("graph"),
+    f", {_resolved} SELECT {24 * BASE} + r.event_id % {BASE} AS id, CAST(d.default_use_new AS BIGINT) AS category_id, r.event_id, r.direction, r.role FROM res r JOIN role_defs d ON d.direction = r.direction AND d.role = r.role WHERE r.outcome = 'default_new' AND r.event_id NOT IN (SELECT event_id FROM res WHERE outcome IN ('missing', 'too_many'))",
+)
 query(
     "resolve_roles_edges",
-    lambda g, s, d: roles.resolved_edges(_resolve(g), roles.participants(g))[0].drop("graph"),
-    f", {_resolved}, bad AS (SELECT event_id FROM res WHERE outcome IN ('missing', 'too_many')) SELECT p.event_id, p.direction, p.role, p.member_id, p.quantity FROM parts p JOIN res r ON r.event_id = p.event_id AND r.direction = p.direction AND r.role = p.role AND r.outcome = 'filled' WHERE p.event_id NOT IN (SELECT event_id FROM bad) UNION ALL SELECT event_id, direction, role, reagent_id, CAST(NULL AS DOUBLE) FROM res WHERE outcome = 'default_active' AND event_id NOT IN (SELECT event_id FROM bad)",
+    lambda g, s, d: roles.resolved_edges(_resolve(g), roles.participants(g), _fresh())[0].drop("graph"),
+    f", {_resolved}, bad AS (SELECT event_id FROM res WHERE outcome IN ('missing', 'too_many')) SELECT p.event_id, p.direction, p.role, p.member_id, p.quantity FROM parts p JOIN res r ON r.event_id = p.event_id AND r.direction = p.direction AND r.role = p.role AND r.outcome = 'filled' WHERE p.event_id NOT IN (SELECT event_id FROM bad) UNION ALL SELECT event_id, direction, role, reagent_id, CAST(NULL AS DOUBLE) FROM res WHERE outcome = 'default_active' AND event_id NOT IN (SELECT event_id FROM bad) UNION ALL SELECT event_id, direction, role, {24 * BASE} + event_id % {BASE}, CAST(NULL AS DOUBLE) FROM res WHERE outcome = 'default_new' AND event_id NOT IN (SELECT event_id FROM bad)",
 )
 query("active_reagent", lambda g, s, d: roles.active_reagent(g), "SELECT graph, category_id, min(id) AS reagent_id, count(*) AS n FROM nodes WHERE node_type = 'REAGENT' AND active GROUP BY ALL")
 query(
@@ -230,8 +237,8 @@ query("entity_metric_summary", lambda g, s, d: agg.entity_metric_summary(g).drop
 query("scalar_metric", lambda g, s, d: agg.scalar_metric(g, 10), "SELECT graph, CAST(sum(CAST(round(value_float * 100) AS BIGINT)) AS BIGINT) AS total_cents, count(*) AS n FROM nodes WHERE node_type = 'METRIC' AND category_id = 10 GROUP BY graph")
 query(
     "collect_measures",
-    lambda g, s, d: agg.collect_measures(g).select("entity_id", F.size("values").cast("bigint").alias("n"), F.array_join(F.transform("categories", lambda x: x.cast("string")), ",").alias("categories"), F.array_join(F.transform("values", lambda x: F.round(x * 100).cast("bigint").cast("string")), ",").alias("cents")),
-    f"SELECT y.id AS entity_id, count(*) AS n, string_agg(CAST(m.category_id AS VARCHAR), ',' ORDER BY m.category_id, m.id) AS categories, string_agg(CAST(CAST(round(m.value_float * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY m.category_id, m.id) AS cents {_mp} GROUP BY 1",
+    lambda g, s, d: agg.collect_measures(g, 100).select("entity_id", "metric_category", "stretch", F.size("values").cast("bigint").alias("n"), F.array_join(F.transform("values", lambda x: F.round(x * 100).cast("bigint").cast("string")), ",").alias("cents")),
+    f"SELECT y.id AS entity_id, m.category_id AS metric_category, m.id // 100 AS stretch, count(*) AS n, string_agg(CAST(CAST(round(m.value_float * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY m.id) AS cents {_mp} GROUP BY 1, 2, 3",
 )
 query("pivot_metrics", lambda g, s, d: agg.pivot_metrics(g, {8: "click", 10: "purchase", 12: "view", 15: "n_chars"}).drop("graph"), "SELECT y.id AS entity_id, " + ", ".join(f"CAST(sum(CASE WHEN m.category_id = {c} THEN CAST(round(m.value_float * 100) AS BIGINT) END) AS BIGINT) AS {n}" for c, n in ((8, "click"), (10, "purchase"), (12, "view"), (15, "n_chars"))) + f" {_mp} GROUP BY 1")
 query("informed_measurements", lambda g, s, d: agg.informed_measurements(g, "@corpus/document").select("id", "src", "dst", "object", "entity_name"), "SELECT e.id, e.src, e.dst, t.object, n.name AS entity_name FROM edges e JOIN nodes t ON t.id = e.src AND t.identifier = '@corpus/document' AND t.node_type = 'STRUCTURE' JOIN nodes n ON n.id = e.dst AND n.node_type = 'ENTITY' WHERE e.edge_type = 'MEASUREMENT'")
@@ -242,6 +249,11 @@ query("latest_per_external_id", lambda g, s, d: agg.latest_per_external_id(s.tab
 query("latest_measurement", lambda g, s, d: agg.latest_measurement(g).drop("graph"), f"SELECT entity_id, metric_category, valid_from, metric_id, value FROM (SELECT y.id AS entity_id, m.category_id AS metric_category, x.valid_from, m.id AS metric_id, m.value_float AS value, row_number() OVER (PARTITION BY y.id, m.category_id ORDER BY x.valid_from DESC, m.id DESC) AS r {_mp} AND x.valid_from IS NOT NULL) q WHERE r = 1")
 query("close_open_windows", lambda g, s, d: agg.close_open_windows(g.with_edges(g.edges.withColumn("valid_to", F.lit(None).cast("timestamp_ntz")))).select("id", "valid_from", "valid_to"), "SELECT id, valid_from, lead(valid_from) OVER (PARTITION BY graph, dst, category_id ORDER BY valid_from, id) AS valid_to FROM edges WHERE edge_type = 'MEASUREMENT'")
 query("assign_local_ids", lambda g, s, d: agg.numbered(g.nodes.where("category_id IS NOT NULL").select("category_id", "id"), "category_id", "id", start=100, step=5, width=500), "SELECT category_id, id, CAST(100 + 5 * (row_number() OVER (PARTITION BY category_id ORDER BY id) - 1) AS BIGINT) AS local_seq FROM nodes WHERE category_id IS NOT NULL")
+query(
+    "assign_local_ids_range",
+    lambda g, s, d: agg.numbered(g.nodes.where("category_id IS NOT NULL").select("category_id", "id"), "category_id", "id", start=50, step=10, least=10, most=400, given=g.catalog["categories"].select(F.col("category_id").cast("bigint").alias("category_id"), F.lit(3).alias("n_given"))),
+    "SELECT category_id, id, CAST(CASE WHEN n < 36 THEN 50 + 10 * n ELSE 10 + 10 * ((n - 36) % 40) END AS BIGINT) AS local_seq FROM (SELECT category_id, id, row_number() OVER (PARTITION BY category_id ORDER BY id) + 2 AS n FROM nodes WHERE category_id IS NOT NULL) q",
+)
 query("assign_local_ids_cycle", lambda g, s, d: agg.numbered(g.nodes.where("category_id IS NOT NULL").select("category_id", "id"), "category_id", "id", start=1, cycle=96), "SELECT category_id, id, CAST(1 + (row_number() OVER (PARTITION BY category_id ORDER BY id) - 1) % 96 AS BIGINT) AS local_seq FROM nodes WHERE category_id IS NOT NULL")
 
 # pages and sets
@@ -277,7 +289,7 @@ query("render_path", lambda g, s, d: views.render_path(_walk(g, 2), g)[1].select
 query("render_pairs", lambda g, s, d: views.render_pairs(g, edge=F.col("label") == "LOCATED_IN", dedupe=True).select("left_id", "right_id", "edge_id"), "SELECT src AS left_id, dst AS right_id, id AS edge_id FROM edges WHERE label = 'LOCATED_IN'")
 query("render_node_list", lambda g, s, d: views.render_node_list(pattern.measurement_path(g), "entity_id", g).select(N), f"SELECT {NODE} FROM nodes WHERE id IN (SELECT y.id {_mp})")
 query("render_edge_list", lambda g, s, d: views.render_edge_list(pattern.relation_path(g), "relation", g).select(E), f"SELECT {EDGE} FROM edges WHERE edge_type = 'RELATION' AND label <> 'DETERMINES'")
-query("render_node_table", lambda g, s, d: views.render_node_table(pattern.measurement_path(g), "entity_id", g.nodes.where("name LIKE 'Customer#00000001%'").select("graph", "id"), _cols), f"SELECT m.id AS metric_id, y.id AS entity_id, m.value_float {_mp} AND y.name LIKE 'Customer#00000001%'")
+query("render_node_table", lambda g, s, d: views.render_node_table(pattern.measurement_path(g), "entity_id", g.nodes.where("category_id = 3").select("graph", "id"), _cols), f"SELECT m.id AS metric_id, y.id AS entity_id, m.value_float {_mp} AND y.category_id = 3")
 query("render_node_path", lambda g, s, d: views.render_node_path(_walk(g, 2), g.nodes.where("name = 'NATION_3'").select("graph", "id"), g)[0].select(N), f"SELECT {NODE} FROM nodes WHERE name = 'NATION_3' OR id IN (SELECT dst FROM edges WHERE label = 'PART_OF' AND src IN (SELECT id FROM nodes WHERE name = 'NATION_3'))")
 query("render_node_pairs", lambda g, s, d: views.render_node_pairs(g, g.nodes.where("category_id = 1").select("graph", "id"), edge=F.col("edge_type") == "RELATION").select("left_id", "right_id", "edge_id"), "SELECT dst AS left_id, src AS right_id, id AS edge_id FROM edges WHERE label = 'PART_OF'")
 query("scatter_points", lambda g, s, d: views.scatter_points(views.render_table(pattern.measurement_path(g).withColumn("hour", F.hour("valid_from")), {**_cols, "hour": "VALUE"}), id="metric_id", x="hour", y="value_float", x_id="entity_id"), f"SELECT m.id AS id, CAST(hour(x.valid_from) AS INTEGER) AS x, m.value_float AS y, y.id AS x_id {_mp}")
@@ -294,17 +306,28 @@ query("vector_values", lambda g, s, d: fn.vector_values(s.table("events").select
 
 # ingest
 _ent = lambda s: s.table("customer").select(F.lit("trade").alias("graph"), F.lit(3).cast("bigint").alias("category_id"), F.upper("c_name").alias("name"), F.when(F.col("c_custkey") % 10 == 0, None).when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat(F.lit("new"), (F.col("c_custkey") % 100).cast("string"))).alias("external_id"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz").alias("created_at"), F.col("c_custkey").alias("input_no"))
-_ent_sql = f", inp AS (SELECT CAST(c_custkey AS BIGINT) AS input_no, upper(c_name) AS name, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN c_name ELSE concat('new', CAST(c_custkey % 100 AS VARCHAR)) END AS external_id FROM customer), lst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY input_no DESC) AS r FROM inp WHERE external_id IS NOT NULL) q WHERE r = 1) SELECT coalesce(n.id, {15 * BASE} + l.input_no) AS id, coalesce(n.external_id, l.external_id) AS external_id, coalesce(l.name, n.name) AS name FROM (SELECT * FROM nodes WHERE category_id = 3 AND node_type = 'ENTITY') n FULL OUTER JOIN lst l ON l.external_id = n.external_id UNION ALL SELECT {15 * BASE} + input_no, NULL, name FROM inp WHERE external_id IS NULL"
+_ent_sql = f", inp AS (SELECT CAST(c_custkey AS BIGINT) AS input_no, upper(c_name) AS name, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN c_name ELSE concat('new', CAST(c_custkey % 100 AS VARCHAR)) END AS external_id FROM customer), lst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY input_no DESC) AS r FROM inp WHERE external_id IS NOT NULL) q WHERE r = 1) SELECT coalesce(n.id, {15 * BASE} + l.input_no) AS id, coalesce(n.external_id, l.external_id) AS external_id, CASE WHEN l.external_id IS NOT NULL THEN l.name ELSE n.name END AS name FROM (SELECT * FROM nodes WHERE category_id = 3 AND node_type = 'ENTITY') n FULL OUTER JOIN lst l ON l.external_id = n.external_id UNION ALL SELECT {15 * BASE} + input_no, NULL, name FROM inp WHERE external_id IS NULL"
 query("ingest_entities", lambda g, s, d: ingest.ingest_entities(g, _ent(s), 15 * BASE).nodes.where("category_id = 3 AND node_type = 'ENTITY'").select("id", "external_id", "name"), _ent_sql)
+query(
+    "ingest_entities_sequence",
+    lambda g, s, d: ingest.ingest_entities(g, _ent(s), 15 * BASE, {"start": 1000, "step": 10}).nodes.where(f"id >= {15 * BASE} AND id < {16 * BASE} AND node_type = 'ENTITY'").select("id", "external_id", "local_seq"),
+    f"{_ent_sql.split(' SELECT coalesce(n.id')[0]}, cre AS (SELECT input_no, external_id FROM lst WHERE external_id NOT IN (SELECT external_id FROM nodes WHERE category_id = 3 AND node_type = 'ENTITY') UNION ALL SELECT input_no, NULL FROM inp WHERE external_id IS NULL) SELECT {15 * BASE} + input_no AS id, external_id, CAST(1000 + 10 * ((SELECT count(*) FROM customer) + row_number() OVER (ORDER BY input_no) - 1) AS BIGINT) AS local_seq FROM cre",
+)
 query(
     "ingest_reagents",
-    lambda g, s, d: ingest.ingest_reagents(g, s.table("part").where("p_partkey % 20 = 0").select(F.lit("trade").alias("graph"), (F.lit(200) + F.substring("p_brand", 7, 9).cast("bigint")).alias("category_id"), F.col("p_type").alias("name"), F.col("p_name").alias("ignored"), F.concat(F.lit("lot"), F.col("p_partkey").cast("string")).alias("external_id"), F.lit(None).cast("timestamp_ntz").alias("created_at"), F.col("p_partkey").alias("input_no"), F.lit(True).alias("set_active")), 16 * BASE).nodes.where("node_type = 'REAGENT'").select("id", "category_id", "external_id", "active"),
-    f", inp AS (SELECT 200 + CAST(substr(p_brand, 7) AS BIGINT) AS category_id, {16 * BASE} + p_partkey AS id, concat('lot', CAST(p_partkey AS VARCHAR)) AS external_id FROM part WHERE p_partkey % 20 = 0), ch AS (SELECT category_id, max(id) AS chosen FROM inp GROUP BY category_id), allr AS (SELECT id, category_id, external_id, active FROM nodes WHERE node_type = 'REAGENT' UNION ALL SELECT id, category_id, external_id, NULL FROM inp) SELECT a.id, a.category_id, a.external_id, CASE WHEN c.chosen IS NOT NULL THEN a.id = c.chosen ELSE a.active END AS active FROM allr a LEFT JOIN ch c ON c.category_id = a.category_id",
+    lambda g, s, d: ingest.ingest_reagents(g, s.table("part").select(F.lit("trade").alias("graph"), (F.lit(200) + F.substring("p_brand", 7, 9).cast("bigint")).alias("category_id"), F.col("p_type").alias("name"), F.col("p_name").alias("ignored"), F.concat(F.lit("lot"), F.col("p_partkey").cast("string")).alias("external_id"), F.lit(None).cast("timestamp_ntz").alias("created_at"), F.col("p_partkey").alias("input_no"), F.lit(True).alias("set_active")), 16 * BASE).nodes.where("node_type = 'REAGENT'").select("id", "category_id", "external_id", "active"),
+    f", inp AS (SELECT 200 + CAST(substr(p_brand, 7) AS BIGINT) AS category_id, {16 * BASE} + p_partkey AS id, concat('lot', CAST(p_partkey AS VARCHAR)) AS external_id FROM part), ch AS (SELECT category_id, max(id) AS chosen FROM inp GROUP BY category_id), allr AS (SELECT id, category_id, external_id, active FROM nodes WHERE node_type = 'REAGENT' UNION ALL SELECT id, category_id, external_id, NULL FROM inp) SELECT a.id, a.category_id, a.external_id, CASE WHEN c.chosen IS NOT NULL THEN a.id = c.chosen ELSE a.active END AS active FROM allr a LEFT JOIN ch c ON c.category_id = a.category_id",
 )
 query("ingest_structures", lambda g, s, d: ingest.ingest_structures(g, _refs(s).select(F.lit("trade").alias("graph"), "ref", F.col("event_id").alias("input_no")), 17 * BASE, 900)[0].nodes.where(f"id >= {17 * BASE}").select("id", "identifier", "object", "node_type"), f"SELECT {17 * BASE} + event_id AS id, concat('@', event_type, '/ev') AS identifier, CAST(event_id AS VARCHAR) AS object, 'STRUCTURE' AS node_type FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0")
 _met = lambda s: s.table("events").select(F.lit("trade").alias("graph"), (F.lit(7 * BASE) + F.col("event_id") * 2).alias("structure_id"), F.lit(12).cast("bigint").alias("category_id"), F.col("value"), F.col("ts").alias("created_at"), F.col("event_id").alias("input_no"))
 query("ingest_metrics", lambda g, s, d: ingest.ingest_metrics(g, _met(s), 18 * BASE)[0].edges.where(f"id >= {18 * BASE} AND edge_type = 'DESCRIPTION' AND graph = 'trade'").select("id", "src", "dst"), f"SELECT {18 * BASE} + e.event_id AS id, {18 * BASE} + e.event_id AS src, {7 * BASE} + e.event_id * 2 AS dst FROM events e WHERE {7 * BASE} + e.event_id * 2 IN (SELECT id FROM nodes WHERE node_type = 'STRUCTURE')")
 query("ingest_metrics_rejects", lambda g, s, d: ingest.ingest_metrics(g, _met(s), 18 * BASE)[1].select("input_no"), f"SELECT event_id AS input_no FROM events WHERE {7 * BASE} + event_id * 2 NOT IN (SELECT id FROM nodes WHERE node_type = 'STRUCTURE')")
+_kinds = lambda s: _met(s).drop("value").join(s.table("events").select(F.col("event_id").alias("input_no"), F.element_at(F.array(F.lit("INT"), F.lit("STRING"), F.lit("BOOLEAN"), F.lit("DATETIME"), F.lit("TWO_D_VECTOR")), (F.col("event_id") % 5 + 1).cast("int")).alias("kind"), F.element_at(F.array(F.when(F.col("event_id") % 3 == 0, "many").otherwise(F.concat(F.lit("0"), F.col("event_id").cast("string"))), F.col("event_type"), F.when(F.col("event_id") % 2 == 0, "TRUE").otherwise("perhaps"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, "[1, 2.5]").otherwise("[1]")), (F.col("event_id") % 5 + 1).cast("int")).alias("value")), "input_no")
+query(
+    "ingest_metrics_kinds",
+    lambda g, s, d: ingest.ingest_metrics(g, _kinds(s), 18 * BASE)[0].nodes.where(f"id >= {18 * BASE} AND id < {19 * BASE}").select("id", F.when(F.col("value").contains("-"), F.substring("value", 1, 19)).otherwise(F.col("value")).alias("value"), "value_float"),
+    f"SELECT {18 * BASE} + event_id AS id, CASE event_id % 5 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN event_type WHEN 2 THEN 'true' WHEN 3 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE '[1.0,2.5]' END AS value, CASE WHEN event_id % 5 = 0 THEN CAST(event_id AS DOUBLE) END AS value_float FROM events WHERE {7 * BASE} + event_id * 2 IN (SELECT id FROM nodes WHERE node_type = 'STRUCTURE') AND NOT (event_id % 5 = 0 AND event_id % 3 = 0) AND NOT (event_id % 5 IN (2, 4) AND event_id % 2 = 1)",
+)
 _mea = lambda s: s.table("events").select(F.lit("trade").alias("graph"), (F.lit(7 * BASE) + F.col("event_id")).alias("src"), (F.lit(3 * BASE) + F.col("user_id") * 2).alias("dst"), F.lit("seen").alias("label"), F.lit(106).cast("bigint").alias("category_id"), F.col("ts").alias("valid_from"), F.col("event_id").alias("input_no"))
 query("ingest_measurements", lambda g, s, d: ingest.ingest_measurements(g, _mea(s), 19 * BASE)[0].edges.where("label = 'seen'").select("id", "src", "dst", "valid_from"), f"SELECT {19 * BASE} + event_id AS id, {7 * BASE} + event_id AS src, {3 * BASE} + user_id * 2 AS dst, ts AS valid_from FROM events WHERE {3 * BASE} + user_id * 2 IN (SELECT id FROM nodes WHERE node_type = 'ENTITY')")
 query("associate_structures", lambda g, s, d: ingest.associate_structures(g, s.table("documents").select(F.lit("corpus").alias("graph"), F.lit("@corpus/document").alias("identifier"), F.col("doc_id").cast("string").alias("object"), F.lit(14 * BASE + 3).alias("dst"), F.lit("linked").alias("label"), F.lit(107).cast("bigint").alias("category_id"), F.col("doc_id").alias("input_no")), 20 * BASE)[0].edges.where("label = 'linked'").select("id", "src", "dst"), f"SELECT {20 * BASE} + doc_id AS id, {10 * BASE} + doc_id AS src, {14 * BASE + 3} AS dst FROM documents WHERE {14 * BASE + 3} IN (SELECT id FROM nodes)")
@@ -313,13 +336,41 @@ query("ingest_relations", lambda g, s, d: ingest.ingest_relations(g, _rel(s), 21
 query("ingest_relations_rejects", lambda g, s, d: ingest.ingest_relations(g, _rel(s), 21 * BASE)[1].select("input_no", "missing"), "SELECT c_custkey AS input_no, 'dst' AS missing FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 query(
     "set_edge_metric",
-    lambda g, s, d: ingest.set_edge_metric(_bag(s).select(F.lit("trade").alias("graph"), F.col("event_id").alias("id"), "props"), s.table("events").where("event_id % 3 = 0").select(F.lit("trade").alias("graph"), F.col("event_id").alias("id"), F.lit("set").alias("value")), "kind")[0].select("id", F.col("props")["kind"].alias("kind"), F.size("props").cast("bigint").alias("n")),
-    "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'set' ELSE event_type END AS kind, CAST(4 AS BIGINT) AS n FROM events",
+    lambda g, s, d: ingest.set_edge_metric(_bag(s).select(F.lit("trade").alias("graph"), F.col("event_id").alias("id"), "props"), s.table("events").where("event_type <> 'view'").select(F.lit("trade").alias("graph"), F.col("event_id").alias("id"), F.lit("set").alias("value")), "kind")[0].select("id", F.col("props")["kind"].alias("kind"), F.size("props").cast("bigint").alias("n")),
+    "SELECT event_id AS id, CASE WHEN event_type <> 'view' THEN 'set' ELSE event_type END AS kind, CAST(4 AS BIGINT) AS n FROM events",
 )
-_rec = lambda g, kind: ingest.record_events(g, g.nodes.where(f"node_type = '{kind}'").select("graph", F.col("id").alias("event_id"), "category_id", "external_id", "valid_from"), roles.participants(g), kind)
+_rec = lambda g, kind: ingest.record_events(g, g.nodes.where(f"node_type = '{kind}'").select("graph", F.col("id").alias("event_id"), "category_id", "external_id", "valid_from"), roles.participants(g), kind, _fresh())
 _ok = "v.node_type = '{k}' AND v.id NOT IN (SELECT event_id FROM res WHERE outcome IN ('missing', 'too_many'))"
-query("record_protocol_events", lambda g, s, d: _rec(g, "PROTOCOL_EVENT")[0].select("id", "external_id", "valid_from"), f", {_resolved} SELECT v.id, v.external_id, v.valid_from FROM nodes v WHERE {_ok.format(k='PROTOCOL_EVENT')}")
-query("record_natural_events", lambda g, s, d: _rec(g, "NATURAL_EVENT")[1].select("src", "dst", "role"), f", {_resolved} SELECT p.member_id AS src, p.event_id AS dst, p.role FROM parts p JOIN nodes v ON v.id = p.event_id WHERE {_ok.format(k='NATURAL_EVENT')} AND p.direction = 'in'")
+query("record_protocol_events", lambda g, s, d: _rec(g, "PROTOCOL_EVENT")[0].where("node_type = 'PROTOCOL_EVENT'").select("id", "external_id", "valid_from"), f", {_resolved} SELECT v.id, v.external_id, v.valid_from FROM nodes v WHERE {_ok.format(k='PROTOCOL_EVENT')}")
+query("record_natural_events", lambda g, s, d: _rec(g, "NATURAL_EVENT")[1].select("src", "dst", "role"), f", {_resolved} SELECT p.member_id AS src, p.event_id AS dst, p.role FROM parts p JOIN nodes v ON v.id = p.event_id WHERE {_ok.format(k='NATURAL_EVENT')} AND p.direction = 'in' UNION ALL SELECT {24 * BASE} + v.id % {BASE}, v.id, 'swab' FROM nodes v WHERE {_ok.format(k='NATURAL_EVENT')}")
+
+
+def _event_inputs(s: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Orders as protocol events: even ones are known by their external id; every seventh has nobody who ships it, which is an error."""
+    o = s.table("orders")
+    key = F.col("o_orderkey")
+    variables = F.array(F.struct(F.lit("priority").alias("key"), F.col("o_orderpriority").alias("value"))).cast(VARIABLES)
+    inputs = o.select(F.lit("trade").alias("graph"), F.lit(6).cast("bigint").alias("category_id"), F.when(key % 2 == 0, key.cast("string")).otherwise(F.concat(F.lit("again"), key.cast("string"))).alias("external_id"), F.lit("repeated").alias("name"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), variables.alias("variables"), key.alias("input_no"))
+    filler = lambda direction, role, member, quantity: o.select(F.lit("trade").alias("graph"), key.alias("input_no"), F.lit(direction).alias("direction"), F.lit(role).alias("role"), member.cast("bigint").alias("member_id"), F.lit(quantity).cast("double").alias("quantity"))
+    fillers = filler("in", "buyer", 3 * BASE + F.col("o_custkey"), None).unionByName(filler("in", "consumed", 5 * BASE + 1 + key % 50, 2.5)).unionByName(filler("out", "shipped_by", 4 * BASE + 1 + key % 9, None).where("input_no % 7 <> 0"))
+    return inputs, fillers
+
+
+_recorded = lambda g, s: ingest.upsert_events(g, *_event_inputs(s), 23 * BASE, sequence={"start": 1})
+_known = f"CASE WHEN o_orderkey % 2 = 0 THEN {6 * BASE} + o_orderkey ELSE {23 * BASE} + o_orderkey END"
+query(
+    "record_protocol_events_upsert",
+    lambda g, s, d: _recorded(g, s)[0].nodes.where("node_type = 'PROTOCOL_EVENT' AND variables IS NOT NULL").select("id", "external_id", "name", "valid_from", "valid_to", F.col("variables")[0]["value"].alias("priority")),
+    f"SELECT {_known} AS id, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE concat('again', CAST(o_orderkey AS VARCHAR)) END AS external_id, 'repeated' AS name, o_orderdate AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to, o_orderpriority AS priority FROM orders WHERE o_orderkey % 7 <> 0",
+)
+query("record_protocol_events_kept", lambda g, s, d: _recorded(g, s)[0].nodes.where("node_type = 'PROTOCOL_EVENT' AND variables IS NULL").select("id", "valid_from", "valid_to"), "SELECT id, valid_from, valid_to FROM nodes WHERE node_type = 'PROTOCOL_EVENT' AND NOT (local_seq IS NOT NULL) AND (CAST(external_id AS BIGINT) % 2 = 1 OR CAST(external_id AS BIGINT) % 7 = 0)")
+query("record_protocol_events_sequence", lambda g, s, d: _recorded(g, s)[0].nodes.where("node_type = 'PROTOCOL_EVENT' AND local_seq IS NOT NULL").select("id", "local_seq"), f"SELECT * FROM (SELECT {23 * BASE} + o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS local_seq FROM orders WHERE o_orderkey % 2 = 1) q WHERE (id - {23 * BASE}) % 7 <> 0")
+query(
+    "record_protocol_events_edges",
+    lambda g, s, d: roles.participants(_recorded(g, s)[0]).where(f"event_id >= {23 * BASE}").select("event_id", "direction", "role", "member_id", "quantity"),
+    f"SELECT {23 * BASE} + o_orderkey AS event_id, x.direction, x.role, CASE x.role WHEN 'buyer' THEN {3 * BASE} + o_custkey WHEN 'consumed' THEN {5 * BASE + 1} + o_orderkey % 50 WHEN 'shipped_by' THEN {4 * BASE + 1} + o_orderkey % 9 ELSE a.id END AS member_id, CASE WHEN x.role = 'consumed' THEN 2.5 END::DOUBLE AS quantity FROM orders CROSS JOIN (VALUES ('in', 'buyer'), ('in', 'consumed'), ('out', 'shipped_by'), ('in', 'packaging')) x(direction, role) LEFT JOIN (SELECT min(n.id) AS id FROM nodes n JOIN role_defs r ON r.default_use_active = n.category_id WHERE n.node_type = 'REAGENT' AND n.active) a ON x.role = 'packaging' WHERE o_orderkey % 2 = 1 AND o_orderkey % 7 <> 0",
+)
+query("record_protocol_events_errors", lambda g, s, d: _recorded(g, s)[1].select("event_id", "role", "outcome"), f"SELECT {_known} AS event_id, 'shipped_by' AS role, 'missing' AS outcome FROM orders WHERE o_orderkey % 7 = 0")
 query("in_edges_for_event", lambda g, s, d: ingest.in_edges_for_event(roles.participants(g)).drop("graph"), f", {_parts} SELECT member_id AS src, event_id AS dst, role AS label, role, quantity FROM parts WHERE direction = 'in'")
 query("out_edges_for_event", lambda g, s, d: ingest.out_edges_for_event(roles.participants(g)).drop("graph"), f", {_parts} SELECT event_id AS src, member_id AS dst, role AS label, role, quantity FROM parts WHERE direction = 'out'")
 query(
@@ -337,13 +388,40 @@ def _round_trip(g: Graph, s: SparkSession, d: str) -> DataFrame:
 
 
 query("sink_parquet", _round_trip, "SELECT graph, edge_type, count(*) AS n, max(id) AS top FROM edges GROUP BY ALL")
+
+
+def _dropped(g: Graph, s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s)
+    ingest.sink_parquet(g, path)
+    ingest.drop_stored_graph(s, path, "trade")
+    return ingest.read_parquet(s, path).edges.select(E)
+
+
+def _manifest(g: Graph, s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s)
+    for day in ("2024-01-10", "2024-01-15", "2024-01-15"):
+        ingest.snapshot_view(temporal.graph_as_of(g, day).nodes.select("graph", "id"), path, "nodes", day, valid_to=day)
+    return ingest.snapshot_manifest(s, path).drop("materialized_at", "valid_from")
+
+
+query("drop_stored_graph", _dropped, f"SELECT {EDGE} FROM edges WHERE graph <> 'trade'")
+query("snapshot_manifest", _manifest, "SELECT 'nodes' AS view, d.as_of, CAST(d.as_of AS TIMESTAMP) AS valid_to, count(*) AS n_rows FROM nodes JOIN (VALUES ('2024-01-10'), ('2024-01-15')) d(as_of) ON created_at IS NULL OR created_at <= CAST(d.as_of AS TIMESTAMP) GROUP BY d.as_of")
 query("snapshot_view", lambda g, s, d: ingest.snapshot_view(agg.entity_metric_summary(temporal.graph_as_of(g, T2)).select("entity_id", "metric_category", "n"), scratch(s), "summary", "2024-01-15").select("entity_id", "metric_category", "n"), f"SELECT y.id AS entity_id, m.category_id AS metric_category, count(*) AS n {_mp} AND (m.created_at IS NULL OR m.created_at <= TIMESTAMP '{T2}') AND (x.valid_from IS NULL OR x.valid_from <= TIMESTAMP '{T2}') GROUP BY 1, 2")
 query("decode_graph_values", lambda g, s, d: codec.decode_graph_values(codec.encode_nodes(g.nodes).drop("id")).select("id", "label", "kind", F.col("properties")["name"].alias("name")), "SELECT id, label, 'vertex' AS kind, name FROM nodes")
-query(
-    "decode_paths",
-    lambda g, s, d: codec.decode_paths(codec.encode_edges(g.edges.where("edge_type = 'RELATION'")).join(codec.encode_nodes(g.nodes).withColumnsRenamed({"value": "v", "id": "nid"}), F.col("id") % 1000 == F.col("nid") % 1000, "left").groupBy("id").agg(F.first("value").alias("e"), F.min("v").alias("v")).select(F.concat(F.lit("["), F.coalesce("v", F.lit("")), F.lit(", "), F.col("e"), F.lit("]::path")).alias("path")))[1].select("id", "label", "start_id", "end_id"),
-    "SELECT id, label, src AS start_id, dst AS end_id FROM edges WHERE edge_type = 'RELATION'",
-)
+
+
+def _encoded_paths(g: Graph) -> DataFrame:
+    """Each relation as a path of text: its source, itself, its target."""
+    ends = codec.encode_nodes(g.nodes)
+    edges = g.edges.where("edge_type = 'RELATION'")
+    text = codec.encode_edges(edges).join(edges.select("id", "src", "dst"), "id")
+    for end in ("src", "dst"):
+        text = text.join(ends.select(F.col("id").alias(end), F.col("value").alias(f"{end}_value")), end)
+    return text.select(F.concat(F.lit("["), F.concat_ws(", ", "src_value", "value", "dst_value"), F.lit("]::path")).alias("path"))
+
+
+query("decode_paths", lambda g, s, d: codec.decode_paths(_encoded_paths(g))[1].select("id", "label", "start_id", "end_id"), "SELECT id, label, src AS start_id, dst AS end_id FROM edges WHERE edge_type = 'RELATION'")
+query("decode_paths_nodes", lambda g, s, d: codec.decode_paths(_encoded_paths(g))[0].select("id", "label", F.col("properties")["name"].alias("name")), "SELECT id, label, name FROM nodes WHERE id IN (SELECT src FROM edges WHERE edge_type = 'RELATION' UNION ALL SELECT dst FROM edges WHERE edge_type = 'RELATION')")
 
 # audits
 query("audit_metric_attachment", lambda g, s, d: audit.audit_metric_attachment(g.with_edges(g.edges.where("label <> 'DESCRIBES' OR id % 11 <> 0"))).select("id"), "SELECT id FROM nodes WHERE node_type = 'METRIC' AND id NOT IN (SELECT src FROM edges WHERE edge_type = 'DESCRIPTION' AND id % 11 <> 0)")
@@ -373,11 +451,21 @@ def _facts(g: Graph, s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{path}/facts").select("kind", "id", "src", "dst", "value")
 
 
-def _upserted(g: Graph, s: SparkSession, d: str) -> DataFrame:
+def _stream_state(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s)
     inputs = stream.read_events(s, d).select("user_id", F.col("event_type").alias("name"), F.struct("ts", "event_id").alias("at"))
     stream.stream_upsert_entities(inputs, stream.upsert_by_batch(path, ["user_id"], "at"), f"{path}-checkpoint").awaitTermination()
-    return stream.newest_version(s, path, f"{path}-checkpoint").select("user_id", "name")
+    return stream.upserted(s, path, f"{path}-checkpoint", ["user_id"], "at")
+
+
+def _upserted(g: Graph, s: SparkSession, d: str) -> DataFrame:
+    return _stream_state(s, d).select("user_id", "name")
+
+
+def _ingested(g: Graph, s: SparkSession, d: str) -> DataFrame:
+    """The stream's state, by ``ingest_entities``, in the graph: users that are customers get the name of their last event, others are new."""
+    users = _stream_state(s, d).select(F.lit("trade").alias("graph"), F.lit(3).cast("bigint").alias("category_id"), F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("external_id"), "name", F.col("at.ts").cast("timestamp_ntz").alias("created_at"), F.col("user_id").alias("input_no"))
+    return ingest.ingest_entities(g, users, 25 * BASE).nodes.where("category_id = 3 AND node_type = 'ENTITY'").select("id", "external_id", "name")
 
 
 def _deduped(g: Graph, s: SparkSession, d: str) -> DataFrame:
@@ -398,6 +486,11 @@ def _history(g: Graph, s: SparkSession, d: str) -> DataFrame:
 
 query("stream_ingest_facts", _facts, f"SELECT 'structure' AS kind, {7 * BASE} + event_id AS id, CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst, CAST(NULL AS DOUBLE) AS value FROM events UNION ALL SELECT 'metric', {8 * BASE} + event_id, NULL, NULL, value FROM events UNION ALL SELECT 'measurement', {7 * BASE} + event_id, {7 * BASE} + event_id, {3 * BASE} + user_id, NULL FROM events UNION ALL SELECT 'description', {8 * BASE} + event_id, {8 * BASE} + event_id, {7 * BASE} + event_id, NULL FROM events")
 query("stream_upsert_entities", _upserted, "SELECT user_id, event_type AS name FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) q WHERE r = 1")
+query(
+    "stream_upsert_graph",
+    _ingested,
+    f", lst AS (SELECT concat('Customer#', lpad(CAST(user_id AS VARCHAR), 9, '0')) AS external_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) q WHERE r = 1) SELECT coalesce(n.id, {25 * BASE} + l.user_id) AS id, coalesce(n.external_id, l.external_id) AS external_id, CASE WHEN l.external_id IS NOT NULL THEN l.event_type ELSE n.name END AS name FROM (SELECT * FROM nodes WHERE category_id = 3 AND node_type = 'ENTITY') n FULL OUTER JOIN lst l ON l.external_id = n.external_id",
+)
 query("stream_history_events", _history, "SELECT event_id, user_id, event_type AS change FROM events WHERE user_id = 7")
 query("stream_dedupe", _deduped, "SELECT event_id, user_id FROM events")
 
@@ -408,4 +501,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The WITH clause before each query's SQL; one that begins with a comma goes on with it."""
-    return {name: (WITH.rstrip() + sql if sql.startswith(",") else f"{WITH}{sql}") for name, (_, sql) in FOUND.items() if sql is not None}
+    return {name: (ORACLE_WITH.rstrip() + sql if sql.startswith(",") else f"{ORACLE_WITH}{sql}") for name, (_, sql) in FOUND.items() if sql is not None}

@@ -5,12 +5,15 @@ Nodes and edges have fixed, well-known columns; ids are unique within a graph. A
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NODE_COLUMNS = ("graph", "id", "label", "node_type", "category_id", "category_type", "external_id", "name", "identifier", "object", "active", "value_float", "created_at", "valid_from")
+NODE_COLUMNS = ("graph", "id", "label", "node_type", "category_id", "category_type", "external_id", "name", "identifier", "object", "active", "value_float", "created_at", "valid_from", "valid_to", "local_seq", "value", "variables")
+#: Variables of a protocol event.
+VARIABLES = "array<struct<key:string,value:string>>"
 EDGE_COLUMNS = ("graph", "id", "label", "edge_type", "category_id", "src", "dst", "role", "quantity", "valid_from", "valid_to")
 NODE_TYPES = ("ENTITY", "REAGENT", "STRUCTURE", "METRIC", "NATURAL_EVENT", "PROTOCOL_EVENT")
 EDGE_TYPES = ("MEASUREMENT", "RELATION", "PARTICIPANT", "DESCRIPTION")
@@ -39,6 +42,17 @@ class Graph:
         return Graph(self.nodes.where(F.col("graph") == graph), self.edges.where(F.col("graph") == graph), self.catalog)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; unset, a temporary one in local mode, else an error."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftgraph-"))
+    return context.getCheckpointDir()
+
+
 def global_id(id_: str | Column = "id", graph: str | Column = "graph") -> Column:
     return F.concat(graph, F.lit(":"), F.col(id_).cast("string") if isinstance(id_, str) else id_.cast("string"))
 

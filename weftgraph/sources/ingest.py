@@ -6,15 +6,13 @@ leaves nothing behind. New ids are ``new_ids`` plus the input's own number ``inp
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.names import parse_structure_refs
-from weftgraph.operators.aggregate import latest_per_external_id
-from weftgraph.operators.roles import active_reagent, resolve_roles, resolved_edges, set_active_reagent
-from weftgraph.schema import EDGE_COLUMNS, NODE_COLUMNS, Graph
+from weftgraph.operators.aggregate import latest_per_external_id, numbered
+from weftgraph.operators.roles import active_reagent, new_reagents, resolve_roles, resolved_edges, set_active_reagent
+from weftgraph.schema import EDGE_COLUMNS, NODE_COLUMNS, VALUE_TYPES, VECTOR_SIZES, Graph
 
 
 def _shaped(df: DataFrame, columns: tuple[str, ...], like: DataFrame, **fixed) -> DataFrame:
@@ -26,33 +24,36 @@ def _shaped(df: DataFrame, columns: tuple[str, ...], like: DataFrame, **fixed) -
     return df.select(*made)
 
 
-def _upsert(g: Graph, inputs: DataFrame, label: str, node_type: str, new_ids: int) -> Graph:
-    """inputs: graph, category_id, name, external_id, created_at, input_no. The last of a key holds; no key always appends."""
+def _given(g: Graph, node_type: str) -> DataFrame:
+    """(category_id, n_given): how many running numbers each category has given."""
+    return g.nodes.where((F.col("node_type") == node_type) & F.col("local_seq").isNotNull()).groupBy("category_id").agg(F.count("*").alias("n_given"))
+
+
+def _upsert(g: Graph, inputs: DataFrame, label: str, node_type: str, new_ids: int, sequence: dict | None = None, changed: tuple[str, ...] = ("name", "created_at")) -> Graph:
+    """inputs: graph, category_id, external_id, created_at, input_no and what is ``changed``. The last of a key holds, with its nulls; no key always appends.
+
+    sequence: start, step, least, most or cycle of ``numbered``, for the numbers that new nodes get, in order of input_no; they go
+    on from those that their categories have given.
+    """
     key = ["graph", "category_id", "external_id"]
-    last = latest_per_external_id(inputs, ["graph", "category_id", "external_id"], ["created_at", "input_no"])
-    mine = g.nodes.where((F.col("node_type") == node_type) & F.col("external_id").isNotNull())
-    others = g.nodes.where(~((F.col("node_type") == node_type) & F.col("external_id").isNotNull()))
-    keyed = last.where("external_id IS NOT NULL").select(*key, F.col("name").alias("in_name"), F.col("created_at").alias("in_at"), "input_no")
-    met = mine.join(keyed, key, "full_outer")
-    found = {
-        "id": F.coalesce("id", F.lit(new_ids) + F.col("input_no")),
-        "label": F.coalesce("label", F.lit(label)),
-        "node_type": F.lit(node_type),
-        "name": F.coalesce("in_name", "name"),
-        "created_at": F.coalesce("in_at", "created_at"),
-    }
-    loose = last.where("external_id IS NULL").withColumn("id", F.lit(new_ids) + F.col("input_no"))
-    parts = [others.select(*NODE_COLUMNS), _shaped(met, NODE_COLUMNS, g.nodes, **found), _shaped(loose, NODE_COLUMNS, g.nodes, label=label, node_type=node_type)]
-    return g.with_nodes(reduce(DataFrame.unionByName, parts))
-
-
-def ingest_entities(g: Graph, inputs: DataFrame, new_ids: int) -> Graph:
-    return _upsert(g, inputs, "Entity", "ENTITY", new_ids)
-
-
-def ingest_reagents(g: Graph, inputs: DataFrame, new_ids: int) -> Graph:
+    last = latest_per_external_id(inputs, key, ["created_at", "input_no"])
+    mine = (F.col("node_type") == node_type) & F.col("external_id").isNotNull()
+    olds, others = g.nodes.where(mine), g.nodes.where(~F.coalesce(mine, F.lit(False)))
+    found = olds.join(last.where("external_id IS NOT NULL").select(*key, F.lit(True).alias("_met"), *[F.col(c).alias(f"_{c}") for c in changed]), key, "left")
+    updated = found.withColumns({c: F.when(F.col("_met"), F.col(f"_{c}")).otherwise(F.col(c)) for c in changed})
+    created = last.join(olds.select(*key), key, "left_anti").withColumn("id", F.lit(new_ids) + F.col("input_no"))
+    if sequence is not None:
+        created = numbered(created, "category_id", "input_no", given=_given(g, node_type), **sequence)
+    return g.with_nodes(others.select(*NODE_COLUMNS).unionByName(updated.select(*NODE_COLUMNS)).unionByName(_shaped(created, NODE_COLUMNS, g.nodes, label=label, node_type=node_type)))
+
+
+def ingest_entities(g: Graph, inputs: DataFrame, new_ids: int, sequence: dict | None = None) -> Graph:
+    return _upsert(g, inputs, "Entity", "ENTITY", new_ids, sequence)
+
+
+def ingest_reagents(g: Graph, inputs: DataFrame, new_ids: int, sequence: dict | None = None) -> Graph:
     """As entities; inputs with set_active then make their reagent the active one of its category."""
-    made = _upsert(g, inputs, "Reagent", "REAGENT", new_ids)
+    made = _upsert(g, inputs, "Reagent", "REAGENT", new_ids, sequence)
     if "set_active" not in inputs.columns:
         return made
     asked = inputs.where("set_active AND external_id IS NOT NULL").select("graph", "category_id", "external_id", F.col("input_no").alias("seq"))
@@ -66,8 +67,6 @@ def ingest_structures(g: Graph, inputs: DataFrame, new_ids: int, new_categories:
 
     Identifiers without a category get one, numbered from ``new_categories`` in order of graph and identifier.
     """
-    from weftgraph.operators.aggregate import numbered
-
     parsed, bad = parse_structure_refs(inputs)
     parsed = inputs.join(parsed.distinct(), "ref")
     known = g.catalog["categories"].where("kind = 'STRUCTURE'").select("graph", F.col("name").alias("identifier"), F.col("category_id").cast("bigint"))
@@ -79,13 +78,34 @@ def ingest_structures(g: Graph, inputs: DataFrame, new_ids: int, new_categories:
     return Graph(g.nodes.select(*NODE_COLUMNS).unionByName(nodes), g.edges, catalog), bad
 
 
+def typed_text(value: str, kind: str) -> Column:
+    """A value's text in the form of its kind, null if it isn't one of that kind (or the kind is unknown)."""
+    v, out = F.col(value).cast("string"), F.lit(None).cast("string")
+    for name, type_ in VALUE_TYPES.items():
+        out = F.when(F.col(kind) == name, v.try_cast(type_).cast("string")).otherwise(out)
+    for name, size in VECTOR_SIZES.items():
+        parsed = F.from_json(v, "array<double>")
+        good = F.forall(parsed, lambda x: x.isNotNull()) & (F.size(parsed) == size if size else F.size(parsed) > 0)
+        out = F.when(F.col(kind) == name, F.when(good, F.to_json(parsed))).otherwise(out)
+    return out
+
+
 def ingest_metrics(g: Graph, inputs: DataFrame, new_ids: int) -> tuple[Graph, DataFrame]:
-    """(graph with a Metric node and a DESCRIBES edge per input, inputs without their structure). inputs: graph, structure_id, category_id, value, created_at, input_no."""
+    """(graph with a Metric node and a DESCRIBES edge per input, inputs without their structure or with a value that isn't of their kind).
+
+    inputs: graph, structure_id, category_id, value, created_at, input_no, and kind if values are typed: such a value is kept as text in
+    ``value``, and as a number in ``value_float`` if it is one. Without a kind, values are numbers.
+    """
     structures = g.nodes.where("node_type = 'STRUCTURE'").select("graph", F.col("id").alias("structure_id"))
-    good = inputs.join(structures, ["graph", "structure_id"], "left_semi").withColumn("id", F.lit(new_ids) + F.col("input_no"))
-    nodes = _shaped(good, NODE_COLUMNS, g.nodes, label="Metric", node_type="METRIC", value_float=F.col("value").cast("double"))
+    typed = "kind" in inputs.columns
+    text = F.when(F.col("kind").isNotNull(), typed_text("value", "kind")) if typed else F.lit(None).cast("string")
+    read = inputs.withColumn("_text", text)
+    fine = (F.col("kind").isNull() | F.col("value").isNull() | F.col("_text").isNotNull()) if typed else F.lit(True)
+    number = F.when(F.coalesce(F.col("kind"), F.lit("FLOAT")).isin("INT", "FLOAT"), F.col("value").try_cast("double")) if typed else F.col("value").cast("double")
+    good = read.where(fine).join(structures, ["graph", "structure_id"], "left_semi").withColumn("id", F.lit(new_ids) + F.col("input_no"))
+    nodes = _shaped(good, NODE_COLUMNS, g.nodes, label="Metric", node_type="METRIC", value_float=number, value=F.col("_text"))
     edges = _shaped(good, EDGE_COLUMNS, g.edges, label="DESCRIBES", edge_type="DESCRIPTION", src=F.col("id"), dst=F.col("structure_id"), category_id=None)
-    bad = inputs.join(structures, ["graph", "structure_id"], "left_anti")
+    bad = read.where(fine).join(structures, ["graph", "structure_id"], "left_anti").unionByName(read.where(~fine)).select(*inputs.columns)
     return Graph(g.nodes.select(*NODE_COLUMNS).unionByName(nodes), g.edges.select(*EDGE_COLUMNS).unionByName(edges), g.catalog), bad
 
 
@@ -137,17 +157,43 @@ def out_edges_for_event(rows: DataFrame) -> DataFrame:
     return event_edges(rows, "out")
 
 
-def record_events(g: Graph, events: DataFrame, fillers: DataFrame, node_type: str = "PROTOCOL_EVENT") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(event nodes, participant edges, errors). Roles are resolved first; an event with an error is not written.
+def record_events(g: Graph, events: DataFrame, fillers: DataFrame, node_type: str = "PROTOCOL_EVENT", reagent_id: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, participant edges, errors). Roles are resolved first; an event with an error is not written.
 
-    events: graph, event_id, category_id, external_id, valid_from. fillers: graph, event_id, direction, role, member_id, quantity.
+    events: graph, event_id, category_id, external_id, valid_from, and valid_to, name, created_at, variables, local_seq if there are any.
+    fillers: graph, event_id, direction, role, member_id, quantity. nodes: the events, and the reagents that are new for their roles,
+    with ids as ``roles.new_reagents`` gives them.
     """
     resolved = resolve_roles(events, fillers, g.catalog["role_defs"], active_reagent(g))
-    rows, errors = resolved_edges(resolved, fillers)
+    rows, errors = resolved_edges(resolved, fillers, reagent_id)
     good = events.join(errors.select("graph", "event_id").distinct(), ["graph", "event_id"], "left_anti")
     label = "ProtocolEvent" if node_type == "PROTOCOL_EVENT" else "NaturalEvent"
     nodes = _shaped(good.withColumn("id", F.col("event_id")), NODE_COLUMNS, g.nodes, label=label, node_type=node_type)
-    return nodes, in_edges_for_event(rows).unionByName(out_edges_for_event(rows)), errors
+    reagents = _shaped(new_reagents(resolved, reagent_id), NODE_COLUMNS, g.nodes, label="Reagent", node_type="REAGENT")
+    return nodes.unionByName(reagents), in_edges_for_event(rows).unionByName(out_edges_for_event(rows)), errors
+
+
+def upsert_events(g: Graph, inputs: DataFrame, fillers: DataFrame, new_ids: int, node_type: str = "PROTOCOL_EVENT", sequence: dict | None = None, reagent_id: Column | None = None) -> tuple[Graph, DataFrame]:
+    """(graph with the events and their participant edges, errors). An event whose external id its category has already is updated: name, times, window and variables.
+
+    inputs: graph, category_id, external_id, name, created_at, valid_from, valid_to, variables, input_no; the last of an external id
+    holds. fillers: graph, input_no, direction, role, member_id, quantity. A participant edge's id is a hash of event, role and member.
+    """
+    key = ["graph", "category_id", "external_id"]
+    last = latest_per_external_id(inputs, key, ["created_at", "input_no"])
+    known = g.nodes.where((F.col("node_type") == node_type) & F.col("external_id").isNotNull()).select(*key, F.col("id").alias("_known"), F.col("local_seq").alias("_seq"), "category_type")
+    met = last.join(known, key, "left").withColumn("event_id", F.coalesce("_known", F.lit(new_ids) + F.col("input_no")))
+    members = fillers.join(met.select("graph", "input_no", "event_id"), ["graph", "input_no"]).select("graph", "event_id", "direction", "role", "member_id", "quantity")
+    if sequence is not None:
+        fresh = numbered(met.where("_known IS NULL").select("category_id", "event_id", "input_no"), "category_id", "input_no", given=_given(g, node_type), **sequence)
+        met = met.join(fresh.select("event_id", F.col("local_seq").alias("_new")), "event_id", "left").withColumn("local_seq", F.coalesce("_seq", "_new"))
+    else:
+        met = met.withColumn("local_seq", F.col("_seq"))
+    nodes, edges, errors = record_events(g, met, members, node_type, reagent_id)
+    kept = g.nodes.join(nodes.select("graph", "id"), ["graph", "id"], "left_anti")
+    hashed = F.xxhash64("graph", "src", "dst", "role").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    made = _shaped(edges.distinct().withColumn("id", hashed), EDGE_COLUMNS, g.edges, edge_type="PARTICIPANT", category_id=None)
+    return Graph(kept.select(*NODE_COLUMNS).unionByName(nodes), g.edges.select(*EDGE_COLUMNS).unionByName(made), g.catalog), errors
 
 
 def catalog_upsert(categories: DataFrame, inputs: DataFrame, keys: tuple[str, ...] = ("graph", "kind", "name")) -> DataFrame:
@@ -159,10 +205,18 @@ def catalog_upsert(categories: DataFrame, inputs: DataFrame, keys: tuple[str, ..
 
 
 def drop_graph_partition(g: Graph, graph: str) -> Graph:
-    """All facts but those of one graph; written with dynamic partition overwrite, only its partition goes."""
+    """All facts but those of one graph."""
     return Graph(g.nodes.where(F.col("graph") != graph), g.edges.where(F.col("graph") != graph), g.catalog)
 
 
+def drop_stored_graph(spark: SparkSession, path: str, graph: str) -> None:
+    """Deletes the partitions of one graph from what ``sink_parquet`` has written; nothing else is touched, and a repeat does no harm."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for name in ("nodes", "edges"):
+        folder = hadoop(f"{path}/{name}/graph={graph}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def sink_parquet(g: Graph, path: str) -> None:
     """Nodes and edges as Parquet, partitioned by graph and type, so that scans prune by both."""
     g.nodes.write.mode("overwrite").partitionBy("graph", "node_type").parquet(f"{path}/nodes")
@@ -173,7 +227,20 @@ def read_parquet(spark, path: str, catalog: dict[str, DataFrame] | None = None)
     return Graph(spark.read.parquet(f"{path}/nodes").select(*NODE_COLUMNS), spark.read.parquet(f"{path}/edges").select(*EDGE_COLUMNS), catalog or {})
 
 
-def snapshot_view(result: DataFrame, path: str, name: str, as_of: str) -> DataFrame:
-    """Stores a query's result as of a time, in a partition of its own, and returns it as read from there."""
-    result.withColumns({"view": F.lit(name), "as_of": F.lit(as_of)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("view", "as_of").parquet(path)
-    return result.sparkSession.read.parquet(path).where((F.col("view") == name) & (F.col("as_of").cast("string") == as_of))
+def snapshot_view(result: DataFrame, path: str, name: str, as_of: str, valid_from: str | None = None, valid_to: str | None = None) -> DataFrame:
+    """Stores a query's result as of a time, in a partition of its own, with a row in the manifest, and returns it as read from there.
+
+    A repeat replaces both. ``snapshot_manifest`` lists view, as_of, window, number of rows and when it was stored.
+    """
+    spark = result.sparkSession
+    result.withColumns({"view": F.lit(name), "as_of": F.lit(as_of)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("view", "as_of").parquet(f"{path}/views")
+    stored = spark.read.parquet(f"{path}/views").where((F.col("view") == name) & (F.col("as_of").cast("string") == as_of))
+    window = {c: F.lit(t).cast("timestamp_ntz") for c, t in (("valid_from", valid_from), ("valid_to", valid_to))}
+    row = stored.agg(F.count("*").alias("n_rows")).withColumns({"view": F.lit(name), "as_of": F.lit(as_of), **window, "materialized_at": F.current_timestamp()})
+    row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("view", "as_of").parquet(f"{path}/manifest")
+    return stored
+
+
+def snapshot_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(view, as_of, valid_from, valid_to, n_rows, materialized_at) of all stored snapshots."""
+    return spark.read.parquet(f"{path}/manifest").select("view", F.col("as_of").cast("string").alias("as_of"), "valid_from", "valid_to", "n_rows", "materialized_at")

@@ -44,27 +44,45 @@ def stream_upsert_entities(inputs: DataFrame, upsert: Callable[[DataFrame, int],
     return inputs.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_by_batch(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """An upsert into numbered versions under ``path``: version n is version n - 1 with batch n; a repeated batch rewrites the same version.
+def upsert_by_batch(path: str, keys: list[str], order: str, compact_every: int = 50) -> Callable[[DataFrame, int], None]:
+    """An upsert that writes only what a micro-batch changes: the last row of each of its keys, under ``path/delta/batch=n``.
 
-    Of a key's rows the one with the greatest ``order`` counts, in whichever batch it comes.
+    A repeated batch rewrites the same folder. Each ``compact_every`` batches, the state so far is written under ``path/base/batch=n``,
+    so that a reader has few deltas to merge. Of a key's rows the one with the greatest ``order`` counts, in whichever batch it comes.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id:
-            batch = spark.read.parquet(f"{path}/version={batch_id - 1}").unionByName(batch)
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("x")).select(*keys, "x.*")
-        last.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        last = _last(batch, keys, order)
+        last.write.mode("overwrite").parquet(f"{path}/delta/batch={batch_id}")
+        if batch_id and batch_id % compact_every == 0:
+            _merged(batch.sparkSession, path, keys, order, batch_id).write.mode("overwrite").parquet(f"{path}/base/batch={batch_id}")
 
     return apply
 
 
-def newest_version(spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
-    """The version under ``path`` of the last batch that the stream with this checkpoint committed."""
+def _last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), order).alias("x")).select(*keys, "x.*")
+
+
+def _merged(spark: SparkSession, path: str, keys: list[str], order: str, last: int) -> DataFrame:
+    """The state after batch ``last``: the newest base before it, and all deltas after that."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path
+    files = folder(path).getFileSystem(context._jsc.hadoopConfiguration())
+
+    def batches(kind: str) -> list[int]:
+        top = folder(f"{path}/{kind}")
+        return sorted(int(s.getPath().getName().removeprefix("batch=")) for s in (files.listStatus(top) if files.exists(top) else ()))
+
+    base = max((n for n in batches("base") if n < last), default=-1)
+    parts = [f"{path}/base/batch={base}"] * (base >= 0) + [f"{path}/delta/batch={n}" for n in batches("delta") if base < n <= last]
+    return _last(spark.read.parquet(*parts), keys, order)
+
+
+def upserted(spark: SparkSession, path: str, checkpoint: str, keys: list[str], order: str) -> DataFrame:
+    """The state after the last batch that the stream with this checkpoint committed; a batch without rows left no delta, and none is needed."""
     batch = F.regexp_extract("_metadata.file_path", r"/(\d+)$", 1).cast("long")
-    last = spark.read.text(f"{checkpoint}/commits").agg(F.max(batch)).first()[0]
-    return spark.read.parquet(f"{path}/version={last}")
+    return _merged(spark, path, keys, order, spark.read.text(f"{checkpoint}/commits").agg(F.max(batch)).first()[0])
 
 
 def stream_history_events(events: DataFrame, user_id: int) -> DataFrame:
