@@ -9,7 +9,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.schema import Graph, shared_folder
+from weftgraph.schema import Graph, checkpointed
 
 
 @dataclass(frozen=True)
@@ -98,23 +98,18 @@ def lineage(g: Graph, anchors: DataFrame, direction: str = ">", max_hops: int |
     """
     edges = g.edges if labels is None else g.edges.where(F.col("label").isin(labels))
     hops = Edge("e", direction=direction).oriented(edges).select("graph", "from", "to").distinct()
-    hops = _checkpoint(hops)
+    hops = checkpointed(hops)
     frontier = anchors.select("graph", F.col("id").alias("start_id"), F.col("id").alias("node_id"), F.lit(0).alias("hops")).distinct()
     visited = frontier
     for n in count(1) if max_hops is None else range(1, max_hops + 1):
         reached = frontier.join(hops.withColumnRenamed("from", "node_id"), ["graph", "node_id"]).select("graph", "start_id", F.col("to").alias("node_id")).distinct()
-        frontier = _checkpoint(reached.join(visited, ["graph", "start_id", "node_id"], "left_anti").withColumn("hops", F.lit(n)))
+        frontier = checkpointed(reached.join(visited, ["graph", "start_id", "node_id"], "left_anti").withColumn("hops", F.lit(n)))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
     return visited.where("hops > 0")
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def measurement_path(g: Graph) -> DataFrame:
     """One row per chain Metric -> Structure -> Entity."""
     metric = g.nodes.where("node_type = 'METRIC'").select("graph", F.col("id").alias("metric_id"), F.col("category_id").alias("metric_category"), "value_float")
@@ -156,7 +151,7 @@ def path_graph(walks: DataFrame, g: Graph) -> tuple[DataFrame, DataFrame]:
     """Node set and edge set of walks (graph, start_id, end_id, edge_ids). The walks are computed once, as ids."""
     part = lambda kind, id_: F.struct(F.lit(kind).alias("kind"), id_.alias("id"))
     parts = F.array_append(F.transform("edge_ids", lambda e: part("edge", e)), part("node", F.col("start_id")))
-    ids = _checkpoint(walks.select("graph", F.explode(parts).alias("p")).select("graph", "p.kind", "p.id").distinct())
+    ids = checkpointed(walks.select("graph", F.explode(parts).alias("p")).select("graph", "p.kind", "p.id").distinct())
     edges = g.edges.join(ids.where("kind = 'edge'").select("graph", "id"), ["graph", "id"], "left_semi")
     ends = edges.select("graph", F.explode(F.array("src", "dst")).alias("id")).unionByName(ids.where("kind = 'node'").select("graph", "id")).distinct()
     return g.nodes.join(ends, ["graph", "id"], "left_semi"), edges

@@ -53,6 +53,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, where lineage and plan end: for what many parts of a job use."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def global_id(id_: str | Column = "id", graph: str | Column = "graph") -> Column:
     return F.concat(graph, F.lit(":"), F.col(id_).cast("string") if isinstance(id_, str) else id_.cast("string"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.names import parse_structure_refs
 from weftgraph.operators.aggregate import latest_per_external_id, numbered
 from weftgraph.operators.roles import active_reagent, new_reagents, resolve_roles, resolved_edges, set_active_reagent
-from weftgraph.schema import EDGE_COLUMNS, NODE_COLUMNS, VALUE_TYPES, VECTOR_SIZES, Graph
+from weftgraph.schema import EDGE_COLUMNS, NODE_COLUMNS, VALUE_TYPES, VECTOR_SIZES, Graph, checkpointed
 
 
 def _shaped(df: DataFrame, columns: tuple[str, ...], like: DataFrame, **fixed) -> DataFrame:
@@ -164,7 +164,7 @@ def record_events(g: Graph, events: DataFrame, fillers: DataFrame, node_type: st
     fillers: graph, event_id, direction, role, member_id, quantity. nodes: the events, and the reagents that are new for their roles,
     with ids as ``roles.new_reagents`` gives them.
     """
-    resolved = resolve_roles(events, fillers, g.catalog["role_defs"], active_reagent(g))
+    resolved = checkpointed(resolve_roles(events, fillers, g.catalog["role_defs"], active_reagent(g)))
     rows, errors = resolved_edges(resolved, fillers, reagent_id)
     good = events.join(errors.select("graph", "event_id").distinct(), ["graph", "event_id"], "left_anti")
     label = "ProtocolEvent" if node_type == "PROTOCOL_EVENT" else "NaturalEvent"
@@ -183,12 +183,13 @@ def upsert_events(g: Graph, inputs: DataFrame, fillers: DataFrame, new_ids: int,
     last = latest_per_external_id(inputs, key, ["created_at", "input_no"])
     known = g.nodes.where((F.col("node_type") == node_type) & F.col("external_id").isNotNull()).select(*key, F.col("id").alias("_known"), F.col("local_seq").alias("_seq"), "category_type")
     met = last.join(known, key, "left").withColumn("event_id", F.coalesce("_known", F.lit(new_ids) + F.col("input_no")))
-    members = fillers.join(met.select("graph", "input_no", "event_id"), ["graph", "input_no"]).select("graph", "event_id", "direction", "role", "member_id", "quantity")
     if sequence is not None:
         fresh = numbered(met.where("_known IS NULL").select("category_id", "event_id", "input_no"), "category_id", "input_no", given=_given(g, node_type), **sequence)
         met = met.join(fresh.select("event_id", F.col("local_seq").alias("_new")), "event_id", "left").withColumn("local_seq", F.coalesce("_seq", "_new"))
     else:
         met = met.withColumn("local_seq", F.col("_seq"))
+    met = checkpointed(met)
+    members = fillers.join(met.select("graph", "input_no", "event_id"), ["graph", "input_no"]).select("graph", "event_id", "direction", "role", "member_id", "quantity")
     nodes, edges, errors = record_events(g, met, members, node_type, reagent_id)
     kept = g.nodes.join(nodes.select("graph", "id"), ["graph", "id"], "left_anti")
     hashed = F.xxhash64("graph", "src", "dst", "role").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
