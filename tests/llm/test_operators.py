@@ -475,3 +475,45 @@ def test_chat_rows(spark):
     assert got[1].turns_sha256 == sha("user\na\nassistant\nb<|end|>\nassistant\nb<|end|>\nassistant\n\n")
     assert got[1].loss_sha256 == sha("b<|end|>b<|end|>") and got[1].loss_chars == 16
     assert chat_format.digests(chat_format.format_rows(d.limit(0))).count() == 0
+
+
+# columns of other names, and very long texts
+
+
+CLASH = ("id", "v", "rep", "leaf", "block", "slice", "rank", "score", "query", "width", "doc", "item", "coverage", "kept", "rest", "band", "n", "pieces", "toxicity", "language", "n_tokens")
+
+
+def test_clashing_columns_with_real_data(spark):
+    rng = np.random.default_rng(41)
+    x = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)).astype(np.float32))]
+    plain = vectors(spark, x)
+    clash = plain.withColumns({c: F.lit("clash") for c in CLASH})
+    both = [sorted(map(tuple, neighbours.nearest(d, F.col("vec_id") % 20 == 0, k=3).collect())) for d in (plain, clash)]
+    assert both[0] == both[1] and len(both[0]) == 9
+    r = random.Random(42)
+    items = [(i, words_of(r, 15, 900)) for i in range(4)]
+    docs = docs_of(spark, [(i, f"{words_of(r, 30, 900)} {items[i][1]} {words_of(r, 30, 900)}") for i in range(4)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    clashing = [d.withColumns({c: F.lit("clash") for c in CLASH}) for d in (docs, bench)]
+    assert {(y.doc_id, y.item_id) for y in decontamination.contaminated(*clashing).collect()} == {(i, i) for i in range(4)}
+
+
+def test_very_long_texts(spark):
+    r = random.Random(43)
+    long = words_of(r, 150_000, 3000)
+    docs = docs_of(spark, [(1, long), (2, long), (3, "x" * 300_000)])
+    model = language_id.LanguageModel(["a", "b"], {"w1": np.array([1.0, -1])}, [{"w": np.array([0.5, -0.5])}])
+    assert {y.doc_id: y.language.lang_pred for y in language_id.language_id(docs, model).collect()}[1] == "a"
+    bag = toxicity.ToxicityModel(1 << 10, np.ones(1 << 10, np.float32), prior=0.5)
+    assert all(y.toxicity == pytest.approx(1 / (1 + np.exp(-1))) for y in toxicity.toxicity(docs, bag).collect())
+    counted = token_counts.token_counts(docs, tokenizer_file("byte_bpe_50k.json")).collect()
+    assert len({y.n_tokens for y in counted if y.doc_id < 3}) == 1 and all(y.n_tokens > 1000 for y in counted)
+    coded = sentence_pieces.sentence_pieces(docs, tokenizer_file("piece_bpe_32k.model")).collect()
+    assert {y.doc_id: y.pieces.decoded for y in coded} == {y.doc_id: y.text for y in docs.collect()}
+    found = near_dedup.near_dedup(docs).collect()
+    assert {(y.doc_id, y.component_id) for y in found} == {(1, 1), (2, 1), (3, 3)}
+    cut = {y.doc_id: y for y in suffix_dedup.suffix_dedup(docs).collect()}
+    assert cut[1].n_removed == 0 and cut[2].n_removed == cut[2].n_bytes and cut[3].n_removed == 299_999
+    assert {y.doc_id: y.n_removed for y in substring_dedup.substring_dedup(docs).collect()} == {1: 0, 2: 150_000, 3: 0}
+    item = spark.createDataFrame([(7, " ".join(long.split()[70_000:70_030]))], "item_id long, text string")
+    assert {y.doc_id for y in decontamination.contaminated(docs, item).where("coverage = 1").collect()} == {1, 2}

@@ -10,7 +10,8 @@
    coverage: copies have 1, edited and paraphrased ones less.
 
 All pairs of coverage c or more are found. Null ids, null texts and texts without words take no part on either side. Of
-several passages the best counts, so a repeated document or item id has one row per pair. Other columns are ignored.
+several passages the best counts, so a repeated document or item id has one row per pair, and ties make no difference. A document
+of any length is searched whole, in overlapping pieces. Empty tables on either side give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ registers, which lies more than seven standard deviations lower, with one of abo
 
 Texts that are null or hold no word have an empty set, linked with nothing; rows with a null id stay alone and
 have no component. Rows that repeat an id are taken for one document with the union of their links. Ties don't
-arise: a component is named by its smallest id. Other columns are left alone.
+arise: a component is named by its smallest id. A text of any length has all of its shingles, held at once as 8 bytes each; empty tables
+give no rows. Other columns are left alone.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ from which no way leads on, so that each is tried once. Text is first cut wherev
 two neighbouring characters, so equal words are encoded once per worker.
 
 Null texts count as empty and give the end id alone. Characters outside the vocabulary become byte
-pieces. Ids come as text, separated by one space. Repeated rows each get their result; other columns are left alone.
+pieces. Ids come as text, separated by one space. Of merges with equal scores, the leftmost goes first. A text of any length is coded whole, word
+by word. Repeated rows each get their result; empty tables give no rows; other columns are left alone.
 """
 
 from __future__ import annotations

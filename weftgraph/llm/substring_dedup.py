@@ -8,7 +8,8 @@ statistics are held at the window's length by widening an interval to one word l
 the statistic reaches the threshold, the smallest document of the interval says if the window is a copy.
 
 Null texts hold no words; null ids and texts shorter than the window lose nothing. Rows that repeat an id are
-taken for one document. Repeats within one document stay; other columns are left alone.
+taken for one document. Repeats within one document stay; the smallest id keeps its copy, so there are no ties. A text of any length
+is searched whole, in overlapping pieces. Empty tables give no rows; other columns are left alone.
 """
 
 from __future__ import annotations

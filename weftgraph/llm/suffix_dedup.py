@@ -8,7 +8,8 @@ blocks; for each block, a suffix array is built by doubling, and the longest pre
 place is the longer of its common prefixes with the previous and the next smaller place in suffix order.
 
 Null texts count as empty; null ids and texts shorter than the window lose nothing. Rows that repeat an id
-are taken for one document. Equal documents keep the copy with the smallest id; other columns are left alone.
+are taken for one document. Equal documents keep the copy with the smallest id; place decides within one, so there are no ties. A text of
+any length is searched whole, in overlapping pieces. Empty tables give no rows; other columns are left alone.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ Two deterministic machines are compiled from a byte-level BPE tokenizer file.
   transitions with their whole count.
 
 Counts equal those of the tokenizer library for the same file, special strings inside a text included
-(each is one token). Null texts count as empty: 0 bytes, 0 tokens. Repeated rows are counted each;
-other columns are left alone. A text of any length is handled in slices of bounded size.
+(each is one token). Null texts count as empty: 0 bytes, 0 tokens. Repeated rows are counted each; empty tables give no rows; ties don't
+arise; other columns are left alone. A text of any length is handled whole, words in slices of bounded number.
 """
 
 from __future__ import annotations
