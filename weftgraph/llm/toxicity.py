@@ -30,6 +30,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 ORDERS = (3, 4, 5, 6)
 #: Of the averages, which are small: a few words of a text tell.
 SCALE = 50.0
+#: Of a worker's memory, for the values of words, which are slow to find.
+WORD_BYTES = 112 << 20
 
 
 @dataclass
@@ -67,8 +69,8 @@ class _Trainer:
         text, word, share = [], [], []
         for i, t in enumerate(texts):
             ids, n = np.unique([vocabulary.setdefault(w, len(vocabulary)) for w in t], return_counts=True)
-            text.append(np.full(len(ids), i))
-            word.append(ids)
+            text.append(np.full(len(ids), i, np.int32))
+            word.append(ids.astype(np.int32))
             share.append(n / len(t))
         self.text, self.word, self.share = (np.concatenate(x) for x in (text, word, share))
         parts = [parts_of[w] for w in vocabulary]
@@ -77,10 +79,10 @@ class _Trainer:
         for ids in word:
             seen[np.unique(np.concatenate([parts[w] for w in ids]))] += 1
         self.flat = np.flatnonzero(seen >= min_texts)  # rarer ones would only be learned by heart
-        place = np.full(buckets, -1)
+        place = np.full(buckets, -1, np.int32)
         place[self.flat] = np.arange(len(self.flat))
-        local, owner = place[np.concatenate(parts)], np.repeat(np.arange(len(parts)), self.n_parts)
-        self.local, self.owner = local[local >= 0].astype(np.int32), owner[local >= 0].astype(np.int32)
+        local, owner = place[np.concatenate(parts)], np.repeat(np.arange(len(parts), dtype=np.int32), self.n_parts)
+        self.local, self.owner = local[local >= 0], owner[local >= 0]
         rng = np.random.default_rng(seed)
         self.E, self.W, self.b = rng.normal(0, 0.01, (dim, len(self.flat))), rng.normal(0, 1, (dim, 2)), np.zeros(2)
         self.moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (self.E, self.W, self.b)]
@@ -155,7 +157,7 @@ def train(
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     if not (y[aside] == 1).any():  # too few to put any aside
         aside[:] = True
-    settings = ({w: np.array(subwords(w, buckets)) for w in set().union(*words)}, buckets, dim, min_texts, decay, rate, seed)
+    settings = ({w: np.array(subwords(w, buckets), np.int32) for w in set().union(*words)}, buckets, dim, min_texts, decay, rate, seed)
     tried = words if aside.all() else [w for w, x in zip(words, aside, strict=True) if not x]
     trainer = _Trainer(tried, y if aside.all() else y[~aside], *settings)
     bags = _Bags([w for w, x in zip(words, aside, strict=True) if x], settings[0])
@@ -187,7 +189,7 @@ def score_of(model: ToxicityModel, text: str | None, table: WordTable | None = N
     return float(sigmoid(model.slope * logit(model, table or WordTable(model.word, 1), words) + model.offset))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", per_label: int = 2500, **params) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", per_label: int = 2000, **params) -> ToxicityModel:
     """Train on about ``per_label`` labelled rows of each label, taken by a hash of ``key``: the bound of what the driver gets.
 
     Rows with a null key or label are left out; of several labels of one key the largest holds.
@@ -210,7 +212,7 @@ def scorer(docs: DataFrame, model: ToxicityModel):
     @F.pandas_udf(T.DoubleType())
     @trimmed
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, table = per_worker(name, lambda: (m := shared.value, WordTable(m.word, 1)))
+        model, table = per_worker(name, lambda: (m := shared.value, WordTable(m.word, 1, WORD_BYTES)))
         for texts in batches:
             yield pd.Series([score_of(model, t, table) for t in texts], dtype=float)
 
