@@ -125,7 +125,7 @@ class WordTable:
     #: Words that are looked up at once.
     PART = 50_000
 
-    def __init__(self, vector: Callable[[str], tuple[float, ...]], width: int, limit: int = 32 << 20):
+    def __init__(self, vector: Callable[[str], tuple[float, ...]], width: int, limit: int = 64 << 20):
         self.vector, self.width, self.limit = vector, width, limit
         self.clear()
 

@@ -106,8 +106,8 @@ class Encoder:
         self.automaton.make_automaton()
         self.prefixes = Memo(self._prefixes)
         self.fits = Memo(self._fits)
-        self.words = Memo(self._word)
-        self.parts = Memo(self._part)
+        self.words = Memo(self._word, 64 << 20)
+        self.parts = Memo(self._part, 32 << 20)
         table = {str(i): t.replace(SPACE, " ") if k == NORMAL else "" for i, (t, _, k) in enumerate(self.pieces)}
         table |= {str(i): chr(b) if b < 0x80 else chr(0xDC00 + b) for b, i in self.bytes.items()}
         table |= {str(i): " ⁇ " for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN}

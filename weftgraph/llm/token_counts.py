@@ -239,7 +239,7 @@ class TokenCounter:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             merges.setdefault((model["vocab"][a], model["vocab"][b]), (rank, model["vocab"][a + b]))
         self.transducer = MergeTransducer(tokens, merges)
-        self.words = Memo(lambda w: self.transducer.count(w.encode()))
+        self.words = Memo(lambda w: self.transducer.count(w.encode()), 64 << 20)
         special = sorted((t["content"] for t in d.get("added_tokens", [])), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
