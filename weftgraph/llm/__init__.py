@@ -1,4 +1,4 @@
-"""Operators for preparing text corpora: ten corpus operators and their queries.
+"""Operators for preparing text corpora: the corpus operators and their queries.
 
 Nothing outside this subpackage imports it; ``corpus_pipeline.py`` at the repository top chains
 five of its operators.

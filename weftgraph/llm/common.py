@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Rows and bytes of one Arrow batch handed to a Python worker, so that a batch of long texts stays small.
 BATCH_ROWS = 2_000
@@ -57,10 +58,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fold_of(doc_id: Column | str) -> Column:
-    """crc32 of the id as text, modulo 4; remainder 2 is held out from every fit. A null id gives 0."""
+def fold_of(doc_id: Column | str, folds: int = 4) -> Column:
+    """crc32 of the id as text, modulo the folds; of four, remainder 2 is held out from every fit. A null id gives 0."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4, F.lit(0))
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds, F.lit(0))
+
+
+def as_row(docs: DataFrame) -> Column:
+    """All columns, whatever their names, as one struct ``row``."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+
+
+def beside_row(rows: DataFrame, name: str, made: str) -> StructType:
+    """The schema of ``rows``' struct ``row`` and of a column that is made beside it."""
+    return StructType([rows.schema["row"], StructField(name, DataType.fromDDL(made))])
+
+
+def from_row(found: DataFrame, columns: list[str], made: str) -> DataFrame:
+    """The columns of the struct ``row``, and the one that was made, which takes the place of one of the same name."""
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in columns if c != made], made)
 
 
 def hash_share(key: Column, numerator: Column, denominator: int = 1 << 20) -> Column:

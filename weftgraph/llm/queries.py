@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import chat_format as chat
-from weftgraph.llm import decontamination
+from weftgraph.llm import decontamination, fill_middle
 from weftgraph.llm import language_id as lid
-from weftgraph.llm import near_dedup, neighbours
+from weftgraph.llm import lm_scores, near_dedup, neighbours, part_codes
 from weftgraph.llm import sentence_pieces as sp
 from weftgraph.llm import substring_dedup, suffix_dedup
 from weftgraph.llm import token_counts as tok
@@ -101,6 +101,25 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_rows(rows))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return part_codes.compress(vectors, part_codes.fit(vectors)).drop("label")
+
+
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold_of("doc_id", 5) == 1).alias("held_out"))
+    model = lm_scores.fit(docs.where("NOT held_out"))
+    scored = lm_scores.score(docs, model)
+    return scored.select("doc_id", "held_out", "lm.n_tokens", "lm.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "lm.base_score", "lm.score")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("fim.output"), F.col("fim.form"))
+    digests = [F.sha2(text.cast("binary"), 256).alias(name) for text, name in ((F.col("fim.output"), "output_sha256"), (back, "restored_sha256"))]
+    return made.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -112,5 +131,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_lm_scores": op12_lm_scores,
+    "op13_fill_middle": op13_fill_middle,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _code_sql(parts: int = 16, entries: int = 64, scale: int = 256, rounds: int = 2) -> str:
+    """Assignment by a join of the components with those of all entries, round by round."""
+    steps = [f"""kept AS (
+  SELECT vec_id, label, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+cells AS (SELECT vec_id, unnest(e) AS x, unnest(generate_series(0, len(e) - 1)) AS i, len(e) // {parts} AS w FROM kept),
+pieces AS (SELECT vec_id, i // w AS part, i % w AS d, x FROM cells),
+seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < {entries}),
+book0 AS (SELECT part, entry, d, x FROM pieces JOIN seeds USING (vec_id))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""far{r} AS (SELECT p.vec_id, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x)) AS far FROM pieces p JOIN book{r} b ON p.part = b.part AND p.d = b.d GROUP BY ALL),
+near{r} AS (SELECT vec_id, part, entry, far FROM far{r} QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY far, entry) = 1)""")
+        if r < rounds:
+            steps.append(f"""mean{r} AS (SELECT p.part, n.entry, p.d, CAST(sum(p.x) AS BIGINT) AS total, count(*) AS n FROM pieces p JOIN near{r} n ON p.vec_id = n.vec_id AND p.part = n.part GROUP BY ALL),
+book{r + 1} AS (SELECT b.part, b.entry, b.d, CASE WHEN m.n IS NULL THEN b.x ELSE (m.total - ((m.total % m.n) + m.n) % m.n) // m.n END AS x FROM book{r} b LEFT JOIN mean{r} m ON b.part = m.part AND b.entry = m.entry AND b.d = m.d)""")
+    coded = f"""coded AS (SELECT k.vec_id, k.label, string_agg(format('{{:02x}}', n.entry), '' ORDER BY n.part) AS code, CAST(sum(n.far) AS BIGINT) AS error FROM kept k JOIN near{rounds} n USING (vec_id) GROUP BY ALL),
+digest AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, d)) AS codebooks_sha256 FROM book{rounds})"""
+    return "WITH " + ",\n".join([*steps, coded]) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, digest"""
+
+
+FIM_SQL = """WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+numbers AS (SELECT doc_id, t, n, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS b, CAST('0x' || h[17:24] AS BIGINT) % 100 AS c, CAST('0x' || h[25:32] AS BIGINT) % 100 AS d FROM drawn),
+forms AS (SELECT *, least(a, b) AS lo, greatest(a, b) AS hi, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+made AS (SELECT *, substring(t, 1, lo) AS p, substring(t, lo + 1, hi - lo) AS m, substring(t, hi + 1) AS s FROM forms)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM made"""
+
+#: SQL can't express the other operators; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op11_vector_codes": _code_sql(), "op13_fill_middle": FIM_SQL}
