@@ -12,12 +12,13 @@ answers are dealt back to the blocks. Both give the same scores.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,32 +117,38 @@ def ask_filter(bits: bytes, keys: np.ndarray, s: Settings) -> np.ndarray:
     return found
 
 
-class _Numbers(dict):
-    """Numbers words in order of their first use."""
-
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
+def _values(words: pa.LargeStringArray) -> list[bytes]:
+    """The bytes of an array's strings, cut from its one buffer."""
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1].tolist() if len(words) else [0]
+    data = words.buffers()[2].to_pybytes() if len(words) else b""
+    return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 class Block:
     """Some texts as tokens: their distinct words and n-grams in order of their shards, and where each stands."""
 
-    def __init__(self, texts: Iterable[str | None], n_shards: int, order: int):
-        number, ids, lengths = _Numbers(), [], []
-        begin, end = number[BEGIN], number[END]
-        for text in texts:
-            words = (text or "").encode().lower().split()  # of bytes: only A-Z change, and words end at spaces and controls 9 to 13
-            ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-            lengths.append(len(words) + 2)
-        self.starts = np.cumsum([0, *lengths])[:-1]
-        self.ids = np.concatenate([np.zeros(0, np.int32)] + [part for a in ids for part in ([begin], a, [end])]).astype(np.int32)
+    def __init__(self, texts: list[pa.Array], n_shards: int, order: int):
+        column = pa.concat_arrays([pa.array([], pa.large_string()), *[t.cast(pa.large_string()) for t in texts]]).fill_null("")
+        split = pc.ascii_split_whitespace(pc.ascii_lower(column))  # only A-Z change; words end at spaces and controls 9 to 13
+        pieces, bounds = split.flatten(), np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])
+        real = pc.greater(pc.binary_length(pieces), 0)  # text that begins or ends with a space gives an empty piece
+        kept = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[bounds]
+        coded = pieces.filter(real).dictionary_encode()
+        vocabulary = _values(coded.dictionary)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, [BEGIN, END, *vocabulary]), np.uint64, len(vocabulary) + 2)
+        lengths = np.diff(kept) + 2
+        self.texts, self.starts = len(lengths), np.concatenate([[0], np.cumsum(lengths)])[:-1]
+        self.ids = np.zeros(lengths.sum(), np.int32)  # 0 before each text, 1 after it, and its words
+        inner = np.ones(len(self.ids), bool)
+        inner[self.starts] = inner[self.starts + lengths - 1] = False
+        self.ids[self.starts + lengths - 1] = 1
+        self.ids[inner] = coded.indices.to_numpy() + 2
         self.since = np.arange(len(self.ids)) - np.repeat(self.starts, lengths)  # tokens of its text before it, the beginning among them
-        self.texts = len(lengths)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
-        vocabulary, shards = list(number), (hashes & np.uint64(n_shards - 1)).astype(np.int64)
-        order_ = sorted(range(2, len(vocabulary)), key=lambda i: (shards[i], vocabulary[i]))
-        self.words, self.word_ids = [vocabulary[i] for i in order_], np.array(order_, np.int64)
+        shards = (hashes & np.uint64(n_shards - 1)).astype(np.int64)
+        at = np.lexsort((hashes[2:], shards[2:]))
+        if (np.diff(hashes[2:][at]) == 0).any():  # two words with one hash: in order of the words, as texts come in any order
+            at = np.array(sorted(range(len(vocabulary)), key=lambda i: (shards[i + 2], hashes[i + 2], vocabulary[i])), np.int64)
+        self.words, self.word_ids = [vocabulary[i] for i in at.tolist()], at + 2
         self.word_shards = shards[self.word_ids]
         grams, self.ends = [], []
         last = one = hashes[self.ids]
@@ -153,8 +160,10 @@ class Block:
             self.ends.append(at)
             last = longer
         h = np.concatenate([np.zeros(0, np.uint64), *grams])
-        where = (h & np.uint64(n_shards - 1)) << np.uint64(32) | h >> np.uint64(32)
-        where, self.gram_of, self.gram_counts = np.unique(where, return_inverse=True, return_counts=True)
+        self.grams = (h & np.uint64(n_shards - 1)) << np.uint64(32) | h >> np.uint64(32)
+        where = np.sort(self.grams)
+        first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])[: len(where)])
+        self.gram_counts, where = np.diff(first, append=len(where)), where[first]
         self.gram_shards, self.keys = (where >> np.uint64(32)).astype(np.int64), where.astype(np.uint32)
 
     def by_shard(self) -> Iterator[tuple[int, slice, slice]]:
@@ -174,9 +183,10 @@ class Block:
         count = of_word[self.ids]
         chance = base = (count + 0.5) / (tokens + 0.5 * (kinds + 1))
         shorter, done, value = count, 0, level_values(s.base)
+        of_gram = levels[np.unique(self.grams, return_inverse=True)[1]]
         for at in self.ends:
             context = shorter[at - 1]
-            found = np.minimum(value[levels[self.gram_of[done : done + len(at)]]], np.minimum(context, shorter[at]))
+            found = np.minimum(value[of_gram[done : done + len(at)]], np.minimum(context, shorter[at]))
             done += len(at)
             chance = chance.copy()
             chance[at] = (found + s.weight * chance[at]) / (context + s.weight)
@@ -210,14 +220,13 @@ def _text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], limit: int, text_of=lambda batch: batch.column("text")) -> Iterator[tuple[list[pa.RecordBatch], list[str | None]]]:
-    """Batches with their texts, in chunks of about ``limit`` characters."""
+def _chunks(batches: Iterator[pa.RecordBatch], limit: int, text_of=lambda batch: batch.column("text")) -> Iterator[tuple[list[pa.RecordBatch], list[pa.Array]]]:
+    """Batches with their texts, in chunks of about ``limit`` bytes of text."""
     held, texts, n = [], [], 0
     for batch in batches:
-        some = text_of(batch).to_pylist()
         held.append(batch)
-        texts += some
-        n += sum(len(t) for t in some if t)
+        texts.append(text_of(batch))
+        n += texts[-1].nbytes
         if n >= limit:
             yield held, texts
             held, texts, n = [], [], 0
@@ -331,7 +340,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     @trimmed
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, held in _runs(batches, "block"):
-            block = Block((t for batch in held for t in batch.column("text").to_pylist()), n_shards, s.order)
+            block = Block([batch.column("text") for batch in held], n_shards, s.order)
             for shard, w, k in block.by_shard():
                 row = {"shard": shard, "block": number, "words": b"\n".join(block.words[w]), "counts": b"", "bits": block.keys[k].tobytes()}
                 yield pa.RecordBatch.from_pylist([row], _REQUEST)
@@ -350,7 +359,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"block": r["block"], "shard": now, "counts": counts.tobytes(), "levels": levels.tobytes()}], _ANSWER)
 
     def meet(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block((t for chunk in texts.column("row").chunks for t in chunk.field("text").to_pylist()), n_shards, s.order)
+        block = Block([chunk.field("text") for chunk in texts.column("row").chunks], n_shards, s.order)
         found = {r["shard"]: r for r in answers.to_pylist()}
         asked = [found[i] for i, _, _ in block.by_shard()]
         return with_scores(texts.column("row"), block, [np.frombuffer(a["counts"], np.int64) for a in asked], [np.frombuffer(a["levels"], np.uint8) for a in asked])
