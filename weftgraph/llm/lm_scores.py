@@ -41,7 +41,7 @@ class Settings:
     probes: int = 8
     weight: float = 4.0
     shard_bytes: int = 32 << 20
-    block_bytes: int = 16 << 20
+    block_bytes: int = 12 << 20
     broadcast_bytes: int = 16 << 20
 
 
@@ -57,10 +57,13 @@ class Model:
     settings: Settings = field(default_factory=Settings)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The bits of each number spread over all 64, in its own place."""
     for shift, factor in zip((30, 27), FINAL):
-        x = (x ^ (x >> np.uint64(shift))) * factor
-    return x ^ (x >> np.uint64(31))
+        x ^= x >> np.uint64(shift)
+        x *= factor
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def level_floors(base: float) -> np.ndarray:
@@ -80,7 +83,7 @@ def level_values(base: float) -> np.ndarray:
 
 
 def _hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    h = mixed(keys.astype(np.uint64) + np.uint64(level << 32))
+    h = _mix(keys.astype(np.uint64) + np.uint64(level << 32))
     return h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
 
 
@@ -124,47 +127,63 @@ def _values(words: pa.LargeStringArray) -> list[bytes]:
     return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def _tokens(texts: list[pa.Array]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(number of each word in the order of the texts, the distinct words, words of each text and 2 for its ends)."""
+    column = pa.concat_arrays([pa.array([], pa.large_string()), *[t.cast(pa.large_string()) for t in texts]]).fill_null("")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(column))  # only A-Z change; words end at spaces and controls 9 to 13
+    pieces = split.flatten()
+    real = pc.greater(pc.binary_length(pieces), 0)  # text that begins or ends with a space gives an empty piece
+    kept = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    lengths = np.diff(kept[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])]) + 2
+    coded = pieces.filter(real).dictionary_encode()
+    return coded.indices.to_numpy(), _values(coded.dictionary), lengths
+
+
+def _places_of(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Where each value stands in ``among``, which holds all of them in order: by order of size, so that memory is read in order too."""
+    order = np.argsort(values)
+    found = np.empty(len(values), np.int32)
+    found[order] = np.searchsorted(among, values[order])
+    return found
+
+
 class Block:
     """Some texts as tokens: their distinct words and n-grams in order of their shards, and where each stands."""
 
     def __init__(self, texts: list[pa.Array], n_shards: int, order: int):
-        column = pa.concat_arrays([pa.array([], pa.large_string()), *[t.cast(pa.large_string()) for t in texts]]).fill_null("")
-        split = pc.ascii_split_whitespace(pc.ascii_lower(column))  # only A-Z change; words end at spaces and controls 9 to 13
-        pieces, bounds = split.flatten(), np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])
-        real = pc.greater(pc.binary_length(pieces), 0)  # text that begins or ends with a space gives an empty piece
-        kept = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[bounds]
-        coded = pieces.filter(real).dictionary_encode()
-        vocabulary = _values(coded.dictionary)
+        indices, vocabulary, lengths = _tokens(texts)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, [BEGIN, END, *vocabulary]), np.uint64, len(vocabulary) + 2)
-        lengths = np.diff(kept) + 2
         self.texts, self.starts = len(lengths), np.concatenate([[0], np.cumsum(lengths)])[:-1]
         self.ids = np.zeros(lengths.sum(), np.int32)  # 0 before each text, 1 after it, and its words
         inner = np.ones(len(self.ids), bool)
         inner[self.starts] = inner[self.starts + lengths - 1] = False
         self.ids[self.starts + lengths - 1] = 1
-        self.ids[inner] = coded.indices.to_numpy() + 2
-        self.since = np.arange(len(self.ids)) - np.repeat(self.starts, lengths)  # tokens of its text before it, the beginning among them
+        self.ids[inner] = indices + 2
+        del indices, inner
+        self.since = np.arange(len(self.ids), dtype=np.int32)  # tokens of its text before it, the beginning among them
+        self.since -= np.repeat(self.starts.astype(np.int32), lengths)
         shards = (hashes & np.uint64(n_shards - 1)).astype(np.int64)
         at = np.lexsort((hashes[2:], shards[2:]))
         if (np.diff(hashes[2:][at]) == 0).any():  # two words with one hash: in order of the words, as texts come in any order
             at = np.array(sorted(range(len(vocabulary)), key=lambda i: (shards[i + 2], hashes[i + 2], vocabulary[i])), np.int64)
         self.words, self.word_ids = [vocabulary[i] for i in at.tolist()], at + 2
         self.word_shards = shards[self.word_ids]
-        grams, self.ends = [], []
+        self.ends, self.grams = [], []
         last = one = hashes[self.ids]
         for n in range(2, order + 1):
-            at = np.flatnonzero(self.since >= n - 1)
-            longer = np.zeros_like(one)
-            longer[at] = mixed((last[at - 1] + np.uint64(n)) * EXTEND ^ one[at])
-            grams.append(longer[at])
+            at = np.flatnonzero(self.since >= n - 1).astype(np.int32)
+            gram = _mix((last[at - 1] + np.uint64(n)) * EXTEND ^ one[at])
+            if n < order:
+                last = np.zeros_like(one)
+                last[at] = gram
             self.ends.append(at)
-            last = longer
-        h = np.concatenate([np.zeros(0, np.uint64), *grams])
-        self.grams = (h & np.uint64(n_shards - 1)) << np.uint64(32) | h >> np.uint64(32)
-        where = np.sort(self.grams)
+            self.grams.append((gram & np.uint64(n_shards - 1)) << np.uint64(32) | gram >> np.uint64(32))
+        del last, one
+        where = np.concatenate([np.zeros(0, np.uint64), *self.grams])
+        where.sort()
         first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])[: len(where)])
-        self.gram_counts, where = np.diff(first, append=len(where)), where[first]
-        self.gram_shards, self.keys = (where >> np.uint64(32)).astype(np.int64), where.astype(np.uint32)
+        self.gram_counts, where = np.diff(first, append=len(where)).astype(np.int32), where[first]
+        self.gram_shards, self.keys = (where >> np.uint64(32)).astype(np.int32), where.astype(np.uint32)
 
     def by_shard(self) -> Iterator[tuple[int, slice, slice]]:
         """(shard, its words, its n-grams), in order, for shards with any."""
@@ -182,12 +201,11 @@ class Block:
         of_word[self.word_ids] = word_counts
         count = of_word[self.ids]
         chance = base = (count + 0.5) / (tokens + 0.5 * (kinds + 1))
-        shorter, done, value = count, 0, level_values(s.base)
-        of_gram = levels[np.unique(self.grams, return_inverse=True)[1]]
-        for at in self.ends:
+        shorter, value = count, level_values(s.base)
+        where = self.gram_shards.astype(np.uint64) << np.uint64(32) | self.keys
+        for at, gram in zip(self.ends, self.grams):
             context = shorter[at - 1]
-            found = np.minimum(value[of_gram[done : done + len(at)]], np.minimum(context, shorter[at]))
-            done += len(at)
+            found = np.minimum(value[levels[_places_of(gram, where)]], np.minimum(context, shorter[at]))
             chance = chance.copy()
             chance[at] = (found + s.weight * chance[at]) / (context + s.weight)
             longer = np.zeros_like(shorter)
@@ -263,7 +281,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "texts", "words", "counts", "keys", "key_counts"]
-        for _, texts in _chunks(batches, s.block_bytes // 2):
+        for _, texts in _chunks(batches, s.block_bytes):
             block = Block(texts, n_shards, s.order)
             counts = np.bincount(block.ids, minlength=len(block.words) + 2)[block.word_ids].astype(np.int32)
             yield pa.RecordBatch.from_pylist([dict(zip(names, (0, block.texts, b"", b"", b"", b"")))], _COUNTED)
