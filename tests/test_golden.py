@@ -136,14 +136,13 @@ def test_windows_close_whatever_their_stretch(spark, g):
         assert {r.id: r.valid_to for r in aggregate.close_open_windows(g.with_edges(edges), days).collect()} == expected
 
 
-@pytest.mark.parametrize(("hours", "most"), [(24, 64), (7, 3), (1, 1)])
-def test_measurements_at_events(spark, g, hours, most):
+def test_measurements_at_events(spark, g):
     windows = [(1, T[0], T[1]), (2, T[1], None), (3, None, T[2]), (4, None, None), (5, T[0], T[3])]
     edges = [("t", i, "m", "MEASUREMENT", 1, 50 + i, 1, None, None, a, b) for i, a, b in windows] + [("t", 10 + k, "p", "PARTICIPANT", None, 1, 20 + k, "p", None, None, None) for k in range(4)]
     events = [("t", 20 + k, "E", "NATURAL_EVENT", 2, "e", None, None, None, None, None, None, None, T[k], None, None, None, None) for k in range(4)]
     both = Graph(g.nodes.unionByName(spark.createDataFrame(events, NODE_SCHEMA)), spark.createDataFrame(edges, EDGE_SCHEMA))
     expected = {(20 + k, 50 + i) for k in range(4) for i, a, b in windows if (a is None or a <= T[k]) and (b is None or b > T[k])}
-    rows = temporal.measurement_at_event(both, hours, most).collect()
+    rows = temporal.measurement_at_event(both).collect()
     assert {(r.event_id, r.structure_id) for r in rows} == expected and len(rows) == len(expected)
 
 

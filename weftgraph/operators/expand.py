@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.schema import Graph, prefixed
@@ -10,20 +13,38 @@ from weftgraph.schema import Graph, prefixed
 _SMALL = ("graph", "id", "label", "node_type", "category_id", "name")
 
 
+def hop(g: Graph, rows: DataFrame, end: str, where: Column | str | None = None, columns: Sequence[str | Column] = ()) -> DataFrame:
+    """``rows`` (graph, END, ...) joined with the edges that have that end, of which ``where`` holds: columns of the edges beside those of the rows.
+
+    On a graph in adjacency layout the edges stay where they are and only the rows are shuffled; rows of a hub are copied to its parts.
+    """
+    key, side = ["graph", end], g.sides.get(end)
+    of = lambda edges, *more: (edges if where is None else edges.where(where)).select(*key, *columns, *more)
+    met = rows.join(of(g.edges if side is None else side.edges), key)
+    if side is None or side.hubs is None:
+        return met
+    parted = rows.join(F.broadcast(side.hubs), key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return met.unionByName(parted.join(of(side.hub_edges, "part"), [*key, "part"]).drop("part"))
+
+
+def _incident(g: Graph, ids: DataFrame, end: str, where: str | None = None) -> DataFrame:
+    here = ids.select("graph", F.col("id").alias(end)).distinct()
+    rest = [c for c in g.edges.columns if c not in ("graph", end)]
+    return hop(g, here, end, where, rest).select(*g.edges.columns, F.col(end).alias("node_id"))
+
+
 def out_edges(g: Graph, ids: DataFrame) -> DataFrame:
     """Edges leaving the nodes (graph, id) of ``ids``, with node_id."""
-    here = ids.select("graph", F.col("id").alias("src")).distinct()
-    return g.edges.join(here, ["graph", "src"]).withColumn("node_id", F.col("src"))
+    return _incident(g, ids, "src")
 
 
 def in_edges(g: Graph, ids: DataFrame) -> DataFrame:
-    here = ids.select("graph", F.col("id").alias("dst")).distinct()
-    return g.edges.join(here, ["graph", "dst"]).withColumn("node_id", F.col("dst"))
+    return _incident(g, ids, "dst")
 
 
 def incident_edges(g: Graph, ids: DataFrame) -> DataFrame:
     """Edges of either direction, with true src and dst and a direction; a self loop comes once, as out."""
-    return out_edges(g, ids).withColumn("direction", F.lit("out")).unionByName(in_edges(g, ids).where("src <> dst").withColumn("direction", F.lit("in")))
+    return out_edges(g, ids).withColumn("direction", F.lit("out")).unionByName(_incident(g, ids, "dst", "src <> dst").withColumn("direction", F.lit("in")))
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -53,12 +74,18 @@ def paired_nodes(g: Graph, left=None, right=None, edge=None, with_self: bool | N
 
     left, right, edge: conditions on node and edge columns, all of which must hold.
     """
-    edges = g.edges if edge is None else g.edges.where(edge)
-    edges = edges if with_self else edges.where("src <> dst")
-    both = edges.withColumns({"left_id": F.col("src"), "right_id": F.col("dst")}) if dedupe else undirected(edges)
+    tests = [F.expr(edge) if isinstance(edge, str) else edge] if edge is not None else []
+    straight = reduce(Column.__and__, tests + ([] if with_self else [F.col("src") != F.col("dst")]), F.lit(True))
     a = prefixed(g.nodes if left is None else g.nodes.where(left), "left_", "graph", "id", "label", "name").withColumnRenamed("left_graph", "graph")
     b = prefixed(g.nodes if right is None else g.nodes.where(right), "right_", "graph", "id", "label", "name").withColumnRenamed("right_graph", "graph")
-    pairs = both.select("graph", F.col("id").alias("edge_id"), F.col("label").alias("edge_label"), "left_id", "right_id").join(a, ["graph", "left_id"]).join(b, ["graph", "right_id"])
+
+    def oriented(end: str, other: str, test: Column) -> DataFrame:
+        met = hop(g, a.withColumnRenamed("left_id", end), end, test, [F.col("id").alias("edge_id"), F.col("label").alias("edge_label"), F.col(other).alias("right_id")])
+        return met.withColumnRenamed(end, "left_id")
+
+    forth = oriented("src", "dst", straight)
+    both = forth if dedupe else forth.unionByName(oriented("dst", "src", straight & (F.col("src") != F.col("dst"))))
+    pairs = both.join(b, ["graph", "right_id"]).select("graph", "right_id", "left_id", "edge_id", "edge_label", "left_label", "left_name", "right_label", "right_name")
     if offset or limit is not None:
         pairs = pairs.orderBy("edge_id", "left_id").offset(offset)
         pairs = pairs.limit(limit) if limit is not None else pairs
@@ -95,7 +122,7 @@ def structure_metrics(g: Graph) -> DataFrame:
     """(structure_id, metric_id, category_id, value) for each metric that describes a structure."""
     metric = g.nodes.where("node_type = 'METRIC'").select("graph", F.col("id").alias("src"), F.col("category_id").alias("metric_category"), F.col("value_float").alias("value"))
     structure = g.nodes.where("node_type = 'STRUCTURE'").select("graph", F.col("id").alias("dst"))
-    joined = g.edges.where("edge_type = 'DESCRIPTION'").select("graph", "src", "dst").join(metric, ["graph", "src"]).join(structure, ["graph", "dst"])
+    joined = hop(g, metric, "src", "edge_type = 'DESCRIPTION'", ["dst"]).join(structure, ["graph", "dst"])
     return joined.select("graph", F.col("dst").alias("structure_id"), F.col("src").alias("metric_id"), "metric_category", "value")
 
 
@@ -103,7 +130,7 @@ def structure_measures(g: Graph) -> DataFrame:
     """(structure_id, entity_id, category_id) for each measurement from a structure to an entity."""
     structure = g.nodes.where("node_type = 'STRUCTURE'").select("graph", F.col("id").alias("src"))
     entity = g.nodes.where("node_type = 'ENTITY'").select("graph", F.col("id").alias("dst"), F.col("category_id").alias("entity_category"))
-    joined = g.edges.where("edge_type = 'MEASUREMENT'").select("graph", "src", "dst", "valid_from", "valid_to").join(structure, ["graph", "src"]).join(entity, ["graph", "dst"])
+    joined = hop(g, structure, "src", "edge_type = 'MEASUREMENT'", ["dst", "valid_from", "valid_to"]).join(entity, ["graph", "dst"])
     return joined.select("graph", F.col("src").alias("structure_id"), F.col("dst").alias("entity_id"), "entity_category", "valid_from", "valid_to")
 
 
@@ -127,12 +154,18 @@ def cross_graph_edges(edges: DataFrame) -> DataFrame:
 
 
 def degree(g: Graph) -> DataFrame:
-    """In-degree, out-degree and number of incident edges (a self loop once) of all nodes, isolated ones included."""
-    ends = (
-        g.edges.select("graph", F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i"), F.lit(1).alias("t"))
-        .unionByName(g.edges.select("graph", F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i"), (F.col("src") != F.col("dst")).cast("int").alias("t")))
-        .groupBy("graph", "id")
-        .agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.sum("t").alias("t"))
-    )
-    zero = lambda c, n: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(n)
-    return g.nodes.select("graph", "id").join(ends, ["graph", "id"], "left").select("graph", "id", zero("o", "out_degree"), zero("i", "in_degree"), zero("t", "incident"))
+    """In-degree, out-degree and number of incident edges (a self loop once) of all nodes, isolated ones included.
+
+    Each end is counted by itself, so that edges in adjacency layout are counted where they are; of hubs, counts are shuffled.
+    """
+
+    def counts(end: str, *made: Column) -> DataFrame:
+        side = g.sides.get(end)
+        tables = [g.edges] if side is None else [t for t in (side.edges, side.hub_edges) if t is not None]
+        return reduce(DataFrame.unionByName, [t.groupBy("graph", F.col(end).alias("id")).agg(*made) for t in tables])
+
+    out = counts("src", F.count("*").alias("o"))
+    into = counts("dst", F.count("*").alias("i"), F.count_if(F.col("src") != F.col("dst")).alias("t"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    met = g.nodes.select("graph", "id").join(out, ["graph", "id"], "left").join(into, ["graph", "id"], "left")
+    return met.select("graph", "id", zero("o").alias("out_degree"), zero("i").alias("in_degree"), (zero("o") + zero("t")).alias("incident"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,8 +188,23 @@ def of_categories(facts: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def random_nodes(g: Graph, k: int = 1, seed: int | None = None) -> DataFrame:
-    """k nodes at random: a top-k over random numbers, which sorts nothing else."""
-    return g.nodes.orderBy(F.rand(seed)).limit(k)
+    """k nodes at random: those whose md5 of seed, graph and id is least, all nodes with an equal chance.
+
+    A drawing with a seed depends on the nodes alone, not on partitions or order; drawings of parts can be merged (``merge_drawings``), since the least of
+    the parts are among the least of each. Without a seed, one is drawn. Only k rows leave a task.
+    """
+    seed = random.getrandbits(62) if seed is None else seed
+    return _drawn(g.nodes, k, seed)
+
+
+def _drawn(nodes: DataFrame, k: int, seed: int) -> DataFrame:
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), "graph", F.col("id").cast("string")))
+    return nodes.orderBy(drawn, "graph", "id").limit(k)
+
+
+def merge_drawings(drawings: list[DataFrame], k: int, seed: int) -> DataFrame:
+    """The drawing of k from all nodes, from drawings of at least k from parts of them with the same seed."""
+    return _drawn(reduce(DataFrame.unionByName, drawings), k, seed)
 
 
 def expand_edge_metrics(edges: DataFrame, bag: str = "props") -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.expand import hop
 from weftgraph.schema import Graph
 
 
@@ -39,23 +39,52 @@ def graph_as_of(g: Graph, t: datetime | str) -> Graph:
     return Graph(nodes, edges.select(*g.edges.columns), g.catalog)
 
 
-def measurement_at_event(g: Graph, hours: int = 24, most: int = 64) -> DataFrame:
-    """(event_id, entity_id, structure_id): the measurement of an entity whose window holds the time of an event it took part in.
+def _cover(levels: int) -> Column:
+    """The stretches that make up the seconds from ``_low`` to before ``_high``: (level, stretch) is 2^level seconds from stretch * 2^level.
 
-    Windows are listed in the buckets of ``hours`` that they touch and meet events by entity and bucket, so a hot entity's events
-    aren't compared with all of its windows. Windows that are open or touch more than ``most`` buckets meet events by entity alone.
+    On each level, those that lie within but whose double doesn't: an odd one at the start, an even one at the end; the last level is all of time.
     """
-    bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (3600 * hours))
-    events = g.nodes.where("node_type IN ('NATURAL_EVENT', 'PROTOCOL_EVENT')").select("graph", F.col("id").alias("event_id"), F.col("valid_from").alias("at"))
-    part = g.edges.where("edge_type = 'PARTICIPANT'").select("graph", F.col("src").alias("entity_id"), F.col("dst").alias("event_id")).join(events, ["graph", "event_id"])
+    found = []
+    for level in range(levels + 1):
+        lo, hi = F.expr(f"shiftright(_low + {(1 << level) - 1}L, {level})"), F.expr(f"shiftright(_high, {level})")
+        for at, ends in ((lo, lo % 2 == 1), (hi - 1, hi % 2 == 1)) if level < levels else ((lo, F.lit(True)),):
+            found.append(F.when((lo < hi) & ends, F.struct(F.lit(level).alias("level"), at.alias("stretch"))))
+    return F.filter(F.array(*found), lambda s: s.isNotNull())
+
+
+def _meetings(points: DataFrame, windows: DataFrame, keys: list[str], at: str, low: str, high: str, group: int) -> DataFrame:
+    second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    first, last = (n or 0 for n in points.agg(F.min(second(at)), F.max(second(at))).first())
+    levels, key = (last - first).bit_length(), [*keys, "level", "stretch"]
+    end = F.lit(1 << levels)
+    ranged = windows.withColumns({"_low": F.greatest(F.coalesce(second(low) - first, F.lit(0)), F.lit(0)), "_high": F.least(F.coalesce(second(high) - first + 1, end), end)})
+    cut = ranged.withColumn("s", F.explode(_cover(levels))).select(*windows.columns, "s.*")
+    crowded = cut.groupBy(*key).agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
+    used = crowded.groupBy(*keys).agg(F.collect_set("level").alias("levels"))
+    asked = points.where(F.col(at).isNotNull()).join(used, keys).withColumn("level", F.explode("levels")).drop("levels")
+    asked = asked.withColumn("stretch", F.expr(f"shiftright(unix_seconds(CAST(`{at}` AS TIMESTAMP)) - {first}L, level)")).join(crowded, key)
+    asked = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    dealt = cut.join(crowded, key).withColumn("group", F.pmod(F.xxhash64(*windows.columns), F.col("groups")).cast("int")).drop("groups")
+    return asked.join(dealt, [*key, "group"]).drop("level", "stretch", "group")
+
+
+def interval_join(points: DataFrame, windows: DataFrame, keys: list[str], at: str = "at", low: str = "valid_from", high: str = "valid_to", group: int = 1_000) -> DataFrame:
+    """Points joined with the windows [low, high) of the same keys that hold their time; a null bound is open, a null time is in no window.
+
+    A window is cut into O(log n) stretches of 2^level seconds, those of open ends being long; a point lies in one stretch of each level, and
+    looks only at those that some window of its keys has. So a pair meets just once, at one stretch, and what meets without being a result is at most the
+    points in the seconds that a window begins or ends in. A stretch with more than ``group`` windows is dealt in groups, and its points are copied to each.
+    """
+    holds = (F.col(low).isNull() | (F.col(low) <= F.col(at))) & (F.col(high).isNull() | (F.col(high) > F.col(at)))
+    return _meetings(points, windows, keys, at, low, high, group).where(holds)
+
+
+def measurement_at_event(g: Graph) -> DataFrame:
+    """(event_id, entity_id, structure_id, at): the measurements of an entity whose window holds the time of an event it took part in."""
+    events = g.nodes.where("node_type IN ('NATURAL_EVENT', 'PROTOCOL_EVENT')").select("graph", F.col("id").alias("dst"), F.col("valid_from").alias("at"))
+    took_part = hop(g, events, "dst", "edge_type = 'PARTICIPANT'", [F.col("src").alias("entity_id")]).withColumnRenamed("dst", "event_id")
     windows = g.edges.where("edge_type = 'MEASUREMENT'").select("graph", F.col("dst").alias("entity_id"), F.col("src").alias("structure_id"), "valid_from", "valid_to")
-    holds = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("at"))) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("at")))
-    span = bucket("valid_to") - bucket("valid_from")
-    short = F.coalesce((span >= 0) & (span < most), F.lit(False))
-    listed = windows.where(short).withColumn("bucket", F.explode(F.sequence(bucket("valid_from"), bucket("valid_to"))))
-    near = part.withColumn("bucket", bucket("at")).join(listed, ["graph", "entity_id", "bucket"])
-    far = part.join(windows.where(~short), ["graph", "entity_id"])
-    return reduce(DataFrame.unionByName, [d.where(holds).select("graph", "event_id", "entity_id", "structure_id", "at") for d in (near, far)])
+    return interval_join(took_part, windows, ["graph", "entity_id"]).select("graph", "event_id", "entity_id", "structure_id", "at")
 
 
 def entity_timeline(g: Graph) -> DataFrame:

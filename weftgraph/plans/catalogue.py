@@ -105,7 +105,7 @@ query(
     f"SELECT {NODE} FROM nodes WHERE category_id IN (SELECT category_id FROM categories WHERE graph = 'trade' AND name LIKE '%o%' AND category_id IN (SELECT category_id FROM category_tags WHERE tag IN ('party', 'place')))",
 )
 query("filter_categories_pinned", lambda g, s, d: scan.of_categories(g.edges, scan.filter_categories(g, pinned_by=2)).select(E), f"SELECT {EDGE} FROM edges WHERE category_id IN (SELECT category_id FROM pins WHERE user_id = 2)")
-query("random_nodes", lambda g, s, d: scan.random_nodes(g, 5, seed=7).select(N), None)
+query("random_nodes", lambda g, s, d: scan.random_nodes(g, 50, seed=7).select(N), f"SELECT {NODE} FROM nodes ORDER BY md5(concat('7|', graph, '|', id)), graph, id LIMIT 50")
 query(
     "random_nodes_members",
     lambda g, s, d: scan.random_nodes(g, 500).select("graph", "id").join(g.nodes.select("graph", "id", F.lit(1).alias("is_node")), ["graph", "id"], "left").agg(F.count("*").alias("n"), F.countDistinct("graph", "id").alias("different"), F.sum("is_node").alias("members")),
@@ -163,12 +163,29 @@ query("measurement_path", lambda g, s, d: pattern.measurement_path(g).select("me
 query("relation_path", lambda g, s, d: pattern.relation_path(g).select("relation", "category_id", "source", "source_name", "target", "target_name"), "SELECT e.id AS relation, e.category_id, e.src AS source, a.name AS source_name, e.dst AS target, b.name AS target_name FROM edges e JOIN nodes a ON a.id = e.src AND a.node_type = 'ENTITY' JOIN nodes b ON b.id = e.dst AND b.node_type = 'ENTITY' WHERE e.edge_type = 'RELATION'")
 query("natural_event_path", lambda g, s, d: pattern.natural_event_path(g).select("event_id", "entity_id", "role", "created_id", "structure_id"), "SELECT v.id AS event_id, i.src AS entity_id, i.role, o.dst AS created_id, x.src AS structure_id FROM nodes v JOIN edges i ON i.dst = v.id AND i.edge_type = 'PARTICIPANT' LEFT JOIN edges o ON o.src = v.id AND o.edge_type = 'PARTICIPANT' LEFT JOIN edges x ON x.dst = v.id AND x.label = 'DETERMINES' WHERE v.node_type = 'NATURAL_EVENT'")
 query("protocol_event_path", lambda g, s, d: pattern.protocol_event_path(g).groupBy("event_id", "in_role", "out_role").agg(F.count("*").alias("n"), agg.cents("quantity").alias("total_cents")), "SELECT v.id AS event_id, i.role AS in_role, o.role AS out_role, count(*) AS n, CAST(sum(CAST(round(i.quantity * 100) AS BIGINT)) AS BIGINT) AS total_cents FROM nodes v JOIN edges i ON i.dst = v.id AND i.edge_type = 'PARTICIPANT' JOIN edges o ON o.src = v.id AND o.edge_type = 'PARTICIPANT' WHERE v.node_type = 'PROTOCOL_EVENT' GROUP BY ALL")
+query("event_factors", lambda g, s, d: pattern.event_factors(g, most=3).groupBy("event_id", "side").agg(F.sum(F.size("members")).alias("n")), "SELECT v.id AS event_id, x.side, count(*) AS n FROM nodes v JOIN (SELECT dst AS event_id, 'in' AS side FROM edges WHERE edge_type = 'PARTICIPANT' UNION ALL SELECT src, 'out' FROM edges WHERE edge_type = 'PARTICIPANT') x ON x.event_id = v.id WHERE v.node_type = 'PROTOCOL_EVENT' GROUP BY ALL")
+_pairs_of = "FROM nodes v JOIN edges i ON i.dst = v.id AND i.edge_type = 'PARTICIPANT' JOIN edges o ON o.src = v.id AND o.edge_type = 'PARTICIPANT' WHERE v.node_type = 'PROTOCOL_EVENT'"
+query("factor_totals", lambda g, s, d: pattern.factor_totals(pattern.event_factors(g)).where("n_paths > 0").select("event_id", "n_inputs", "n_outputs", "n_paths", F.round(F.col("quantity") * 100).cast("bigint").alias("cents")), f"SELECT v.id AS event_id, count(DISTINCT i.id) AS n_inputs, count(DISTINCT o.id) AS n_outputs, count(*) AS n_paths, CAST(sum(CAST(round(i.quantity * 100) AS BIGINT)) AS BIGINT) AS cents {_pairs_of} GROUP BY v.id")
+query("factor_paths", lambda g, s, d: pattern.factor_paths(pattern.event_factors(g, most=5)).drop("graph", "quantity"), f"SELECT v.id AS event_id, i.src AS input_id, i.role AS in_role, o.dst AS output_id, o.role AS out_role {_pairs_of}")
 P = pattern
 query(
     "match_pattern",
     lambda g, s, d: P.match_pattern(g, [P.Node("a", category_id=4), P.Node("b", category_id=2), P.Node("c", label="Entity", category_id=1)], [P.Edge("e", label="BASED_IN"), P.Edge("f", edge_type="RELATION")], {"a": ("name",), "c": ("name",)}).select("a", "a_name", "e", "b", "f", "c", "c_name"),
     "SELECT a.id AS a, a.name AS a_name, e.id AS e, b.id AS b, f.id AS f, c.id AS c, c.name AS c_name FROM nodes a JOIN edges e ON e.src = a.id AND e.label = 'BASED_IN' JOIN nodes b ON b.id = e.dst AND b.category_id = 2 JOIN edges f ON f.src = b.id AND f.edge_type = 'RELATION' JOIN nodes c ON c.id = f.dst AND c.label = 'Entity' AND c.category_id = 1 WHERE a.category_id = 4 AND e.id <> f.id",
 )
+query(
+    "match_pattern_rare_end",
+    lambda g, s, d: P.match_pattern(g, [P.Node("order", node_type="PROTOCOL_EVENT"), P.Node("who", category_id=4), P.Node("where"), P.Node("what", equals=(("name", "AFRICA"),))], [P.Edge("e", label="shipped_by"), P.Edge("f", label="BASED_IN"), P.Edge("h", label="PART_OF")]).select("order", "e", "who", "where", "h"),
+    'SELECT a.id AS "order", e.id AS e, b.id AS who, f.dst AS "where", h.id AS h FROM nodes a JOIN edges e ON e.src = a.id AND e.label = \'shipped_by\' JOIN nodes b ON b.id = e.dst AND b.category_id = 4 JOIN edges f ON f.src = b.id AND f.label = \'BASED_IN\' JOIN edges h ON h.src = f.dst AND h.label = \'PART_OF\' JOIN nodes c ON c.id = h.dst AND c.name = \'AFRICA\' WHERE a.node_type = \'PROTOCOL_EVENT\'',
+)
+query(
+    "match_variable_length_ends",
+    lambda g, s, d: P.match_variable_length(g, g.nodes.where("category_id = 3 AND node_type = 'ENTITY'").select("graph", "id"), 1, 4, ends=g.nodes.where("name IN ('AFRICA', 'ASIA')").select("graph", "id")).groupBy("start_id", "end_id", "hops").agg(F.count("*").alias("n")),
+    """, RECURSIVE_WALKS AS (SELECT a.id AS start_id, e.dst AS p1, e.id AS e1 FROM nodes a JOIN edges e ON e.src = a.id WHERE a.category_id = 3 AND a.node_type = 'ENTITY'),
+w2 AS (SELECT w.*, e.dst AS p2, e.id AS e2 FROM RECURSIVE_WALKS w JOIN edges e ON e.src = w.p1 WHERE e.id <> e1), w3 AS (SELECT w.*, e.dst AS p3, e.id AS e3 FROM w2 w JOIN edges e ON e.src = w.p2 WHERE e.id NOT IN (e1, e2)),
+w4 AS (SELECT w.*, e.dst AS p4, e.id AS e4 FROM w3 w JOIN edges e ON e.src = w.p3 WHERE e.id NOT IN (e1, e2, e3))
+SELECT start_id, end_id, hops, count(*) AS n FROM (SELECT start_id, p1 AS end_id, 1 AS hops FROM RECURSIVE_WALKS UNION ALL SELECT start_id, p2, 2 FROM w2 UNION ALL SELECT start_id, p3, 3 FROM w3 UNION ALL SELECT start_id, p4, 4 FROM w4) q WHERE end_id IN (SELECT id FROM nodes WHERE name IN ('AFRICA', 'ASIA')) GROUP BY ALL""".replace("RECURSIVE_WALKS", "w1"),
+)
 _vl = "WITH RECURSIVE w AS (SELECT id AS start_id, id AS end_id, 0 AS hops, '' AS used FROM nodes WHERE category_id IN (1, 2) UNION ALL SELECT w.start_id, u.t, w.hops + 1, concat(w.used, '|', CAST(u.id AS VARCHAR), '|') FROM w JOIN (SELECT dst AS f, src AS t, id FROM edges WHERE edge_type = 'RELATION') u ON u.f = w.end_id WHERE w.hops < 2 AND w.used NOT LIKE concat('%|', CAST(u.id AS VARCHAR), '|%'))"
 query("match_variable_length", lambda g, s, d: P.match_variable_length(Graph(g.nodes, g.edges.where("edge_type = 'RELATION'")), g.nodes.where("category_id IN (1, 2)").select("graph", "id"), 1, 2, direction="<").groupBy("start_id", "end_id", "hops").agg(F.count("*").alias("n")), f"SELECT start_id, end_id, hops, count(*) AS n FROM ({_vl} SELECT * FROM w) q WHERE hops >= 1 GROUP BY ALL")
 query(
@@ -370,6 +387,19 @@ query(
     lambda g, s, d: roles.participants(_recorded(g, s)[0]).where(f"event_id >= {23 * BASE}").select("event_id", "direction", "role", "member_id", "quantity"),
     f"SELECT {23 * BASE} + o_orderkey AS event_id, x.direction, x.role, CASE x.role WHEN 'buyer' THEN {3 * BASE} + o_custkey WHEN 'consumed' THEN {5 * BASE + 1} + o_orderkey % 50 WHEN 'shipped_by' THEN {4 * BASE + 1} + o_orderkey % 9 ELSE a.id END AS member_id, CASE WHEN x.role = 'consumed' THEN 2.5 END::DOUBLE AS quantity FROM orders CROSS JOIN (VALUES ('in', 'buyer'), ('in', 'consumed'), ('out', 'shipped_by'), ('in', 'packaging')) x(direction, role) LEFT JOIN (SELECT min(n.id) AS id FROM nodes n JOIN role_defs r ON r.default_use_active = n.category_id WHERE n.node_type = 'REAGENT' AND n.active) a ON x.role = 'packaging' WHERE o_orderkey % 2 = 1 AND o_orderkey % 7 <> 0",
 )
+_fillers = f"""fillers AS (SELECT {_known} AS event_id, x.direction, x.role, CASE x.role WHEN 'buyer' THEN {3 * BASE} + o_custkey WHEN 'consumed' THEN {5 * BASE + 1} + o_orderkey % 50 WHEN 'shipped_by' THEN {4 * BASE + 1} + o_orderkey % 9 ELSE a.id END AS member_id, CASE WHEN x.role = 'consumed' THEN 2.5 END::DOUBLE AS quantity
+  FROM orders CROSS JOIN (VALUES ('in', 'buyer'), ('in', 'consumed'), ('out', 'shipped_by'), ('in', 'packaging')) x(direction, role) LEFT JOIN (SELECT min(n.id) AS id FROM nodes n JOIN role_defs r ON r.default_use_active = n.category_id WHERE n.node_type = 'REAGENT' AND n.active) a ON x.role = 'packaging' WHERE o_orderkey % 7 <> 0),
+after AS (SELECT event_id, direction, role, member_id, quantity, row_number() OVER (PARTITION BY event_id, direction, role, member_id, quantity) AS nth FROM parts UNION SELECT *, 1 FROM fillers)"""
+query(
+    "record_protocol_events_edges_updated",
+    lambda g, s, d: roles.participants(_recorded(g, s)[0]).where(f"event_id < {7 * BASE} AND event_id % 2 = 0").select("event_id", "direction", "role", "member_id", "quantity"),
+    f", {_parts}, {_fillers} SELECT event_id, direction, role, member_id, quantity FROM after WHERE event_id < {7 * BASE} AND event_id % 2 = 0",
+)
+query(
+    "record_protocol_events_repeat",
+    lambda g, s, d: ingest.upsert_events(_recorded(g, s)[0], *_event_inputs(s), 23 * BASE, sequence={"start": 1})[0].edges.where("edge_type = 'PARTICIPANT'").agg(F.count("*").alias("n"), F.countDistinct("graph", "id").alias("n_ids")),
+    f", {_parts}, {_fillers} SELECT count(*) AS n, count(*) AS n_ids FROM after",
+)
 query("record_protocol_events_errors", lambda g, s, d: _recorded(g, s)[1].select("event_id", "role", "outcome"), f"SELECT {_known} AS event_id, 'shipped_by' AS role, 'missing' AS outcome FROM orders WHERE o_orderkey % 7 = 0")
 query("in_edges_for_event", lambda g, s, d: ingest.in_edges_for_event(roles.participants(g)).drop("graph"), f", {_parts} SELECT member_id AS src, event_id AS dst, role AS label, role, quantity FROM parts WHERE direction = 'in'")
 query("out_edges_for_event", lambda g, s, d: ingest.out_edges_for_event(roles.participants(g)).drop("graph"), f", {_parts} SELECT event_id AS src, member_id AS dst, role AS label, role, quantity FROM parts WHERE direction = 'out'")

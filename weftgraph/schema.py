@@ -23,23 +23,47 @@ VALUE_TYPES = {"INT": "bigint", "FLOAT": "double", "STRING": "string", "BOOLEAN"
 VECTOR_SIZES = {"ONE_D_VECTOR": 1, "TWO_D_VECTOR": 2, "THREE_D_VECTOR": 3, "FOUR_D_VECTOR": 4, "N_VECTOR": None}
 
 
+@dataclass(frozen=True)
+class Side:
+    """Edges by one of their ends: those of most nodes in ``edges``, bucketed by (graph, end); those of hubs apart.
+
+    hubs: graph, end and the number of parts; hub_edges: with their part.
+    """
+
+    edges: DataFrame
+    hubs: DataFrame | None = None
+    hub_edges: DataFrame | None = None
+
+    def all_edges(self) -> DataFrame:
+        return self.edges if self.hub_edges is None else self.edges.unionByName(self.hub_edges.select(*self.edges.columns))
+
+    def of(self, graph: str) -> Side:
+        return Side(*[None if t is None else t.where(F.col("graph") == graph) for t in (self.edges, self.hubs, self.hub_edges)])
+
+
 @dataclass(frozen=True)
 class Graph:
-    """One or several graphs: nodes, edges, and the catalog tables of their ontology by name."""
+    """One or several graphs: nodes, edges, and the catalog tables of their ontology by name.
+
+    sides: the same edges by "src" and by "dst", if they are stored so (``sources.adjacency``). counts: (label, node_type, category_id,
+    number) of the stored nodes, by which a pattern's order is chosen; results don't depend on them.
+    """
 
     nodes: DataFrame
     edges: DataFrame
     catalog: dict[str, DataFrame] = field(default_factory=dict)
+    sides: dict[str, Side] = field(default_factory=dict)
+    counts: tuple[tuple, ...] = ()
 
     def with_nodes(self, nodes: DataFrame) -> Graph:
         return replace(self, nodes=nodes)
 
     def with_edges(self, edges: DataFrame) -> Graph:
-        return replace(self, edges=edges)
+        return replace(self, edges=edges, sides={})
 
     def of(self, graph: str) -> Graph:
         """One graph of several: a partition filter on both tables."""
-        return Graph(self.nodes.where(F.col("graph") == graph), self.edges.where(F.col("graph") == graph), self.catalog)
+        return Graph(self.nodes.where(F.col("graph") == graph), self.edges.where(F.col("graph") == graph), self.catalog, {end: side.of(graph) for end, side in self.sides.items()}, self.counts)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.schema import VARIABLES, Graph, shared_folder
-from weftgraph.sources.ingest import read_parquet, sink_parquet
+from weftgraph.schema import VARIABLES, Graph, checkpointed, shared_folder
+from weftgraph.sources.adjacency import is_stored, read_adjacency, store_adjacency
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
 
@@ -103,19 +103,20 @@ _STORED: dict[tuple, str] = {}
 
 
 def build_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of a folder's tables: derived and stored by ``sink_parquet`` once in an application, then read from there, so that scans prune
-    by graph and type. It is stored anew when a table has changed, or when what was stored is gone."""
+    """The graph of a folder's tables: derived and stored in adjacency layout once in an application, then read from there.
+
+    It is stored anew when a table has changed, or when what was stored is gone."""
     register(spark, sf_dir)
     context = spark.sparkContext
     folder = context._jvm.org.apache.hadoop.fs.Path
     files = folder(sf_dir).getFileSystem(context._jsc.hadoopConfiguration())
     state = (context.applicationId, sf_dir, *(files.getFileStatus(folder(f"{sf_dir}/{t}.parquet")).getModificationTime() for t in TABLES))
     path = _STORED.get(state)
-    if path is None or not files.exists(folder(f"{path}/edges/_SUCCESS")):
+    if path is None or not is_stored(spark, path):
         path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
         g = derived_graph(spark, sf_dir)
         for name, table in g.catalog.items():
             table.coalesce(1).write.parquet(f"{path}/{name}")
-        sink_parquet(g, path)
+        store_adjacency(Graph(checkpointed(g.nodes), checkpointed(g.edges)), path)
         _STORED[state] = path
-    return read_parquet(spark, path, {name: spark.read.parquet(f"{path}/{name}") for name in CATALOG_TABLES})
+    return read_adjacency(spark, path, {name: spark.read.parquet(f"{path}/{name}") for name in CATALOG_TABLES})

@@ -6,7 +6,7 @@ leaves nothing behind. New ids are ``new_ids`` plus the input's own number ``inp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.names import parse_structure_refs
@@ -177,7 +177,8 @@ def upsert_events(g: Graph, inputs: DataFrame, fillers: DataFrame, new_ids: int,
     """(graph with the events and their participant edges, errors). An event whose external id its category has already is updated: name, times, window and variables.
 
     inputs: graph, category_id, external_id, name, created_at, valid_from, valid_to, variables, input_no; the last of an external id
-    holds. fillers: graph, input_no, direction, role, member_id, quantity. A participant edge's id is a hash of event, role and member.
+    holds. fillers: graph, input_no, direction, role, member_id, quantity. An event keeps the participant edges it has and gets those that it hasn't:
+    the nth filler of a role, member and quantity is the nth such edge. Its id is a hash of all that, so ids differ, and a repeat changes nothing.
     """
     key = ["graph", "category_id", "external_id"]
     last = latest_per_external_id(inputs, key, ["created_at", "input_no"])
@@ -192,9 +193,18 @@ def upsert_events(g: Graph, inputs: DataFrame, fillers: DataFrame, new_ids: int,
     members = fillers.join(met.select("graph", "input_no", "event_id"), ["graph", "input_no"]).select("graph", "event_id", "direction", "role", "member_id", "quantity")
     nodes, edges, errors = record_events(g, met, members, node_type, reagent_id)
     kept = g.nodes.join(nodes.select("graph", "id"), ["graph", "id"], "left_anti")
-    hashed = F.xxhash64("graph", "src", "dst", "role").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    made = _shaped(edges.distinct().withColumn("id", hashed), EDGE_COLUMNS, g.edges, edge_type="PARTICIPANT", category_id=None)
-    return Graph(kept.select(*NODE_COLUMNS).unionByName(nodes), g.edges.select(*EDGE_COLUMNS).unionByName(made), g.catalog), errors
+    same = ["graph", "src", "dst", "role", "amount", "nth"]
+
+    def numbered_alike(rows: DataFrame) -> DataFrame:
+        told = rows.withColumn("amount", F.coalesce(F.col("quantity").cast("string"), F.lit("")))  # joins on it, nulls together
+        return told.withColumn("nth", F.row_number().over(Window.partitionBy(*same[:-1]).orderBy("amount")))  # rows are equal: any order will do
+
+    edges = checkpointed(edges)
+    there = g.edges.where("edge_type = 'PARTICIPANT'").join(edges.select(*same[:4]).distinct(), same[:4], "left_semi")
+    hashed = F.xxhash64(*same).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    fresh = numbered_alike(edges).join(numbered_alike(there).select(*same), same, "left_anti")
+    added = _shaped(fresh.withColumn("id", hashed), EDGE_COLUMNS, g.edges, edge_type="PARTICIPANT", category_id=None)
+    return Graph(kept.select(*NODE_COLUMNS).unionByName(nodes), g.edges.select(*EDGE_COLUMNS).unionByName(added), g.catalog), errors
 
 
 def catalog_upsert(categories: DataFrame, inputs: DataFrame, keys: tuple[str, ...] = ("graph", "kind", "name")) -> DataFrame:
