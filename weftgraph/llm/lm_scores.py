@@ -216,6 +216,25 @@ class Block:
         return [total(np.ones(len(real), np.int64)), total((count > 0).astype(np.int64)), total(np.log10(base)), total(np.log10(chance))]
 
 
+def _squeezed(data: bytes) -> bytes:
+    """Small for the shuffle: its size, and what zstd makes of it."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _widened(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Keys in order as their steps, all first bytes together, then all second ones, ...: the high ones are mostly zero."""
+    return _squeezed(np.diff(keys, prepend=np.uint32(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(_widened(data), np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view(np.uint32).ravel(), dtype=np.uint32)
+
+
 def _listed(blob: bytes) -> list[bytes]:
     return blob.split(b"\n") if blob else []
 
@@ -284,9 +303,9 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
         for _, texts in _chunks(batches, s.block_bytes):
             block = Block(texts, n_shards, s.order)
             counts = np.bincount(block.ids, minlength=len(block.words) + 2)[block.word_ids].astype(np.int32)
-            yield pa.RecordBatch.from_pylist([dict(zip(names, (0, block.texts, b"", b"", b"", b"")))], _COUNTED)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (0, block.texts, *[_squeezed(b"")] * 4)))], _COUNTED)
             for shard, w, k in block.by_shard():
-                row = (shard, 0, b"\n".join(block.words[w]), counts[w].tobytes(), block.keys[k].tobytes(), block.gram_counts[k].astype(np.int32).tobytes())
+                row = (shard, 0, _squeezed(b"\n".join(block.words[w])), _squeezed(counts[w].tobytes()), _packed_keys(block.keys[k]), _squeezed(block.gram_counts[k].tobytes()))
                 yield pa.RecordBatch.from_pylist([dict(zip(names, row))], _COUNTED)
 
     @trimmed
@@ -296,10 +315,10 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
             for batch in rows:
                 for r in batch.to_pylist():
                     texts += r["texts"]
-                    for word, n in zip(_listed(r["words"]), np.frombuffer(r["counts"], np.int32).tolist()):
+                    for word, n in zip(_listed(_widened(r["words"])), np.frombuffer(_widened(r["counts"]), np.int32).tolist()):
                         words[word] += n
-                    keys.append(np.frombuffer(r["keys"], np.uint32))
-                    key_counts.append(np.frombuffer(r["key_counts"], np.int32))
+                    keys.append(_unpacked_keys(r["keys"]))
+                    key_counts.append(np.frombuffer(_widened(r["key_counts"]), np.int32))
             distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
             totals = np.bincount(of, np.concatenate(key_counts), len(distinct)).astype(np.int64)
             known = sorted(words)
@@ -360,7 +379,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for number, held in _runs(batches, "block"):
             block = Block([batch.column("text") for batch in held], n_shards, s.order)
             for shard, w, k in block.by_shard():
-                row = {"shard": shard, "block": number, "words": b"\n".join(block.words[w]), "counts": b"", "bits": block.keys[k].tobytes()}
+                row = {"shard": shard, "block": number, "words": _squeezed(b"\n".join(block.words[w])), "counts": b"", "bits": _packed_keys(block.keys[k])}
                 yield pa.RecordBatch.from_pylist([row], _REQUEST)
 
     @trimmed
@@ -373,14 +392,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     continue
                 if r["shard"] != now:
                     now, shard = r["shard"], Shard(b"", b"", b"")
-                counts, levels = shard.answer(_listed(r["words"]), np.frombuffer(r["bits"], np.uint32), s)
-                yield pa.RecordBatch.from_pylist([{"block": r["block"], "shard": now, "counts": counts.tobytes(), "levels": levels.tobytes()}], _ANSWER)
+                counts, levels = shard.answer(_listed(_widened(r["words"])), _unpacked_keys(r["bits"]), s)
+                yield pa.RecordBatch.from_pylist([{"block": r["block"], "shard": now, "counts": _squeezed(counts.tobytes()), "levels": _squeezed(levels.tobytes())}], _ANSWER)
 
     def meet(texts: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block([chunk.field("text") for chunk in texts.column("row").chunks], n_shards, s.order)
         found = {r["shard"]: r for r in answers.to_pylist()}
         asked = [found[i] for i, _, _ in block.by_shard()]
-        return with_scores(texts.column("row"), block, [np.frombuffer(a["counts"], np.int64) for a in asked], [np.frombuffer(a["levels"], np.uint8) for a in asked])
+        return with_scores(texts.column("row"), block, [np.frombuffer(_widened(a["counts"]), np.int64) for a in asked], [np.frombuffer(_widened(a["levels"]), np.uint8) for a in asked])
 
     request_shape = "shard long, block long, words binary, counts binary, bits binary"
     requests = dealt.select("block", F.col("row.text").alias("text")).sortWithinPartitions("block").mapInArrow(ask, request_shape)
