@@ -197,16 +197,14 @@ def test_malformed_ids(spark, g):
     assert ids(scan.nodes_by_id(g, gids)) == [1]
 
 
-def test_streams_of_many_batches_in_any_order_of_time(spark, tmp_path, monkeypatch):
+def test_streams_of_many_batches_in_any_order_of_time(spark, g, tmp_path, monkeypatch):
     rows = [(i, i % 7 if i < 25 else i, f"2024-01-{1 + i * 11 % 29:02} 00:00:00", f"type{i}") for i in range(30)]
     events = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(6).write.parquet(f"{tmp_path}/events.parquet")
     read = catalogue.stream.read_events
     monkeypatch.setattr(catalogue.stream, "read_events", lambda s, d: read(s, d, files_per_batch=1))
-    upsert = catalogue.stream.upsert_by_batch
-    monkeypatch.setattr(catalogue.stream, "upsert_by_batch", lambda path, keys, order: upsert(path, keys, order, compact_every=2))
     newest = {}
     for event_id, user_id, ts, name in rows:
         newest[user_id] = max(newest.get(user_id, ("", 0, "")), (ts, event_id, name))
-    assert {(r.user_id, r.name) for r in catalogue._upserted(None, spark, str(tmp_path)).collect()} == {(u, x[2]) for u, x in newest.items()}
+    assert {(r.user_id, r.name) for r in catalogue._upserted(g, spark, str(tmp_path)).collect()} == {(u, x[2]) for u, x in newest.items()}
     assert sorted((r.event_id, r.user_id) for r in catalogue._deduped(None, spark, str(tmp_path)).collect()) == [r[:2] for r in rows]

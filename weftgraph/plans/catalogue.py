@@ -481,31 +481,36 @@ def _facts(g: Graph, s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{path}/facts").select("kind", "id", "src", "dst", "value")
 
 
-def _stream_state(s: SparkSession, d: str) -> DataFrame:
+def _stream_users(s: SparkSession, d: str) -> DataFrame:
+    """Events as entity inputs: a user has the name of an event, the last of which holds."""
+    user = F.col("user_id")
+    return stream.read_events(s, d).select(F.lit("trade").alias("graph"), F.lit(3).cast("bigint").alias("category_id"), F.concat(F.lit("Customer#"), F.lpad(user.cast("string"), 9, "0")).alias("external_id"), F.col("event_type").alias("name"), F.col("ts").cast("timestamp_ntz").alias("created_at"), F.col("event_id").alias("order_no"), user.alias("input_no"))
+
+
+def _streamed(g: Graph, s: SparkSession, d: str) -> Graph:
     path = scratch(s)
-    inputs = stream.read_events(s, d).select("user_id", F.col("event_type").alias("name"), F.struct("ts", "event_id").alias("at"))
-    stream.stream_upsert_entities(inputs, stream.upsert_by_batch(path, ["user_id"], "at"), f"{path}-checkpoint").awaitTermination()
-    return stream.upserted(s, path, f"{path}-checkpoint", ["user_id"], "at")
+    store = stream.entity_store(g, path, buckets=8)
+    stream.stream_upsert_entities(_stream_users(s, d), store, 25 * BASE, f"{path}-checkpoint").awaitTermination()
+    return stream.upserted(g, store)
 
 
 def _upserted(g: Graph, s: SparkSession, d: str) -> DataFrame:
-    return _stream_state(s, d).select("user_id", "name")
+    """Users that no graph knows yet."""
+    found = _streamed(Graph(g.nodes.limit(0), g.edges.limit(0)), s, d)
+    return found.nodes.select((F.col("id") - 25 * BASE).alias("user_id"), "name")
 
 
 def _ingested(g: Graph, s: SparkSession, d: str) -> DataFrame:
-    """The stream's state, by ``ingest_entities``, in the graph: users that are customers get the name of their last event, others are new."""
-    users = _stream_state(s, d).select(F.lit("trade").alias("graph"), F.lit(3).cast("bigint").alias("category_id"), F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("external_id"), "name", F.col("at.ts").cast("timestamp_ntz").alias("created_at"), F.col("user_id").alias("input_no"))
-    return ingest.ingest_entities(g, users, 25 * BASE).nodes.where("category_id = 3 AND node_type = 'ENTITY'").select("id", "external_id", "name")
+    """Users that are customers get the name of their last event, others are new."""
+    return _streamed(g, s, d).nodes.where("category_id = 3 AND node_type = 'ENTITY'").select("id", "external_id", "name")
 
 
 def _deduped(g: Graph, s: SparkSession, d: str) -> DataFrame:
     path = scratch(s)
-    repeated = stream.read_events(s, d).select("event_id", "user_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
-    # files come in any order of time, so a row is late by up to the whole span of the events
-    at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    span = s.read.parquet(f"{d}/event*.parquet").agg(F.max(at) - F.min(at)).first()[0] or 0
-    stream.stream_dedupe(repeated, late=f"{span + 3600} seconds").writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(path).select("event_id", "user_id")
+    repeated = stream.read_events(s, d).select("event_id", "user_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
+    store = stream.dedupe_store(s, path, repeated.schema, buckets=8)
+    stream.stream_dedupe(repeated, store, f"{path}-checkpoint").awaitTermination()
+    return store.rows()
 
 
 def _history(g: Graph, s: SparkSession, d: str) -> DataFrame:

@@ -1,17 +1,19 @@
 """Structured Streaming: facts as they arrive.
 
-Projections are stateless; upserts run once per micro-batch and are idempotent by batch id; late repeats are
-dropped within a watermark. Streams read folders; watermarks need TIMESTAMP columns.
+Projections are stateless. Upserts and the dropping of repeats hold each micro-batch against a table by key (``streaming.keyed``), which
+it then changes under the batch's id, once. Streams read folders.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from weftgraph.schema import NODE_COLUMNS, Graph, checkpointed
+from weftgraph.sources.ingest import ingest_entities
+from weftgraph.streaming.keyed import KeyedRuns
+
 
 def read_events(spark: SparkSession, folder: str, name: str = "event*.parquet", schema: StructType | None = None, files_per_batch: int = 100) -> DataFrame:
     """A stream of the event files in a folder; name is a glob, since a stream takes no single file."""
@@ -39,50 +41,54 @@ def stream_ingest_facts(events: DataFrame, path: str, checkpoint: str):
     return fact_rows(events).writeStream.format("parquet").partitionBy("kind").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def stream_upsert_entities(inputs: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str):
-    """Starts a query that calls ``upsert`` with each micro-batch and its id; writing under that id makes a repeat harmless."""
-    return inputs.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+#: Keys of an entity in the store of a stream; those without an external id are keyed by their id.
+ENTITY_KEYS = ["graph", "category_id", "entity_key"]
 
 
-def upsert_by_batch(path: str, keys: list[str], order: str, compact_every: int = 50) -> Callable[[DataFrame, int], None]:
-    """An upsert that writes only what a micro-batch changes: the last row of each of its keys, under ``path/delta/batch=n``.
+def entity_store(g: Graph, path: str, buckets: int = 64, fan: int = 8) -> KeyedRuns:
+    """The entities of a graph as a table by key that a stream keeps up to date; loaded, as version -1, if ``path`` holds nothing yet."""
+    entities = g.nodes.where("node_type = 'ENTITY'").select(*NODE_COLUMNS).withColumns({"entity_key": _entity_key(), "order_no": F.lit(None).cast("long")})
+    store = KeyedRuns(g.nodes.sparkSession, path, ENTITY_KEYS, entities.schema, buckets, fan)
+    if store.version() is None:
+        store.commit(-1, entities)
+    return store
 
-    A repeated batch rewrites the same folder. Each ``compact_every`` batches, the state so far is written under ``path/base/batch=n``,
-    so that a reader has few deltas to merge. Of a key's rows the one with the greatest ``order`` counts, in whichever batch it comes.
-    """
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        last = _last(batch, keys, order)
-        last.write.mode("overwrite").parquet(f"{path}/delta/batch={batch_id}")
-        if batch_id and batch_id % compact_every == 0:
-            _merged(batch.sparkSession, path, keys, order, batch_id).write.mode("overwrite").parquet(f"{path}/base/batch={batch_id}")
+def _entity_key() -> Column:
+    return F.coalesce(F.concat(F.lit("x"), F.col("external_id")), F.concat(F.lit("i"), F.col("id").cast("string")))
 
-    return apply
 
+def upsert_entities(store: KeyedRuns, inputs: DataFrame, version: int, new_ids: int) -> None:
+    """One batch: ``ingest_entities`` on the entities that the batch has keys of, and no others; then they are committed as ``version``.
 
-def _last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), order).alias("x")).select(*keys, "x.*")
+    inputs: graph, category_id, external_id, name, created_at, order_no, input_no. Of a key's inputs the last by created_at and order_no holds, in
+    whichever batch it comes: one that is older than what is held changes nothing. A version that is committed already is left as it is.
+    """
+    done = store.version()
+    if done is not None and done >= version:
+        return
+    keyed = inputs.withColumn("entity_key", F.coalesce(F.concat(F.lit("x"), F.col("external_id")), F.concat(F.lit("i"), (F.lit(new_ids) + F.col("input_no")).cast("string"))))
+    last = checkpointed(_last(keyed, ENTITY_KEYS, F.struct("created_at", "order_no")))
+    held = checkpointed(store.held(last))
+    before = held.select(*ENTITY_KEYS, F.struct("created_at", "order_no").alias("before"))
+    newer = last.join(before, ENTITY_KEYS, "left").where(F.col("before").isNull() | (F.struct("created_at", "order_no") > F.col("before"))).drop("before")
+    made = ingest_entities(Graph(held.select(*NODE_COLUMNS), held.select(*NODE_COLUMNS)), newer, new_ids).nodes.withColumn("entity_key", _entity_key())
+    store.commit(version, made.join(newer.select(*ENTITY_KEYS, "order_no"), ENTITY_KEYS))
 
 
-def _merged(spark: SparkSession, path: str, keys: list[str], order: str, last: int) -> DataFrame:
-    """The state after batch ``last``: the newest base before it, and all deltas after that."""
-    context = spark.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path
-    files = folder(path).getFileSystem(context._jsc.hadoopConfiguration())
+def stream_upsert_entities(inputs: DataFrame, store: KeyedRuns, new_ids: int, checkpoint: str):
+    """Starts a query that upserts each micro-batch (``upsert_entities``) under its id, so that the graph is up to date after each, and a repeated batch does no harm."""
+    return inputs.writeStream.foreachBatch(lambda batch, n: upsert_entities(store, batch, n, new_ids)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def batches(kind: str) -> list[int]:
-        top = folder(f"{path}/{kind}")
-        return sorted(int(s.getPath().getName().removeprefix("batch=")) for s in (files.listStatus(top) if files.exists(top) else ()))
 
-    base = max((n for n in batches("base") if n < last), default=-1)
-    parts = [f"{path}/base/batch={base}"] * (base >= 0) + [f"{path}/delta/batch={n}" for n in batches("delta") if base < n <= last]
-    return _last(spark.read.parquet(*parts), keys, order)
+def upserted(g: Graph, store: KeyedRuns, version: int | None = None) -> Graph:
+    """The graph with its entities as the store has them, after a version or the newest one."""
+    others = g.nodes.where("node_type IS NULL OR node_type <> 'ENTITY'").select(*NODE_COLUMNS)
+    return g.with_nodes(others.unionByName(store.rows(version).select(*NODE_COLUMNS)))
 
 
-def upserted(spark: SparkSession, path: str, checkpoint: str, keys: list[str], order: str) -> DataFrame:
-    """The state after the last batch that the stream with this checkpoint committed; a batch without rows left no delta, and none is needed."""
-    batch = F.regexp_extract("_metadata.file_path", r"/(\d+)$", 1).cast("long")
-    return _merged(spark, path, keys, order, spark.read.text(f"{checkpoint}/commits").agg(F.max(batch)).first()[0])
+def _last(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), order).alias("x")).select(*keys, "x.*")
 
 
 def stream_history_events(events: DataFrame, user_id: int) -> DataFrame:
@@ -90,6 +96,20 @@ def stream_history_events(events: DataFrame, user_id: int) -> DataFrame:
     return events.where(F.col("user_id") == user_id).select(F.col("event_id"), "user_id", F.col("event_type").alias("change"), "ts")
 
 
-def stream_dedupe(events: DataFrame, key: str = "event_id", at: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Drops repeats of a key that arrive within the watermark."""
-    return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+def dedupe_store(spark: SparkSession, path: str, rows: StructType, key: str = "event_id", buckets: int = 64, fan: int = 8) -> KeyedRuns:
+    """The rows that a stream has let through, by key."""
+    return KeyedRuns(spark, path, [key], rows, buckets, fan)
+
+
+def add_unseen(store: KeyedRuns, batch: DataFrame, version: int) -> None:
+    """Commits the rows of a batch whose key no earlier batch has had, one for each key; rows without a key are left out."""
+    done = store.version()
+    if done is not None and done >= version:
+        return
+    one = checkpointed(batch.where(" AND ".join(f"`{k}` IS NOT NULL" for k in store.keys)).dropDuplicates(store.keys))
+    store.commit(version, one.join(store.held(one).select(*store.keys), store.keys, "left_anti"))
+
+
+def stream_dedupe(rows: DataFrame, store: KeyedRuns, checkpoint: str):
+    """Starts a query that lets the first row of each key through, however late a repeat comes. The stream keeps no state: a batch is held against what is committed."""
+    return rows.writeStream.foreachBatch(lambda batch, n: add_unseen(store, batch, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
