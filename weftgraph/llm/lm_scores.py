@@ -327,7 +327,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
             yield pa.RecordBatch.from_pylist([row], _SHARD)
 
     counted = docs.select("text").mapInArrow(count, "shard long, texts long, words binary, counts binary, keys binary, key_counts binary")
-    shards = stored(counted.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard long, texts long, tokens long, kinds long, words binary, counts binary, bits binary"))
+    shards = stored(counted.repartition(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard long, texts long, tokens long, kinds long, words binary, counts binary, bits binary"))
     texts, tokens, kinds = (n or 0 for n in shards.agg(F.sum("texts"), F.sum("tokens"), F.sum("kinds")).first())
     return Model(shards.select("shard", "words", "counts", "bits"), n_shards, tokens + texts, kinds + (texts > 0), texts, s)
 
@@ -372,7 +372,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return from_row(rows.mapInArrow(scored, shape), docs.columns, "lm")
 
     n_blocks = max(ceil(_text_bytes(docs) / s.block_bytes), 1)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks))).repartition("block")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks))).repartition(n_blocks, "block")
 
     @trimmed
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +404,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     request_shape = "shard long, block long, words binary, counts binary, bits binary"
     requests = dealt.select("block", F.col("row.text").alias("text")).sortWithinPartitions("block").mapInArrow(ask, request_shape)
     models = model.shards.select("shard", F.lit(-1).cast("long").alias("block"), "words", "counts", "bits")
-    met = models.unionByName(requests).repartition("shard").sortWithinPartitions("shard", "block")
+    met = models.unionByName(requests).repartition(n_shards, "shard").sortWithinPartitions("shard", "block")
     answers = met.mapInArrow(answer, "block long, shard long, counts binary, levels binary")
     return from_row(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, shape), docs.columns, "lm")
 
