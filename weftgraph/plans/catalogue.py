@@ -16,7 +16,7 @@ from weftgraph.operators import aggregate as agg
 from weftgraph.operators import audit, expand, paging, pattern, roles, scan, temporal, views
 from weftgraph.schema import VARIABLES, Graph, shared_folder
 from weftgraph.sources import codec, ingest
-from weftgraph.sources.fixture import ORACLE_WITH, build_graph
+from weftgraph.sources.fixture import build_graph, with_for
 from weftgraph.streaming import ingest as stream
 
 Query = Callable[[Graph, SparkSession, str], DataFrame]
@@ -535,5 +535,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The WITH clause before each query's SQL; one that begins with a comma goes on with it."""
-    return {name: (ORACLE_WITH.rstrip() + sql if sql.startswith(",") else f"{ORACLE_WITH}{sql}") for name, (_, sql) in FOUND.items() if sql is not None}
+    """Each query's SQL behind what it needs of the WITH clause."""
+    return {name: with_for(sql) for name, (_, sql) in FOUND.items() if sql is not None}

@@ -6,6 +6,7 @@ edges with a key of two parts, 10^18 or 5 * 10^18 + order * 10^8 + part or suppl
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -81,8 +82,21 @@ saved_queries AS (SELECT * FROM (VALUES (1, 'metrics', 3, true), (2, 'lineage',
 CATALOG_TABLES = ("categories", "category_tags", "role_defs", "pins", "saved_queries")
 #: Put before a SELECT over nodes, edges and the catalog tables.
 WITH = f"WITH {FACTS.rstrip()},\n{CATALOG}"
-#: The same for an oracle database, which then derives nodes and edges once.
-ORACLE_WITH = WITH.replace("\nnodes AS (", "\nnodes AS MATERIALIZED (").replace("\nedges AS (", "\nedges AS MATERIALIZED (")
+
+
+def with_for(sql: str) -> str:
+    """``sql`` behind a WITH clause of just those derived tables that it names, or that these are derived from; nodes and edges are derived once. It may go on with the clause, by a comma."""
+    _, *parts = re.split(r"(?m)^(\w+) AS (?=\()", f"{FACTS.rstrip()},\n{CATALOG}")
+    bodies = {name: body.rstrip().removesuffix(",") for name, body in zip(parts[::2], parts[1::2])}
+    words = lambda text: set(re.findall(r"\w+", text)) & bodies.keys()
+    needed, todo = set(), words(sql)
+    while todo:
+        needed |= todo
+        todo = set().union(*(words(bodies[name]) for name in todo)) - needed
+    clauses = ",\n".join(f"{name} AS {'MATERIALIZED ' * (name in ('nodes', 'edges'))}{body}" for name, body in bodies.items() if name in needed)
+    if sql.startswith(","):
+        return f"WITH {clauses}{sql}" if clauses else f"WITH {sql[1:].lstrip()}"
+    return f"WITH {clauses}\n{sql}" if clauses else sql
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
