@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_golden import EDGE_SCHEMA, NODE_SCHEMA
-from weftgraph.operators import expand, pattern, scan, temporal
+from weftgraph.operators import expand, paging, pattern, scan, temporal
 from weftgraph.schema import Graph
+from weftgraph.sources import ingest
 from weftgraph.sources.adjacency import is_stored, read_adjacency, store_adjacency
 
 
@@ -185,6 +186,68 @@ def test_events_with_many_members_are_not_multiplied_out(spark):
     assert [tuple(r) for r in pattern.factor_totals(factors).collect()] == [("t", 0, n, n, n * n, 0.5 * n * n)]
 
 
+def test_deep_pages_are_those_of_a_full_sort(spark, monkeypatch):
+    monkeypatch.setattr(paging, "SHALLOW", 20)
+    monkeypatch.setattr(paging, "STRETCHES", 8)
+    rng = random.Random(5)
+    day = [datetime(2024, 1, 1) + timedelta(days=i) for i in range(3)]
+    ids = [*range(400), *[10**13 + rng.randrange(10**12) for _ in range(100)], -5]
+    nodes = [node(i, at=rng.choice([None, *day, day[0] - timedelta(seconds=rng.randrange(10**7))])) for i in ids]
+    edges = [edge(i % 90, rng.randrange(30), rng.randrange(30)) for i in range(300)]  # ids that repeat: ties on all keys
+    g = graph(spark, nodes, edges)
+    newest = sorted(nodes, key=lambda n: (n[12] is None, -(n[12] or day[0]).timestamp(), n[1]))
+    both = sorted([(e[1], a, b) for e in edges if e[5] != e[6] for a, b in ((e[5], e[6]), (e[6], e[5]))])
+    for offset in (0, 19, 21, 100, 399, 450, len(ids) - 1, len(ids), 10_000):
+        assert [r.id for r in paging.page_nodes(g, "t", offset=offset, limit=7).collect()] == sorted(ids)[offset : offset + 7]
+        assert [r.id for r in paging.latest_nodes(g, "t", offset=offset, limit=7).collect()] == [n[1] for n in newest][offset : offset + 7]
+        assert [(r.id, r.left_id) for r in paging.page_edges(g, "t", offset=offset, limit=7).collect()] == [x[:2] for x in both][offset : offset + 7]
+        sets = [g.nodes.where("id > 300"), g.nodes.where("id <= 100")]
+        joined = [(0, i) for i in sorted(ids) if i > 300] + [(1, i) for i in sorted(ids) if i <= 100]
+        assert [(r.set_no, r.id) for r in paging.page_concat(sets, "id", offset, 7).collect()] == joined[offset : offset + 7]
+    assert [r.id for r in paging.page_nodes(g, "t", after=398, limit=2).collect()] == sorted(ids)[400:402]
+    seen, last = [], None
+    while page := paging.page_edges(g.with_edges(g.edges.dropDuplicates(["id"])), "t", limit=50, after=last).collect():
+        seen += [(r.id, r.left_id) for r in page]
+        last = seen[-1]
+    assert seen == sorted(set(seen)) and len(seen) == 2 * g.edges.dropDuplicates(["id"]).where("src <> dst").count()
+
+
+def test_search_reads_the_lists_of_its_trigrams(spark, tmp_path):
+    names = [None, "", "ab", "abc", "ABCD", "xabcx", "bca", "Ünïcode ÄBC", "aaaa", "a_c%", *[f"item{i:05}" for i in range(3_000)]]
+    nodes = [(*node(i)[:7], n, *node(i)[8:]) for i, n in enumerate(names)]
+    plain = graph(spark, nodes, [])
+    store_adjacency(plain, str(tmp_path), buckets=2)
+    g = read_adjacency(spark, str(tmp_path))
+    for text in ("abc", "ABC", "ab", "b", "aaa", "äbc", "_c%", "item00", "item00042", "nothing", "m0001"):
+        assert rows(scan.filter_entities(g, search=text)) == rows(scan.filter_entities(plain, search=text))
+    assert rows(scan.filter_entities(g, search="item0", limit=3, offset=5)) == rows(scan.filter_entities(plain, search="item0", limit=3, offset=5))
+    assert g.names.candidates("item00042").count() < 50 and g.names.candidates("ab") is None
+    assert scan.filter_entities(g.with_nodes(g.nodes.where("id <> 3")), search="abc").where("id = 3").count() == 0
+
+
+def test_snapshots_are_versions_and_a_crash_leaves_the_old_ones(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    schema = "id long, a string, b long"
+    states = [[(1, "x", 1), (2, "y", None), (3, None, 3)], [(1, "x", 1), (2, "y", 5), (4, "new", None)], [(4, "new", None)], []]
+    for i, state in enumerate(states):
+        got = ingest.snapshot_view(spark.createDataFrame(state, schema), path, "v", f"2024-01-0{i + 1}", keys=["id"])
+        assert rows(got) == sorted(repr((a, b, i)) for i, a, b in state)
+    for i, state in enumerate(states):
+        assert rows(ingest.read_snapshot(spark, path, "v", f"2024-01-0{i + 1}")) == sorted(repr((a, b, i)) for i, a, b in state)
+    assert spark.read.parquet(f"{path}/views/v/1-*/rows").count() == 2  # just what differs
+    again = ingest.snapshot_view(spark.createDataFrame([(9, "z", 9)], schema), path, "v", "2024-01-01")
+    assert again.count() == 1 and ingest.read_snapshot(spark, path, "v", "2024-01-01", version=0).count() == 3
+    monkeypatch.setattr(ingest.Folder, "publish", lambda self, name, text: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ingest.snapshot_view(spark.createDataFrame([(7, "lost", 7)], schema), path, "v", "2024-01-01")
+    monkeypatch.undo()
+    assert [r.id for r in ingest.read_snapshot(spark, path, "v", "2024-01-01").collect()] == [9]
+    listed = {(r.as_of, r.version, r.n_rows) for r in ingest.snapshot_manifest(spark, path).collect()}
+    assert listed == {("2024-01-01", 1, 1), ("2024-01-02", 0, 3), ("2024-01-03", 0, 1), ("2024-01-04", 0, 0)}
+    with pytest.raises(KeyError):
+        ingest.read_snapshot(spark, path, "v", "2030-01-01")
+
+
 def test_drawings_can_be_merged(spark, tangled):
     whole = scan.random_nodes(tangled, 7, seed=1)
     parts = [scan.random_nodes(tangled.with_nodes(tangled.nodes.where(f"id % 3 = {i}")), 7, seed=1) for i in range(3)]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.schema import EDGE_TYPES, NODE_TYPES, VALUE_TYPES, VECTOR_SIZES, Graph, global_id
+from weftgraph.sources.names import searched
 
 
 def scan_nodes(g: Graph, graph: str) -> DataFrame:
@@ -81,7 +82,9 @@ def _filtered(
         tests.append(F.col("category_id").isin(categories))
     if external_ids:
         tests.append(F.col("external_id").isin(external_ids))
-    if search:
+    if search and g.names is not None:
+        found = searched(found, g.names, search, node_type, graph)
+    elif search:
         tests.append(F.contains(F.lower("name"), F.lower(F.lit(search))))
     if created_after is not None:
         tests.append(F.col("created_at") > F.lit(created_after).cast("timestamp_ntz"))
@@ -102,7 +105,10 @@ def _filtered(
 
 
 def filter_entities(g: Graph, **filters) -> DataFrame:
-    """Entities by any of: graph, tags, categories, external_ids, search, created_after, created_before, ids, active; limit, offset by id."""
+    """Entities by any of: graph, tags, categories, external_ids, search, created_after, created_before, ids, active; limit, offset by id.
+
+    search: a part of the name, whatever its case, found by the index of names if the graph has one.
+    """
     return _filtered(g, "ENTITY", **filters)
 
 

@@ -78,6 +78,8 @@ query(
 query("filter_entities_page", lambda g, s, d: scan.filter_entities(g, graph="trade", categories=[3, 4], limit=50, offset=20).select(N), f"SELECT {NODE} FROM nodes WHERE node_type = 'ENTITY' AND graph = 'trade' AND category_id IN (3, 4) ORDER BY id LIMIT 50 OFFSET 20")
 query("filter_reagents", lambda g, s, d: scan.filter_reagents(g, tags=["material"], active=True).select(N), f"SELECT {NODE} FROM nodes WHERE node_type = 'REAGENT' AND active AND category_id IN (SELECT category_id FROM category_tags WHERE tag = 'material')")
 query("filter_tag_semi", lambda g, s, d: scan.categories_tagged(g, ["place", "material"]).select(F.col("category_id").cast("bigint").alias("category_id")), "SELECT CAST(category_id AS BIGINT) AS category_id FROM categories WHERE category_id IN (SELECT category_id FROM category_tags WHERE tag IN ('place', 'material'))")
+query("filter_entities_search", lambda g, s, d: scan.filter_entities(g, search="OMER#00000001").select(N), f"SELECT {NODE} FROM nodes WHERE node_type = 'ENTITY' AND contains(lower(name), 'omer#00000001')")
+query("filter_reagents_search", lambda g, s, d: scan.filter_reagents(g, search="ee").select(N), f"SELECT {NODE} FROM nodes WHERE node_type = 'REAGENT' AND contains(lower(name), 'ee')")
 query("typed_nodes", lambda g, s, d: scan.typed_nodes(g, "REAGENT", search="red").select(N), f"SELECT {NODE} FROM nodes WHERE node_type = 'REAGENT' AND name LIKE 'red%'")
 query("typed_edges", lambda g, s, d: scan.typed_edges(g, "PARTICIPANT", search="ship").select(E), f"SELECT {EDGE} FROM edges WHERE edge_type = 'PARTICIPANT' AND label LIKE 'ship%' AND src <> dst")
 query("split_node_subtypes", lambda g, s, d: scan.split_node_subtypes(g), "SELECT graph, node_type AS subtype, count(*) AS n FROM nodes GROUP BY ALL")
@@ -275,6 +277,10 @@ query("assign_local_ids_cycle", lambda g, s, d: agg.numbered(g.nodes.where("cate
 
 # pages and sets
 query("page_nodes", lambda g, s, d: paging.page_nodes(g, "trade", label="Entity", search="Cust", offset=30, limit=40).select(N), f"SELECT {NODE} FROM nodes WHERE graph = 'trade' AND label = 'Entity' AND name LIKE 'Cust%' ORDER BY id LIMIT 40 OFFSET 30")
+query("page_nodes_deep", lambda g, s, d: paging.page_nodes(g, "trade", offset=g.nodes.where("graph = 'trade'").count() // 2, limit=50).select(N), f"SELECT {NODE} FROM nodes WHERE graph = 'trade' ORDER BY id LIMIT 50 OFFSET (SELECT count(*) // 2 FROM nodes WHERE graph = 'trade')")
+query("page_nodes_after", lambda g, s, d: paging.page_nodes(g, "trade", after=3 * BASE + 5, limit=50).select(N), f"SELECT {NODE} FROM nodes WHERE graph = 'trade' AND id > {3 * BASE + 5} ORDER BY id LIMIT 50")
+query("latest_nodes_deep", lambda g, s, d: paging.latest_nodes(g, "trade", offset=g.nodes.where("graph = 'trade'").count() // 3, limit=40).select(*N, "created_at"), f"SELECT {NODE}, created_at FROM nodes WHERE graph = 'trade' ORDER BY created_at DESC NULLS LAST, id LIMIT 40 OFFSET (SELECT count(*) // 3 FROM nodes WHERE graph = 'trade')")
+query("page_edges_deep", lambda g, s, d: paging.page_edges(g, "trade", offset=g.edges.where("graph = 'trade' AND src <> dst").count(), limit=60).select("id", "label", "left_id", "right_id"), "SELECT id, label, left_id, right_id FROM (SELECT id, label, src AS left_id, dst AS right_id FROM edges WHERE graph = 'trade' AND src <> dst UNION ALL SELECT id, label, dst, src FROM edges WHERE graph = 'trade' AND src <> dst) q ORDER BY id, left_id LIMIT 60 OFFSET (SELECT count(*) FROM edges WHERE graph = 'trade' AND src <> dst)")
 query("latest_nodes", lambda g, s, d: paging.latest_nodes(g, "trade", offset=5, limit=60).select(*N, "created_at"), f"SELECT {NODE}, created_at FROM nodes WHERE graph = 'trade' ORDER BY created_at DESC NULLS LAST, id LIMIT 60 OFFSET 5")
 query("page_edges", lambda g, s, d: paging.page_edges(g, "trade", offset=11, limit=100).select("id", "label", "left_id", "right_id"), "SELECT id, label, left_id, right_id FROM (SELECT id, label, src AS left_id, dst AS right_id FROM edges WHERE graph = 'trade' AND src <> dst UNION ALL SELECT id, label, dst, src FROM edges WHERE graph = 'trade' AND src <> dst) q ORDER BY id, left_id LIMIT 100 OFFSET 11")
 query("page_concat", lambda g, s, d: paging.page_concat([g.nodes.where(f"category_id = {c}").select("id", "name") for c in (2, 1, 4)], "id", offset=20, limit=30).select(F.col("set_no").cast("bigint").alias("set_no"), "id", "name"), "SELECT set_no, id, name FROM (SELECT CAST(CASE category_id WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS BIGINT) AS set_no, id, name FROM nodes WHERE category_id IN (1, 2, 4)) q ORDER BY set_no, id LIMIT 30 OFFSET 20")
@@ -434,8 +440,19 @@ def _manifest(g: Graph, s: SparkSession, d: str) -> DataFrame:
     return ingest.snapshot_manifest(s, path).drop("materialized_at", "valid_from")
 
 
+def _versions(g: Graph, s: SparkSession, d: str) -> DataFrame:
+    """Two days of the nodes, the second stored as what differs from the first; the first is read again after the second was written."""
+    path = scratch(s)
+    days = ("2024-01-10", "2024-01-15")
+    for day in days:
+        ingest.snapshot_view(temporal.graph_as_of(g, day).nodes.select("graph", "id", "name"), path, "nodes", day, keys=["graph", "id"])
+    first, second = (ingest.read_snapshot(s, path, "nodes", day).withColumn("as_of", F.lit(day)) for day in days)
+    return first.unionByName(second)
+
+
 query("drop_stored_graph", _dropped, f"SELECT {EDGE} FROM edges WHERE graph <> 'trade'")
-query("snapshot_manifest", _manifest, "SELECT 'nodes' AS view, d.as_of, CAST(d.as_of AS TIMESTAMP) AS valid_to, count(*) AS n_rows FROM nodes JOIN (VALUES ('2024-01-10'), ('2024-01-15')) d(as_of) ON created_at IS NULL OR created_at <= CAST(d.as_of AS TIMESTAMP) GROUP BY d.as_of")
+query("snapshot_versions", _versions, "SELECT graph, id, name, d.as_of FROM nodes JOIN (VALUES ('2024-01-10'), ('2024-01-15')) d(as_of) ON created_at IS NULL OR created_at <= CAST(d.as_of AS TIMESTAMP)")
+query("snapshot_manifest", _manifest, "SELECT 'nodes' AS view, d.as_of, CASE d.as_of WHEN '2024-01-15' THEN 1 ELSE 0 END::BIGINT AS version, CAST(d.as_of AS TIMESTAMP) AS valid_to, count(*) AS n_rows FROM nodes JOIN (VALUES ('2024-01-10'), ('2024-01-15')) d(as_of) ON created_at IS NULL OR created_at <= CAST(d.as_of AS TIMESTAMP) GROUP BY d.as_of")
 query("snapshot_view", lambda g, s, d: ingest.snapshot_view(agg.entity_metric_summary(temporal.graph_as_of(g, T2)).select("entity_id", "metric_category", "n"), scratch(s), "summary", "2024-01-15").select("entity_id", "metric_category", "n"), f"SELECT y.id AS entity_id, m.category_id AS metric_category, count(*) AS n {_mp} AND (m.created_at IS NULL OR m.created_at <= TIMESTAMP '{T2}') AND (x.valid_from IS NULL OR x.valid_from <= TIMESTAMP '{T2}') GROUP BY 1, 2")
 query("decode_graph_values", lambda g, s, d: codec.decode_graph_values(codec.encode_nodes(g.nodes).drop("id")).select("id", "label", "kind", F.col("properties")["name"].alias("name")), "SELECT id, label, 'vertex' AS kind, name FROM nodes")
 

@@ -46,7 +46,8 @@ class Graph:
     """One or several graphs: nodes, edges, and the catalog tables of their ontology by name.
 
     sides: the same edges by "src" and by "dst", if they are stored so (``sources.adjacency``). counts: (label, node_type, category_id,
-    number) of the stored nodes, by which a pattern's order is chosen; results don't depend on them.
+    number) of the stored nodes, by which a pattern's order is chosen; results don't depend on them. names: an index of the nodes' names, if one
+    is stored (``sources.names``).
     """
 
     nodes: DataFrame
@@ -54,16 +55,17 @@ class Graph:
     catalog: dict[str, DataFrame] = field(default_factory=dict)
     sides: dict[str, Side] = field(default_factory=dict)
     counts: tuple[tuple, ...] = ()
+    names: object | None = None
 
     def with_nodes(self, nodes: DataFrame) -> Graph:
-        return replace(self, nodes=nodes)
+        return replace(self, nodes=nodes, names=None)
 
     def with_edges(self, edges: DataFrame) -> Graph:
         return replace(self, edges=edges, sides={})
 
     def of(self, graph: str) -> Graph:
         """One graph of several: a partition filter on both tables."""
-        return Graph(self.nodes.where(F.col("graph") == graph), self.edges.where(F.col("graph") == graph), self.catalog, {end: side.of(graph) for end, side in self.sides.items()}, self.counts)
+        return Graph(self.nodes.where(F.col("graph") == graph), self.edges.where(F.col("graph") == graph), self.catalog, {end: side.of(graph) for end, side in self.sides.items()}, self.counts, self.names)
 
 
 def shared_folder(spark: SparkSession) -> str:

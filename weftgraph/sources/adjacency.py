@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.schema import EDGE_COLUMNS, NODE_COLUMNS, Graph, Side
+from weftgraph.sources.files import Folder
+from weftgraph.sources.names import read_names, store_names
 
 #: Tables of a layout: folder, the bucketed key, the column that partitions it.
 _TABLES = {"nodes": (("graph", "id"), "node_type"), "edges_src": (("graph", "src"), "edge_type"), "edges_dst": (("graph", "dst"), "edge_type")}
@@ -29,7 +31,7 @@ def _bucketed(df: DataFrame, path: str, name: str, buckets: int) -> None:
 
 
 def store_adjacency(g: Graph, path: str, buckets: int | None = None, hub_edges: int = 1_000_000) -> None:
-    """Writes the layout under ``path``; its description comes last, so an unfinished one can't be opened.
+    """Writes the layout, and an index of the names, under ``path``; its description comes last, so an unfinished one can't be opened.
 
     buckets: as many as there are shuffle partitions, unless given. A hub has more than ``hub_edges`` edges at an end, and more than a
     quarter of what a bucket holds on average, so there are at most 4 * ``buckets`` of them.
@@ -52,6 +54,7 @@ def store_adjacency(g: Graph, path: str, buckets: int | None = None, hub_edges:
         else:
             _bucketed(edges, path, f"edges_{end}", buckets)
     counts = [list(r) for r in g.nodes.groupBy("label", "node_type", "category_id").count().collect()]  # as many as the ontology has
+    store_names(g, path)
     about = {"buckets": buckets, "hubs": n_hubs, "counts": counts, "columns": {name: spark.table(_table(path, name)).schema.json() for name in _TABLES}}
     spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/layout")
 
@@ -76,8 +79,7 @@ def spark_type(described: str | dict) -> str:
 
 
 def is_stored(spark: SparkSession, path: str) -> bool:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/layout/_SUCCESS")
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return Folder(spark, path).exists("layout/_SUCCESS")
 
 
 def read_adjacency(spark: SparkSession, path: str, catalog: dict[str, DataFrame] | None = None) -> Graph:
@@ -92,4 +94,4 @@ def read_adjacency(spark: SparkSession, path: str, catalog: dict[str, DataFrame]
         else:
             sides[end] = Side(edges)
     nodes = _opened(spark, path, "nodes", about).select(*NODE_COLUMNS)
-    return Graph(nodes, sides["src"].all_edges(), catalog or {}, sides, tuple(map(tuple, about["counts"])))
+    return Graph(nodes, sides["src"].all_edges(), catalog or {}, sides, tuple(map(tuple, about["counts"])), read_names(spark, path))

@@ -6,13 +6,19 @@ leaves nothing behind. New ids are ``new_ids`` plus the input's own number ``inp
 
 from __future__ import annotations
 
+import json
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weftgraph.functions.names import parse_structure_refs
 from weftgraph.operators.aggregate import latest_per_external_id, numbered
 from weftgraph.operators.roles import active_reagent, new_reagents, resolve_roles, resolved_edges, set_active_reagent
 from weftgraph.schema import EDGE_COLUMNS, NODE_COLUMNS, VALUE_TYPES, VECTOR_SIZES, Graph, checkpointed
+from weftgraph.sources.files import Folder
 
 
 def _shaped(df: DataFrame, columns: tuple[str, ...], like: DataFrame, **fixed) -> DataFrame:
@@ -222,10 +228,8 @@ def drop_graph_partition(g: Graph, graph: str) -> Graph:
 
 def drop_stored_graph(spark: SparkSession, path: str, graph: str) -> None:
     """Deletes the partitions of one graph from what ``sink_parquet`` has written; nothing else is touched, and a repeat does no harm."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for name in ("nodes", "edges"):
-        folder = hadoop(f"{path}/{name}/graph={graph}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        Folder(spark, path).delete(f"{name}/graph={graph}")
 
 
 def sink_parquet(g: Graph, path: str) -> None:
@@ -238,20 +242,66 @@ def read_parquet(spark, path: str, catalog: dict[str, DataFrame] | None = None)
     return Graph(spark.read.parquet(f"{path}/nodes").select(*NODE_COLUMNS), spark.read.parquet(f"{path}/edges").select(*EDGE_COLUMNS), catalog or {})
 
 
-def snapshot_view(result: DataFrame, path: str, name: str, as_of: str, valid_from: str | None = None, valid_to: str | None = None) -> DataFrame:
-    """Stores a query's result as of a time, in a partition of its own, with a row in the manifest, and returns it as read from there.
+def snapshot_view(result: DataFrame, path: str, name: str, as_of: str, valid_from: str | None = None, valid_to: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Stores a query's result as of a time, as a version of its own, and returns it as read from there. A repeat makes the next version; those before stay readable.
 
-    A repeat replaces both. ``snapshot_manifest`` lists view, as_of, window, number of rows and when it was stored.
+    Files of a version are written first, into a folder that no other has, and its row of the manifest last, by a rename: what was begun and not
+    ended isn't seen. With ``keys``, which tell rows apart, only what differs from the newest snapshot of the view with such keys is stored: rows that are
+    new or changed, and keys that are gone. ``snapshot_manifest`` lists the newest versions, ``read_snapshot`` reads any.
     """
-    spark = result.sparkSession
-    result.withColumns({"view": F.lit(name), "as_of": F.lit(as_of)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("view", "as_of").parquet(f"{path}/views")
-    stored = spark.read.parquet(f"{path}/views").where((F.col("view") == name) & (F.col("as_of").cast("string") == as_of))
-    window = {c: F.lit(t).cast("timestamp_ntz") for c, t in (("valid_from", valid_from), ("valid_to", valid_to))}
-    row = stored.agg(F.count("*").alias("n_rows")).withColumns({"view": F.lit(name), "as_of": F.lit(as_of), **window, "materialized_at": F.current_timestamp()})
-    row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("view", "as_of").parquet(f"{path}/manifest")
-    return stored
+    spark, folder = result.sparkSession, Folder(result.sparkSession, path)
+    known = _snapshots(folder, name)
+    base = max((s for s in known if s.get("keys") == keys and s["columns"] == result.columns), key=lambda s: s["number"], default=None) if keys else None
+    number = max((s["number"] for s in known), default=-1) + 1
+    files = f"views/{name}/{number}-{uuid.uuid4().hex}"
+    if base is None:
+        result.write.parquet(f"{path}/{files}/rows")
+    else:
+        before, now = read_snapshot(spark, path, name, base["as_of"], base["version"]), checkpointed(result)
+        rest = [c for c in result.columns if c not in keys]
+        told = before.select(*keys, F.struct(*rest).alias("_before") if rest else F.lit(1).alias("_before"))
+        changed = now.join(told, keys, "left").where(F.col("_before").isNull() | (~F.col("_before").eqNullSafe(F.struct(*rest)) if rest else F.lit(False)))
+        changed.select(*result.columns).write.parquet(f"{path}/{files}/rows")
+        before.join(now, keys, "left_anti").select(*keys).write.parquet(f"{path}/{files}/gone")
+    same = [s for s in known if s["as_of"] == as_of]
+    row = {"view": name, "as_of": as_of, "valid_from": valid_from, "valid_to": valid_to, "number": number, "version": len(same), "files": files, "keys": keys, "columns": result.columns}
+    row |= {"base": base and [base["as_of"], base["version"]], "depth": base["depth"] + 1 if base else 0, "schema": result.schema.json(), "materialized_at": datetime.now(timezone.utc).isoformat()}
+    row["n_rows"] = _snapshot_rows(spark, path, row, {(s["as_of"], s["version"]): s for s in known}).count()
+    folder.publish(f"manifest/{name}/{number}", json.dumps(row))
+    return read_snapshot(spark, path, name, as_of)
+
+
+def _snapshots(folder: Folder, name: str) -> list[dict]:
+    return [json.loads(folder.read(f"manifest/{name}/{n}")) for n in folder.names(f"manifest/{name}")]
+
+
+def _snapshot_rows(spark: SparkSession, path: str, row: dict, known: dict[tuple, dict]) -> DataFrame:
+    """The rows of a version: its own, and of the one that it differs from those with other keys, unless they are gone."""
+    schema = StructType.fromJson(json.loads(row["schema"]))
+    rows = spark.read.schema(schema).parquet(f"{path}/{row['files']}/rows")
+    if row["base"] is None:
+        return rows
+    keys = row["keys"]
+    gone = spark.read.schema(StructType([schema[k] for k in keys])).parquet(f"{path}/{row['files']}/gone")
+    kept = _snapshot_rows(spark, path, known[tuple(row["base"])], known).join(rows.select(*keys).unionByName(gone), keys, "left_anti")
+    return kept.select(*row["columns"]).unionByName(rows.select(*row["columns"]))
+
+
+def read_snapshot(spark: SparkSession, path: str, name: str, as_of: str, version: int | None = None) -> DataFrame:
+    """A version of a view as of a time, counted from 0; the newest, unless one is given."""
+    known = {(s["as_of"], s["version"]): s for s in _snapshots(Folder(spark, path), name)}
+    if version is None:
+        version = max((v for t, v in known if t == as_of), default=0)
+    if (as_of, version) not in known:
+        raise KeyError(f"no version {version} of {name} as of {as_of}")
+    return _snapshot_rows(spark, path, known[as_of, version], known)
 
 
 def snapshot_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(view, as_of, valid_from, valid_to, n_rows, materialized_at) of all stored snapshots."""
-    return spark.read.parquet(f"{path}/manifest").select("view", F.col("as_of").cast("string").alias("as_of"), "valid_from", "valid_to", "n_rows", "materialized_at")
+    """(view, as_of, valid_from, valid_to, n_rows, version, materialized_at) of the newest version of all stored snapshots."""
+    folder = Folder(spark, path)
+    newest = {(s["view"], s["as_of"]): s for view in folder.names("manifest") for s in sorted(_snapshots(folder, view), key=lambda s: s["number"])}
+    text = "view string, as_of string, valid_from string, valid_to string, n_rows long, version long, materialized_at string"
+    names = [c.split()[0] for c in text.split(", ")]
+    rows = spark.createDataFrame([tuple(s[c] for c in names) for s in newest.values()], text)
+    return rows.withColumns({"valid_from": F.col("valid_from").cast("timestamp_ntz"), "valid_to": F.col("valid_to").cast("timestamp_ntz"), "materialized_at": F.col("materialized_at").cast("timestamp")})

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from weftgraph.schema import checkpointed
+from weftgraph.sources.files import Folder
 
 #: Bits of the filters for each key, and how many of them a key sets.
 BITS, PROBES = 12, 4
@@ -31,38 +32,20 @@ class KeyedRuns:
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: StructType, buckets: int = 64, fan: int = 8):
         self.spark, self.path, self.keys, self.schema, self.buckets, self.fan = spark, path, keys, schema, buckets, fan
-        self._jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._files = self._jvm_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    # the list of runs
+        self.folder = Folder(spark, path)
 
     def _versions(self) -> list[int]:
-        folder = self._jvm_path(f"{self.path}/versions")
-        names = [s.getPath().getName() for s in self._files.listStatus(folder)] if self._files.exists(folder) else []
-        return sorted(int(n) for n in names if n.removeprefix("-").isdigit())
+        return sorted(int(n) for n in self.folder.names("versions"))
 
     def version(self) -> int | None:
         """The newest version that was committed."""
         return max(self._versions(), default=None)
 
     def _runs(self, version: int | None) -> list[dict]:
-        if version is None:
-            return []
-        stream = self._files.open(self._jvm_path(f"{self.path}/versions/{version}"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return [] if version is None else json.loads(self.folder.read(f"versions/{version}"))
 
     def _publish(self, version: int, runs: list[dict]) -> None:
-        draft = self._jvm_path(f"{self.path}/versions/_{version}")
-        stream = self._files.create(draft, True)
-        stream.write(json.dumps(runs).encode())
-        stream.close()
-        if not self._files.rename(draft, self._jvm_path(f"{self.path}/versions/{version}")):
-            raise RuntimeError(f"version {version} of {self.path} is there already")
-
-    # runs
+        self.folder.publish(f"versions/{version}", json.dumps(runs))
 
     def _written(self, name: str, rows: DataFrame, level: int) -> dict:
         """Writes a run, and the filters of its buckets."""
@@ -87,8 +70,6 @@ class KeyedRuns:
         rest = [c for c in (*self.schema.names, "version") if c not in self.keys]
         return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "version").alias("x")).select(*self.keys, "x.*")
 
-    # what callers use
-
     def rows(self, version: int | None = None) -> DataFrame:
         """The newest row of each key, as of a version; without one, the newest that was committed."""
         version = self.version() if version is None else version
@@ -129,10 +110,9 @@ class KeyedRuns:
         """Deletes all versions but the newest ``keep``, and runs that none of those needs."""
         versions = self._versions()
         needed = {r["name"] for v in versions[-keep:] for r in self._runs(v)}
-        for kind in ("runs", "filters"):
-            folder = self._jvm_path(f"{self.path}/{kind}")
-            for status in self._files.listStatus(folder) if versions and self._files.exists(folder) else ():
-                if status.getPath().getName().removeprefix("run=") not in needed:
-                    self._files.delete(status.getPath(), True)
+        for kind in ("runs", "filters") if versions else ():
+            for name in self.folder.names(kind):
+                if name.removeprefix("run=") not in needed:
+                    self.folder.delete(f"{kind}/{name}")
         for v in versions[:-keep]:
-            self._files.delete(self._jvm_path(f"{self.path}/versions/{v}"), False)
+            self.folder.delete(f"versions/{v}")
