@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.expand import edges_by, hop
 from weftgraph.operators.pattern import measurement_path
 from weftgraph.schema import Graph
 
@@ -58,7 +59,7 @@ def informed_measurements(g: Graph, identifier: str) -> DataFrame:
     """Measurement edges that come from structures of an identifier, with both ends."""
     structure = g.nodes.where((F.col("node_type") == "STRUCTURE") & (F.col("identifier") == identifier)).select("graph", F.col("id").alias("src"), "object")
     entity = g.nodes.where("node_type = 'ENTITY'").select("graph", F.col("id").alias("dst"), F.col("name").alias("entity_name"))
-    return g.edges.where("edge_type = 'MEASUREMENT'").select("graph", "id", "src", "dst").join(structure, ["graph", "src"]).join(entity, ["graph", "dst"])
+    return hop(g, structure, "src", "edge_type = 'MEASUREMENT'", ["id", "dst"]).join(entity, ["graph", "dst"]).select("graph", "dst", "src", "id", "object", "entity_name")
 
 
 def distinct_pairs(edges: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ def close_open_windows(g: Graph, days: int = 32) -> DataFrame:
     has one, which a small table of firsts gives; so no task sorts all of a hot entity.
     """
     key = ["graph", "dst", "category_id"]
-    rows = g.edges.where("edge_type = 'MEASUREMENT'").select(*key, "id", "valid_from", "valid_to")
+    rows = edges_by(g, "dst").where("edge_type = 'MEASUREMENT'").select(*key, "id", "valid_from", "valid_to")
     rows = rows.withColumn("_stretch", F.floor(F.unix_seconds(F.col("valid_from").cast("timestamp")) / (86_400 * days)))
     same = lambda c: F.col(c).eqNullSafe(F.col(f"_{c}"))
     firsts = rows.where("valid_from IS NOT NULL").groupBy(*key, "_stretch").agg(F.min("valid_from").alias("_first"))

@@ -27,6 +27,11 @@ def hop(g: Graph, rows: DataFrame, end: str, where: Column | str | None = None,
     return met.unionByName(parted.join(of(side.hub_edges, "part"), [*key, "part"]).drop("part"))
 
 
+def edges_by(g: Graph, end: str) -> DataFrame:
+    """All edges, stored by that end if there is such a copy: a join or grouping on it, with whatever else, needs no shuffle of them."""
+    return g.edges if end not in g.sides else g.sides[end].all_edges()
+
+
 def _incident(g: Graph, ids: DataFrame, end: str, where: str | None = None) -> DataFrame:
     here = ids.select("graph", F.col("id").alias(end)).distinct()
     rest = [c for c in g.edges.columns if c not in ("graph", end)]
@@ -143,7 +148,7 @@ def attach_category(g: Graph, facts: DataFrame) -> DataFrame:
 def dangling_edges(g: Graph) -> DataFrame:
     """Edges of which an end doesn't exist, with the side that is missing."""
     ids = g.nodes.select("graph", "id")
-    sides = [g.edges.join(ids.withColumnRenamed("id", end), ["graph", end], "left_anti").select("graph", "id", "src", "dst", F.lit(end).alias("missing")) for end in ("src", "dst")]
+    sides = [edges_by(g, end).join(ids.withColumnRenamed("id", end), ["graph", end], "left_anti").select("graph", "id", "src", "dst", F.lit(end).alias("missing")) for end in ("src", "dst")]
     return sides[0].unionByName(sides[1])
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.expand import hop
 from weftgraph.schema import Graph
 
 OUTCOMES = ("filled", "skipped", "default_active", "default_new", "missing", "too_many")
@@ -19,11 +20,13 @@ def participants(g: Graph) -> DataFrame:
 
     Two unioned orientations, so that joins on the event keep an equality key.
     """
-    part = g.edges.where("edge_type = 'PARTICIPANT'")
-    event = g.nodes.where("node_type in ('PROTOCOL_EVENT', 'NATURAL_EVENT')").select("graph", F.col("id").alias("event_id"))
-    into = part.select("graph", F.col("dst").alias("event_id"), F.lit("in").alias("direction"), "role", F.col("src").alias("member_id"), "quantity")
-    out = part.select("graph", F.col("src").alias("event_id"), F.lit("out").alias("direction"), "role", F.col("dst").alias("member_id"), "quantity")
-    return into.unionByName(out).join(event, ["graph", "event_id"], "left_semi")
+    event = g.nodes.where("node_type in ('PROTOCOL_EVENT', 'NATURAL_EVENT')").select("graph", "id")
+
+    def seen(end: str, other: str, direction: str) -> DataFrame:
+        found = hop(g, event.withColumnRenamed("id", end), end, "edge_type = 'PARTICIPANT'", ["role", F.col(other).alias("member_id"), "quantity"])
+        return found.select("graph", F.col(end).alias("event_id"), F.lit(direction).alias("direction"), "role", "member_id", "quantity")
+
+    return seen("dst", "src", "in").unionByName(seen("src", "dst", "out"))
 
 
 def resolve_roles(events: DataFrame, fillers: DataFrame, role_defs: DataFrame, active: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.expand import hop
+from weftgraph.operators.expand import edges_by, hop
 from weftgraph.schema import Graph
 
 
@@ -26,15 +26,15 @@ def valid_during(edges: DataFrame, start: datetime | str, end: datetime | str) -
 
 def entities_active_in(g: Graph, start: datetime | str, end: datetime | str) -> DataFrame:
     """Entities that a measurement or relation points at in the window."""
-    pointing = valid_during(g.edges.where("edge_type IN ('MEASUREMENT', 'RELATION')"), start, end)
+    pointing = valid_during(edges_by(g, "dst").where("edge_type IN ('MEASUREMENT', 'RELATION')"), start, end)
     return g.nodes.where("node_type = 'ENTITY'").join(pointing.select("graph", F.col("dst").alias("id")), ["graph", "id"], "left_semi")
 
 
 def graph_as_of(g: Graph, t: datetime | str) -> Graph:
     """Nodes created at or before t (a null time is the beginning), and edges that began by then and have both ends."""
     nodes = g.nodes.where(F.col("created_at").isNull() | (F.col("created_at") <= _at(t)))
-    edges = g.edges.where(F.col("valid_from").isNull() | (F.col("valid_from") <= _at(t)))
-    for end in ("src", "dst"):
+    edges = edges_by(g, "dst").where(F.col("valid_from").isNull() | (F.col("valid_from") <= _at(t)))
+    for end in ("dst", "src"):
         edges = edges.join(nodes.select("graph", F.col("id").alias(end)), ["graph", end], "left_semi")
     return Graph(nodes, edges.select(*g.edges.columns), g.catalog)
 
@@ -83,13 +83,13 @@ def measurement_at_event(g: Graph) -> DataFrame:
     """(event_id, entity_id, structure_id, at): the measurements of an entity whose window holds the time of an event it took part in."""
     events = g.nodes.where("node_type IN ('NATURAL_EVENT', 'PROTOCOL_EVENT')").select("graph", F.col("id").alias("dst"), F.col("valid_from").alias("at"))
     took_part = hop(g, events, "dst", "edge_type = 'PARTICIPANT'", [F.col("src").alias("entity_id")]).withColumnRenamed("dst", "event_id")
-    windows = g.edges.where("edge_type = 'MEASUREMENT'").select("graph", F.col("dst").alias("entity_id"), F.col("src").alias("structure_id"), "valid_from", "valid_to")
+    windows = edges_by(g, "dst").where("edge_type = 'MEASUREMENT'").select("graph", F.col("dst").alias("entity_id"), F.col("src").alias("structure_id"), "valid_from", "valid_to")
     return interval_join(took_part, windows, ["graph", "entity_id"]).select("graph", "event_id", "entity_id", "structure_id", "at")
 
 
 def entity_timeline(g: Graph) -> DataFrame:
     """(entity_id, at, fact, fact_id): dated measurements and events of each entity; sort by (entity_id, at, fact_id) to read it."""
-    measured = g.edges.where("edge_type = 'MEASUREMENT' AND valid_from IS NOT NULL").select("graph", F.col("dst").alias("entity_id"), F.col("valid_from").alias("at"), F.lit("measurement").alias("fact"), F.col("id").alias("fact_id"))
+    measured = edges_by(g, "dst").where("edge_type = 'MEASUREMENT' AND valid_from IS NOT NULL").select("graph", F.col("dst").alias("entity_id"), F.col("valid_from").alias("at"), F.lit("measurement").alias("fact"), F.col("id").alias("fact_id"))
     events = g.nodes.where("node_type IN ('NATURAL_EVENT', 'PROTOCOL_EVENT') AND valid_from IS NOT NULL").select("graph", F.col("id").alias("fact_id"), F.col("valid_from").alias("at"), F.lower("node_type").alias("fact"))
     part = g.edges.where("edge_type = 'PARTICIPANT'")
     entity = g.nodes.where("node_type = 'ENTITY'").select("graph", F.col("id").alias("entity_id"))

@@ -79,7 +79,7 @@ query("filter_entities_page", lambda g, s, d: scan.filter_entities(g, graph="tra
 query("filter_reagents", lambda g, s, d: scan.filter_reagents(g, tags=["material"], active=True).select(N), f"SELECT {NODE} FROM nodes WHERE node_type = 'REAGENT' AND active AND category_id IN (SELECT category_id FROM category_tags WHERE tag = 'material')")
 query("filter_tag_semi", lambda g, s, d: scan.categories_tagged(g, ["place", "material"]).select(F.col("category_id").cast("bigint").alias("category_id")), "SELECT CAST(category_id AS BIGINT) AS category_id FROM categories WHERE category_id IN (SELECT category_id FROM category_tags WHERE tag IN ('place', 'material'))")
 query("filter_entities_search", lambda g, s, d: scan.filter_entities(g, search="OMER#00000001").select(N), f"SELECT {NODE} FROM nodes WHERE node_type = 'ENTITY' AND contains(lower(name), 'omer#00000001')")
-query("filter_reagents_search", lambda g, s, d: scan.filter_reagents(g, search="ee").select(N), f"SELECT {NODE} FROM nodes WHERE node_type = 'REAGENT' AND contains(lower(name), 'ee')")
+query("filter_reagents_search", lambda g, s, d: scan.filter_reagents(g, search="RED").select(N), f"SELECT {NODE} FROM nodes WHERE node_type = 'REAGENT' AND contains(lower(name), 'red')")
 query("typed_nodes", lambda g, s, d: scan.typed_nodes(g, "REAGENT", search="red").select(N), f"SELECT {NODE} FROM nodes WHERE node_type = 'REAGENT' AND name LIKE 'red%'")
 query("typed_edges", lambda g, s, d: scan.typed_edges(g, "PARTICIPANT", search="ship").select(E), f"SELECT {EDGE} FROM edges WHERE edge_type = 'PARTICIPANT' AND label LIKE 'ship%' AND src <> dst")
 query("split_node_subtypes", lambda g, s, d: scan.split_node_subtypes(g), "SELECT graph, node_type AS subtype, count(*) AS n FROM nodes GROUP BY ALL")
