@@ -115,6 +115,8 @@ def test_op12(spark, tmp_path):
             twos.update(zip([b" begin", *cut(t)], cut(t)))
     n, v, starts = sum(ones.values()), len(ones), ones[None]
     value, floors = lm_scores.level_values(1.5), lm_scores.level_floors(1.5)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", (fold_of("doc_id", 5) == 1).alias("held_out"))
+    shares = lm_scores.fit(docs.where("NOT held_out")).shares[0]
     close = 0
     rows = {(r.doc_id, r.n_tokens): r for r in got}
     for i, t in texts():
@@ -127,7 +129,8 @@ def test_op12(spark, tmp_path):
         for a, b in zip([b" begin", *tokens], tokens):
             context = starts if a == b" begin" else ones[a]
             c = min(value[np.searchsorted(floors, twos[a, b], side="right")], context, ones[b])
-            exact += math.log10((c + 4 * one(b)) / (context + 4))
+            share = shares[np.searchsorted(floors, context, side="right")]
+            exact += math.log10(share * one(b) + (1 - share) * (c / context if context else 0))
         close += abs(r.score - exact) < 1e-6 * len(tokens)
         assert r.score == pytest.approx(exact, abs=3 + 0.02 * len(tokens)) and r.score < 0
     assert close > 0.7 * len(texts()) and len(got) == len(texts())  # the filter's errors are few
@@ -148,6 +151,34 @@ def test_a_large_model_is_dealt_and_scores_the_same(spark):
     assert shown(together) == shown(dealt) and len(shown(dealt)) == len(texts())
 
 
+def test_shares_are_the_likeliest():
+    s, rng = lm_scores.Settings(), np.random.default_rng(2)
+    ratio = np.concatenate([[0.0], np.sqrt(lm_scores.BINS[:-1] * lm_scores.BINS[1:]), lm_scores.BINS[-1:]])
+    made = np.zeros((1, len(lm_scores.level_floors(s.base)) + 1, len(ratio)), np.int64)
+    for level, zeros in ((3, 9_000), (8, 4_000), (9, 500)):
+        np.add.at(made[0, level], np.searchsorted(lm_scores.BINS, rng.lognormal(3, 1, 2_000 if level < 9 else 100), side="right"), 1)
+        made[0, level, 0] = zeros
+    shares = lm_scores.shares_of(made)[0]
+    for level in (3, 8):
+        like = [(made[0, level] * np.log(x + (1 - x) * ratio)).sum() for x in (shares[level], shares[level] - 0.01, shares[level] + 0.01)]
+        assert like[0] == max(like)
+    assert shares[0] == 1 and (shares[9:] == shares[8]).all() and (shares[4:8] == shares[3]).all() and shares[1] == shares[2] == 0.9
+
+
+def test_halves_of_a_block():
+    import pyarrow as pa
+
+    block = lm_scores.Block([pa.array(["a b a b", "a b c", "x", None])], 1, 2)
+    # texts 1 and 3 count: a 2, b 2, x 1, end 2, beginning 2; ab 2, ba 1. Of texts 2 and 4: (begin, a), (a, b), (b, c), (c, end), (begin, end)
+    made, floors = block.halves(lm_scores.Settings())[0], lm_scores.level_floors(1.5)
+    level = lambda n: int(np.searchsorted(floors, n, side="right"))
+    one = lambda c: (c + 0.5) / (7 + 0.5 * 5)
+    expected = np.zeros_like(made)
+    for context, found, single in ((2, 1, 2), (2, 2, 2), (2, 0, 0), (0, 0, 2), (2, 0, 2)):
+        expected[level(context), np.searchsorted(lm_scores.BINS, (found / context if context else 0) / one(single), side="right")] += 1
+    assert (made == expected).all()
+
+
 def test_filter_levels():
     s = lm_scores.Settings()
     keys = np.unique(np.random.default_rng(9).integers(0, 1 << 32, 50_000, dtype=np.uint64)).astype(np.uint32)

@@ -7,13 +7,17 @@ The model is a table of shards by a hash of word or n-gram: each holds a slice o
 about the same amount of text whatever the corpus holds. Documents meet it in blocks: a block asks each shard for its distinct words and n-grams.
 A model up to ``Settings.broadcast_bytes`` is broadcast, and answers where the block is; a larger one answers shard by shard, and its
 answers are dealt back to the blocks. Both give the same scores.
+
+How far an n-gram is trusted depends on how often its context was seen: for each level of that count, the share of the shorter n-gram in the mixture is
+found by deleted interpolation. In each chunk of texts, every other text is scored with the counts of the rest, and the shares that make those texts likeliest are
+found from all chunks' histograms of (longer over shorter estimate).
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from math import ceil, log
 
 import numpy as np
@@ -34,12 +38,11 @@ FINAL = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 @dataclass(frozen=True)
 class Settings:
-    """``order``: longest n-gram. ``base``: of the levels. ``probes``: hash functions of the filter. ``weight``: how much of the shorter context is mixed in."""
+    """``order``: longest n-gram. ``base``: of the levels. ``probes``: hash functions of the filter. Sizes: text for which a shard is made, text of a block or chunk, model that is broadcast."""
 
     order: int = 2
     base: float = 1.5
     probes: int = 8
-    weight: float = 4.0
     shard_bytes: int = 32 << 20
     block_bytes: int = 12 << 20
     broadcast_bytes: int = 16 << 20
@@ -47,13 +50,17 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """``shards``: shard, words, counts, bits. ``tokens`` and ``kinds``: tokens, and different ones, that were counted. ``texts``: how many."""
+    """``shards``: shard, words, counts, bits. ``tokens`` and ``kinds``: tokens, and different ones, that were counted. ``texts``: how many.
+
+    ``shares``: for n-grams from 2 on, and each level of their context's count (0 for none), the share of the shorter n-gram.
+    """
 
     shards: DataFrame
     n_shards: int
     tokens: int
     kinds: int
     texts: int
+    shares: np.ndarray
     settings: Settings = field(default_factory=Settings)
 
 
@@ -190,32 +197,79 @@ class Block:
         for shard in np.union1d(self.word_shards, self.gram_shards).tolist():
             yield shard, slice(*np.searchsorted(self.word_shards, [shard, shard + 1])), slice(*np.searchsorted(self.gram_shards, [shard, shard + 1]))
 
-    def scores(self, word_counts: np.ndarray, levels: np.ndarray, tokens: int, kinds: int, texts: int, s: Settings) -> list[np.ndarray]:
+    def where(self) -> np.ndarray:
+        """The distinct n-grams, in order."""
+        return self.gram_shards.astype(np.uint64) << np.uint64(32) | self.keys
+
+    def halves(self, s: Settings) -> np.ndarray:
+        """[n-gram, level of the context, bin of the ratio]: how often, in every other text, the estimate from the other texts is so many times the shorter one's."""
+        made = np.zeros((s.order - 1, len(level_floors(s.base)) + 1, len(BINS) + 1), np.int64)
+        odd = (np.searchsorted(self.starts, np.arange(len(self.ids)), side="right") & 1).astype(bool)  # of the first text, the third, ...
+        word = np.bincount(self.ids[odd], minlength=2).astype(float)
+        word = np.pad(word, (0, max(0, int(self.ids.max(initial=0)) + 1 - len(word))))
+        count, tokens, kinds = word[self.ids], word[1:].sum(), np.count_nonzero(word[1:])
+        chance, shorter, where, value, floors = (count + 0.5) / (tokens + 0.5 * (kinds + 1)), count, self.where(), level_values(s.base), level_floors(s.base)
+        for n, (at, gram) in enumerate(zip(self.ends, self.grams)):
+            place = _places_of(gram, where)
+            levels = np.searchsorted(floors, np.bincount(place[odd[at]], minlength=len(where)), side="right")
+            context = shorter[at - 1]
+            found = np.minimum(value[levels[place]], np.minimum(context, shorter[at]))
+            ratio = np.divide(found, context, out=np.zeros_like(found), where=context > 0) / chance[at]
+            asked = ~odd[at]
+            np.add.at(made[n], (np.searchsorted(floors, context[asked], side="right"), np.searchsorted(BINS, ratio[asked], side="right")), 1)
+            chance[at] *= 0.5 + 0.5 * ratio
+            shorter = np.zeros_like(shorter)
+            shorter[at] = found
+        return made
+
+    def scores(self, word_counts: np.ndarray, levels: np.ndarray, model: Model) -> list[np.ndarray]:
         """For each text: tokens, known ones, base score and the model's log10 probability.
 
-        A word's probability is (count + 1/2) over what they add up to, an n-gram's (count + weight * the shorter one's) / (count of its
-        context + weight). Counts from the filter may be too large; none is more than that of its context or of its shorter end.
+        A word's probability is (count + 1/2) over what they add up to; an n-gram's is mixed of the shorter one's and of count over count of its context.
+        Counts from the filter may be too large; none is more than that of its context or of its shorter end.
         """
         of_word = np.zeros(len(word_counts) + 2)
-        of_word[:2] = texts
+        of_word[:2] = model.texts
         of_word[self.word_ids] = word_counts
         count = of_word[self.ids]
-        chance = base = (count + 0.5) / (tokens + 0.5 * (kinds + 1))
-        shorter, value = count, level_values(s.base)
-        where = self.gram_shards.astype(np.uint64) << np.uint64(32) | self.keys
-        for at, gram in zip(self.ends, self.grams):
+        chance = base = (count + 0.5) / (model.tokens + 0.5 * (model.kinds + 1))
+        shorter, value, floors, where = count, level_values(model.settings.base), level_floors(model.settings.base), self.where()
+        for shares, at, gram in zip(model.shares, self.ends, self.grams):
             context = shorter[at - 1]
             found = np.minimum(value[levels[_places_of(gram, where)]], np.minimum(context, shorter[at]))
+            share = shares[np.searchsorted(floors, context, side="right")]
             chance = chance.copy()
-            chance[at] = (found + s.weight * chance[at]) / (context + s.weight)
-            longer = np.zeros_like(shorter)
-            longer[at] = found
-            shorter = longer
+            chance[at] = share * chance[at] + (1 - share) * np.divide(found, context, out=np.zeros_like(found), where=context > 0)
+            shorter = np.zeros_like(shorter)
+            shorter[at] = found
         real = self.since > 0
         total = lambda x: np.add.reduceat(np.where(real, x, 0), self.starts)
         return [total(np.ones(len(real), np.int64)), total((count > 0).astype(np.int64)), total(np.log10(base)), total(np.log10(chance))]
 
 
+#: Bounds of the ratios that are counted together: none, then four to a doubling.
+BINS = np.concatenate([[2.0**-40], 2.0 ** (np.arange(-64, 161) / 4)])
+#: Tokens from which a level of context counts has shares of its own; a level with fewer takes those of the next lower one.
+LEAST_SEEN = 1_000
+
+
+def shares_of(histograms: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """The shares of the shorter n-gram that make what was counted likeliest, by expectation and maximization; 1 where the context was never seen."""
+    ratio = np.concatenate([[0.0], np.sqrt(BINS[:-1] * BINS[1:]), BINS[-1:]])
+    shares = np.full(histograms.shape[:2], 0.5)
+    seen = histograms.sum(axis=2)
+    for _ in range(rounds):
+        part = shares[:, :, None] / (shares[:, :, None] + (1 - shares[:, :, None]) * ratio)
+        shares = np.where(seen > 0, (part * histograms).sum(axis=2) / np.maximum(seen, 1), shares)
+    shares = np.clip(shares, 0.01, 0.999)
+    for n in range(len(shares)):
+        for level in range(1, shares.shape[1]):
+            if seen[n, level] < LEAST_SEEN:
+                shares[n, level] = shares[n, level - 1] if level > 1 else 0.9
+    shares[:, 0] = 1
+    return shares
+
+
 def _squeezed(data: bytes) -> bytes:
     """Small for the shuffle: its size, and what zstd makes of it."""
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
@@ -292,29 +346,31 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, li
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Counts the n-grams of all texts. A null or empty text is just an end; a table without rows gives a model that knows nothing.
 
-    Chunks count what they hold before anything is shuffled, so the most frequent word is one number of each chunk.
+    Chunks count what they hold before anything is shuffled, so the most frequent word is one number of each chunk. Counts don't depend on how texts are
+    dealt to chunks; the shares of the mixture do a little, as each chunk's halves are held against each other.
     """
     small_batches(docs.sparkSession)
     s, n_shards = settings, _power_of_two(ceil(_text_bytes(docs) / settings.shard_bytes))
 
     @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "texts", "words", "counts", "keys", "key_counts"]
+        names = ["shard", "texts", "halves", "words", "counts", "keys", "key_counts"]
         for _, texts in _chunks(batches, s.block_bytes):
             block = Block(texts, n_shards, s.order)
             counts = np.bincount(block.ids, minlength=len(block.words) + 2)[block.word_ids].astype(np.int32)
-            yield pa.RecordBatch.from_pylist([dict(zip(names, (0, block.texts, *[_squeezed(b"")] * 4)))], _COUNTED)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (0, block.texts, _squeezed(block.halves(s).tobytes()), *[_squeezed(b"")] * 4)))], _COUNTED)
             for shard, w, k in block.by_shard():
-                row = (shard, 0, _squeezed(b"\n".join(block.words[w])), _squeezed(counts[w].tobytes()), _packed_keys(block.keys[k]), _squeezed(block.gram_counts[k].tobytes()))
+                row = (shard, 0, b"", _squeezed(b"\n".join(block.words[w])), _squeezed(counts[w].tobytes()), _packed_keys(block.keys[k]), _squeezed(block.gram_counts[k].tobytes()))
                 yield pa.RecordBatch.from_pylist([dict(zip(names, row))], _COUNTED)
 
     @trimmed
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _runs(batches, "shard"):
-            words, texts, keys, key_counts = Counter(), 0, [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
+            words, texts, halves, keys, key_counts = Counter(), 0, 0, [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
             for batch in rows:
                 for r in batch.to_pylist():
                     texts += r["texts"]
+                    halves = halves + np.frombuffer(_widened(r["halves"]), np.int64) if r["halves"] else halves
                     for word, n in zip(_listed(_widened(r["words"])), np.frombuffer(_widened(r["counts"]), np.int32).tolist()):
                         words[word] += n
                     keys.append(_unpacked_keys(r["keys"]))
@@ -323,17 +379,20 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
             totals = np.bincount(of, np.concatenate(key_counts), len(distinct)).astype(np.int64)
             known = sorted(words)
             counts = np.array([words[w] for w in known], np.int64)
-            row = {"shard": shard, "texts": texts, "tokens": int(counts.sum()), "kinds": len(known), "words": b"\n".join(known), "counts": counts.tobytes(), "bits": make_filter(distinct, totals, s)}
+            row = {"shard": shard, "texts": texts, "halves": halves.tobytes() if shard == 0 else b"", "tokens": int(counts.sum()), "kinds": len(known), "words": b"\n".join(known), "counts": counts.tobytes(), "bits": make_filter(distinct, totals, s)}
             yield pa.RecordBatch.from_pylist([row], _SHARD)
 
-    counted = docs.select("text").mapInArrow(count, "shard long, texts long, words binary, counts binary, keys binary, key_counts binary")
-    shards = stored(counted.repartition(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard long, texts long, tokens long, kinds long, words binary, counts binary, bits binary"))
+    counted = docs.select("text").mapInArrow(count, "shard long, texts long, halves binary, words binary, counts binary, keys binary, key_counts binary")
+    shards = stored(counted.repartition(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard long, texts long, halves binary, tokens long, kinds long, words binary, counts binary, bits binary"))
     texts, tokens, kinds = (n or 0 for n in shards.agg(F.sum("texts"), F.sum("tokens"), F.sum("kinds")).first())
-    return Model(shards.select("shard", "words", "counts", "bits"), n_shards, tokens + texts, kinds + (texts > 0), texts, s)
+    first = shards.where("shard = 0").select("halves").first()
+    shape = (s.order - 1, len(level_floors(s.base)) + 1, len(BINS) + 1)
+    halves = np.frombuffer(first["halves"], np.int64).reshape(shape) if first else np.zeros(shape, np.int64)
+    return Model(shards.select("shard", "words", "counts", "bits"), n_shards, tokens + texts, kinds + (texts > 0), texts, shares_of(halves), s)
 
 
-_COUNTED = pa.schema([("shard", pa.int64()), ("texts", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("key_counts", pa.binary())])
-_SHARD = pa.schema([("shard", pa.int64()), ("texts", pa.int64()), ("tokens", pa.int64()), ("kinds", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("bits", pa.binary())])
+_COUNTED = pa.schema([("shard", pa.int64()), ("texts", pa.int64()), ("halves", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("key_counts", pa.binary())])
+_SHARD = pa.schema([("shard", pa.int64()), ("texts", pa.int64()), ("halves", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("bits", pa.binary())])
 _ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("counts", pa.binary()), ("levels", pa.binary())])
 _REQUEST = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("bits", pa.binary())])
 LM = "struct<n_tokens:bigint,n_known:bigint,base_score:double,score:double>"
@@ -346,14 +405,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     as a whole however long it is, in one block; other columns come through untouched.
     """
     small_batches(docs.sparkSession)
-    s, n_shards, known = model.settings, model.n_shards, (model.tokens, model.kinds, model.texts)
+    s, n_shards, told = model.settings, model.n_shards, replace(model, shards=None)
     rows = docs.select(as_row(docs))
     shape = beside_row(rows, "lm", LM)
     lm_type = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def with_scores(row: pa.Array | pa.ChunkedArray, block: Block, counts: list[np.ndarray], levels: list[np.ndarray]) -> pa.Table:
         joined = np.concatenate([np.zeros(0, np.int64), *counts]), np.concatenate([np.zeros(0, np.uint8), *levels])
-        columns = block.scores(*joined, *known, s)
+        columns = block.scores(*joined, told)
         return pa.table({"row": row, "lm": pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(lm_type))})
 
     size = model.shards.agg(F.sum(F.octet_length("words") + F.octet_length("counts") + F.octet_length("bits"))).first()[0] or 0
