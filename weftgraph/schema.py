@@ -6,10 +6,12 @@ Nodes and edges have fixed, well-known columns; ids are unique within a graph. A
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 NODE_COLUMNS = ("graph", "id", "label", "node_type", "category_id", "category_type", "external_id", "name", "identifier", "object", "active", "value_float", "created_at", "valid_from", "valid_to", "local_seq", "value", "variables")
 #: Variables of a protocol event.
@@ -80,9 +82,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, where lineage and plan end: for what many parts of a job use."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to the shared folder as Parquet and read from there, where lineage and plan end: for what many parts of a job use. It is computed once."""
+    if any(isinstance(f.dataType, NullType) for f in df.schema):  # Parquet has no such type
+        shared_folder(df.sparkSession)
+        return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def global_id(id_: str | Column = "id", graph: str | Column = "graph") -> Column:
