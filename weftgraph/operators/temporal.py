@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.expand import edges_by, hop
-from weftgraph.schema import Graph
+from weftgraph.schema import Graph, checkpointed
 
 
 def _at(t: datetime | str) -> Column:
@@ -39,17 +39,16 @@ def graph_as_of(g: Graph, t: datetime | str) -> Graph:
     return Graph(nodes, edges.select(*g.edges.columns), g.catalog)
 
 
-def _cover(levels: int) -> Column:
+def _covered(ranged: DataFrame, levels: int) -> DataFrame:
     """The stretches that make up the seconds from ``_low`` to before ``_high``: (level, stretch) is 2^level seconds from stretch * 2^level.
 
     On each level, those that lie within but whose double doesn't: an odd one at the start, an even one at the end; the last level is all of time.
     """
-    found = []
-    for level in range(levels + 1):
-        lo, hi = F.expr(f"shiftright(_low + {(1 << level) - 1}L, {level})"), F.expr(f"shiftright(_high, {level})")
-        for at, ends in ((lo, lo % 2 == 1), (hi - 1, hi % 2 == 1)) if level < levels else ((lo, F.lit(True)),):
-            found.append(F.when((lo < hi) & ends, F.struct(F.lit(level).alias("level"), at.alias("stretch"))))
-    return F.filter(F.array(*found), lambda s: s.isNotNull())
+    each = ranged.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    each = each.withColumns({"_first": F.expr("shiftright(_low + shiftleft(1L, level) - 1L, level)"), "_end": F.expr("shiftright(_high, level)")}).where("_first < _end")
+    top = F.col("level") == levels
+    ends = F.array(F.when(top | (F.col("_first") % 2 == 1), F.col("_first")), F.when(~top & (F.col("_end") % 2 == 1), F.col("_end") - 1))
+    return each.withColumn("stretch", F.explode(F.array_compact(ends))).drop("_low", "_high", "_first", "_end")
 
 
 def _meetings(points: DataFrame, windows: DataFrame, keys: list[str], at: str, low: str, high: str, group: int) -> DataFrame:
@@ -58,7 +57,7 @@ def _meetings(points: DataFrame, windows: DataFrame, keys: list[str], at: str, l
     levels, key = (last - first).bit_length(), [*keys, "level", "stretch"]
     end = F.lit(1 << levels)
     ranged = windows.withColumns({"_low": F.greatest(F.coalesce(second(low) - first, F.lit(0)), F.lit(0)), "_high": F.least(F.coalesce(second(high) - first + 1, end), end)})
-    cut = ranged.withColumn("s", F.explode(_cover(levels))).select(*windows.columns, "s.*")
+    cut = checkpointed(_covered(ranged, levels))
     crowded = cut.groupBy(*key).agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
     used = crowded.groupBy(*keys).agg(F.collect_set("level").alias("levels"))
     asked = points.where(F.col(at).isNotNull()).join(used, keys).withColumn("level", F.explode("levels")).drop("levels")
