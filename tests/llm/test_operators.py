@@ -103,6 +103,38 @@ def test_neighbours_by_brute_force(spark):
     assert hits >= 0.9 * 300
 
 
+def test_neighbours_in_slices_and_parts(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 6)).astype(np.float32)
+    x[100:700] = x[3]  # most rows are one vector, as are most queries
+    rows = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    whole, dealt = (
+        sorted(map(tuple, neighbours.nearest(rows, F.col("vec_id") % 3 == 0, k=7, **small).collect())) for small in ({}, {"slice_rows": 20, "part_queries": 9})
+    )
+    assert whole == dealt and len(whole) == 7 * 300
+    few = sorted(map(tuple, neighbours.nearest(rows.where("vec_id < 5"), F.lit(True), k=7).collect()))
+    assert len(few) == 5 * 4 and neighbours.nearest(rows, F.lit(False)).count() == 0
+
+
+def test_a_query_meets_the_rows_of_its_own_leaves_only():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(120, 24))
+    x = (centres[rng.integers(0, 120, 12_000)] + 0.1 * rng.normal(size=(12_000, 24))).astype(np.float32)
+    forest = neighbours.Forest(x[:6_000], len(x), 4, 80)
+    wanted = forest.fit_visits(len(x), 600, 20, 0.95)
+    at, met, hits = forest.leaves(x), [], 0
+    for i in range(0, len(x), 200):
+        q = x[i].astype(float)
+        leaves, floor = forest.ask(q, wanted, 20)
+        own = np.isin(at, leaves).any(axis=1)
+        s = x.astype(float) @ q
+        s[i] = -np.inf
+        assert np.count_nonzero(s[own] >= floor) >= 20 and len(leaves) >= wanted
+        met.append(own.mean())
+        hits += np.count_nonzero(own[np.argsort(-s)[:20]])
+    assert np.mean(met) < 0.2 and hits >= 0.9 * 20 * len(met)
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (None, [1.0, 1.0])]
     got = neighbours.nearest(vectors(spark, rows), F.col("vec_id") == 0).collect()
