@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from weftgraph.plans import catalogue
+from weftgraph.sources import fixture
 
 SF = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,5 +35,16 @@ def test_matches(spark, duck, name):
     assert mine == sorted(map(repr, rows))
 
 
+def test_views_of_the_session_stay(spark):
+    spark.range(3).createOrReplaceTempView("orders")
+    try:
+        g = fixture.derived_graph(spark, str(SF))
+        assert g.nodes.where("category_type = 'order'").count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+        assert g.edges.columns and spark.table("orders").columns == ["id"]
+        assert "part" not in {t.name for t in spark.catalog.listTables()}
+    finally:
+        spark.catalog.dropTempView("orders")
+
+
 def test_every_query_has_sql():
     assert set(catalogue.queries()) == set(catalogue.oracle_sql())

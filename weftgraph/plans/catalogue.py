@@ -42,6 +42,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 # scans, filters, projections
 query("scan_nodes", lambda g, s, d: scan.scan_nodes(g, "trade").select(N), f"SELECT {NODE} FROM nodes WHERE graph = 'trade'")
 query("scan_edges", lambda g, s, d: scan.scan_edges(g, "corpus").select(E), f"SELECT {EDGE} FROM edges WHERE graph = 'corpus'")
@@ -57,17 +62,17 @@ query(
 )
 query(
     "entities_by_external_id",
-    lambda g, s, d: scan.entities_by_external_id(g, s.table("customer").where("c_nationkey = 3").select(F.lit(3).alias("category_id"), F.col("c_name").alias("external_id"))).select(N),
+    lambda g, s, d: scan.entities_by_external_id(g, given(s, d, "customer").where("c_nationkey = 3").select(F.lit(3).alias("category_id"), F.col("c_name").alias("external_id"))).select(N),
     f"SELECT {NODE} FROM nodes WHERE node_type = 'ENTITY' AND category_id = 3 AND external_id IN (SELECT c_name FROM customer WHERE c_nationkey = 3)",
 )
 query(
     "structures_by_object",
-    lambda g, s, d: scan.structures_by_object(g, s.table("labels").where("toxic = 1").select(F.lit("@corpus/document").alias("identifier"), F.col("doc_id").cast("string").alias("object"))).select(*N, "object"),
+    lambda g, s, d: scan.structures_by_object(g, given(s, d, "labels").where("toxic = 1").select(F.lit("@corpus/document").alias("identifier"), F.col("doc_id").cast("string").alias("object"))).select(*N, "object"),
     f"SELECT {NODE}, object FROM nodes WHERE node_type = 'STRUCTURE' AND identifier = '@corpus/document' AND object IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)",
 )
 query(
     "structures_by_reference",
-    lambda g, s, d: scan.structures_by_reference(g, s.table("events").where("event_type = 'error'").select(F.concat(F.lit("@trade/event:"), F.col("event_id").cast("string")).alias("ref"))).select(*N, "object"),
+    lambda g, s, d: scan.structures_by_reference(g, given(s, d, "events").where("event_type = 'error'").select(F.concat(F.lit("@trade/event:"), F.col("event_id").cast("string")).alias("ref"))).select(*N, "object"),
     f"SELECT {NODE}, object FROM nodes WHERE node_type = 'STRUCTURE' AND concat(identifier, ':', object) IN (SELECT concat('@trade/event:', CAST(event_id AS VARCHAR)) FROM events WHERE event_type = 'error')",
 )
 query(
@@ -95,10 +100,10 @@ query(
     lambda g, s, d: scan.project_edge_public(g.edges.where("edge_type <> 'DESCRIPTION'")),
     "SELECT concat(graph, ':', CAST(id AS VARCHAR)) AS gid, label, concat(graph, ':', CAST(src AS VARCHAR)) AS left_gid, concat(graph, ':', CAST(dst AS VARCHAR)) AS right_gid, role, quantity, valid_from, valid_to FROM edges WHERE edge_type <> 'DESCRIPTION'",
 )
-_bag = lambda s: s.table("events").select("event_id", F.create_map(F.lit("id"), F.col("event_id").cast("string"), F.lit("labels"), F.lit("x"), F.lit("user"), F.col("user_id").cast("string"), F.lit("kind"), F.col("event_type")).alias("props"))
+_bag = lambda s, d: given(s, d, "events").select("event_id", F.create_map(F.lit("id"), F.col("event_id").cast("string"), F.lit("labels"), F.lit("x"), F.lit("user"), F.col("user_id").cast("string"), F.lit("kind"), F.col("event_type")).alias("props"))
 query(
     "project_properties",
-    lambda g, s, d: scan.project_properties(_bag(s)).select("event_id", F.size("props").alias("n"), F.col("props")["user"].alias("u"), F.col("props")["id"].alias("i")),
+    lambda g, s, d: scan.project_properties(_bag(s, d)).select("event_id", F.size("props").alias("n"), F.col("props")["user"].alias("u"), F.col("props")["id"].alias("i")),
     "SELECT event_id, CAST(2 AS INTEGER) AS n, CAST(user_id AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS i FROM events",
 )
 query(
@@ -115,12 +120,12 @@ query(
 )
 query(
     "expand_edge_metrics",
-    lambda g, s, d: scan.expand_edge_metrics(_bag(s).select(F.lit("trade").alias("graph"), F.col("event_id").alias("id"), "props")),
+    lambda g, s, d: scan.expand_edge_metrics(_bag(s, d).select(F.lit("trade").alias("graph"), F.col("event_id").alias("id"), "props")),
     "SELECT 'trade' AS graph, event_id AS id, 'id' AS key, CAST(event_id AS VARCHAR) AS value FROM events UNION ALL SELECT 'trade', event_id, 'labels', 'x' FROM events UNION ALL SELECT 'trade', event_id, 'user', CAST(user_id AS VARCHAR) FROM events UNION ALL SELECT 'trade', event_id, 'kind', event_type FROM events",
 )
 query(
     "cast_columns",
-    lambda g, s, d: scan.cast_columns(s.table("events").select("event_id", F.col("event_id").cast("string").alias("a"), F.col("event_type").alias("b"), F.concat(F.lit("["), F.col("user_id").cast("string"), F.lit(", 1.5]")).alias("v")), {"a": "INT", "b": "FLOAT", "v": "TWO_D_VECTOR"}).select("event_id", "a", "b", F.col("v")[0].alias("x")),
+    lambda g, s, d: scan.cast_columns(given(s, d, "events").select("event_id", F.col("event_id").cast("string").alias("a"), F.col("event_type").alias("b"), F.concat(F.lit("["), F.col("user_id").cast("string"), F.lit(", 1.5]")).alias("v")), {"a": "INT", "b": "FLOAT", "v": "TWO_D_VECTOR"}).select("event_id", "a", "b", F.col("v")[0].alias("x")),
     "SELECT event_id, event_id AS a, CAST(NULL AS DOUBLE) AS b, CAST(user_id AS DOUBLE) AS x FROM events",
 )
 
@@ -230,7 +235,7 @@ query("role_default", lambda g, s, d: roles.role_default(g).select(F.col("event_
 query("role_uniqueness", lambda g, s, d: roles.role_uniqueness(g.catalog["role_defs"].select("event_category_id", "role"), g.edges.where("edge_type = 'PARTICIPANT'").select(F.lit(6).alias("event_category_id"), F.col("label").alias("name")).distinct()).select(F.col("event_category_id").cast("bigint").alias("event_category_id"), "name", "n"), "SELECT CAST(c AS BIGINT) AS event_category_id, name, count(*) AS n FROM (SELECT event_category_id AS c, role AS name FROM role_defs UNION ALL SELECT DISTINCT 6, label FROM edges WHERE edge_type = 'PARTICIPANT') q GROUP BY 1, 2 HAVING count(*) > 1")
 query(
     "variable_lookup",
-    lambda g, s, d: roles.variable_lookup(s.table("orders").select(F.lit("trade").alias("graph"), F.col("o_orderkey").alias("id"), F.lit(6).alias("category_id"), F.array(F.struct(F.lit("priority").alias("key"), F.col("o_orderpriority").alias("value")), F.struct(F.when(F.col("o_orderkey") % 2 == 0, "status").otherwise("x").alias("key"), F.col("o_orderstatus").alias("value"))).alias("variables")), s.createDataFrame([(6, "priority", "STRING", None, False), (6, "status", "CATEGORY", "?", True), (6, "note", "STRING", None, False)], "category_id int, key string, kind string, default string, optional boolean")).select("id", "key", "value", "missing"),
+    lambda g, s, d: roles.variable_lookup(given(s, d, "orders").select(F.lit("trade").alias("graph"), F.col("o_orderkey").alias("id"), F.lit(6).alias("category_id"), F.array(F.struct(F.lit("priority").alias("key"), F.col("o_orderpriority").alias("value")), F.struct(F.when(F.col("o_orderkey") % 2 == 0, "status").otherwise("x").alias("key"), F.col("o_orderstatus").alias("value"))).alias("variables")), s.createDataFrame([(6, "priority", "STRING", None, False), (6, "status", "CATEGORY", "?", True), (6, "note", "STRING", None, False)], "category_id int, key string, kind string, default string, optional boolean")).select("id", "key", "value", "missing"),
     "SELECT o_orderkey AS id, 'priority' AS key, o_orderpriority AS value, o_orderpriority IS NULL AS missing FROM orders UNION ALL SELECT o_orderkey, 'status', CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE '?' END, false FROM orders UNION ALL SELECT o_orderkey, 'note', NULL, true FROM orders",
 )
 _el = "SELECT DISTINCT CAST(category_id AS BIGINT) AS category_id, CAST(event_category_id AS BIGINT) AS event_category_id, role FROM (SELECT category_filter AS category_id, event_category_id, role FROM role_defs WHERE {w} UNION ALL SELECT t.category_id, r.event_category_id, r.role FROM role_defs r JOIN category_tags t ON t.tag = r.tag_filter WHERE {w}) q WHERE category_id IN (SELECT category_id FROM categories WHERE kind = '{k}')"
@@ -239,7 +244,7 @@ for _name, _f, _d, _m, _k in (("subjectable_to", roles.subjectable_to, "in", "en
 query("match_definition", lambda g, s, d: roles.match_definition(g, "ENTITY", tags=["place", "party"], not_categories=[2]).select(F.col("category_id").cast("bigint").alias("category_id"), "name"), "SELECT CAST(category_id AS BIGINT) AS category_id, name FROM categories WHERE kind = 'ENTITY' AND category_id IN (SELECT category_id FROM category_tags WHERE tag IN ('place', 'party')) AND category_id <> 2")
 query(
     "knowledge_views",
-    lambda g, s, d: roles.knowledge_views(g, s.table("documents").select(F.lit("@corpus/document").alias("identifier"), (F.col("doc_id") * 2).cast("string").alias("object"), F.lit(2).alias("user_id"))).select("object", F.col("category_id").cast("bigint").alias("category_id"), "structure_id"),
+    lambda g, s, d: roles.knowledge_views(g, given(s, d, "documents").select(F.lit("@corpus/document").alias("identifier"), (F.col("doc_id") * 2).cast("string").alias("object"), F.lit(2).alias("user_id"))).select("object", F.col("category_id").cast("bigint").alias("category_id"), "structure_id"),
     "SELECT CAST(d.doc_id * 2 AS VARCHAR) AS object, CAST(14 AS BIGINT) AS category_id, n.id AS structure_id FROM documents d LEFT JOIN nodes n ON n.node_type = 'STRUCTURE' AND n.graph = 'corpus' AND n.object = CAST(d.doc_id * 2 AS VARCHAR)",
 )
 _rq = "SELECT n.id, q.query_id, q.name AS query_name FROM nodes n JOIN saved_queries q ON q.category_id = n.category_id"
@@ -264,7 +269,7 @@ query("informed_measurements", lambda g, s, d: agg.informed_measurements(g, "@co
 query("distinct_pairs", lambda g, s, d: agg.distinct_pairs(g.edges.where("label IN ('buyer', 'UNDERWENT', 'shipped_by')").select("graph", "src", F.col("category_id").alias("dst"))), "SELECT DISTINCT graph, src, category_id AS dst FROM edges WHERE label IN ('buyer', 'UNDERWENT', 'shipped_by')")
 query("quantity_totals", lambda g, s, d: agg.quantity_totals(roles.participants(g))[0].drop("graph"), f", {_parts} SELECT event_id, role, CAST(sum(CAST(round(quantity * 100) AS BIGINT)) AS BIGINT) AS total_cents, count(*) AS n FROM parts WHERE quantity IS NOT NULL GROUP BY 1, 2")
 query("quantity_totals_reagent", lambda g, s, d: agg.quantity_totals(roles.participants(g))[1].drop("graph"), f", {_parts} SELECT member_id AS reagent_id, CAST(sum(CAST(round(quantity * 100) AS BIGINT)) AS BIGINT) AS total_cents, count(*) AS n FROM parts WHERE quantity IS NOT NULL GROUP BY 1")
-query("latest_per_external_id", lambda g, s, d: agg.latest_per_external_id(s.table("events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value"), "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) q WHERE r = 1")
+query("latest_per_external_id", lambda g, s, d: agg.latest_per_external_id(given(s, d, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value"), "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) q WHERE r = 1")
 query("latest_measurement", lambda g, s, d: agg.latest_measurement(g).drop("graph"), f"SELECT entity_id, metric_category, valid_from, metric_id, value FROM (SELECT y.id AS entity_id, m.category_id AS metric_category, x.valid_from, m.id AS metric_id, m.value_float AS value, row_number() OVER (PARTITION BY y.id, m.category_id ORDER BY x.valid_from DESC, m.id DESC) AS r {_mp} AND x.valid_from IS NOT NULL) q WHERE r = 1")
 query("close_open_windows", lambda g, s, d: agg.close_open_windows(g.with_edges(g.edges.withColumn("valid_to", F.lit(None).cast("timestamp_ntz")))).select("id", "valid_from", "valid_to"), "SELECT id, valid_from, lead(valid_from) OVER (PARTITION BY graph, dst, category_id ORDER BY valid_from, id) AS valid_to FROM edges WHERE edge_type = 'MEASUREMENT'")
 query("assign_local_ids", lambda g, s, d: agg.numbered(g.nodes.where("category_id IS NOT NULL").select("category_id", "id"), "category_id", "id", start=100, step=5, width=500), "SELECT category_id, id, CAST(100 + 5 * (row_number() OVER (PARTITION BY category_id ORDER BY id) - 1) AS BIGINT) AS local_seq FROM nodes WHERE category_id IS NOT NULL")
@@ -300,10 +305,10 @@ query("measurement_at_event", lambda g, s, d: temporal.measurement_at_event(g).d
 query("entity_timeline", lambda g, s, d: temporal.entity_timeline(g).drop("graph"), "SELECT dst AS entity_id, valid_from AS at, 'measurement' AS fact, id AS fact_id FROM edges WHERE edge_type = 'MEASUREMENT' AND valid_from IS NOT NULL UNION ALL SELECT n.id, v.valid_from, lower(v.node_type), v.id FROM nodes v JOIN edges p ON p.dst = v.id AND p.edge_type = 'PARTICIPANT' JOIN nodes n ON n.id = p.src AND n.node_type = 'ENTITY' WHERE v.node_type IN ('NATURAL_EVENT', 'PROTOCOL_EVENT') UNION ALL SELECT n.id, v.valid_from, lower(v.node_type), v.id FROM nodes v JOIN edges p ON p.src = v.id AND p.edge_type = 'PARTICIPANT' JOIN nodes n ON n.id = p.dst AND n.node_type = 'ENTITY' WHERE v.node_type IN ('NATURAL_EVENT', 'PROTOCOL_EVENT')")
 query(
     "catalog_as_of",
-    lambda g, s, d: temporal.catalog_as_of(s.table("events").select("user_id", F.col("event_type").alias("name"), F.col("ts").alias("history_date"), F.col("event_id").alias("history_id"), F.when(F.col("event_type") == "error", "-").otherwise("~").alias("history_type")), ["user_id"], T2),
+    lambda g, s, d: temporal.catalog_as_of(given(s, d, "events").select("user_id", F.col("event_type").alias("name"), F.col("ts").alias("history_date"), F.col("event_id").alias("history_id"), F.when(F.col("event_type") == "error", "-").otherwise("~").alias("history_type")), ["user_id"], T2),
     f"SELECT user_id, event_type AS name FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE ts <= TIMESTAMP '{T2}') q WHERE r = 1 AND event_type <> 'error'",
 )
-query("relative_window", lambda g, s, d: temporal.relative_window(s.table("events").select("event_id", "ts", F.lit(-1500).cast("bigint").alias("valid_rel_from"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("valid_rel_to")), "ts").select("event_id", "valid_from", "valid_to"), "SELECT event_id, ts - INTERVAL 1500 MILLISECOND AS valid_from, CASE WHEN event_id % 2 = 0 THEN ts + to_milliseconds(event_id) END AS valid_to FROM events")
+query("relative_window", lambda g, s, d: temporal.relative_window(given(s, d, "events").select("event_id", "ts", F.lit(-1500).cast("bigint").alias("valid_rel_from"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("valid_rel_to")), "ts").select("event_id", "valid_from", "valid_to"), "SELECT event_id, ts - INTERVAL 1500 MILLISECOND AS valid_from, CASE WHEN event_id % 2 = 0 THEN ts + to_milliseconds(event_id) END AS valid_to FROM events")
 
 # views
 _cols = {"metric_id": "NODE", "entity_id": "NODE", "value_float": "VALUE"}
@@ -320,46 +325,46 @@ query("scatter_points", lambda g, s, d: views.scatter_points(views.render_table(
 # names and columns
 query("normalize_names", lambda g, s, d: g.catalog["categories"].select(F.col("category_id").cast("bigint").alias("category_id"), fn.normalized_name("name", "kind").alias("age_name")), "SELECT CAST(category_id AS BIGINT) AS category_id, CASE kind WHEN 'RELATION' THEN upper(s) WHEN 'PROTOCOL_EVENT' THEN concat(lower(s), 'Event') WHEN 'NATURAL_EVENT' THEN concat(lower(s), 'NaturalEvent') WHEN 'REAGENT' THEN concat(lower(s), 'Event') ELSE lower(s) END AS age_name FROM (SELECT *, regexp_replace(name, '[^a-zA-Z]', '', 'g') AS s FROM categories) q")
 query("category_name_collisions", lambda g, s, d: fn.category_name_collisions(g.catalog["categories"]), "SELECT graph, age_name, count(DISTINCT name) AS n FROM (SELECT graph, name, CASE kind WHEN 'RELATION' THEN upper(s) WHEN 'PROTOCOL_EVENT' THEN concat(lower(s), 'Event') WHEN 'NATURAL_EVENT' THEN concat(lower(s), 'NaturalEvent') WHEN 'REAGENT' THEN concat(lower(s), 'Event') ELSE lower(s) END AS age_name FROM (SELECT *, regexp_replace(name, '[^a-zA-Z]', '', 'g') AS s FROM categories) q) r GROUP BY 1, 2 HAVING count(DISTINCT name) > 1")
-_refs = lambda s: s.table("events").select("event_id", F.concat(F.lit("@"), F.col("event_type"), F.when(F.col("event_id") % 3 == 0, "-").otherwise("/"), F.lit("ev"), F.when(F.col("event_id") % 5 == 0, "::").otherwise(":"), F.col("event_id").cast("string")).alias("ref"))
-query("parse_structure_refs", lambda g, s, d: fn.parse_structure_refs(_refs(s))[0], "SELECT concat('@', event_type, '/ev:', CAST(event_id AS VARCHAR)) AS ref, event_type AS ext, 'ev' AS ref_name, concat('@', event_type, '/ev') AS identifier, CAST(event_id AS VARCHAR) AS object, upper(event_type) AS graph_name FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0")
-query("parse_structure_refs_rejects", lambda g, s, d: fn.parse_structure_refs(_refs(s))[1].select("event_id"), "SELECT event_id FROM events WHERE event_id % 3 = 0 OR event_id % 5 = 0")
+_refs = lambda s, d: given(s, d, "events").select("event_id", F.concat(F.lit("@"), F.col("event_type"), F.when(F.col("event_id") % 3 == 0, "-").otherwise("/"), F.lit("ev"), F.when(F.col("event_id") % 5 == 0, "::").otherwise(":"), F.col("event_id").cast("string")).alias("ref"))
+query("parse_structure_refs", lambda g, s, d: fn.parse_structure_refs(_refs(s, d))[0], "SELECT concat('@', event_type, '/ev:', CAST(event_id AS VARCHAR)) AS ref, event_type AS ext, 'ev' AS ref_name, concat('@', event_type, '/ev') AS identifier, CAST(event_id AS VARCHAR) AS object, upper(event_type) AS graph_name FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0")
+query("parse_structure_refs_rejects", lambda g, s, d: fn.parse_structure_refs(_refs(s, d))[1].select("event_id"), "SELECT event_id FROM events WHERE event_id % 3 = 0 OR event_id % 5 = 0")
 query("split_global_ids", lambda g, s, d: fn.split_global_ids(scan.project_node_public(g.nodes).select("gid")).select("gid", "gid_graph", "gid_id"), "SELECT concat(graph, ':', CAST(id AS VARCHAR)) AS gid, graph AS gid_graph, id AS gid_id FROM nodes")
-query("parse_iso_times", lambda g, s, d: fn.parse_iso_times(s.table("events").select("event_id", F.when(F.col("event_id") % 4 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("at")), "at").select("event_id", "at_at"), "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN date_trunc('second', ts) END AS at_at FROM events")
-query("vector_values", lambda g, s, d: fn.vector_values(s.table("events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit(", 2, 3]"))).otherwise("[1]").alias("v")), "v", "THREE_D_VECTOR").select("event_id", F.size(F.coalesce("vector", F.array().cast("array<double>"))).cast("bigint").alias("n"), F.try_element_at("vector", F.lit(1)).alias("x")), "SELECT event_id, CAST(CASE WHEN event_id % 2 = 0 THEN 3 ELSE 0 END AS BIGINT) AS n, CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS DOUBLE) END AS x FROM events")
+query("parse_iso_times", lambda g, s, d: fn.parse_iso_times(given(s, d, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("at")), "at").select("event_id", "at_at"), "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN date_trunc('second', ts) END AS at_at FROM events")
+query("vector_values", lambda g, s, d: fn.vector_values(given(s, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit(", 2, 3]"))).otherwise("[1]").alias("v")), "v", "THREE_D_VECTOR").select("event_id", F.size(F.coalesce("vector", F.array().cast("array<double>"))).cast("bigint").alias("n"), F.try_element_at("vector", F.lit(1)).alias("x")), "SELECT event_id, CAST(CASE WHEN event_id % 2 = 0 THEN 3 ELSE 0 END AS BIGINT) AS n, CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS DOUBLE) END AS x FROM events")
 
 # ingest
-_ent = lambda s: s.table("customer").select(F.lit("trade").alias("graph"), F.lit(3).cast("bigint").alias("category_id"), F.upper("c_name").alias("name"), F.when(F.col("c_custkey") % 10 == 0, None).when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat(F.lit("new"), (F.col("c_custkey") % 100).cast("string"))).alias("external_id"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz").alias("created_at"), F.col("c_custkey").alias("input_no"))
+_ent = lambda s, d: given(s, d, "customer").select(F.lit("trade").alias("graph"), F.lit(3).cast("bigint").alias("category_id"), F.upper("c_name").alias("name"), F.when(F.col("c_custkey") % 10 == 0, None).when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat(F.lit("new"), (F.col("c_custkey") % 100).cast("string"))).alias("external_id"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz").alias("created_at"), F.col("c_custkey").alias("input_no"))
 _ent_sql = f", inp AS (SELECT CAST(c_custkey AS BIGINT) AS input_no, upper(c_name) AS name, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN c_name ELSE concat('new', CAST(c_custkey % 100 AS VARCHAR)) END AS external_id FROM customer), lst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY input_no DESC) AS r FROM inp WHERE external_id IS NOT NULL) q WHERE r = 1) SELECT coalesce(n.id, {15 * BASE} + l.input_no) AS id, coalesce(n.external_id, l.external_id) AS external_id, CASE WHEN l.external_id IS NOT NULL THEN l.name ELSE n.name END AS name FROM (SELECT * FROM nodes WHERE category_id = 3 AND node_type = 'ENTITY') n FULL OUTER JOIN lst l ON l.external_id = n.external_id UNION ALL SELECT {15 * BASE} + input_no, NULL, name FROM inp WHERE external_id IS NULL"
-query("ingest_entities", lambda g, s, d: ingest.ingest_entities(g, _ent(s), 15 * BASE).nodes.where("category_id = 3 AND node_type = 'ENTITY'").select("id", "external_id", "name"), _ent_sql)
+query("ingest_entities", lambda g, s, d: ingest.ingest_entities(g, _ent(s, d), 15 * BASE).nodes.where("category_id = 3 AND node_type = 'ENTITY'").select("id", "external_id", "name"), _ent_sql)
 query(
     "ingest_entities_sequence",
-    lambda g, s, d: ingest.ingest_entities(g, _ent(s), 15 * BASE, {"start": 1000, "step": 10}).nodes.where(f"id >= {15 * BASE} AND id < {16 * BASE} AND node_type = 'ENTITY'").select("id", "external_id", "local_seq"),
+    lambda g, s, d: ingest.ingest_entities(g, _ent(s, d), 15 * BASE, {"start": 1000, "step": 10}).nodes.where(f"id >= {15 * BASE} AND id < {16 * BASE} AND node_type = 'ENTITY'").select("id", "external_id", "local_seq"),
     f"{_ent_sql.split(' SELECT coalesce(n.id')[0]}, cre AS (SELECT input_no, external_id FROM lst WHERE external_id NOT IN (SELECT external_id FROM nodes WHERE category_id = 3 AND node_type = 'ENTITY') UNION ALL SELECT input_no, NULL FROM inp WHERE external_id IS NULL) SELECT {15 * BASE} + input_no AS id, external_id, CAST(1000 + 10 * ((SELECT count(*) FROM customer) + row_number() OVER (ORDER BY input_no) - 1) AS BIGINT) AS local_seq FROM cre",
 )
 query(
     "ingest_reagents",
-    lambda g, s, d: ingest.ingest_reagents(g, s.table("part").select(F.lit("trade").alias("graph"), (F.lit(200) + F.substring("p_brand", 7, 9).cast("bigint")).alias("category_id"), F.col("p_type").alias("name"), F.col("p_name").alias("ignored"), F.concat(F.lit("lot"), F.col("p_partkey").cast("string")).alias("external_id"), F.lit(None).cast("timestamp_ntz").alias("created_at"), F.col("p_partkey").alias("input_no"), F.lit(True).alias("set_active")), 16 * BASE).nodes.where("node_type = 'REAGENT'").select("id", "category_id", "external_id", "active"),
+    lambda g, s, d: ingest.ingest_reagents(g, given(s, d, "part").select(F.lit("trade").alias("graph"), (F.lit(200) + F.substring("p_brand", 7, 9).cast("bigint")).alias("category_id"), F.col("p_type").alias("name"), F.col("p_name").alias("ignored"), F.concat(F.lit("lot"), F.col("p_partkey").cast("string")).alias("external_id"), F.lit(None).cast("timestamp_ntz").alias("created_at"), F.col("p_partkey").alias("input_no"), F.lit(True).alias("set_active")), 16 * BASE).nodes.where("node_type = 'REAGENT'").select("id", "category_id", "external_id", "active"),
     f", inp AS (SELECT 200 + CAST(substr(p_brand, 7) AS BIGINT) AS category_id, {16 * BASE} + p_partkey AS id, concat('lot', CAST(p_partkey AS VARCHAR)) AS external_id FROM part), ch AS (SELECT category_id, max(id) AS chosen FROM inp GROUP BY category_id), allr AS (SELECT id, category_id, external_id, active FROM nodes WHERE node_type = 'REAGENT' UNION ALL SELECT id, category_id, external_id, NULL FROM inp) SELECT a.id, a.category_id, a.external_id, CASE WHEN c.chosen IS NOT NULL THEN a.id = c.chosen ELSE a.active END AS active FROM allr a LEFT JOIN ch c ON c.category_id = a.category_id",
 )
-query("ingest_structures", lambda g, s, d: ingest.ingest_structures(g, _refs(s).select(F.lit("trade").alias("graph"), "ref", F.col("event_id").alias("input_no")), 17 * BASE, 900)[0].nodes.where(f"id >= {17 * BASE}").select("id", "identifier", "object", "node_type"), f"SELECT {17 * BASE} + event_id AS id, concat('@', event_type, '/ev') AS identifier, CAST(event_id AS VARCHAR) AS object, 'STRUCTURE' AS node_type FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0")
-_met = lambda s: s.table("events").select(F.lit("trade").alias("graph"), (F.lit(7 * BASE) + F.col("event_id") * 2).alias("structure_id"), F.lit(12).cast("bigint").alias("category_id"), F.col("value"), F.col("ts").alias("created_at"), F.col("event_id").alias("input_no"))
-query("ingest_metrics", lambda g, s, d: ingest.ingest_metrics(g, _met(s), 18 * BASE)[0].edges.where(f"id >= {18 * BASE} AND edge_type = 'DESCRIPTION' AND graph = 'trade'").select("id", "src", "dst"), f"SELECT {18 * BASE} + e.event_id AS id, {18 * BASE} + e.event_id AS src, {7 * BASE} + e.event_id * 2 AS dst FROM events e WHERE {7 * BASE} + e.event_id * 2 IN (SELECT id FROM nodes WHERE node_type = 'STRUCTURE')")
-query("ingest_metrics_rejects", lambda g, s, d: ingest.ingest_metrics(g, _met(s), 18 * BASE)[1].select("input_no"), f"SELECT event_id AS input_no FROM events WHERE {7 * BASE} + event_id * 2 NOT IN (SELECT id FROM nodes WHERE node_type = 'STRUCTURE')")
-_kinds = lambda s: _met(s).drop("value").join(s.table("events").select(F.col("event_id").alias("input_no"), F.element_at(F.array(F.lit("INT"), F.lit("STRING"), F.lit("BOOLEAN"), F.lit("DATETIME"), F.lit("TWO_D_VECTOR")), (F.col("event_id") % 5 + 1).cast("int")).alias("kind"), F.element_at(F.array(F.when(F.col("event_id") % 3 == 0, "many").otherwise(F.concat(F.lit("0"), F.col("event_id").cast("string"))), F.col("event_type"), F.when(F.col("event_id") % 2 == 0, "TRUE").otherwise("perhaps"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, "[1, 2.5]").otherwise("[1]")), (F.col("event_id") % 5 + 1).cast("int")).alias("value")), "input_no")
+query("ingest_structures", lambda g, s, d: ingest.ingest_structures(g, _refs(s, d).select(F.lit("trade").alias("graph"), "ref", F.col("event_id").alias("input_no")), 17 * BASE, 900)[0].nodes.where(f"id >= {17 * BASE}").select("id", "identifier", "object", "node_type"), f"SELECT {17 * BASE} + event_id AS id, concat('@', event_type, '/ev') AS identifier, CAST(event_id AS VARCHAR) AS object, 'STRUCTURE' AS node_type FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0")
+_met = lambda s, d: given(s, d, "events").select(F.lit("trade").alias("graph"), (F.lit(7 * BASE) + F.col("event_id") * 2).alias("structure_id"), F.lit(12).cast("bigint").alias("category_id"), F.col("value"), F.col("ts").alias("created_at"), F.col("event_id").alias("input_no"))
+query("ingest_metrics", lambda g, s, d: ingest.ingest_metrics(g, _met(s, d), 18 * BASE)[0].edges.where(f"id >= {18 * BASE} AND edge_type = 'DESCRIPTION' AND graph = 'trade'").select("id", "src", "dst"), f"SELECT {18 * BASE} + e.event_id AS id, {18 * BASE} + e.event_id AS src, {7 * BASE} + e.event_id * 2 AS dst FROM events e WHERE {7 * BASE} + e.event_id * 2 IN (SELECT id FROM nodes WHERE node_type = 'STRUCTURE')")
+query("ingest_metrics_rejects", lambda g, s, d: ingest.ingest_metrics(g, _met(s, d), 18 * BASE)[1].select("input_no"), f"SELECT event_id AS input_no FROM events WHERE {7 * BASE} + event_id * 2 NOT IN (SELECT id FROM nodes WHERE node_type = 'STRUCTURE')")
+_kinds = lambda s, d: _met(s, d).drop("value").join(given(s, d, "events").select(F.col("event_id").alias("input_no"), F.element_at(F.array(F.lit("INT"), F.lit("STRING"), F.lit("BOOLEAN"), F.lit("DATETIME"), F.lit("TWO_D_VECTOR")), (F.col("event_id") % 5 + 1).cast("int")).alias("kind"), F.element_at(F.array(F.when(F.col("event_id") % 3 == 0, "many").otherwise(F.concat(F.lit("0"), F.col("event_id").cast("string"))), F.col("event_type"), F.when(F.col("event_id") % 2 == 0, "TRUE").otherwise("perhaps"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, "[1, 2.5]").otherwise("[1]")), (F.col("event_id") % 5 + 1).cast("int")).alias("value")), "input_no")
 query(
     "ingest_metrics_kinds",
-    lambda g, s, d: ingest.ingest_metrics(g, _kinds(s), 18 * BASE)[0].nodes.where(f"id >= {18 * BASE} AND id < {19 * BASE}").select("id", F.when(F.col("value").contains("-"), F.substring("value", 1, 19)).otherwise(F.col("value")).alias("value"), "value_float"),
+    lambda g, s, d: ingest.ingest_metrics(g, _kinds(s, d), 18 * BASE)[0].nodes.where(f"id >= {18 * BASE} AND id < {19 * BASE}").select("id", F.when(F.col("value").contains("-"), F.substring("value", 1, 19)).otherwise(F.col("value")).alias("value"), "value_float"),
     f"SELECT {18 * BASE} + event_id AS id, CASE event_id % 5 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN event_type WHEN 2 THEN 'true' WHEN 3 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE '[1.0,2.5]' END AS value, CASE WHEN event_id % 5 = 0 THEN CAST(event_id AS DOUBLE) END AS value_float FROM events WHERE {7 * BASE} + event_id * 2 IN (SELECT id FROM nodes WHERE node_type = 'STRUCTURE') AND NOT (event_id % 5 = 0 AND event_id % 3 = 0) AND NOT (event_id % 5 IN (2, 4) AND event_id % 2 = 1)",
 )
-_mea = lambda s: s.table("events").select(F.lit("trade").alias("graph"), (F.lit(7 * BASE) + F.col("event_id")).alias("src"), (F.lit(3 * BASE) + F.col("user_id") * 2).alias("dst"), F.lit("seen").alias("label"), F.lit(106).cast("bigint").alias("category_id"), F.col("ts").alias("valid_from"), F.col("event_id").alias("input_no"))
-query("ingest_measurements", lambda g, s, d: ingest.ingest_measurements(g, _mea(s), 19 * BASE)[0].edges.where("label = 'seen'").select("id", "src", "dst", "valid_from"), f"SELECT {19 * BASE} + event_id AS id, {7 * BASE} + event_id AS src, {3 * BASE} + user_id * 2 AS dst, ts AS valid_from FROM events WHERE {3 * BASE} + user_id * 2 IN (SELECT id FROM nodes WHERE node_type = 'ENTITY')")
-query("associate_structures", lambda g, s, d: ingest.associate_structures(g, s.table("documents").select(F.lit("corpus").alias("graph"), F.lit("@corpus/document").alias("identifier"), F.col("doc_id").cast("string").alias("object"), F.lit(14 * BASE + 3).alias("dst"), F.lit("linked").alias("label"), F.lit(107).cast("bigint").alias("category_id"), F.col("doc_id").alias("input_no")), 20 * BASE)[0].edges.where("label = 'linked'").select("id", "src", "dst"), f"SELECT {20 * BASE} + doc_id AS id, {10 * BASE} + doc_id AS src, {14 * BASE + 3} AS dst FROM documents WHERE {14 * BASE + 3} IN (SELECT id FROM nodes)")
-_rel = lambda s: s.table("customer").select(F.lit("trade").alias("graph"), (F.lit(3 * BASE) + F.col("c_custkey")).alias("src"), (F.lit(4 * BASE) + F.col("c_custkey")).alias("dst"), F.lit("KNOWS").alias("label"), F.lit(105).cast("bigint").alias("category_id"), F.col("c_custkey").alias("input_no"))
-query("ingest_relations", lambda g, s, d: ingest.ingest_relations(g, _rel(s), 21 * BASE)[0].edges.where("label = 'KNOWS'").select("id", "src", "dst"), f"SELECT {21 * BASE} + c_custkey AS id, {3 * BASE} + c_custkey AS src, {4 * BASE} + c_custkey AS dst FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier)")
-query("ingest_relations_rejects", lambda g, s, d: ingest.ingest_relations(g, _rel(s), 21 * BASE)[1].select("input_no", "missing"), "SELECT c_custkey AS input_no, 'dst' AS missing FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+_mea = lambda s, d: given(s, d, "events").select(F.lit("trade").alias("graph"), (F.lit(7 * BASE) + F.col("event_id")).alias("src"), (F.lit(3 * BASE) + F.col("user_id") * 2).alias("dst"), F.lit("seen").alias("label"), F.lit(106).cast("bigint").alias("category_id"), F.col("ts").alias("valid_from"), F.col("event_id").alias("input_no"))
+query("ingest_measurements", lambda g, s, d: ingest.ingest_measurements(g, _mea(s, d), 19 * BASE)[0].edges.where("label = 'seen'").select("id", "src", "dst", "valid_from"), f"SELECT {19 * BASE} + event_id AS id, {7 * BASE} + event_id AS src, {3 * BASE} + user_id * 2 AS dst, ts AS valid_from FROM events WHERE {3 * BASE} + user_id * 2 IN (SELECT id FROM nodes WHERE node_type = 'ENTITY')")
+query("associate_structures", lambda g, s, d: ingest.associate_structures(g, given(s, d, "documents").select(F.lit("corpus").alias("graph"), F.lit("@corpus/document").alias("identifier"), F.col("doc_id").cast("string").alias("object"), F.lit(14 * BASE + 3).alias("dst"), F.lit("linked").alias("label"), F.lit(107).cast("bigint").alias("category_id"), F.col("doc_id").alias("input_no")), 20 * BASE)[0].edges.where("label = 'linked'").select("id", "src", "dst"), f"SELECT {20 * BASE} + doc_id AS id, {10 * BASE} + doc_id AS src, {14 * BASE + 3} AS dst FROM documents WHERE {14 * BASE + 3} IN (SELECT id FROM nodes)")
+_rel = lambda s, d: given(s, d, "customer").select(F.lit("trade").alias("graph"), (F.lit(3 * BASE) + F.col("c_custkey")).alias("src"), (F.lit(4 * BASE) + F.col("c_custkey")).alias("dst"), F.lit("KNOWS").alias("label"), F.lit(105).cast("bigint").alias("category_id"), F.col("c_custkey").alias("input_no"))
+query("ingest_relations", lambda g, s, d: ingest.ingest_relations(g, _rel(s, d), 21 * BASE)[0].edges.where("label = 'KNOWS'").select("id", "src", "dst"), f"SELECT {21 * BASE} + c_custkey AS id, {3 * BASE} + c_custkey AS src, {4 * BASE} + c_custkey AS dst FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier)")
+query("ingest_relations_rejects", lambda g, s, d: ingest.ingest_relations(g, _rel(s, d), 21 * BASE)[1].select("input_no", "missing"), "SELECT c_custkey AS input_no, 'dst' AS missing FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 query(
     "set_edge_metric",
-    lambda g, s, d: ingest.set_edge_metric(_bag(s).select(F.lit("trade").alias("graph"), F.col("event_id").alias("id"), "props"), s.table("events").where("event_type <> 'view'").select(F.lit("trade").alias("graph"), F.col("event_id").alias("id"), F.lit("set").alias("value")), "kind")[0].select("id", F.col("props")["kind"].alias("kind"), F.size("props").cast("bigint").alias("n")),
+    lambda g, s, d: ingest.set_edge_metric(_bag(s, d).select(F.lit("trade").alias("graph"), F.col("event_id").alias("id"), "props"), given(s, d, "events").where("event_type <> 'view'").select(F.lit("trade").alias("graph"), F.col("event_id").alias("id"), F.lit("set").alias("value")), "kind")[0].select("id", F.col("props")["kind"].alias("kind"), F.size("props").cast("bigint").alias("n")),
     "SELECT event_id AS id, CASE WHEN event_type <> 'view' THEN 'set' ELSE event_type END AS kind, CAST(4 AS BIGINT) AS n FROM events",
 )
 _rec = lambda g, kind: ingest.record_events(g, g.nodes.where(f"node_type = '{kind}'").select("graph", F.col("id").alias("event_id"), "category_id", "external_id", "valid_from"), roles.participants(g), kind, _fresh())
@@ -368,9 +373,9 @@ query("record_protocol_events", lambda g, s, d: _rec(g, "PROTOCOL_EVENT")[0].whe
 query("record_natural_events", lambda g, s, d: _rec(g, "NATURAL_EVENT")[1].select("src", "dst", "role"), f", {_resolved} SELECT p.member_id AS src, p.event_id AS dst, p.role FROM parts p JOIN nodes v ON v.id = p.event_id WHERE {_ok.format(k='NATURAL_EVENT')} AND p.direction = 'in' UNION ALL SELECT {24 * BASE} + v.id % {BASE}, v.id, 'swab' FROM nodes v WHERE {_ok.format(k='NATURAL_EVENT')}")
 
 
-def _event_inputs(s: SparkSession) -> tuple[DataFrame, DataFrame]:
+def _event_inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Orders as protocol events: even ones are known by their external id; every seventh has nobody who ships it, which is an error."""
-    o = s.table("orders")
+    o = given(s, d, "orders")
     key = F.col("o_orderkey")
     variables = F.array(F.struct(F.lit("priority").alias("key"), F.col("o_orderpriority").alias("value"))).cast(VARIABLES)
     inputs = o.select(F.lit("trade").alias("graph"), F.lit(6).cast("bigint").alias("category_id"), F.when(key % 2 == 0, key.cast("string")).otherwise(F.concat(F.lit("again"), key.cast("string"))).alias("external_id"), F.lit("repeated").alias("name"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), variables.alias("variables"), key.alias("input_no"))
@@ -379,18 +384,18 @@ def _event_inputs(s: SparkSession) -> tuple[DataFrame, DataFrame]:
     return inputs, fillers
 
 
-_recorded = lambda g, s: ingest.upsert_events(g, *_event_inputs(s), 23 * BASE, sequence={"start": 1})
+_recorded = lambda g, s, d: ingest.upsert_events(g, *_event_inputs(s, d), 23 * BASE, sequence={"start": 1})
 _known = f"CASE WHEN o_orderkey % 2 = 0 THEN {6 * BASE} + o_orderkey ELSE {23 * BASE} + o_orderkey END"
 query(
     "record_protocol_events_upsert",
-    lambda g, s, d: _recorded(g, s)[0].nodes.where("node_type = 'PROTOCOL_EVENT' AND variables IS NOT NULL").select("id", "external_id", "name", "valid_from", "valid_to", F.col("variables")[0]["value"].alias("priority")),
+    lambda g, s, d: _recorded(g, s, d)[0].nodes.where("node_type = 'PROTOCOL_EVENT' AND variables IS NOT NULL").select("id", "external_id", "name", "valid_from", "valid_to", F.col("variables")[0]["value"].alias("priority")),
     f"SELECT {_known} AS id, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE concat('again', CAST(o_orderkey AS VARCHAR)) END AS external_id, 'repeated' AS name, o_orderdate AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to, o_orderpriority AS priority FROM orders WHERE o_orderkey % 7 <> 0",
 )
-query("record_protocol_events_kept", lambda g, s, d: _recorded(g, s)[0].nodes.where("node_type = 'PROTOCOL_EVENT' AND variables IS NULL").select("id", "valid_from", "valid_to"), "SELECT id, valid_from, valid_to FROM nodes WHERE node_type = 'PROTOCOL_EVENT' AND NOT (local_seq IS NOT NULL) AND (CAST(external_id AS BIGINT) % 2 = 1 OR CAST(external_id AS BIGINT) % 7 = 0)")
-query("record_protocol_events_sequence", lambda g, s, d: _recorded(g, s)[0].nodes.where("node_type = 'PROTOCOL_EVENT' AND local_seq IS NOT NULL").select("id", "local_seq"), f"SELECT * FROM (SELECT {23 * BASE} + o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS local_seq FROM orders WHERE o_orderkey % 2 = 1) q WHERE (id - {23 * BASE}) % 7 <> 0")
+query("record_protocol_events_kept", lambda g, s, d: _recorded(g, s, d)[0].nodes.where("node_type = 'PROTOCOL_EVENT' AND variables IS NULL").select("id", "valid_from", "valid_to"), "SELECT id, valid_from, valid_to FROM nodes WHERE node_type = 'PROTOCOL_EVENT' AND NOT (local_seq IS NOT NULL) AND (CAST(external_id AS BIGINT) % 2 = 1 OR CAST(external_id AS BIGINT) % 7 = 0)")
+query("record_protocol_events_sequence", lambda g, s, d: _recorded(g, s, d)[0].nodes.where("node_type = 'PROTOCOL_EVENT' AND local_seq IS NOT NULL").select("id", "local_seq"), f"SELECT * FROM (SELECT {23 * BASE} + o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS local_seq FROM orders WHERE o_orderkey % 2 = 1) q WHERE (id - {23 * BASE}) % 7 <> 0")
 query(
     "record_protocol_events_edges",
-    lambda g, s, d: roles.participants(_recorded(g, s)[0]).where(f"event_id >= {23 * BASE}").select("event_id", "direction", "role", "member_id", "quantity"),
+    lambda g, s, d: roles.participants(_recorded(g, s, d)[0]).where(f"event_id >= {23 * BASE}").select("event_id", "direction", "role", "member_id", "quantity"),
     f"SELECT {23 * BASE} + o_orderkey AS event_id, x.direction, x.role, CASE x.role WHEN 'buyer' THEN {3 * BASE} + o_custkey WHEN 'consumed' THEN {5 * BASE + 1} + o_orderkey % 50 WHEN 'shipped_by' THEN {4 * BASE + 1} + o_orderkey % 9 ELSE a.id END AS member_id, CASE WHEN x.role = 'consumed' THEN 2.5 END::DOUBLE AS quantity FROM orders CROSS JOIN (VALUES ('in', 'buyer'), ('in', 'consumed'), ('out', 'shipped_by'), ('in', 'packaging')) x(direction, role) LEFT JOIN (SELECT min(n.id) AS id FROM nodes n JOIN role_defs r ON r.default_use_active = n.category_id WHERE n.node_type = 'REAGENT' AND n.active) a ON x.role = 'packaging' WHERE o_orderkey % 2 = 1 AND o_orderkey % 7 <> 0",
 )
 _fillers = f"""fillers AS (SELECT {_known} AS event_id, x.direction, x.role, CASE x.role WHEN 'buyer' THEN {3 * BASE} + o_custkey WHEN 'consumed' THEN {5 * BASE + 1} + o_orderkey % 50 WHEN 'shipped_by' THEN {4 * BASE + 1} + o_orderkey % 9 ELSE a.id END AS member_id, CASE WHEN x.role = 'consumed' THEN 2.5 END::DOUBLE AS quantity
@@ -398,20 +403,20 @@ _fillers = f"""fillers AS (SELECT {_known} AS event_id, x.direction, x.role, CAS
 after AS (SELECT event_id, direction, role, member_id, quantity, row_number() OVER (PARTITION BY event_id, direction, role, member_id, quantity) AS nth FROM parts UNION SELECT *, 1 FROM fillers)"""
 query(
     "record_protocol_events_edges_updated",
-    lambda g, s, d: roles.participants(_recorded(g, s)[0]).where(f"event_id < {7 * BASE} AND event_id % 2 = 0").select("event_id", "direction", "role", "member_id", "quantity"),
+    lambda g, s, d: roles.participants(_recorded(g, s, d)[0]).where(f"event_id < {7 * BASE} AND event_id % 2 = 0").select("event_id", "direction", "role", "member_id", "quantity"),
     f", {_parts}, {_fillers} SELECT event_id, direction, role, member_id, quantity FROM after WHERE event_id < {7 * BASE} AND event_id % 2 = 0",
 )
 query(
     "record_protocol_events_repeat",
-    lambda g, s, d: ingest.upsert_events(_recorded(g, s)[0], *_event_inputs(s), 23 * BASE, sequence={"start": 1})[0].edges.where("edge_type = 'PARTICIPANT'").agg(F.count("*").alias("n"), F.countDistinct("graph", "id").alias("n_ids")),
+    lambda g, s, d: ingest.upsert_events(_recorded(g, s, d)[0], *_event_inputs(s, d), 23 * BASE, sequence={"start": 1})[0].edges.where("edge_type = 'PARTICIPANT'").agg(F.count("*").alias("n"), F.countDistinct("graph", "id").alias("n_ids")),
     f", {_parts}, {_fillers} SELECT count(*) AS n, count(*) AS n_ids FROM after",
 )
-query("record_protocol_events_errors", lambda g, s, d: _recorded(g, s)[1].select("event_id", "role", "outcome"), f"SELECT {_known} AS event_id, 'shipped_by' AS role, 'missing' AS outcome FROM orders WHERE o_orderkey % 7 = 0")
+query("record_protocol_events_errors", lambda g, s, d: _recorded(g, s, d)[1].select("event_id", "role", "outcome"), f"SELECT {_known} AS event_id, 'shipped_by' AS role, 'missing' AS outcome FROM orders WHERE o_orderkey % 7 = 0")
 query("in_edges_for_event", lambda g, s, d: ingest.in_edges_for_event(roles.participants(g)).drop("graph"), f", {_parts} SELECT member_id AS src, event_id AS dst, role AS label, role, quantity FROM parts WHERE direction = 'in'")
 query("out_edges_for_event", lambda g, s, d: ingest.out_edges_for_event(roles.participants(g)).drop("graph"), f", {_parts} SELECT event_id AS src, member_id AS dst, role AS label, role, quantity FROM parts WHERE direction = 'out'")
 query(
     "catalog_upsert",
-    lambda g, s, d: ingest.catalog_upsert(g.catalog["categories"].select("graph", "kind", "name", F.col("category_id").cast("bigint").alias("category_id"), F.lit(None).cast("string").alias("description")), s.table("part").select(F.lit("trade").alias("graph"), F.lit("REAGENT").alias("kind"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_type")).alias("name")).distinct().select("*", F.lit(999).cast("bigint").alias("category_id"), F.concat(F.lit("about "), F.col("name")).alias("description"))),
+    lambda g, s, d: ingest.catalog_upsert(g.catalog["categories"].select("graph", "kind", "name", F.col("category_id").cast("bigint").alias("category_id"), F.lit(None).cast("string").alias("description")), given(s, d, "part").select(F.lit("trade").alias("graph"), F.lit("REAGENT").alias("kind"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_type")).alias("name")).distinct().select("*", F.lit(999).cast("bigint").alias("category_id"), F.concat(F.lit("about "), F.col("name")).alias("description"))),
     ", inp AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END AS name FROM part) SELECT coalesce(c.graph, 'trade') AS graph, coalesce(c.kind, 'REAGENT') AS kind, coalesce(c.name, i.name) AS name, CAST(coalesce(c.category_id, 999) AS BIGINT) AS category_id, CASE WHEN i.name IS NOT NULL THEN concat('about ', i.name) END AS description FROM categories c FULL OUTER JOIN inp i ON c.kind = 'REAGENT' AND c.graph = 'trade' AND c.name = i.name",
 )
 query("drop_graph_partition", lambda g, s, d: ingest.drop_graph_partition(g, "trade").nodes.select(N), f"SELECT {NODE} FROM nodes WHERE graph <> 'trade'")
@@ -479,7 +484,7 @@ _defs = lambda g: g.nodes.where("node_type IN ('STRUCTURE', 'ENTITY')").select(F
 query("audit_definitions", lambda g, s, d: audit.audit_definitions(g, _defs(g))[0], "SELECT id AS owner_id, graph, 'nowhere' AS ref FROM nodes WHERE node_type IN ('STRUCTURE', 'ENTITY') AND id % 5 = 1")
 query("audit_definitions_new", lambda g, s, d: audit.audit_definitions(g, _defs(g))[1], "SELECT DISTINCT graph, 'STRUCTURE' AS kind, concat('@new/', category_type) AS name FROM nodes WHERE node_type IN ('STRUCTURE', 'ENTITY') AND id % 5 = 0")
 query("audit_measurement_direction", lambda g, s, d: audit.audit_measurement_direction(g.with_edges(g.edges.withColumn("edge_type", F.when(F.col("label") == "buyer", "MEASUREMENT").otherwise(F.col("edge_type"))))).drop("graph"), "SELECT id, 'ENTITY' AS left_node_type, 'PROTOCOL_EVENT' AS right_node_type FROM edges WHERE label = 'buyer'")
-query("audit_metric_kind", lambda g, s, d: audit.audit_metric_kind(s.table("events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(F.col("event_id").cast("string")).alias("value"), F.when(F.col("event_id") % 3 == 0, "STRING").otherwise("INT").alias("kind"))).select("event_id"), "SELECT event_id FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0")
+query("audit_metric_kind", lambda g, s, d: audit.audit_metric_kind(given(s, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(F.col("event_id").cast("string")).alias("value"), F.when(F.col("event_id") % 3 == 0, "STRING").otherwise("INT").alias("kind"))).select("event_id"), "SELECT event_id FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0")
 _odd_parts = _parts
 for _end in ("src", "dst"):
     _odd_parts = _odd_parts.replace(f"role, {_end}", f"CASE WHEN id % 13 = 0 THEN 'stranger' ELSE role END AS role, {_end}")

@@ -80,8 +80,6 @@ saved_queries AS (SELECT * FROM (VALUES (1, 'metrics', 3, true), (2, 'lineage',
 """
 
 CATALOG_TABLES = ("categories", "category_tags", "role_defs", "pins", "saved_queries")
-#: Put before a SELECT over nodes, edges and the catalog tables.
-WITH = f"WITH {FACTS.rstrip()},\n{CATALOG}"
 
 
 def with_for(sql: str) -> str:
@@ -99,16 +97,11 @@ def with_for(sql: str) -> str:
     return f"WITH {clauses}\n{sql}" if clauses else sql
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Names the tables of ``sf_dir`` as temporary views, for the SQL text."""
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-
-
 def derived_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph as a query over the tables: nothing is stored, and each use derives it anew."""
-    register(spark, sf_dir)
-    tables = {name: spark.sql(f"{WITH} SELECT * FROM {name}") for name in ("nodes", "edges", *CATALOG_TABLES)}
+    """The graph as a query over the tables: nothing is stored, and each use derives it anew. The session's views stay as they are."""
+    folder = sf_dir.replace("`", "``")
+    read = ",\n".join(f"{name} AS (SELECT * FROM parquet.`{folder}/{name}.parquet`)" for name in TABLES)
+    tables = {name: spark.sql(f"WITH {read},\n{FACTS.rstrip()},\n{CATALOG} SELECT * FROM {name}") for name in ("nodes", "edges", *CATALOG_TABLES)}
     return Graph(tables.pop("nodes").withColumn("variables", F.lit(None).cast(VARIABLES)), tables.pop("edges"), tables)
 
 
@@ -120,7 +113,6 @@ def build_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of a folder's tables: derived and stored in adjacency layout once in an application, then read from there.
 
     It is stored anew when a table has changed, or when what was stored is gone."""
-    register(spark, sf_dir)
     context = spark.sparkContext
     folder = context._jvm.org.apache.hadoop.fs.Path
     files = folder(sf_dir).getFileSystem(context._jsc.hadoopConfiguration())
