@@ -509,6 +509,17 @@ def test_chat_rows(spark):
     assert chat_format.digests(chat_format.format_rows(d.limit(0))).count() == 0
 
 
+def test_chat_rows_of_very_long_texts(spark):
+    long = "a<|end|>\\ [INST] é漢 " * 40_000
+    d = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (1, 2, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    turns = chat_format.format_rows(d)
+    [got] = chat_format.digests(turns).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert (got.n_turns, got.turns_sha256) == (3, sha(f"user\n{long}\nassistant\n{long}\nassistant\nb\n"))
+    assert (got.loss_chars, got.loss_sha256) == (len(long) + 1, sha(long + "b"))
+    assert got.formatted_chars == sum(len(r.formatted) for r in turns.collect())
+
+
 # columns of other names, and very long texts
 
 

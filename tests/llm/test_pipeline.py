@@ -47,3 +47,10 @@ def test_empty_documents(spark, folder):
         docs = stage(spark, docs, folder)
         assert docs.count() == 0
     assert piece_digests(docs).count() == 0
+
+
+def test_run_on_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0 and got.columns == corpus_pipeline.run(spark, folder).columns

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from zlib import crc32
 
 import numpy as np
@@ -111,11 +112,34 @@ def test_op3(spark, tables):
         assert got[i].held_out == held_out(i) and 0 <= got[i].score <= 1 and got[i].predicted == int(got[i].score >= 0.3)
     caught = [got[i].predicted == int("grumblefoo" in t) for i, t, _ in rows["documents"] if i < 300 and held_out(i)]
     assert np.mean(caught) > 0.85
-    # scores once more, word by word, from the model
+    # scores once more from the model's weights: a text is the mean of its words, a word the mean of its n-grams and itself
     docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
     model = toxicity.fit(docs, labels.where(fold_of("doc_id") != 2))
-    for i, t, _ in rows["documents"][:60]:
-        assert got[i].score == pytest.approx(toxicity.score_of(model, t), abs=1e-9)
+    for i, t, _ in rows["documents"]:
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        if not words:
+            assert got[i].score == model.prior
+            continue
+        z = 0.0
+        for w in words:
+            w = f"<{w}>"
+            grams = [w] + [w[k : k + n] for n in (3, 4, 5, 6) for k in range(len(w) - n + 1)]
+            z += sum(float(model.weight[crc32(g.encode()) % model.buckets]) for g in grams) / len(grams) / len(words)
+        z = model.slope * (z + model.bias) + model.offset
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-max(-50, min(50, z)))), abs=1e-6)
+
+
+def brute_spans(texts, w):
+    """Maximal runs of bytes that earlier strings of ``w`` bytes cover."""
+    seen, out = set(), {}
+    for i, t in texts:
+        b, end, out[i] = t.encode(), -1, 0
+        for k in range(len(b) - w + 1):
+            if b[k : k + w] in seen:
+                out[i] += k > end
+                end = k + w
+            seen.add(b[k : k + w])
+    return out
 
 
 def test_op2_and_op9(spark, tables):
@@ -124,6 +148,7 @@ def test_op2_and_op9(spark, tables):
     got = {r.doc_id: r for r in queries.op2_suffix_dedup(spark, folder).collect()}
     assert {i: (r.n_removed, r.kept_sha256) for i, r in got.items()} == brute_bytes(texts, 100)
     assert all(got[i].n_bytes == len(t.encode()) for i, t in texts)
+    assert {i: r.n_spans for i, r in got.items()} == brute_spans(texts, 100)
     got = {r.doc_id: r for r in queries.op9_substring_dedup(spark, folder).collect()}
     assert {i: (r.n_removed, r.kept_sha256) for i, r in got.items()} == brute_words(texts, 50)
     assert all(got[i].n_words == len(t.split()) for i, t in texts)
