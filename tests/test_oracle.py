@@ -48,3 +48,30 @@ def test_views_of_the_session_stay(spark):
 
 def test_every_query_has_sql():
     assert set(catalogue.queries()) == set(catalogue.oracle_sql())
+
+
+def test_a_question_stores_no_graph(spark, monkeypatch):
+    def stores(*_):
+        raise AssertionError("a single query stored the whole graph")
+
+    monkeypatch.setattr(fixture, "_STORED", {})
+    with monkeypatch.context() as m:
+        m.setattr(fixture, "store_adjacency", stores)
+        assert catalogue.queries()["usable_in"](spark, str(SF)).count() > 0
+
+
+def test_stored_and_derived_graph_agree(spark, monkeypatch):
+    monkeypatch.setattr(fixture, "_STORED", {})
+    names = ("resolve_roles", "close_open_windows")
+    derived = [sorted(map(repr, catalogue.queries()[n](spark, str(SF)).collect())) for n in names]
+    fixture.build_graph(spark, str(SF))  # from here on, queries read what is stored
+    assert fixture.open_graph(spark, str(SF)).sides
+    assert derived == [sorted(map(repr, catalogue.queries()[n](spark, str(SF)).collect())) for n in names]
+
+
+def test_a_distinct_edge_is_told_by_its_key(spark):
+    """The forms for Spark replace parts that are there, and give the same edges."""
+    bodies = fixture._bodies()
+    assert all(bodies["edges"].count(given) == 1 for given in fixture._FOR_SPARK)
+    plan = fixture.derived_graph(spark, str(SF)).edges.where("label = 'shipped_by'")
+    assert plan.count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct().count()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from weftgraph.operators.expand import undirected
-from weftgraph.schema import Graph
+from weftgraph.schema import Graph, checkpointed
 
 PAGE = 200
 
@@ -91,6 +91,8 @@ def latest_nodes(g: Graph, graph: str, offset: int = 0, limit: int = PAGE) -> Da
 def page_edges(g: Graph, graph: str, with_self: bool | None = None, offset: int = 0, limit: int = PAGE, after: tuple[int, int] | None = None) -> DataFrame:
     """Edges in both orientations (left_id, right_id), in order of id and left_id; self loops once, and only if asked for. ``after``: the id and left_id last seen."""
     edges = g.edges.where(F.col("graph") == graph)
+    if offset > SHALLOW:
+        edges = checkpointed(edges)  # counted several times
     both, keys = undirected(edges if with_self else edges.where("src <> dst")), [F.col("id"), F.col("left_id")]
     both = both.where(_compared(keys, list(after), before=False) & ~((keys[0] == after[0]) & (keys[1] == after[1]))) if after is not None else both
     return page(both, keys, offset, limit)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.schema import VARIABLES, Graph, checkpointed, shared_folder
@@ -79,29 +79,54 @@ pins AS (SELECT * FROM (VALUES (1, 106), (2, 107), (2, 3)) AS t(user_id, categor
 saved_queries AS (SELECT * FROM (VALUES (1, 'metrics', 3, true), (2, 'lineage', 3, false), (3, 'documents', 14, false)) AS t(query_id, name, category_id, pinned))
 """
 
+#: Parts of ``FACTS`` as Spark had better compute them: rows are told apart by their key before the other columns are made.
+_FOR_SPARK = {
+    "SELECT DISTINCT 'trade', 5000000000000000000 + l_orderkey": "SELECT 'trade', 5000000000000000000 + l_orderkey",
+    "'shipped_by', NULL, NULL, NULL FROM lineitem": "'shipped_by', NULL, NULL, NULL FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)",
+}
+
 CATALOG_TABLES = ("categories", "category_tags", "role_defs", "pins", "saved_queries")
 
 
-def with_for(sql: str) -> str:
-    """``sql`` behind a WITH clause of just those derived tables that it names, or that these are derived from; nodes and edges are derived once. It may go on with the clause, by a comma."""
+def _bodies() -> dict[str, str]:
+    """The derived tables' SQL by name."""
     _, *parts = re.split(r"(?m)^(\w+) AS (?=\()", f"{FACTS.rstrip()},\n{CATALOG}")
-    bodies = {name: body.rstrip().removesuffix(",") for name, body in zip(parts[::2], parts[1::2])}
+    return {name: body.rstrip().removesuffix(",") for name, body in zip(parts[::2], parts[1::2])}
+
+
+def _needed(sql: str, bodies: dict[str, str]) -> dict[str, str]:
+    """Those of the derived tables that a query names, or that these are derived from, in their order."""
     words = lambda text: set(re.findall(r"\w+", text)) & bodies.keys()
     needed, todo = set(), words(sql)
     while todo:
         needed |= todo
         todo = set().union(*(words(bodies[name]) for name in todo)) - needed
-    clauses = ",\n".join(f"{name} AS {'MATERIALIZED ' * (name in ('nodes', 'edges'))}{body}" for name, body in bodies.items() if name in needed)
+    return {name: body for name, body in bodies.items() if name in needed}
+
+
+def with_for(sql: str) -> str:
+    """``sql`` behind a WITH clause of just those derived tables that it names, or that these are derived from; nodes and edges are derived once. It may go on with the clause, by a comma."""
+    clauses = ",\n".join(f"{name} AS {'MATERIALIZED ' * (name in ('nodes', 'edges'))}{body}" for name, body in _needed(sql, _bodies()).items())
     if sql.startswith(","):
         return f"WITH {clauses}{sql}" if clauses else f"WITH {sql[1:].lstrip()}"
     return f"WITH {clauses}\n{sql}" if clauses else sql
 
 
 def derived_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph as a query over the tables: nothing is stored, and each use derives it anew. The session's views stay as they are."""
-    folder = sf_dir.replace("`", "``")
-    read = ",\n".join(f"{name} AS (SELECT * FROM parquet.`{folder}/{name}.parquet`)" for name in TABLES)
-    tables = {name: spark.sql(f"WITH {read},\n{FACTS.rstrip()},\n{CATALOG} SELECT * FROM {name}") for name in ("nodes", "edges", *CATALOG_TABLES)}
+    """The graph as a query over the tables: nothing is stored, and each use derives it anew, of what it asks for. The session's views stay as they are."""
+    bodies, read = _bodies(), {}
+    for given_form, form in _FOR_SPARK.items():
+        bodies["edges"] = bodies["edges"].replace(given_form, form)
+
+    def derived(name: str) -> DataFrame:
+        clauses = ",\n".join(f"{n} AS {body}" for n, body in _needed(name, bodies).items())
+        sql = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", f"WITH {clauses} SELECT * FROM {name}")
+        given = set(re.findall(r"{(\w+)}", sql))
+        for table in given - read.keys():
+            read[table] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        return spark.sql(sql, **{table: read[table] for table in given})
+
+    tables = {name: derived(name) for name in ("nodes", "edges", *CATALOG_TABLES)}
     return Graph(tables.pop("nodes").withColumn("variables", F.lit(None).cast(VARIABLES)), tables.pop("edges"), tables)
 
 
@@ -109,14 +134,23 @@ def derived_graph(spark: SparkSession, sf_dir: str) -> Graph:
 _STORED: dict[tuple, str] = {}
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What a stored graph belongs to: the application, the folder, and when each of its tables was changed."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path
+    files = folder(sf_dir).getFileSystem(context._jsc.hadoopConfiguration())
+    return (context.applicationId, sf_dir, *(files.getFileStatus(folder(f"{sf_dir}/{t}.parquet")).getModificationTime() for t in TABLES))
+
+
+def _read(spark: SparkSession, path: str) -> Graph:
+    return read_adjacency(spark, path, {name: spark.read.parquet(f"{path}/{name}") for name in CATALOG_TABLES})
+
+
 def build_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of a folder's tables: derived and stored in adjacency layout once in an application, then read from there.
 
     It is stored anew when a table has changed, or when what was stored is gone."""
-    context = spark.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path
-    files = folder(sf_dir).getFileSystem(context._jsc.hadoopConfiguration())
-    state = (context.applicationId, sf_dir, *(files.getFileStatus(folder(f"{sf_dir}/{t}.parquet")).getModificationTime() for t in TABLES))
+    state = _state(spark, sf_dir)
     path = _STORED.get(state)
     if path is None or not is_stored(spark, path):
         path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
@@ -125,4 +159,11 @@ def build_graph(spark: SparkSession, sf_dir: str) -> Graph:
             table.coalesce(1).write.parquet(f"{path}/{name}")
         store_adjacency(Graph(checkpointed(g.nodes), checkpointed(g.edges)), path)
         _STORED[state] = path
-    return read_adjacency(spark, path, {name: spark.read.parquet(f"{path}/{name}") for name in CATALOG_TABLES})
+    return _read(spark, path)
+
+
+def open_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph as ``build_graph`` has stored it, if it has in this application, else derived: a question then reads just those tables, columns and kinds
+    of nodes and edges that it asks for. Storing pays for many questions on one graph; for one, it costs several times what the answer does."""
+    path = _STORED.get(_state(spark, sf_dir)) if _STORED else None
+    return _read(spark, path) if path is not None and is_stored(spark, path) else derived_graph(spark, sf_dir)

@@ -41,7 +41,7 @@ def _upsert(g: Graph, inputs: DataFrame, label: str, node_type: str, new_ids: in
     sequence: start, step, least, most or cycle of ``numbered``, for the numbers that new nodes get, in order of input_no; they go
     on from those that their categories have given.
     """
-    key = ["graph", "category_id", "external_id"]
+    key = ["external_id", "graph", "category_id"]
     last = latest_per_external_id(inputs, key, ["created_at", "input_no"])
     mine = (F.col("node_type") == node_type) & F.col("external_id").isNotNull()
     olds, others = g.nodes.where(mine), g.nodes.where(~F.coalesce(mine, F.lit(False)))
@@ -108,10 +108,10 @@ def ingest_metrics(g: Graph, inputs: DataFrame, new_ids: int) -> tuple[Graph, Da
     read = inputs.withColumn("_text", text)
     fine = (F.col("kind").isNull() | F.col("value").isNull() | F.col("_text").isNotNull()) if typed else F.lit(True)
     number = F.when(F.coalesce(F.col("kind"), F.lit("FLOAT")).isin("INT", "FLOAT"), F.col("value").try_cast("double")) if typed else F.col("value").cast("double")
-    good = read.where(fine).join(structures, ["graph", "structure_id"], "left_semi").withColumn("id", F.lit(new_ids) + F.col("input_no"))
+    good = read.where(fine).join(structures, ["structure_id", "graph"], "left_semi").withColumn("id", F.lit(new_ids) + F.col("input_no"))
     nodes = _shaped(good, NODE_COLUMNS, g.nodes, label="Metric", node_type="METRIC", value_float=number, value=F.col("_text"))
     edges = _shaped(good, EDGE_COLUMNS, g.edges, label="DESCRIBES", edge_type="DESCRIPTION", src=F.col("id"), dst=F.col("structure_id"), category_id=None)
-    bad = read.where(fine).join(structures, ["graph", "structure_id"], "left_anti").unionByName(read.where(~fine)).select(*inputs.columns)
+    bad = read.where(fine).join(structures, ["structure_id", "graph"], "left_anti").unionByName(read.where(~fine)).select(*inputs.columns)
     return Graph(g.nodes.select(*NODE_COLUMNS).unionByName(nodes), g.edges.select(*EDGE_COLUMNS).unionByName(edges), g.catalog), bad
 
 
@@ -120,8 +120,8 @@ def _ingest_edges(g: Graph, inputs: DataFrame, new_ids: int, edge_type: str, lef
     good, bad = inputs, []
     for end, kind in (("src", left), ("dst", right)):
         ids = g.nodes.where(F.col("node_type") == kind).select("graph", F.col("id").alias(end))
-        bad.append(inputs.join(ids, ["graph", end], "left_anti").withColumn("missing", F.lit(end)))
-        good = good.join(ids, ["graph", end], "left_semi")
+        bad.append(inputs.join(ids, [end, "graph"], "left_anti").withColumn("missing", F.lit(end)))
+        good = good.join(ids, [end, "graph"], "left_semi")
     edges = _shaped(good.withColumn("id", F.lit(new_ids) + F.col("input_no")), EDGE_COLUMNS, g.edges, edge_type=edge_type)
     return g.with_edges(g.edges.select(*EDGE_COLUMNS).unionByName(edges)), bad[0].unionByName(bad[1])
 
@@ -145,8 +145,8 @@ def set_edge_metric(edges: DataFrame, values: DataFrame, key: str, bag: str = "p
     one = values.groupBy("graph", "id").agg(F.max("value").alias("_value"))
     old = F.coalesce(F.col(bag), F.create_map().cast("map<string,string>"))
     new = F.map_concat(F.map_filter(old, lambda k, _: k != key), F.create_map(F.lit(key), F.col("_value")))
-    found = edges.join(one, ["graph", "id"], "left").withColumn(bag, F.when(F.col("_value").isNotNull(), new).otherwise(F.col(bag))).select(*edges.columns)
-    return found, values.join(edges, ["graph", "id"], "left_anti")
+    found = edges.join(one, ["id", "graph"], "left").withColumn(bag, F.when(F.col("_value").isNotNull(), new).otherwise(F.col(bag))).select(*edges.columns)
+    return found, values.join(edges, ["id", "graph"], "left_anti")
 
 
 def event_edges(rows: DataFrame, direction: str) -> DataFrame:
@@ -172,7 +172,7 @@ def record_events(g: Graph, events: DataFrame, fillers: DataFrame, node_type: st
     """
     resolved = checkpointed(resolve_roles(events, fillers, g.catalog["role_defs"], active_reagent(g)))
     rows, errors = resolved_edges(resolved, fillers, reagent_id)
-    good = events.join(errors.select("graph", "event_id").distinct(), ["graph", "event_id"], "left_anti")
+    good = events.join(errors.select("graph", "event_id").distinct(), ["event_id", "graph"], "left_anti")
     label = "ProtocolEvent" if node_type == "PROTOCOL_EVENT" else "NaturalEvent"
     nodes = _shaped(good.withColumn("id", F.col("event_id")), NODE_COLUMNS, g.nodes, label=label, node_type=node_type)
     reagents = _shaped(new_reagents(resolved, reagent_id), NODE_COLUMNS, g.nodes, label="Reagent", node_type="REAGENT")
@@ -186,7 +186,7 @@ def upsert_events(g: Graph, inputs: DataFrame, fillers: DataFrame, new_ids: int,
     holds. fillers: graph, input_no, direction, role, member_id, quantity. An event keeps the participant edges it has and gets those that it hasn't:
     the nth filler of a role, member and quantity is the nth such edge. Its id is a hash of all that, so ids differ, and a repeat changes nothing.
     """
-    key = ["graph", "category_id", "external_id"]
+    key = ["external_id", "graph", "category_id"]
     last = latest_per_external_id(inputs, key, ["created_at", "input_no"])
     known = g.nodes.where((F.col("node_type") == node_type) & F.col("external_id").isNotNull()).select(*key, F.col("id").alias("_known"), F.col("local_seq").alias("_seq"), "category_type")
     met = last.join(known, key, "left").withColumn("event_id", F.coalesce("_known", F.lit(new_ids) + F.col("input_no")))
@@ -196,19 +196,20 @@ def upsert_events(g: Graph, inputs: DataFrame, fillers: DataFrame, new_ids: int,
     else:
         met = met.withColumn("local_seq", F.col("_seq"))
     met = checkpointed(met)
-    members = fillers.join(met.select("graph", "input_no", "event_id"), ["graph", "input_no"]).select("graph", "event_id", "direction", "role", "member_id", "quantity")
+    members = fillers.join(met.select("graph", "input_no", "event_id"), ["input_no", "graph"]).select("graph", "event_id", "direction", "role", "member_id", "quantity")
     nodes, edges, errors = record_events(g, met, members, node_type, reagent_id)
-    kept = g.nodes.join(nodes.select("graph", "id"), ["graph", "id"], "left_anti")
+    kept = g.nodes.join(nodes.select("graph", "id"), ["id", "graph"], "left_anti")
     same = ["graph", "src", "dst", "role", "amount", "nth"]
+    by_id = ["src", "dst", "graph", "role"]
 
     def numbered_alike(rows: DataFrame) -> DataFrame:
         told = rows.withColumn("amount", F.coalesce(F.col("quantity").cast("string"), F.lit("")))  # joins on it, nulls together
-        return told.withColumn("nth", F.row_number().over(Window.partitionBy(*same[:-1]).orderBy("amount")))  # rows are equal: any order will do
+        return told.withColumn("nth", F.row_number().over(Window.partitionBy(*by_id, "amount").orderBy("amount")))  # rows are equal: any order will do
 
     edges = checkpointed(edges)
-    there = g.edges.where("edge_type = 'PARTICIPANT'").join(edges.select(*same[:4]).distinct(), same[:4], "left_semi")
+    there = g.edges.where("edge_type = 'PARTICIPANT'").join(edges.select(*by_id).distinct(), by_id, "left_semi")
     hashed = F.xxhash64(*same).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    fresh = numbered_alike(edges).join(numbered_alike(there).select(*same), same, "left_anti")
+    fresh = numbered_alike(edges).join(numbered_alike(there).select(*same), [*by_id, "amount", "nth"], "left_anti")
     added = _shaped(fresh.withColumn("id", hashed), EDGE_COLUMNS, g.edges, edge_type="PARTICIPANT", category_id=None)
     return Graph(kept.select(*NODE_COLUMNS).unionByName(nodes), g.edges.select(*EDGE_COLUMNS).unionByName(added), g.catalog), errors
 
