@@ -157,6 +157,19 @@ def test_token_counts_equal_the_library():
     assert machine.count(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_tokens_that_fit_are_told_without_merging_them_anew(monkeypatch):
+    machine = token_counts.TokenCounter(open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8").read()).transducer
+    rng, tokens = random.Random(7), list(machine.text)
+    pairs = [tuple(rng.choices(tokens, k=2)) for _ in range(3000)]
+    pairs += [(machine.tokens[t[:i]], machine.tokens[t[i:]]) for t in list(machine.tokens)[::7] for i in range(1, len(t)) if t[:i] in machine.tokens and t[i:] in machine.tokens]
+    fit = [machine.merged([machine.tokens[bytes([x])] for x in machine.text[a] + machine.text[b]]) == [a, b] for a, b in pairs]
+    assert 0 < sum(fit) < len(fit)
+    merged, longest = machine.merged, []
+    monkeypatch.setattr(machine, "merged", lambda ids, *more: longest.append(tuple(ids)) or merged(ids, *more))
+    assert [machine.compatible[pair] for pair in pairs] == fit
+    assert {b"".join(machine.text[i] for i in ids) for ids in longest} <= machine.tokens.keys()
+
+
 def test_chunk_maps_compose():
     s = np.random.default_rng(5).integers(0, 9, 5000).astype(np.uint8)
     state, marks = 0, []
@@ -192,6 +205,19 @@ def test_pieces_equal_the_library():
     assert [encoder.decode(" ".join(map(str, x))) for x in some] == [library.decode(x) for x in some]
 
 
+def test_pieces_that_fit_are_told_without_merging_them_anew(monkeypatch):
+    encoder = sentence_pieces.Encoder(open(tokenizer_file("piece_bpe_32k.model"), "rb").read())
+    rng, pieces = random.Random(7), list(encoder.ids)
+    pairs = [tuple(rng.choices(pieces, k=2)) for _ in range(3000)]
+    pairs += [(p[:i], p[i:]) for p in pieces[::7] for i in range(1, len(p)) if p[:i] in encoder.ids and p[i:] in encoder.ids]
+    fit = [encoder.merge(a + b) == [a, b] for a, b in pairs]
+    assert 0 < sum(fit) < len(fit)
+    merge, merged = encoder.merge, []
+    monkeypatch.setattr(encoder, "merge", lambda text, *more: merged.append(text) or merge(text, *more))
+    assert [encoder.fits[pair] for pair in pairs] == fit
+    assert set(merged) <= set(pieces)
+
+
 # 2 and 9
 
 

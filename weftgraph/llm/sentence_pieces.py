@@ -1,10 +1,10 @@
 """Operator 6, exact SentencePiece encoding of merge-type models by backtracking, and decoding.
 
 The encoder walks a text with the longest pieces that match, found by an Aho-Corasick automaton over
-the vocabulary. A piece may follow another only if merging the two anew gives back the same two; if no
-piece fits, the last one is taken back for its next shorter one, and a bitfield remembers the places
-from which no way leads on, so that each is tried once. Text is first cut wherever no piece holds the
-two neighbouring characters, so equal words are encoded once per worker.
+the vocabulary. A piece may follow another only if merging the two anew gives back the same two, which is seen from
+the merges that each goes through by itself; if no piece fits, the last one is taken back for its next shorter one,
+and a bitfield remembers the places from which no way leads on, so that each is tried once. Text is first cut wherever
+no piece holds the two neighbouring characters, so equal words are encoded once per worker.
 
 Null texts count as empty and give the end id alone. Characters outside the vocabulary become byte
 pieces. Ids come as text, separated by one space. Of merges with equal scores, the leftmost goes first. A text of any length is coded whole, word
@@ -16,6 +16,8 @@ from __future__ import annotations
 import codecs
 import heapq
 from collections.abc import Iterator
+from math import inf
+from operator import add
 
 import ahocorasick
 import pandas as pd
@@ -100,14 +102,18 @@ class Encoder:
         self.tied = {t for ts in scored.values() if len(ts) > 1 for t in ts}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds a space after another character")
+        self.tied_starts = {t[:2] for t in self.tied}
         self.automaton = ahocorasick.Automaton()
         for t in self.ids:
-            self.automaton.add_word(t, t)
+            if len(t) > 1:  # a character always counts
+                self.automaton.add_word(t, (len(t) - 1, self._prefixes(t)))
         self.automaton.make_automaton()
-        self.prefixes = Memo(self._prefixes)
-        self.fits = Memo(self._fits)
-        self.words = Memo(self._word, 64 << 20)
+        self.fits = Memo(self._fits, 32 << 20)
+        self.single = Memo(lambda c: (c,))
+        self.left, self.right = Memo(lambda p: self._edge(p, 0)), Memo(lambda p: self._edge(p, -1))
+        self.words = Memo(lambda w: self._word(SPACE + w), 64 << 20)  # by what follows a space
         self.parts = Memo(self._part, 32 << 20)
+        self.texts = {t: str(i) for t, i in self.ids.items()}
         table = {str(i): t.replace(SPACE, " ") if k == NORMAL else "" for i, (t, _, k) in enumerate(self.pieces)}
         table |= {str(i): chr(b) if b < 0x80 else chr(0xDC00 + b) for b, i in self.bytes.items()}
         table |= {str(i): " ⁇ " for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN}
@@ -115,11 +121,15 @@ class Encoder:
 
     # encoding
 
-    def merge(self, text: str) -> list[str]:
-        """Merges by score, leftmost first: the definition; used on pairs of pieces and on tied pieces only."""
+    def merge(self, text: str, made: list[tuple[float, str, str]] | None = None) -> list[str]:
+        """Merges by score, leftmost first: the definition; used on single and on tied pieces, and where merges of a piece aren't in order of score.
+
+        made: gets the cost of each merge, in their order, with the first and the last part after it.
+        """
         parts = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, str, str]] = []
+        end = len(parts) - 1  # where the last part is
 
         def offer(i: int) -> None:
             j = after[i]
@@ -129,11 +139,15 @@ class Encoder:
         for i in range(len(parts)):
             offer(i)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            cost, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j >= len(parts) or parts[j] != b:
                 continue
             parts[i], parts[j] = a + b, ""
+            if j == end:
+                end = i
+            if made is not None:
+                made.append((cost, parts[0], parts[end]))
             after[i] = after[j]
             if after[i] < len(parts):
                 before[after[i]] = i
@@ -142,30 +156,67 @@ class Encoder:
                 offer(before[i])
         return [p for p in parts if p]
 
+    def _edge(self, piece: str, side: int) -> tuple[list[str], list[float]] | None:
+        """What stands first (side 0) or last (-1) in a piece while its characters merge, and the costs of the merges that end each; None if it isn't merged whole, in order of cost."""
+        made: list[tuple[float, str, str]] = []
+        if self.merge(piece, made) != [piece] or any(a[0] > b[0] for a, b in zip(made, made[1:])):
+            return None
+        parts, ends = [piece[side]], []
+        for cost, *sides in made:
+            if sides[side] != parts[-1]:
+                parts.append(sides[side])
+                ends.append(cost)
+        return parts, [*ends, inf]
+
     def _fits(self, pair: tuple[str, str]) -> bool:
-        return self.merge(pair[0] + pair[1]) == [p for p in pair if p]
+        """Whether merging the two pieces anew gives them back: no merge across their border comes before the next one on either side of it (on the left: or with it)."""
+        a, b = (self.right[pair[0]] if pair[0] else None), self.left[pair[1]]
+        if a is None or b is None:
+            return self.merge(pair[0] + pair[1]) == [p for p in pair if p]
+        (before, until), (behind, till), i, j, scores = a, b, 0, 0, self.scores
+        while True:
+            score = scores.get(before[i] + behind[j])
+            if score is not None and -score < until[i] and -score <= till[j]:
+                return False
+            if until[i] <= till[j]:
+                if until[i] == inf:
+                    return True
+                i += 1
+            else:
+                j += 1
 
-    def _prefixes(self, piece: str) -> list[str]:
+    def _prefixes(self, piece: str) -> tuple[str, ...]:
         """The piece and all pieces that it begins with, longest first; its first character always counts."""
-        return [p for n in range(len(piece), 0, -1) if (p := piece[:n]) in self.ids or n == 1]
+        return tuple(p for n in range(len(piece), 0, -1) if (p := piece[:n]) in self.ids or n == 1)
 
     def backtrack(self, text: str) -> list[str]:
         """The pieces of a text without tied pieces."""
-        longest = [c for c in text]
-        for stop, piece in self.automaton.iter(text):
-            start = stop - len(piece) + 1
-            if len(piece) > len(longest[start]):
-                longest[start] = piece
-        failed = bytearray(len(text) + 8 >> 3)  # bit i: no way leads on from place i
+        longest = list(map(self.single.__getitem__, text))
+        for stop, (more, options) in self.automaton.iter(text):  # in order of stop, so the last one of a start is the longest
+            longest[stop - more] = options
+        found, at, last, fits = [], 0, "", self.fits
+        while at < len(text):  # most parts need no way back
+            for piece in longest[at]:
+                if fits[last, piece]:
+                    break
+            else:
+                return self._way(longest)
+            found.append(piece)
+            at += len(piece)
+            last = piece
+        return found
+
+    def _way(self, longest: list[tuple[str, ...]]) -> list[str]:
+        """The pieces of a text, by the longest matches of its places and their prefixes, where a choice has to be taken back."""
+        failed = bytearray(len(longest) + 8 >> 3)  # bit i: no way leads on from place i
         path: list[tuple[int, int]] = []  # place, and number of the choice among the prefixes of the longest match
-        at, choice = 0, 0
-        while at < len(text):
-            last = self.prefixes[longest[path[-1][0]]][path[-1][1]] if path else ""
-            options = self.prefixes[longest[at]]
+        at, choice, last, length, fits = 0, 0, "", len(longest), self.fits
+        while at < length:
+            options = longest[at]
             while choice < len(options):
                 piece = options[choice]
                 to = at + len(piece)
-                if not failed[to >> 3] >> (to & 7) & 1 and self.fits[last, piece]:
+                if not failed[to >> 3] >> (to & 7) & 1 and fits[last, piece]:
                     break
                 choice += 1
             else:
@@ -174,25 +225,26 @@ class Encoder:
                     raise ValueError("the model's merges don't reach all of its pieces")
                 at, choice = path.pop()
                 choice += 1
+                last = longest[path[-1][0]][path[-1][1]] if path else ""
                 continue
             path.append((at, choice))
-            at, choice = at + len(piece), 0
-        return [self.prefixes[longest[i]][c] for i, c in path]
+            at, choice, last = to, 0, piece
+        return [longest[i][c] for i, c in path]
 
     def _part(self, part: str) -> str:
         """Ids, as text, of a part within which all neighbouring characters share some piece."""
-        tied = len(part) > 1 and any(p in self.tied for _, p in self.automaton.iter(part))
-        ids: list[int] = []
-        for piece in self.merge(part) if tied else self.backtrack(part):
-            i = self.ids.get(piece)
-            ids += [i] if i is not None else [self.bytes[b] for b in piece.encode()]
-        return " ".join(map(str, ids))
+        tied = any(t in part for t in self.tied_starts) and any(t in part for t in self.tied)
+        known = self.texts.get
+        return " ".join([known(p) or " ".join([str(self.bytes[b]) for b in p.encode()]) for p in (self.merge(part) if tied else self.backtrack(part))])
 
     def _word(self, word: str) -> str:
         """Ids of a word: nothing merges across two characters that are together in no piece."""
-        together, parts, found, start = self.together, self.parts, [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in together:
+        parts, found, start = self.parts, [], 0
+        inside = list(map(self.together.__contains__, map(add, word, word[1:])))
+        if False not in inside:
+            return parts[word]
+        for i, fine in enumerate(inside, 1):
+            if not fine:
                 found.append(parts[word[start:i]])
                 start = i
         found.append(parts[word[start:]])
@@ -202,20 +254,19 @@ class Encoder:
         """Ids of a text and the end id, as text with one space between."""
         if not text:
             return str(self.end)
-        return " ".join(map(self.words.__getitem__, self.split(text))) + f" {self.end}"
-
-    def split(self, text: str) -> list[str]:
-        """Words of a text, each with the spaces before it: no piece holds a space after another character."""
-        marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        parts = marked.split(SPACE)
-        out: list[str] = [parts[0]] if parts[0] else []
-        spaces = 0
-        for p in parts[1:]:  # a run of spaces goes with the word after it
-            spaces += 1
+        first, *rest = text.replace(SPACE, " ").split(" ")
+        words = self.words
+        if self.prefix and first and "" not in rest:
+            return " ".join([words[first], *map(words.__getitem__, rest), str(self.end)])
+        found, spaces = [], int(self.prefix)
+        for p in (first, *rest):  # a run of spaces goes with the word after it: no piece holds a space after another character
             if p:
-                out.append(SPACE * spaces + p)
+                found.append(words[p] if spaces == 1 else self._word(SPACE * spaces + p))
                 spaces = 0
-        return out + [SPACE * spaces] if spaces else out
+            spaces += 1
+        if spaces > 1:
+            found.append(self._word(SPACE * (spaces - 1)))
+        return " ".join([*found, str(self.end)])
 
     # decoding
 
