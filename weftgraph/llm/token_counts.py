@@ -22,6 +22,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from math import inf
 
 import numpy as np
 import pandas as pd
@@ -145,10 +146,11 @@ class MergeTransducer:
     A state lists what a later byte may still depend on: for each earlier place from which a token
     could still be under way, the node of the token trie reached from there, the token that ends at
     that place, and the number of tokens up to there, less the number now. A place's tokenization is
-    the only one whose neighbouring tokens are compatible, that is: merging the two anew gives them back.
+    the only one whose neighbouring tokens are compatible, that is: merging the two anew gives them back. That is seen from
+    the merges that each goes through by itself.
     """
 
-    def __init__(self, tokens: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]], most: int = 200_000):
+    def __init__(self, tokens: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]], most: int = 500_000):
         self.tokens, self.merges, self.most = tokens, merges, most  # most: transitions kept
         self.text = {i: t for t, i in tokens.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -162,7 +164,8 @@ class MergeTransducer:
                     self.ends.append(-1)
                 node = self.children[node][b]
             self.ends[node] = i
-        self.compatible = Memo(self._compatible)
+        self.compatible = Memo(self._compatible, 32 << 20)
+        self.left, self.right = Memo(lambda t: self._edge(t, 0)), Memo(lambda t: self._edge(t, -1))
         self.clear()
 
     def clear(self) -> None:
@@ -170,17 +173,49 @@ class MergeTransducer:
         self.states, self.items = {first: 0}, [first]
         self.table: dict[int, tuple[int, int]] = {}
 
-    def merged(self, ids: list[int]) -> list[int]:
-        """Merge by rank, leftmost first: the definition, used on pairs of tokens only."""
+    def merged(self, ids: list[int], made: list[tuple[int, int, int]] | None = None) -> list[int]:
+        """Merge by rank, leftmost first: the definition, used on single tokens, and on pairs where merges of a token aren't in order of rank.
+
+        made: gets the rank of each merge, in their order, with the first and the last token after it.
+        """
         while len(ids) > 1:
             best = min(((r[0], i, r[1]) for i in range(len(ids) - 1) if (r := self.merges.get((ids[i], ids[i + 1])))), default=None)
             if best is None:
                 break
             ids = [*ids[: best[1]], best[2], *ids[best[1] + 2 :]]
+            if made is not None:
+                made.append((best[0], ids[0], ids[-1]))
         return ids
 
+    def _edge(self, token: int, side: int) -> tuple[list[int], list[float]] | None:
+        """What stands first (side 0) or last (-1) in a token while its bytes merge, and the ranks of the merges that end each; None if it isn't merged whole, in order of rank."""
+        made: list[tuple[int, int, int]] = []
+        ids = [self.tokens[bytes([b])] for b in self.text[token]]
+        if self.merged(ids, made) != [token] or any(a[0] > b[0] for a, b in zip(made, made[1:])):
+            return None
+        parts, ends = [ids[side]], []
+        for rank, *sides in made:
+            if sides[side] != parts[-1]:
+                parts.append(sides[side])
+                ends.append(rank)
+        return parts, [*ends, inf]
+
     def _compatible(self, pair: tuple[int, int]) -> bool:
+        """Whether merging the two tokens anew gives them back: no merge across their border comes before the next one on either side of it (on the left: or with it)."""
         left, right = pair
+        a, b = (self.right[left] if left >= 0 else None), self.left[right]
+        if a is not None and b is not None:
+            (before, until), (behind, till), i, j, merges = a, b, 0, 0, self.merges
+            while True:
+                rank = merges.get((before[i], behind[j]))
+                if rank is not None and rank[0] < until[i] and rank[0] <= till[j]:
+                    return False
+                if until[i] <= till[j]:
+                    if until[i] == inf:
+                        return True
+                    i += 1
+                else:
+                    j += 1
         both = (self.text[left] if left >= 0 else b"") + self.text[right]
         return self.merged([self.tokens[bytes([b])] for b in both]) == ([left, right] if left >= 0 else [right])
 
