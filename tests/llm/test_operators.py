@@ -293,6 +293,25 @@ def test_long_texts_are_cut_without_loss(monkeypatch):
     assert seen == [1] * len(seen)
 
 
+def test_anchors_of_much_text_take_little_memory():
+    import tracemalloc
+
+    from weftgraph.llm import common
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 123, 20_000).tolist())) for _ in range(150)]
+    w = repeats.Windows(100, 32, suffix_dedup._bytes, True)
+    common.per_worker("an earlier stage's model", lambda: "kept")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150), pa.int64()), pa.array(texts)], names=["key", "text"])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in repeats._anchors(w, iter([batch]))) > 3_000_000 / 200
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
+    assert not common._MADE
+
+
 def test_previous_factors():
     rng = random.Random(9)
     segments = [bytes(rng.choices(b"ab", k=rng.randint(1, 60))) for _ in range(12)]

@@ -172,6 +172,11 @@ class WordTable:
 _MADE: dict = {}
 
 
+def drop_made() -> None:
+    """Lets go of what an earlier stage has kept in this Python worker."""
+    _MADE.clear()
+
+
 def per_worker(key, make: Callable):
     """What ``make`` gives, made once in this Python worker for ``key`` and kept for its later tasks.
 

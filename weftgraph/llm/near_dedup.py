@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from weftgraph.llm.common import cut, small_batches, stored, trimmed
+from weftgraph.llm.common import cut, drop_made, small_batches, stored, trimmed
 from weftgraph.llm.repeats import join, mix
 
 SHINGLE = 5
@@ -146,6 +146,7 @@ _MEMBER = pa.schema([("band", pa.int64()), ("i", pa.int32()), ("k", pa.int32()),
 
 @trimmed
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_made()
     for batch in batches:
         docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lo in range(0, len(docs), 250):

@@ -31,14 +31,14 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import small_batches, stored, trimmed
+from weftgraph.llm.common import drop_made, small_batches, stored, trimmed
 
 #: Different segments around one anchor that still make a block of their own.
 HOT = 4_000
 #: Symbols of a block.
 BLOCK = 600_000
 #: Symbols that the anchor search handles at once; places are packed into so many bits.
-PIECE, PLACE_BITS = 1_000_000, 24
+PIECE, PLACE_BITS = 250_000, 24
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -195,6 +195,7 @@ def _local(w: Windows, kind: int, anchor, content, doc, first, last) -> Iterator
 @trimmed
 def _anchors(w: Windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts -> segments."""
+    drop_made()
 
     def handle(ids: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
         for group in _pieces([w.symbols(t) for t in texts], w.window):
