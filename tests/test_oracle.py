@@ -75,3 +75,10 @@ def test_a_distinct_edge_is_told_by_its_key(spark):
     assert all(bodies["edges"].count(given) == 1 for given in fixture._FOR_SPARK)
     plan = fixture.derived_graph(spark, str(SF)).edges.where("label = 'shipped_by'")
     assert plan.count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct().count()
+
+
+def test_roles_are_resolved_once(spark, monkeypatch):
+    """What a query makes of resolved roles reads them, and doesn't derive their participants for each use."""
+    monkeypatch.setattr(fixture, "_STORED", {})
+    plan = catalogue.queries()["resolve_roles_default_new"](spark, str(SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "default_use_new" in plan
