@@ -198,8 +198,10 @@ def compress(vectors: DataFrame, codes: Codebooks | None) -> DataFrame:
 
     Null vectors and those with a null or non-finite component take no part, nor do vectors of another width than the commonest (of equally common
     ones, the smaller). A width that isn't a multiple of the parts is cut at its multiples, rounded down. Components beyond 2^24 after scaling
-    count as 2^24. Repeated rows are coded each; an empty table gives no rows. Only vec_id, label and embedding are read.
+    count as 2^24. Repeated rows are coded each; an empty table gives no rows. Only vec_id, label and embedding are read; without a column label, all labels are null.
     """
+    if "label" not in vectors.columns:
+        vectors = vectors.withColumn("label", F.lit(None).cast("string"))
     spark = vectors.sparkSession
     small_batches(spark)
     if codes is None:
