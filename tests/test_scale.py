@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_golden import EDGE_SCHEMA, NODE_SCHEMA
-from weftgraph.operators import expand, paging, pattern, scan, temporal
+from weftgraph.operators import expand, paging, pattern, roles, scan, temporal
 from weftgraph.schema import Graph
 from weftgraph.sources import ingest
 from weftgraph.sources.adjacency import is_stored, read_adjacency, store_adjacency
@@ -258,3 +258,25 @@ def test_drawings_can_be_merged(spark, tangled):
         for r in scan._drawn(tangled.nodes, 10, seed).select("id").toLocalIterator():
             often[r.id] += 1
     assert max(often.values()) < 14 and sum(n > 0 for n in often.values()) > 50
+
+
+def test_events_are_recorded_without_what_nobody_asks_for(spark, monkeypatch):
+    g = graph(spark, [(*node(i, "ProtocolEvent", "PROTOCOL_EVENT", 6)[:6], str(i), *node(i)[7:]) for i in range(5)], [])
+    roles_of = "event_category_id long, direction string, role string, optional boolean, variable_amount boolean, default_use_active long, default_use_new long"
+    defs = spark.createDataFrame([(6, "in", "a", False, True, None, None), (6, "out", "b", False, False, None, None), (6, "in", "c", True, False, None, None)], roles_of)
+    g = Graph(g.nodes, g.edges, {"role_defs": defs})
+    inputs = spark.createDataFrame([("t", 6, str(i), "x", None, None, None, None, i) for i in range(3, 9)], "graph string, category_id long, external_id string, name string, created_at timestamp_ntz, valid_from timestamp_ntz, valid_to timestamp_ntz, variables array<struct<key:string,value:string>>, input_no long")
+    of = "graph string, input_no long, direction string, role string, member_id long, quantity double"
+    fillers = spark.createDataFrame([("t", i, d, r, m, 1.0) for i in range(3, 8) for d, r, m in (("in", "a", 50), ("in", "a", 50), ("in", "odd", 52), ("out", "b", 51))] + [("t", 7, "out", "b", 53, None)], of)
+    stored = []
+    monkeypatch.setattr(ingest, "checkpointed", lambda df, f=ingest.checkpointed: stored.append(1) or f(df))
+    made, errors = ingest.upsert_event_nodes(g, inputs, fillers, 100)
+    assert len(stored) == 2 and made.edges.isEmpty()
+    assert {tuple(r) for r in errors.select("event_id", "role", "n", "outcome").collect()} == {(107, "b", 2, "too_many"), (108, "a", 0, "missing"), (108, "b", 0, "missing")}
+    assert sorted(r.id for r in made.nodes.collect()) == [0, 1, 2, 3, 4, 105, 106]
+    whole, _ = ingest.upsert_events(g, inputs, fillers, 100)
+    assert sorted((r.src, r.dst, r.label) for r in whole.edges.collect()) == sorted(x for e in (3, 4, 105, 106) for x in ((50, e, "a"), (50, e, "a"), (e, 51, "b")))
+    assert {r.dst for r in roles.participants(whole, lambda id_: id_ > 100).select(F.col("event_id").alias("dst")).collect()} == {105, 106}
+    events = spark.createDataFrame([("t", 1, 6)], "graph string, event_id long, category_id long")
+    found = roles.resolve_roles(events, fillers.withColumnRenamed("input_no", "event_id"), defs, spark.createDataFrame([], "category_id long, reagent_id long"))
+    assert all(not ("direction" in line or "role" in line) for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line and "event_id" in line)

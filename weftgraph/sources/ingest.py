@@ -172,13 +172,40 @@ def record_events(g: Graph, events: DataFrame, fillers: DataFrame, node_type: st
     """
     resolved = checkpointed(resolve_roles(events, fillers, g.catalog["role_defs"], active_reagent(g)))
     rows, errors = resolved_edges(resolved, fillers, reagent_id)
-    good = events.join(errors.select("graph", "event_id").distinct(), ["event_id", "graph"], "left_anti")
+    good = events.join(resolved.where("first AND faulty").select("event_id", "graph"), ["event_id", "graph"], "left_anti")
     label = "ProtocolEvent" if node_type == "PROTOCOL_EVENT" else "NaturalEvent"
     nodes = _shaped(good.withColumn("id", F.col("event_id")), NODE_COLUMNS, g.nodes, label=label, node_type=node_type)
     reagents = _shaped(new_reagents(resolved, reagent_id), NODE_COLUMNS, g.nodes, label="Reagent", node_type="REAGENT")
     return nodes.unionByName(reagents), in_edges_for_event(rows).unionByName(out_edges_for_event(rows)), errors
 
 
+def _upserted_events(g: Graph, inputs: DataFrame, fillers: DataFrame, new_ids: int, node_type: str, sequence: dict | None, reagent_id: Column | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``record_events`` of inputs that are known by their external id, or new."""
+    key = ["external_id", "graph", "category_id"]
+    last = latest_per_external_id(inputs, key, ["created_at", "input_no"])
+    known = g.nodes.where((F.col("node_type") == node_type) & F.col("external_id").isNotNull()).select(*key, F.col("id").alias("_known"), F.col("local_seq").alias("_seq"), "category_type")
+    met = checkpointed(last.join(known, key, "left").withColumn("event_id", F.coalesce("_known", F.lit(new_ids) + F.col("input_no"))))
+    events = met.withColumn("local_seq", F.col("_seq"))
+    if sequence is not None:
+        asks = F.col("_known").isNull() & F.col("category_id").isNotNull() & F.col("input_no").isNotNull()
+        events = events.where(~asks).unionByName(numbered(met.where(asks), "category_id", "input_no", given=_given(g, node_type), **sequence))
+    members = fillers.join(met.select("graph", "input_no", "event_id"), ["input_no", "graph"]).select("graph", "event_id", "direction", "role", "member_id", "quantity")
+    return record_events(g, events, members, node_type, reagent_id)
+
+
+def _with_event_nodes(g: Graph, nodes: DataFrame, node_type: str) -> Graph:
+    """The graph with events and new reagents in place of those with their ids; nodes of other types aren't compared."""
+    mine = F.coalesce(F.col("node_type").isin(node_type, "REAGENT"), F.lit(False))
+    kept = g.nodes.where(mine).join(nodes.select("graph", "id"), ["id", "graph"], "left_anti")
+    return g.with_nodes(g.nodes.where(~mine).select(*NODE_COLUMNS).unionByName(kept.select(*NODE_COLUMNS)).unionByName(nodes))
+
+
+def upsert_event_nodes(g: Graph, inputs: DataFrame, fillers: DataFrame, new_ids: int, node_type: str = "PROTOCOL_EVENT", sequence: dict | None = None, reagent_id: Column | None = None) -> tuple[Graph, DataFrame]:
+    """As ``upsert_events``, for whom nodes and errors are enough: no edge is looked up or made, the graph keeps those that it has."""
+    nodes, _, errors = _upserted_events(g, inputs, fillers, new_ids, node_type, sequence, reagent_id)
+    return _with_event_nodes(g, nodes, node_type), errors
+
+
 def upsert_events(g: Graph, inputs: DataFrame, fillers: DataFrame, new_ids: int, node_type: str = "PROTOCOL_EVENT", sequence: dict | None = None, reagent_id: Column | None = None) -> tuple[Graph, DataFrame]:
     """(graph with the events and their participant edges, errors). An event whose external id its category has already is updated: name, times, window and variables.
 
@@ -186,32 +213,20 @@ def upsert_events(g: Graph, inputs: DataFrame, fillers: DataFrame, new_ids: int,
     holds. fillers: graph, input_no, direction, role, member_id, quantity. An event keeps the participant edges it has and gets those that it hasn't:
     the nth filler of a role, member and quantity is the nth such edge. Its id is a hash of all that, so ids differ, and a repeat changes nothing.
     """
-    key = ["external_id", "graph", "category_id"]
-    last = latest_per_external_id(inputs, key, ["created_at", "input_no"])
-    known = g.nodes.where((F.col("node_type") == node_type) & F.col("external_id").isNotNull()).select(*key, F.col("id").alias("_known"), F.col("local_seq").alias("_seq"), "category_type")
-    met = last.join(known, key, "left").withColumn("event_id", F.coalesce("_known", F.lit(new_ids) + F.col("input_no")))
-    if sequence is not None:
-        fresh = numbered(met.where("_known IS NULL").select("category_id", "event_id", "input_no"), "category_id", "input_no", given=_given(g, node_type), **sequence)
-        met = met.join(fresh.select("event_id", F.col("local_seq").alias("_new")), "event_id", "left").withColumn("local_seq", F.coalesce("_seq", "_new"))
-    else:
-        met = met.withColumn("local_seq", F.col("_seq"))
-    met = checkpointed(met)
-    members = fillers.join(met.select("graph", "input_no", "event_id"), ["input_no", "graph"]).select("graph", "event_id", "direction", "role", "member_id", "quantity")
-    nodes, edges, errors = record_events(g, met, members, node_type, reagent_id)
-    kept = g.nodes.join(nodes.select("graph", "id"), ["id", "graph"], "left_anti")
+    nodes, edges, errors = _upserted_events(g, inputs, fillers, new_ids, node_type, sequence, reagent_id)
     same = ["graph", "src", "dst", "role", "amount", "nth"]
-    by_id = ["src", "dst", "graph", "role"]
+    alike = ["src", "dst", "graph", "role", "amount"]
 
-    def numbered_alike(rows: DataFrame) -> DataFrame:
+    def counted(rows: DataFrame, number: str) -> DataFrame:
         told = rows.withColumn("amount", F.coalesce(F.col("quantity").cast("string"), F.lit("")))  # joins on it, nulls together
-        return told.withColumn("nth", F.row_number().over(Window.partitionBy(*by_id, "amount").orderBy("amount")))  # rows are equal: any order will do
+        return told.groupBy(*alike).agg(F.count("*").alias(number), F.max("quantity").alias("quantity"))
 
-    edges = checkpointed(edges)
-    there = g.edges.where("edge_type = 'PARTICIPANT'").join(edges.select(*by_id).distinct(), by_id, "left_semi")
+    there = counted(g.edges.where("edge_type = 'PARTICIPANT'"), "_there").drop("quantity")
+    more = counted(edges, "_n").join(there, alike, "left").withColumn("_there", F.coalesce("_there", F.lit(0))).where("_n > _there")
+    fresh = more.withColumn("nth", F.explode(F.sequence(F.col("_there") + 1, F.col("_n")).cast("array<int>"))).drop("_n", "_there").withColumn("label", F.col("role"))
     hashed = F.xxhash64(*same).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    fresh = numbered_alike(edges).join(numbered_alike(there).select(*same), [*by_id, "amount", "nth"], "left_anti")
-    added = _shaped(fresh.withColumn("id", hashed), EDGE_COLUMNS, g.edges, edge_type="PARTICIPANT", category_id=None)
-    return Graph(kept.select(*NODE_COLUMNS).unionByName(nodes), g.edges.select(*EDGE_COLUMNS).unionByName(added), g.catalog), errors
+    added = checkpointed(_shaped(fresh.withColumn("id", hashed), EDGE_COLUMNS, g.edges, edge_type="PARTICIPANT", category_id=None))  # read by either end
+    return Graph(_with_event_nodes(g, checkpointed(nodes), node_type).nodes, g.edges.select(*EDGE_COLUMNS).unionByName(added), g.catalog), errors
 
 
 def catalog_upsert(categories: DataFrame, inputs: DataFrame, keys: tuple[str, ...] = ("graph", "kind", "name")) -> DataFrame:
