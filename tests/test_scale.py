@@ -280,3 +280,16 @@ def test_events_are_recorded_without_what_nobody_asks_for(spark, monkeypatch):
     events = spark.createDataFrame([("t", 1, 6)], "graph string, event_id long, category_id long")
     found = roles.resolve_roles(events, fillers.withColumnRenamed("input_no", "event_id"), defs, spark.createDataFrame([], "category_id long, reagent_id long"))
     assert all(not ("direction" in line or "role" in line) for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line and "event_id" in line)
+
+
+def test_walks_to_ends_derive_the_edges_once(spark, tangled, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pattern, "hop", lambda g, *rest, f=pattern.hop: seen.append(len(g.edges.inputFiles())) or f(g, *rest))
+    of = lambda i: tangled.nodes.where(f"id = {i}").select("graph", "id")
+    pattern.match_variable_length(tangled, of(7), 1, 4, label="l1", ends=of(9))
+    assert seen and all(seen)
+
+
+def test_factors_read_each_side_once(spark, tangled):
+    plan = pattern.event_factors(tangled, "METRIC", most=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 4  # nodes and edges, of either side
