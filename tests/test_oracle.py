@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from weftgraph.operators import paging
 from weftgraph.plans import catalogue
 from weftgraph.sources import fixture
 
@@ -82,3 +83,14 @@ def test_roles_are_resolved_once(spark, monkeypatch):
     monkeypatch.setattr(fixture, "_STORED", {})
     plan = catalogue.queries()["resolve_roles_default_new"](spark, str(SF))._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "default_use_new" in plan
+
+
+def test_a_deep_page_derives_the_edges_once(spark, duck, monkeypatch):
+    """They are counted and paged as they were cut, with the columns that are asked for."""
+    cuts, cut = [], paging.checkpointed
+    monkeypatch.setattr(fixture, "_STORED", {})
+    monkeypatch.setattr(paging, "checkpointed", lambda df: cuts.append(df.columns) or cut(df))
+    got = catalogue.queries()["page_edges_deep"](spark, str(SF))
+    assert cuts == [["graph", "id", "label", "src", "dst"]]
+    assert "lineitem" not in "".join(got.inputFiles())
+    assert [tuple(r) for r in got.collect()] == duck.execute(catalogue.oracle_sql()["page_edges_deep"]).fetchall()

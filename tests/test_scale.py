@@ -212,6 +212,24 @@ def test_deep_pages_are_those_of_a_full_sort(spark, monkeypatch):
     assert seen == sorted(set(seen)) and len(seen) == 2 * g.edges.dropDuplicates(["id"]).where("src <> dst").count()
 
 
+def test_a_deep_page_of_edges_stores_their_keys_alone(spark, monkeypatch):
+    """What is located is three columns, and the page asks the edges for its own ids; other columns stay whole."""
+    cuts, cut = [], paging.checkpointed
+    monkeypatch.setattr(paging, "SHALLOW", 20)
+    monkeypatch.setattr(paging, "checkpointed", lambda df: cuts.append(df.columns) or cut(df))
+    rng = random.Random(6)
+    edges = [edge(rng.randrange(10**15), rng.randrange(30), rng.randrange(30), f"l{i % 3}") for i in range(200)] + [edge(5, 7, 7)]
+    g = graph(spark, [node(0)], edges)
+    for with_self in (None, True):
+        both = sorted({(e[1], a, b, e[2]) for e in edges if with_self or e[5] != e[6] for a, b in ((e[5], e[6]), (e[6], e[5]))})
+        for offset in (25, 150, len(both) - 3, len(both)):
+            found = paging.page_edges(g, "t", with_self, offset=offset, limit=9)
+            assert [(r.id, r.left_id, r.right_id, r.label) for r in found.collect()] == both[offset : offset + 9]
+    assert len(cuts) == 8 and all(c == ["id", "src", "dst"] for c in cuts)
+    found = paging.page_edges(g, "t", offset=100, limit=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(id" in found and "<=" in found  # bounded at both ends
+
+
 def test_search_reads_the_lists_of_its_trigrams(spark, tmp_path):
     names = [None, "", "ab", "abc", "ABCD", "xabcx", "bca", "Ünïcode ÄBC", "aaaa", "a_c%", *[f"item{i:05}" for i in range(3_000)]]
     nodes = [(*node(i)[:7], n, *node(i)[8:]) for i, n in enumerate(names)]

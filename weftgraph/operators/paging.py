@@ -88,14 +88,34 @@ def latest_nodes(g: Graph, graph: str, offset: int = 0, limit: int = PAGE) -> Da
     return page(g.nodes.where(F.col("graph") == graph), [age, F.col("id")], offset, limit)
 
 
-def page_edges(g: Graph, graph: str, with_self: bool | None = None, offset: int = 0, limit: int = PAGE, after: tuple[int, int] | None = None) -> DataFrame:
-    """Edges in both orientations (left_id, right_id), in order of id and left_id; self loops once, and only if asked for. ``after``: the id and left_id last seen."""
-    edges = g.edges.where(F.col("graph") == graph)
-    if offset > SHALLOW:
-        edges = checkpointed(edges)  # counted several times
-    both, keys = undirected(edges if with_self else edges.where("src <> dst")), [F.col("id"), F.col("left_id")]
-    both = both.where(_compared(keys, list(after), before=False) & ~((keys[0] == after[0]) & (keys[1] == after[1]))) if after is not None else both
-    return page(both, keys, offset, limit)
+def page_edges(g: Graph, graph: str, with_self: bool | None = None, offset: int = 0, limit: int = PAGE, after: tuple[int, int] | None = None, stored: bool = False) -> DataFrame:
+    """Edges in both orientations (left_id, right_id), in order of id and left_id; self loops once, and only if asked for. ``after``: the id and left_id last seen.
+
+    Both ends of a deep page are located on keys alone, so just the edges of the page are derived with what is asked of them.
+    ``stored``: the edges are read from where they are stored, and their keys needn't be."""
+    edges, keys = g.edges.where(F.col("graph") == graph), [F.col("id"), F.col("left_id")]
+    edges = edges if with_self else edges.where("src <> dst")
+
+    def both(edges: DataFrame) -> DataFrame:
+        rows = undirected(edges)
+        return rows if after is None else rows.where(_compared(keys, list(after), before=False) & ~((keys[0] == after[0]) & (keys[1] == after[1])))
+
+    if offset <= SHALLOW:
+        return page(both(edges), keys, offset, limit)
+    ends = edges.select("id", "src", "dst")
+    ends = both(ends if stored else derived_once(g, ends))  # counted several times
+    at = _located(ends, keys, offset)
+    if at is None:
+        return both(edges).limit(0)
+    of_page = ends.where(_compared(keys, at[0], before=False)).select(*keys).orderBy(*keys).limit(at[1] + limit)
+    rest = both(edges.where(F.col("id").between(at[0][0], of_page.agg(F.max("id")).first()[0])))
+    rest = rest.where(_compared(keys, at[0], before=False)).orderBy(*keys)
+    return (rest.offset(at[1]) if at[1] else rest).limit(limit)
+
+
+def derived_once(g: Graph, edges: DataFrame) -> DataFrame:
+    """Edges of the graph that are used several times: as they are, if the graph is stored, else written and read from there."""
+    return edges if g.sides else checkpointed(edges)
 
 
 def page_concat(sets: list[DataFrame], order: str, offset: int = 0, limit: int = 100) -> DataFrame:
