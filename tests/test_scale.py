@@ -1,13 +1,14 @@
 """What is built for size: plans without shuffles, joins that meet little more than they give, rounds and rows that stay few."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_golden import EDGE_SCHEMA, NODE_SCHEMA
-from weftgraph.operators import expand, paging, pattern, roles, scan, temporal
+from weftgraph.operators import audit, expand, paging, pattern, roles, scan, temporal
 from weftgraph.schema import Graph
 from weftgraph.sources import ingest
 from weftgraph.sources.adjacency import is_stored, read_adjacency, store_adjacency
@@ -230,6 +231,22 @@ def test_a_deep_page_of_edges_stores_their_keys_alone(spark, monkeypatch):
     assert "(id" in found and "<=" in found  # bounded at both ends
 
 
+def test_the_audit_of_measurements_sorts_by_id(spark):
+    """Joins compare ids first, not the graph that all rows share; missing ends break the rule."""
+    nodes = [node(1, kind="STRUCTURE"), node(2), node(3, kind="METRIC"), ("u", *node(2)[1:])]
+    ends = [(1, 2), (2, 1), (3, 2), (1, 9), (9, 2), (1, 3)]
+    g = graph(spark, nodes, [edge(i, a, b, kind="MEASUREMENT") for i, (a, b) in enumerate(ends)] + [("u", *edge(9, 1, 2, kind="MEASUREMENT")[1:]), edge(10, 2, 1)])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = audit.audit_measurement_direction(g)
+        keys = re.findall(r"SortMergeJoin \[(\w+)#", found._jdf.queryExecution().executedPlan().toString())
+        assert len(keys) >= 2 and "graph" not in keys
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted([("t", 1, "ENTITY", "STRUCTURE"), ("t", 2, "METRIC", "ENTITY"), ("t", 3, "STRUCTURE", None), ("t", 4, None, "ENTITY"), ("t", 5, "STRUCTURE", "METRIC"), ("u", 9, None, "ENTITY")], key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_search_reads_the_lists_of_its_trigrams(spark, tmp_path):
     names = [None, "", "ab", "abc", "ABCD", "xabcx", "bca", "Ünïcode ÄBC", "aaaa", "a_c%", *[f"item{i:05}" for i in range(3_000)]]
     nodes = [(*node(i)[:7], n, *node(i)[8:]) for i, n in enumerate(names)]

@@ -54,7 +54,7 @@ def audit_measurement_direction(g: Graph) -> DataFrame:
     """Measurements that don't run from a structure to an entity."""
     a = prefixed(g.nodes, "left_", "graph", "id", "node_type").withColumnsRenamed({"left_graph": "graph", "left_id": "src"})
     b = prefixed(g.nodes, "right_", "graph", "id", "node_type").withColumnsRenamed({"right_graph": "graph", "right_id": "dst"})
-    ends = g.edges.where("edge_type = 'MEASUREMENT'").join(a, ["graph", "src"], "left").join(b, ["graph", "dst"], "left")
+    ends = g.edges.where("edge_type = 'MEASUREMENT'").join(a, ["src", "graph"], "left").join(b, ["dst", "graph"], "left")
     fine = (F.col("left_node_type") == "STRUCTURE") & (F.col("right_node_type") == "ENTITY")
     return ends.where(~F.coalesce(fine, F.lit(False))).select("graph", "id", "left_node_type", "right_node_type")
 
