@@ -114,6 +114,19 @@ def test_a_hot_entity_with_many_open_windows(spark):
     assert found <= met <= 1.05 * found + 5_000 and found > 400_000
 
 
+def test_windows_of_many_entities_are_not_cut(spark, monkeypatch):
+    """1,000 entities with 5 long windows and 4 points each, half of them before all windows: no more is stored than what comes in, and points that no window can hold aren't."""
+    time = lambda seconds: F.timestamp_seconds(F.lit(1_700_000_000) + seconds).cast("timestamp_ntz")
+    nth = F.col("id") % 5
+    w = spark.range(5_000).select(F.floor(F.col("id") / 5).alias("k"), F.col("id").alias("w"), time(nth * 99_999).alias("valid_from"), F.when(nth < 4, time((nth + 1) * 99_999)).alias("valid_to"))
+    p = spark.range(4_000).select(F.floor(F.col("id") / 4).alias("k"), F.col("id").alias("p"), time(F.when(F.col("id") % 2 == 0, F.col("id") * 99).otherwise(-F.col("id"))).alias("at"))
+    stored, store = [], temporal.checkpointed
+    monkeypatch.setattr(temporal, "checkpointed", lambda df: stored.append(store(df)) or stored[-1])
+    got = sorted((r.p, r.w) for r in temporal.interval_join(p, w, ["k"]).collect())
+    assert got == [(i, i // 4 * 5 + min(i * 99 // 99_999, 4)) for i in range(0, 4_000, 2)]
+    assert sum(df.count() for df in stored) <= 5_000 + 2_000
+
+
 def hops(edges, starts):
     out = []
     for s in starts:

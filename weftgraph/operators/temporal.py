@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.expand import edges_by, hop
+from weftgraph.operators.expand import edges_by
 from weftgraph.schema import Graph, checkpointed
 
 
@@ -70,20 +70,35 @@ def _meetings(points: DataFrame, windows: DataFrame, keys: list[str], at: str, l
 def interval_join(points: DataFrame, windows: DataFrame, keys: list[str], at: str = "at", low: str = "valid_from", high: str = "valid_to", group: int = 1_000) -> DataFrame:
     """Points joined with the windows [low, high) of the same keys that hold their time; a null bound is open, a null time is in no window.
 
-    A window is cut into O(log n) stretches of 2^level seconds, those of open ends being long; a point lies in one stretch of each level, and
-    looks only at those that some window of its keys has. So a pair meets just once, at one stretch, and what meets without being a result is at most the
-    points in the seconds that a window begins or ends in. A stretch with more than ``group`` windows is dealt in groups, and its points are copied to each.
+    Points outside of all that the windows of their keys span are left out first. Where the rows of a key meet at most ``group`` others each, on average, they
+    are joined by their key and compared. In other, crowded keys a window is cut into O(log n) stretches of 2^level seconds, those of open ends being long; a point
+    lies in one stretch of each level, and looks only at those that some window of its keys has. So a pair meets just once, at one stretch, and what meets without being
+    a result is at most the points in the seconds that a window begins or ends in. A stretch with more than ``group`` windows is dealt in groups, and its points are copied to each.
     """
     holds = (F.col(low).isNull() | (F.col(low) <= F.col(at))) & (F.col(high).isNull() | (F.col(high) > F.col(at)))
-    return _meetings(points, windows, keys, at, low, high, group).where(holds)
+    windows = checkpointed(windows.where(F.col(low).isNull() | F.col(high).isNull() | (F.col(low) < F.col(high))))
+    spans = windows.groupBy(*keys).agg(F.count("*").alias("_windows"), F.min(low).alias("_low"), F.max(high).alias("_high"), F.bool_or(F.col(low).isNull()).alias("_ever"), F.bool_or(F.col(high).isNull()).alias("_on"))
+    spanned = F.col(at).isNotNull() & (F.col("_ever") | (F.col("_low") <= F.col(at))) & (F.col("_on") | (F.col("_high") > F.col(at)))
+    near = checkpointed(points.join(spans, keys).where(spanned).select(*points.columns, "_windows"))
+    met = near.groupBy(*keys).agg(F.count("*").alias("_points"), F.max("_windows").alias("_windows"))
+    crowded = checkpointed(met.where(F.expr(f"1D * _points * _windows > {group}D * (_points + _windows)")).select(*keys))
+    near = near.drop("_windows")
+    if crowded.isEmpty():
+        return near.join(windows, keys).where(holds)
+    hot_points, hot_windows = (rows.join(crowded, keys, "left_semi") for rows in (near, windows))
+    return near.join(crowded, keys, "left_anti").join(windows, keys).where(holds).unionByName(_meetings(hot_points, hot_windows, keys, at, low, high, group).where(holds))
 
 
 def measurement_at_event(g: Graph) -> DataFrame:
-    """(event_id, entity_id, structure_id, at): the measurements of an entity whose window holds the time of an event it took part in."""
-    events = g.nodes.where("node_type IN ('NATURAL_EVENT', 'PROTOCOL_EVENT')").select("graph", F.col("id").alias("dst"), F.col("valid_from").alias("at"))
-    took_part = hop(g, events, "dst", "edge_type = 'PARTICIPANT'", [F.col("src").alias("entity_id")]).withColumnRenamed("dst", "event_id")
+    """(event_id, entity_id, structure_id, at): the measurements of an entity whose window holds the time of an event it took part in.
+
+    It starts at the entities that are measured: edges of no other are joined with events.
+    """
     windows = edges_by(g, "dst").where("edge_type = 'MEASUREMENT'").select("graph", F.col("dst").alias("entity_id"), F.col("src").alias("structure_id"), "valid_from", "valid_to")
-    return interval_join(took_part, windows, ["graph", "entity_id"]).select("graph", "event_id", "entity_id", "structure_id", "at")
+    measured = checkpointed(windows.select("graph", F.col("entity_id").alias("src")).distinct())
+    took_part = edges_by(g, "src").where("edge_type = 'PARTICIPANT'").join(measured, ["src", "graph"], "left_semi").select("graph", F.col("src").alias("entity_id"), F.col("dst").alias("event_id"))
+    events = g.nodes.where("node_type IN ('NATURAL_EVENT', 'PROTOCOL_EVENT')").select("graph", F.col("id").alias("event_id"), F.col("valid_from").alias("at"))
+    return interval_join(took_part.join(events, ["event_id", "graph"]), windows, ["entity_id", "graph"]).select("graph", "event_id", "entity_id", "structure_id", "at")
 
 
 def entity_timeline(g: Graph) -> DataFrame:
