@@ -330,6 +330,25 @@ def test_events_are_recorded_without_what_nobody_asks_for(spark, monkeypatch):
     assert all(not ("direction" in line or "role" in line) for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line and "event_id" in line)
 
 
+def test_events_are_resolved_in_a_row_each(spark, monkeypatch):
+    """20 events of a category with 130 roles: nothing that is stored has more rows than there are events and edges, faults are those of single roles, and a repeat adds nothing."""
+    known = [(("in", "out")[i % 2], f"r{i:03d}") for i in range(130)]
+    roles_of = "event_category_id long, direction string, role string, optional boolean, variable_amount boolean, default_use_active long, default_use_new long"
+    defs = spark.createDataFrame([(6, *known[i], i not in (0, 64, 129), i not in (3, 70, 128), None, 9 if i == 129 else None) for i in range(130)], roles_of)
+    g = Graph(spark.createDataFrame([node(1)], NODE_SCHEMA), spark.createDataFrame([edge(1, 1, 1)], EDGE_SCHEMA), {"role_defs": defs})
+    inputs = spark.createDataFrame([("t", 6, str(i), "x", None, None, None, None, i) for i in range(20)], "graph string, category_id long, external_id string, name string, created_at timestamp_ntz, valid_from timestamp_ntz, valid_to timestamp_ntz, variables array<struct<key:string,value:string>>, input_no long")
+    given = [("t", i, *known[r], 50 + r, None) for i in range(20) for r in (0, 64, 5) if (i, r) not in ((1, 0), (2, 64))] + [("t", 3 + j, *known[r], 50, 1.5) for j, r in enumerate((3, 70, 128, 4)) for _ in (1, 2)]
+    fillers = spark.createDataFrame(given, "graph string, input_no long, direction string, role string, member_id long, quantity double")
+    stored, store = [], ingest.checkpointed
+    monkeypatch.setattr(ingest, "checkpointed", lambda df: stored.append(store(df)) or stored[-1])
+    made, errors = ingest.upsert_events(g, inputs, fillers, 100)
+    assert sorted(df.count() for df in stored) == [20, 20, 30, 62]  # inputs, what their roles come to, nodes with a reagent for each of 15, edges
+    assert {(r.event_id, r.role, r.n, r.outcome) for r in errors.collect()} == {(101, "r000", 0, "missing"), (102, "r064", 0, "missing"), (103, "r003", 2, "too_many"), (104, "r070", 2, "too_many"), (105, "r128", 2, "too_many")}
+    edges = made.edges.where("edge_type = 'PARTICIPANT'")
+    assert edges.select("id").distinct().count() == edges.count() == 4 * 15 + 2
+    assert rows(ingest.upsert_event_edges(made, inputs, fillers, 100)[0].edges) == rows(made.edges)
+
+
 def test_walks_to_ends_derive_the_edges_once(spark, tangled, monkeypatch):
     seen = []
     monkeypatch.setattr(pattern, "hop", lambda g, *rest, f=pattern.hop: seen.append(len(g.edges.inputFiles())) or f(g, *rest))

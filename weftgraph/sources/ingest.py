@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from weftgraph.functions.names import parse_structure_refs
 from weftgraph.operators.aggregate import latest_per_external_id, numbered
-from weftgraph.operators.roles import active_reagent, new_reagents, resolve_roles, resolved_edges, set_active_reagent
+from weftgraph.operators.roles import active_reagent, counted_edges, counted_reagents, counted_roles, set_active_reagent
 from weftgraph.schema import EDGE_COLUMNS, NODE_COLUMNS, VALUE_TYPES, VECTOR_SIZES, Graph, checkpointed
 from weftgraph.sources.files import Folder
 
@@ -163,6 +163,20 @@ def out_edges_for_event(rows: DataFrame) -> DataFrame:
     return event_edges(rows, "out")
 
 
+def _event_nodes(g: Graph, events: DataFrame, counted: DataFrame, defs: DataFrame, node_type: str, reagent_id: Column | None) -> DataFrame:
+    """The events without an error, and the reagents that are new for their roles."""
+    good = events.join(counted.where("faulty").select("event_id", "graph"), ["event_id", "graph"], "left_anti")
+    label = "ProtocolEvent" if node_type == "PROTOCOL_EVENT" else "NaturalEvent"
+    nodes = _shaped(good.withColumn("id", F.col("event_id")), NODE_COLUMNS, g.nodes, label=label, node_type=node_type)
+    return nodes.unionByName(_shaped(counted_reagents(counted, defs, reagent_id), NODE_COLUMNS, g.nodes, label="Reagent", node_type="REAGENT"))
+
+
+def _counted(g: Graph, events: DataFrame, fillers: DataFrame, key: str = "event_id") -> tuple[DataFrame, DataFrame]:
+    """``counted_roles``, stored: a row per event, not one per role."""
+    counted, defs = counted_roles(events, fillers, g.catalog["role_defs"], active_reagent(g), key)
+    return checkpointed(counted), defs
+
+
 def record_events(g: Graph, events: DataFrame, fillers: DataFrame, node_type: str = "PROTOCOL_EVENT", reagent_id: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, participant edges, errors). Roles are resolved first; an event with an error is not written.
 
@@ -170,27 +184,25 @@ def record_events(g: Graph, events: DataFrame, fillers: DataFrame, node_type: st
     fillers: graph, event_id, direction, role, member_id, quantity. nodes: the events, and the reagents that are new for their roles,
     with ids as ``roles.new_reagents`` gives them.
     """
-    resolved = checkpointed(resolve_roles(events, fillers, g.catalog["role_defs"], active_reagent(g)))
-    rows, errors = resolved_edges(resolved, fillers, reagent_id)
-    good = events.join(resolved.where("first AND faulty").select("event_id", "graph"), ["event_id", "graph"], "left_anti")
-    label = "ProtocolEvent" if node_type == "PROTOCOL_EVENT" else "NaturalEvent"
-    nodes = _shaped(good.withColumn("id", F.col("event_id")), NODE_COLUMNS, g.nodes, label=label, node_type=node_type)
-    reagents = _shaped(new_reagents(resolved, reagent_id), NODE_COLUMNS, g.nodes, label="Reagent", node_type="REAGENT")
-    return nodes.unionByName(reagents), in_edges_for_event(rows).unionByName(out_edges_for_event(rows)), errors
+    counted, defs = _counted(g, events, fillers)
+    rows, errors = counted_edges(counted, defs, fillers, reagent_id)
+    return _event_nodes(g, events, counted, defs, node_type, reagent_id), in_edges_for_event(rows).unionByName(out_edges_for_event(rows)), errors
 
 
-def _upserted_events(g: Graph, inputs: DataFrame, fillers: DataFrame, new_ids: int, node_type: str, sequence: dict | None, reagent_id: Column | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``record_events`` of inputs that are known by their external id, or new."""
+def _met_events(g: Graph, inputs: DataFrame, new_ids: int, node_type: str) -> DataFrame:
+    """The last input of each external id, with the event that is known by it (``_known``, ``_seq``) and the id that it has or gets."""
     key = ["external_id", "graph", "category_id"]
     last = latest_per_external_id(inputs, key, ["created_at", "input_no"])
     known = g.nodes.where((F.col("node_type") == node_type) & F.col("external_id").isNotNull()).select(*key, F.col("id").alias("_known"), F.col("local_seq").alias("_seq"), "category_type")
-    met = checkpointed(last.join(known, key, "left").withColumn("event_id", F.coalesce("_known", F.lit(new_ids) + F.col("input_no"))))
+    return checkpointed(last.join(known, key, "left").withColumn("event_id", F.coalesce("_known", F.lit(new_ids) + F.col("input_no"))))
+
+
+def _upserted_nodes(g: Graph, met: DataFrame, counted: DataFrame, defs: DataFrame, node_type: str, sequence: dict | None, reagent_id: Column | None) -> DataFrame:
     events = met.withColumn("local_seq", F.col("_seq"))
     if sequence is not None:
         asks = F.col("_known").isNull() & F.col("category_id").isNotNull() & F.col("input_no").isNotNull()
         events = events.where(~asks).unionByName(numbered(met.where(asks), "category_id", "input_no", given=_given(g, node_type), **sequence))
-    members = fillers.join(met.select("graph", "input_no", "event_id"), ["input_no", "graph"]).select("graph", "event_id", "direction", "role", "member_id", "quantity")
-    return record_events(g, events, members, node_type, reagent_id)
+    return _event_nodes(g, events, counted, defs, node_type, reagent_id)
 
 
 def _with_event_nodes(g: Graph, nodes: DataFrame, node_type: str) -> Graph:
@@ -200,10 +212,31 @@ def _with_event_nodes(g: Graph, nodes: DataFrame, node_type: str) -> Graph:
     return g.with_nodes(g.nodes.where(~mine).select(*NODE_COLUMNS).unionByName(kept.select(*NODE_COLUMNS)).unionByName(nodes))
 
 
+def _with_event_edges(g: Graph, edges: DataFrame) -> Graph:
+    """The graph with those of the edges that it hasn't yet. Both are counted together, after they are dealt: hardly any repeats, so counting before that would hold nearly all of them."""
+    alike = ["src", "dst", "graph", "role", "quantity"]
+    both = g.edges.where("edge_type = 'PARTICIPANT'").select(*alike, F.lit(0).alias("_new")).unionByName(edges.select(*alike, F.lit(1).alias("_new")))
+    counts = both.repartition("src", "dst").groupBy(*alike).agg(F.sum("_new").alias("_n"), (F.count("*") - F.sum("_new")).alias("_there"))
+    more = counts.where("_n > _there").withColumn("nth", F.explode(F.sequence(F.col("_there") + 1, F.col("_n")).cast("array<int>"))).withColumn("label", F.col("role"))
+    amount = F.coalesce(F.col("quantity").cast("string"), F.lit(""))
+    hashed = F.xxhash64("graph", "src", "dst", "role", amount, "nth").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    added = checkpointed(_shaped(more.withColumn("id", hashed), EDGE_COLUMNS, g.edges, edge_type="PARTICIPANT", category_id=None))  # read by either end
+    return g.with_edges(g.edges.select(*EDGE_COLUMNS).unionByName(added))
+
+
 def upsert_event_nodes(g: Graph, inputs: DataFrame, fillers: DataFrame, new_ids: int, node_type: str = "PROTOCOL_EVENT", sequence: dict | None = None, reagent_id: Column | None = None) -> tuple[Graph, DataFrame]:
     """As ``upsert_events``, for whom nodes and errors are enough: no edge is looked up or made, the graph keeps those that it has."""
-    nodes, _, errors = _upserted_events(g, inputs, fillers, new_ids, node_type, sequence, reagent_id)
-    return _with_event_nodes(g, nodes, node_type), errors
+    met = _met_events(g, inputs, new_ids, node_type)
+    counted, defs = _counted(g, met, fillers, "input_no")
+    _, errors = counted_edges(counted, defs, fillers, reagent_id, "input_no")
+    return _with_event_nodes(g, _upserted_nodes(g, met, counted, defs, node_type, sequence, reagent_id), node_type), errors
+
+
+def upsert_event_edges(g: Graph, inputs: DataFrame, fillers: DataFrame, new_ids: int, node_type: str = "PROTOCOL_EVENT", reagent_id: Column | None = None) -> tuple[Graph, DataFrame]:
+    """As ``upsert_events``, for whom edges and errors are enough: no node is made, the graph keeps those that it has."""
+    counted, defs = _counted(g, _met_events(g, inputs, new_ids, node_type), fillers, "input_no")
+    rows, errors = counted_edges(counted, defs, fillers, reagent_id, "input_no")
+    return _with_event_edges(g, in_edges_for_event(rows).unionByName(out_edges_for_event(rows))), errors
 
 
 def upsert_events(g: Graph, inputs: DataFrame, fillers: DataFrame, new_ids: int, node_type: str = "PROTOCOL_EVENT", sequence: dict | None = None, reagent_id: Column | None = None) -> tuple[Graph, DataFrame]:
@@ -213,20 +246,11 @@ def upsert_events(g: Graph, inputs: DataFrame, fillers: DataFrame, new_ids: int,
     holds. fillers: graph, input_no, direction, role, member_id, quantity. An event keeps the participant edges it has and gets those that it hasn't:
     the nth filler of a role, member and quantity is the nth such edge. Its id is a hash of all that, so ids differ, and a repeat changes nothing.
     """
-    nodes, edges, errors = _upserted_events(g, inputs, fillers, new_ids, node_type, sequence, reagent_id)
-    same = ["graph", "src", "dst", "role", "amount", "nth"]
-    alike = ["src", "dst", "graph", "role", "amount"]
-
-    def counted(rows: DataFrame, number: str) -> DataFrame:
-        told = rows.withColumn("amount", F.coalesce(F.col("quantity").cast("string"), F.lit("")))  # joins on it, nulls together
-        return told.groupBy(*alike).agg(F.count("*").alias(number), F.max("quantity").alias("quantity"))
-
-    there = counted(g.edges.where("edge_type = 'PARTICIPANT'"), "_there").drop("quantity")
-    more = counted(edges, "_n").join(there, alike, "left").withColumn("_there", F.coalesce("_there", F.lit(0))).where("_n > _there")
-    fresh = more.withColumn("nth", F.explode(F.sequence(F.col("_there") + 1, F.col("_n")).cast("array<int>"))).drop("_n", "_there").withColumn("label", F.col("role"))
-    hashed = F.xxhash64(*same).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    added = checkpointed(_shaped(fresh.withColumn("id", hashed), EDGE_COLUMNS, g.edges, edge_type="PARTICIPANT", category_id=None))  # read by either end
-    return Graph(_with_event_nodes(g, checkpointed(nodes), node_type).nodes, g.edges.select(*EDGE_COLUMNS).unionByName(added), g.catalog), errors
+    met = _met_events(g, inputs, new_ids, node_type)
+    counted, defs = _counted(g, met, fillers, "input_no")
+    rows, errors = counted_edges(counted, defs, fillers, reagent_id, "input_no")
+    nodes = checkpointed(_upserted_nodes(g, met, counted, defs, node_type, sequence, reagent_id))
+    return Graph(_with_event_nodes(g, nodes, node_type).nodes, _with_event_edges(g, in_edges_for_event(rows).unionByName(out_edges_for_event(rows))).edges, g.catalog), errors
 
 
 def catalog_upsert(categories: DataFrame, inputs: DataFrame, keys: tuple[str, ...] = ("graph", "kind", "name")) -> DataFrame:
